@@ -1,4 +1,6 @@
 """All queries and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import q_graph, q_labels, q_metrics, q_stability, q_stats  # noqa: F401
+from .base import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
