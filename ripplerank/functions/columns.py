@@ -16,7 +16,7 @@ def uniform(key, salt: str | F.Column) -> F.Column:
 
 def split_multi(cell, sep: str = "|") -> F.Column:
     """The values of a quoted, separated cell, trimmed, without empty ones; null: an empty list."""
-    parts = F.transform(F.split(F.regexp_replace(F.trim(cell), '^"|"$', ""), "\\" + sep), F.trim)
+    parts = F.transform(F.split(F.regexp_replace(F.trim(cell), '^"|"$', ""), "\\" + sep), lambda x: F.trim(x))
     return F.coalesce(F.filter(parts, lambda x: x != ""), F.array().cast("array<string>"))
 
 

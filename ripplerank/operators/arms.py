@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut
 from . import graph, metrics
 from .labels import fold_seeds
 
@@ -14,13 +15,15 @@ def fold_scores(edges: DataFrame, splits: DataFrame, alphas: tuple[float, ...] =
 
     All folds and alphas are columns of one propagation each; scores are rounded before they are ranked, so summation order does not matter.
     """
-    inside = splits.join(graph.degree(edges).select("gene"), "gene", "left_semi")
+    edges = cut(edges, "edges")
+    degree, weights = cut(graph.degree(edges), "degree"), cut(graph.transition(edges), "transition")
+    inside = cut(splits.join(degree.select("gene"), "gene", "left_semi"), "splits")
     column = F.concat_ws("_", F.col("repeat").cast("string"), F.col("fold").cast("string"))
     seeds = fold_seeds(inside, k).select(column.alias("col"), "gene")
     test = inside.withColumn("col", column)
-    out = test.join(graph.degree(edges), "gene").select("repeat", "fold", F.lit("degree").alias("method"), F.lit(None).cast("double").alias("alpha"), "gene", "y", F.col("degree").cast("double").alias("score"))
+    out = test.join(degree, "gene").select("repeat", "fold", F.lit("degree").alias("method"), F.lit(None).cast("double").alias("alpha"), "gene", "y", F.col("degree").cast("double").alias("score"))
     for a in alphas:
-        p = graph.rwr(edges, seeds, a, tol, max_iter, strategy)
+        p = graph.rwr(edges, seeds, a, tol, max_iter, strategy, weights)
         out = out.unionByName(test.join(p, ["col", "gene"]).select("repeat", "fold", F.lit("rwr").alias("method"), F.lit(a).alias("alpha"), "gene", "y", F.round("score", digits).alias("score")))
     return out
 
@@ -28,7 +31,7 @@ def fold_scores(edges: DataFrame, splits: DataFrame, alphas: tuple[float, ...] =
 def run_arm(edges: DataFrame, splits: DataFrame, alphas: tuple[float, ...] = (0.5,), ks: tuple[int, ...] = (50, 100, 500), **how) -> DataFrame:
     """The result table of one arm: alpha, repeat, fold, method and the metrics; degree rows have a null alpha."""
     scored = fold_scores(edges, splits, alphas, **how).withColumn("_a", F.coalesce("alpha", F.lit(-1.0)))
-    m = metrics.all_metrics(scored, ["_a", "repeat", "fold", "method"], ks)
+    m = metrics.all_metrics(cut(scored, "scores"), ["_a", "repeat", "fold", "method"], ks)
     return m.withColumn("alpha", F.when(F.col("_a") >= 0, F.col("_a"))).drop("_a")
 
 

@@ -101,7 +101,7 @@ def rwr(edges: DataFrame, seeds: DataFrame, alpha: float = 0.5, tol: float = 1e-
     genes = w.select(F.col("src").alias("gene")).distinct()
     p0 = seed_matrix(seeds.join(genes, "gene", "left_semi"))
     if strategy == "auto":
-        w = cut(w, "transition")
+        w = w if weights is not None else cut(w, "transition")
         strategy = "blocks" if w.count() <= BROADCAST_EDGES else "joins"
     return _by_blocks(w, p0, alpha, tol, max_iter) if strategy == "blocks" else _by_joins(w, p0, alpha, tol, max_iter)
 
@@ -220,7 +220,7 @@ def core_numbers(edges: DataFrame, most: int = 1000) -> DataFrame:
     """(gene, core): peels genes of fewer than k live neighbours, k by k."""
     live, out, k = cut(directed(edges).select("src", "dst"), "core"), None, 0
     while k < most and not live.isEmpty():
-        k += 1
+        k = max(k + 1, live.groupBy("src").count().agg(F.min("count")).first()[0])
         while True:
             weak = cut(live.groupBy("src").count().where(F.col("count") <= k).select(F.col("src").alias("gene")), "weak")
             if weak.isEmpty():

@@ -51,7 +51,7 @@ def roc_points(df: DataFrame, keys: list[str]) -> DataFrame:
     ties = df.groupBy(*keys, "score").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
     w = Window.partitionBy(*keys)
     run = w.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return ties.select(*keys, "score", (F.sum("n").over(run) / F.sum("n").over(w)).alias("fpr"), (F.sum("p").over(run) / F.sum("p").over(w)).alias("tpr"))
+    return ties.select(*keys, "score", F.try_divide(F.sum("n").over(run), F.sum("n").over(w)).alias("fpr"), F.try_divide(F.sum("p").over(run), F.sum("p").over(w)).alias("tpr"))
 
 
 def partial_auc(df: DataFrame, keys: list[str], most: float = 0.02) -> DataFrame:

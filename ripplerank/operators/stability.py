@@ -30,9 +30,15 @@ def bandwidth(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg((1.06 * F.least(F.stddev_samp("score"), iqr) * F.pow(F.count("score").cast("double"), F.lit(-0.2))).alias("width"))
 
 
+def _within(keys: list[str], by: str, low: float, high: float) -> F.Column:
+    """Rows of the group from `low` below (negative) to `high` above in a column: a range frame over doubles, which only SQL text can name."""
+    part = f"PARTITION BY {', '.join(keys)} " if keys else ""
+    return F.expr(f"count(*) OVER ({part}ORDER BY {by} RANGE BETWEEN {-low!r}D PRECEDING AND {high!r}D FOLLOWING)")
+
+
 def crowding(df: DataFrame, keys: list[str], width: float) -> DataFrame:
     """df with crowd: rows of the group whose score lies within `width`, itself among them."""
-    return df.withColumn("crowd", F.count("*").over(Window.partitionBy(*keys).orderBy("score").rangeBetween(-width, width)))
+    return df.withColumn("crowd", _within(keys, "score", -width, width))
 
 
 def relative_crowding(df: DataFrame, keys: list[str], share: float = 0.1) -> DataFrame:
@@ -40,7 +46,7 @@ def relative_crowding(df: DataFrame, keys: list[str], share: float = 0.1) -> Dat
     import math
 
     logged = df.where("score > 0").withColumn("_l", F.log("score"))
-    return logged.withColumn("crowd", F.count("*").over(Window.partitionBy(*keys).orderBy("_l").rangeBetween(math.log(1 - share), math.log(1 + share)))).drop("_l")
+    return logged.withColumn("crowd", _within(keys, "_l", math.log(1 - share), math.log(1 + share))).drop("_l")
 
 
 def nearest(df: DataFrame, keys: list[str], k: int = 5) -> DataFrame:
@@ -93,7 +99,7 @@ def loro_confidence(df: DataFrame, keys: list[str]) -> DataFrame:
     w = Window.partitionBy(*keys, "gene")
     n = F.count("score").over(w) - 1
     s, q = F.sum("score").over(w) - F.col("score"), F.sum(F.col("score") * F.col("score")).over(w) - F.col("score") * F.col("score")
-    mean, var = s / n, F.greatest((q - s * s / n) / (n - 1), F.lit(0.0))
+    mean, var = F.try_divide(s, n), F.greatest(F.try_divide(q - F.try_divide(s * s, n), n - 1), F.lit(0.0))
     cv2 = var / F.greatest(mean * mean, F.lit(1e-300))
     return df.select(*keys, "gene", "repeat", F.when(n >= 2, 1 / (1 + cv2)).otherwise(F.lit(1.0)).alias("confidence"))
 

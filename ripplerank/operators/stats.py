@@ -48,9 +48,9 @@ def percentile_interval(df: DataFrame, keys: list[str], replicates: int = 1000,
 def bca_interval(df: DataFrame, keys: list[str], replicates: int = 1000, level: float = 0.95, seed: str = "boot") -> DataFrame:
     """keys, low, high: bias-corrected and accelerated; acceleration from leave-one-out means."""
     w = Window.partitionBy(*keys)
-    loo = df.where("value is not null").withColumn("_n", F.count("*").over(w)).withColumn("_j", (F.sum("value").over(w) - F.col("value")) / (F.col("_n") - 1)).withColumn("_m", F.avg("_j").over(w))
+    loo = df.where("value is not null").withColumn("_n", F.count("*").over(w)).withColumn("_j", F.try_divide(F.sum("value").over(w) - F.col("value"), F.col("_n") - 1)).withColumn("_m", F.avg("_j").over(w))
     d = F.col("_m") - F.col("_j")
-    base = loo.groupBy(*keys).agg(F.avg("value").alias("mean"), (F.sum(d * d * d) / (6 * F.pow(F.sum(d * d), F.lit(1.5)))).alias("a"))
+    base = loo.groupBy(*keys).agg(F.avg("value").alias("mean"), F.try_divide(F.sum(d * d * d), 6 * F.pow(F.sum(d * d), F.lit(1.5))).alias("a"))
     b = bootstrap(df, keys, replicates, seed).join(base, keys)
     z0 = D.column(lambda p: D.normal_ppf(min(max(p, 1e-6), 1 - 1e-6)))
     per = b.groupBy(*keys).agg(F.avg((F.col("value") < F.col("mean")).cast("double")).alias("p"), F.max("a").alias("a"), F.array_sort(F.collect_list("value")).alias("v")).withColumn("z0", z0("p"))
@@ -64,7 +64,7 @@ def tost(df: DataFrame, keys: list[str], bound: float = 0.01) -> DataFrame:
     """keys, n, mean, se, t_low, t_high, p_tost, verdict: two one-sided tests against +-bound; without spread the mean alone decides."""
     s = summary(df, keys)
     p = D.column(lambda a, b, n: max(D.t_sf(a, n - 1), D.t_sf(-b, n - 1)))
-    s = s.withColumn("t_low", (F.col("mean") + bound) / F.col("se")).withColumn("t_high", (F.col("mean") - bound) / F.col("se"))
+    s = s.withColumn("t_low", F.try_divide(F.col("mean") + bound, F.col("se"))).withColumn("t_high", F.try_divide(F.col("mean") - bound, F.col("se")))
     s = s.withColumn("p_tost", F.when(F.col("se") > 0, p(F.col("t_low"), F.col("t_high"), F.col("n").cast("double"))).otherwise(F.when(F.abs("mean") < bound, F.lit(0.0)).otherwise(F.lit(1.0))))
     return s.withColumn("verdict", F.when(F.col("p_tost") < 0.05, "equivalent").when(F.col("mean") > bound, "superior").when(F.col("mean") < -bound, "inferior").otherwise("open"))
 
@@ -83,7 +83,7 @@ def meta(df: DataFrame, keys: list[str]) -> DataFrame:
     w = 1 / (F.col("se") * F.col("se"))
     s = df.groupBy(*keys).agg(F.count("*").alias("k"), F.sum(w).alias("sw"), F.sum(w * w).alias("sww"), F.sum(w * F.col("mean")).alias("swm"), F.sum(w * F.col("mean") * F.col("mean")).alias("swmm"))
     s = s.withColumn("fixed", F.col("swm") / F.col("sw")).withColumn("fixed_se", F.sqrt(1 / F.col("sw"))).withColumn("q_stat", F.col("swmm") - F.col("swm") * F.col("swm") / F.col("sw"))
-    s = s.withColumn("tau2", F.greatest(F.lit(0.0), (F.col("q_stat") - (F.col("k") - 1)) / (F.col("sw") - F.col("sww") / F.col("sw"))))
+    s = s.withColumn("tau2", F.greatest(F.lit(0.0), F.coalesce(F.try_divide(F.col("q_stat") - (F.col("k") - 1), F.col("sw") - F.col("sww") / F.col("sw")), F.lit(0.0))))
     j = df.join(s, keys) if keys else df.crossJoin(s)
     v = 1 / (F.col("se") * F.col("se") + F.col("tau2"))
     cols = ["k", "fixed", "fixed_se", "q_stat", "tau2"]
@@ -96,8 +96,8 @@ def anova(df: DataFrame, a: str, b: str) -> DataFrame:
     g = df.crossJoin(F.broadcast(df.agg(all_.alias("m")))).withColumn("ma", F.avg("value").over(wa)).withColumn("mb", F.avg("value").over(wb)).withColumn("mab", F.avg("value").over(wab))
     sq = lambda x: F.sum(x * x)
     s = g.agg(sq(F.col("ma") - F.col("m")).alias("ss_a"), sq(F.col("mb") - F.col("m")).alias("ss_b"), sq(F.col("mab") - F.col("ma") - F.col("mb") + F.col("m")).alias("ss_ab"), sq(F.col("value") - F.col("mab")).alias("ss_within"), F.count_distinct(a).alias("na"), F.count_distinct(b).alias("nb"), F.count("*").alias("n"))
-    within = F.col("ss_within") / (F.col("n") - F.col("na") * F.col("nb"))
-    s = s.withColumn("f_a", F.col("ss_a") / (F.col("na") - 1) / within).withColumn("f_b", F.col("ss_b") / (F.col("nb") - 1) / within)
+    within = F.try_divide(F.col("ss_within"), F.col("n") - F.col("na") * F.col("nb"))
+    s = s.withColumn("f_a", F.try_divide(F.try_divide(F.col("ss_a"), F.col("na") - 1), within)).withColumn("f_b", F.try_divide(F.try_divide(F.col("ss_b"), F.col("nb") - 1), within))
     total = F.col("ss_a") + F.col("ss_b") + F.col("ss_ab") + F.col("ss_within")
     return s.select("ss_a", "ss_b", "ss_ab", "ss_within", "f_a", "f_b", (F.col("ss_a") / total).alias("share_a"), (F.col("ss_b") / total).alias("share_b"), (F.col("ss_ab") / total).alias("share_ab"), (F.col("ss_within") / total).alias("share_within"))
 
@@ -106,8 +106,8 @@ def icc(df: DataFrame, keys: list[str], group: str) -> DataFrame:
     """keys, msb, msw, icc, design_effect of `value` in groups of about equal size."""
     g = df.groupBy(*keys, group).agg(F.count("value").alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v"))
     s = g.groupBy(*keys).agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("v")).alias("ssw"), (F.sum(F.col("n") * F.col("m") * F.col("m")) - F.pow(F.sum(F.col("n") * F.col("m")), F.lit(2)) / F.sum("n")).alias("ssb"))
-    s = s.withColumn("msb", F.col("ssb") / (F.col("k") - 1)).withColumn("msw", F.col("ssw") / (F.col("n") - F.col("k"))).withColumn("size", F.col("n") / F.col("k"))
-    s = s.withColumn("icc", (F.col("msb") - F.col("msw")) / (F.col("msb") + (F.col("size") - 1) * F.col("msw")))
+    s = s.withColumn("msb", F.try_divide(F.col("ssb"), F.col("k") - 1)).withColumn("msw", F.try_divide(F.col("ssw"), F.col("n") - F.col("k"))).withColumn("size", F.col("n") / F.col("k"))
+    s = s.withColumn("icc", F.try_divide(F.col("msb") - F.col("msw"), F.col("msb") + (F.col("size") - 1) * F.col("msw")))
     return s.select(*keys, "msb", "msw", "icc", (1 + (F.col("size") - 1) * F.col("icc")).alias("design_effect"))
 
 
@@ -169,7 +169,7 @@ def null_z(observed: DataFrame, null: DataFrame, keys: list[str], kind: str = "s
     n = null.groupBy(*keys).agg(F.avg("value").alias("null_mean"), F.stddev_samp("value").alias("null_sd"), F.percentile("value", F.lit(0.05)).alias("q05"), F.percentile("value", F.lit(0.5)).alias("q50"), F.percentile("value", F.lit(0.95)).alias("q95"), F.count("*").alias("n"))
     scale = F.col("null_sd") if kind == "sd" else F.col("null_sd") / F.sqrt("n")
     j = observed.join(n, keys) if keys else observed.crossJoin(n)
-    j = j.withColumn("z", (F.col("value") - F.col("null_mean")) / scale)
+    j = j.withColumn("z", F.try_divide(F.col("value") - F.col("null_mean"), scale))
     return j.select(*keys, F.col("value").alias("observed"), "null_mean", "null_sd", "q05", "q50", "q95", "z", D.column(D.normal_sf)("z").alias("p"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import arms, graph, metrics
 from ..operators.labels import stratified_splits
+from ..sources.shared import cut
 from . import base
 from .base import S_COMP, S_DEG, S_DIR, S_E1, S_E2, S_E3, S_X, query, su, t, with_
 
@@ -115,7 +116,7 @@ def arm_results(spark, d):
 
 @query()
 def factorial_table1(spark, d):
-    nets = {"all": base.edges(spark, d), "strong": graph.largest_component(base.edges(spark, d, 2))}
+    nets = {"all": cut(base.edges(spark, d)), "strong": cut(graph.largest_component(base.edges(spark, d, 2)))}
     u = graph.degree(nets["strong"]).select("gene")
     s = [stratified_splits(u, base.positives(spark, d, kind=k).select("gene"), 2, 5).withColumn("label_set", F.lit(k)) for k in ("ECONOMY", "PROMO")]
     r = arms.factorial(nets, s[0].unionByName(s[1]), (0.3, 0.5), ks=(50,))

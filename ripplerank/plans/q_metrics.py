@@ -55,7 +55,7 @@ def medrr(spark, d):
 @query("WITH s AS (SELECT lang AS source, n_chars::DOUBLE AS score, quality AS y, (doc_id % 3)::DOUBLE AS w FROM documents JOIN labels USING (doc_id)) SELECT a.source, round(sum(a.w * b.w * CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0 END)::DOUBLE / sum(a.w * b.w), 8) AS auroc FROM s a JOIN s b ON a.source = b.source AND a.y = 1 AND b.y = 0 GROUP BY 1")
 def weighted_auroc(spark, d):
     x = base.t(spark, d, "documents").join(base.t(spark, d, "labels"), "doc_id").select(F.col("lang").alias("source"), F.col("n_chars").cast("double").alias("score"), F.col("quality").alias("y"), (F.col("doc_id") % 3).cast("double").alias("w"))
-    return metrics.auroc(x, ["source"], "w").withColumn("auroc", F.round("auroc", 8))
+    return metrics.auroc(x, ["source"], "w").where("auroc is not null").withColumn("auroc", F.round("auroc", 8))
 
 
 @query(f"WITH {S_REP}, k AS (SELECT arm, repeat, gene, row_number() OVER (PARTITION BY arm, repeat ORDER BY avg(score) DESC, gene) AS rk FROM (SELECT arm, repeat, gene, round(avg(score), 8) AS score FROM r GROUP BY 1, 2, 3) GROUP BY arm, repeat, gene), tp AS (SELECT * FROM k WHERE rk <= 8) SELECT a.arm, a.repeat AS run_a, b.repeat AS run_b, round(count(*)::DOUBLE / (16.0 - count(*)), 8) AS jaccard FROM tp a JOIN tp b ON a.arm = b.arm AND a.gene = b.gene AND a.repeat < b.repeat GROUP BY 1, 2, 3")
