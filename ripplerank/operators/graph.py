@@ -97,17 +97,16 @@ def rwr(edges: DataFrame, seeds: DataFrame, alpha: float = 0.5, tol: float = 1e-
     """
     if not 0 < alpha <= 1:
         raise ValueError("alpha must be over 0 and at most 1")
-    w = weights if weights is not None else transition(edges)
+    w = weights if weights is not None else cut(transition(cut(edges, "edges")), "transition")
     genes = w.select(F.col("src").alias("gene")).distinct()
     p0 = seed_matrix(seeds.join(genes, "gene", "left_semi"))
     if strategy == "auto":
-        w = w if weights is not None else cut(w, "transition")
         strategy = "blocks" if w.count() <= BROADCAST_EDGES else "joins"
     return _by_blocks(w, p0, alpha, tol, max_iter) if strategy == "blocks" else _by_joins(w, p0, alpha, tol, max_iter)
 
 
 def _by_joins(w: DataFrame, p0: DataFrame, alpha: float, tol: float, max_iter: int) -> DataFrame:
-    w, p0 = cut(w, "transition"), cut(p0, "p0")
+    p0 = cut(p0, "p0")
     state, n = p0.select("col", "gene", F.col("p0").alias("p")), 0
     while n < max_iter:
         n += 1
@@ -128,11 +127,12 @@ def _by_joins(w: DataFrame, p0: DataFrame, alpha: float, tol: float, max_iter: i
 
 def _by_blocks(w: DataFrame, p0: DataFrame, alpha: float, tol: float, max_iter: int, block: int = 64) -> DataFrame:
     spark = w.sparkSession
-    arrays = w.toPandas()  # at most BROADCAST_EDGES rows, counted before
-    genes, both = np.unique(np.concatenate((arrays["src"].to_numpy(), arrays["dst"].to_numpy()))), None
-    src, dst = np.searchsorted(genes, arrays["src"]), np.searchsorted(genes, arrays["dst"])
+    arrays = w.select("src", "dst", "w").toArrow()  # at most BROADCAST_EDGES rows, counted before
+    src, dst, val = (arrays[c].to_numpy() for c in ("src", "dst", "w"))
+    genes = np.unique(src)  # every gene has an edge from it
+    src, dst = np.searchsorted(genes, src), np.searchsorted(genes, dst)
     order = np.argsort(dst, kind="stable")
-    src, both, val = src[order], dst[order], arrays["w"].to_numpy()[order]
+    src, both, val = src[order], dst[order], val[order]
     starts = np.flatnonzero(np.r_[True, both[1:] != both[:-1]]) if len(both) else np.zeros(0, int)
     shared = spark.sparkContext.broadcast((genes, src, val, starts, both[starts]))
     kinds = T.StructType([T.StructField("col", p0.schema["col"].dataType), T.StructField("gene", w.schema["src"].dataType), T.StructField("score", T.DoubleType()), T.StructField("n_iter", T.IntegerType())])
@@ -271,10 +271,11 @@ def descriptors(edges: DataFrame) -> DataFrame:
 
 def _adjacency(edges: DataFrame) -> dict:
     """Neighbour arrays of a graph of at most BROADCAST_EDGES edges, for the tasks that walk or rewire it."""
+    edges = cut(edges, "edges")
     if edges.count() > BROADCAST_EDGES:
         raise ValueError(f"this operator holds the graph in a task: at most {BROADCAST_EDGES} edges")
-    p = edges.select("gene_a", "gene_b").toPandas()
-    return {"a": p["gene_a"].to_numpy(), "b": p["gene_b"].to_numpy()}
+    p = edges.select("gene_a", "gene_b").toArrow()
+    return {c[-1]: p[c].to_numpy() for c in ("gene_a", "gene_b")}
 
 
 def rewire(edges: DataFrame, replicates: int, swaps: float = 10.0, seed: int = 42) -> DataFrame:
