@@ -169,7 +169,8 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, nodes: int = NODES) -> DataFr
 
     Pieces stand in the order of (length, doc_id, piece); the plan says which ranks of a length go to which sequences and offsets.
     """
-    laid = in_order(cut, ["length", "doc_id", "piece"], name="pieces")
+    # Written first: range partitioning samples its input, and would have every text encoded twice.
+    laid = in_order(table(cut, "cut", "snappy"), ["length", "doc_id", "piece"], name="pieces")
     counts = {r["length"]: r["n"] for r in laid.groupBy("length").agg(F.count("*").alias("n")).collect()}
     base, at = {}, 0
     for k in sorted(counts):
