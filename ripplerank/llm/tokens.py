@@ -9,7 +9,7 @@ import struct
 from collections.abc import Callable
 
 #: Entries that a worker keeps of words and of pieces of words. The caches hold results only: what a full one lacks is worked out each time.
-WORDS, PIECES = 500_000, 500_000
+WORDS, PIECES = 500_000, 750_000
 
 _PLAIN = re.compile(rb"[!-&(-;=-~\xc3\x80-\xbf]+")  # bytes of ASCII without ' and <, and of two-byte letters that begin with \xc3
 _ASCII = re.compile(rb"[!-&(-;=-~]+")
@@ -46,7 +46,7 @@ class Encoder:
 
     def short(self, text: str) -> bytes:
         """Ids of one piece straight from the model, past the parts of the library that cut texts."""
-        ids = [t.id for t in self.model.tokenize(text.translate(self.signs))]
+        ids = [t.id for t in self.model.tokenize(text if text.isascii() else text.translate(self.signs))]
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def word(self, word: bytes) -> bytes:
@@ -55,7 +55,7 @@ class Encoder:
             text = word.decode().lower()
             core = text.rstrip(".,")
             if core.isalpha():
-                return self.pieces[core] + self.pieces[text[len(core) :]] if len(core) < len(text) else self.pieces[core]
+                return self.pieces[core] if len(core) == len(text) else self.pieces[core] + self.pieces[text[len(core) :]]
             if "×" not in text and "÷" not in text:
                 return b"".join(map(self.pieces.__getitem__, _SPLIT.findall(text)))
         return self.whole(word.decode("utf-8"))
@@ -77,8 +77,9 @@ class _Kept(dict):
 
     def __missing__(self, key):
         found = self.of(key)
-        if len(self) < self.most and len(key) <= 64:
+        if self.most and len(key) <= 64:
             self[key] = found
+            self.most -= 1
         return found
 
 
