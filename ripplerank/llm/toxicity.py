@@ -12,8 +12,8 @@ from .features import WIDTH, Features, sample, scored, sparse, stems
 
 #: Labelled rows of the sample, features that are kept, least documents of a feature, least z of its log-odds, grades above 0, steps of the fit, L2 penalty.
 ROWS, KEEP, LEAST, Z, GRADES, STEPS, PENALTY = 12_000, 4_096, 4, 2.5, 3, 1_500, 1e-4
-#: Documents of at least this probability of a grade above 0 are rejected: on held-out labels 0.99 of the toxic ones, and none of 3,591 others.
-CUT = 0.2
+#: Folds that choose the rejection point inside the sample, the share of other rows that it may reject there, and the probabilities between which it lies.
+FOLDS, FALSE, LOWEST, HIGHEST = 3, 0.001, 0.05, 0.5
 
 
 @dataclass
@@ -73,8 +73,6 @@ def grades(x: list[np.ndarray], y: np.ndarray, kept: np.ndarray, count: int = GR
 def fit(x: list[np.ndarray], y: np.ndarray, count: int = GRADES) -> Model:
     """Maximum likelihood with an L2 penalty by gradient steps with momentum and per-weight scale; cuts are a first one and positive gaps."""
     weights = np.zeros(WIDTH)
-    once = unlike(x)
-    x, y = [x[i] for i in once], y[once]
     if len(set(y.tolist())) < 2:
         p = (y.sum() + 1.0) / (len(y) + 2.0)
         return Model(weights, np.log(1 / p - 1) + np.arange(count) * 1.0)
@@ -106,14 +104,33 @@ def fit(x: list[np.ndarray], y: np.ndarray, count: int = GRADES) -> Model:
     return Model(weights, first + np.r_[0.0, np.cumsum(np.exp(gaps))])
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, rows: int = ROWS, cut: float = CUT) -> DataFrame:
+def choose_cut(x: list[np.ndarray], y: np.ndarray, folds: int = FOLDS) -> float:
+    """The lowest probability of a grade above 0 at which at most FALSE of the other rows of the sample are rejected by models that did not see them; no label outside the sample counts.
+
+    Between LOWEST and HIGHEST; above 1, so that nothing is rejected, where the sample lacks one of the classes.
+    """
+    if len(set(y.tolist())) < 2:
+        return 2.0
+    p, fold = np.zeros(len(y)), np.arange(len(y)) % folds
+    for k in range(folds):
+        own, rest = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+        model = fit([x[i] for i in own], y[own])
+        p[rest] = model.above(np.array([model.weights[x[i]].sum() for i in rest]))[:, 0]
+    clean = np.sort(p[y == 0])[::-1]
+    return float(np.clip(np.nextafter(clean[int(FALSE * len(clean))], 1), LOWEST, HIGHEST))
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, rows: int = ROWS, cut: float | None = None) -> DataFrame:
     """doc_id, severity (expected grade, 0 to GRADES), grade (the most likely one), probability of a grade above 0, toxic (probability >= cut), for every row of docs by its whole text.
 
     Labels say toxic or not; the grades of the toxic ones come from their share of telling features. Fitted on about `rows` labelled documents at most, a bounded sample by hashed
-    doc_id. Null and empty texts have no features and score by the cuts alone; null doc_ids score by their text; repeated rows score alike; without both labels
-    nothing is told apart and the labels' share decides; an empty table gives no rows; other columns are ignored.
+    doc_id, near copies left out; without `cut` the sample chooses it (choose_cut). Null and empty texts have no features and score by the cuts alone; null doc_ids score by their text;
+    repeated rows score alike; without both labels nothing is told apart and nothing is called toxic; an empty table gives no rows; other columns are ignored.
     """
-    model = fit(*sample(docs, labels, "toxic", features, rows))
+    x, y = sample(docs, labels, "toxic", features, rows)
+    once = unlike(x)
+    x, y = [x[i] for i in once], y[once]
+    model, cut = fit(x, y), choose_cut(x, y) if cut is None else cut
 
     def finish(total: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
         s = model.above(total)
@@ -123,7 +140,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, rows: int = ROWS, cut: fl
     return scored(docs, features, model.weights, "severity double, grade int, probability double, toxic boolean", finish)
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, rows: int = ROWS, cut: float = CUT) -> DataFrame:
+def without_toxic(docs: DataFrame, labels: DataFrame, rows: int = ROWS, cut: float | None = None) -> DataFrame:
     """docs without the documents that score_toxicity() calls toxic; columns as they came. Rows of a null doc_id stay."""
     away = score_toxicity(docs, labels, rows, cut).where("toxic").select(F.col("doc_id").alias("_away")).distinct()
     return docs.join(away, F.col("doc_id") == F.col("_away"), "left_anti")

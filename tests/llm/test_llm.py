@@ -235,6 +235,20 @@ def test_op2_cuts_are_ordered():
     assert (np.diff(m.cuts) > 0).all() and ((s[:, 0] >= 0.5) == (y == 1)).mean() > 0.97 and (np.diff(s, axis=1) <= 0).all()
 
 
+def test_op2_sample_chooses_the_rejection_point(spark):
+    rng = np.random.default_rng(1)
+    y = (rng.random(600) < 0.3).astype(int)
+    x = [np.array(sorted({int(v) for v in rng.integers(100, 400, 20)} | ({7} if t else set())), np.int32) for t in y]
+    cut, m = toxicity.choose_cut(x, y), toxicity.fit(x, y)
+    assert toxicity.LOWEST <= cut <= toxicity.HIGHEST
+    p = m.above(np.array([m.weights[v].sum() for v in x]))[:, 0]
+    assert (p[y == 1] >= cut).mean() > 0.97 and (p[y == 0] >= cut).mean() < 0.02
+    assert toxicity.choose_cut(x, np.zeros(600, int)) > 1 and toxicity.choose_cut([], np.zeros(0, int)) > 1
+    docs = spark.createDataFrame([(1, "some words"), (2, None)], "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    assert toxicity.without_toxic(docs, none).count() == 2 and toxicity.score_toxicity(docs, none).where("toxic").count() == 0
+
+
 def test_op6_descent_separates():
     y = np.array([0, 1] * 50)
     x = [np.array([1 + t, 10 + i % 5], np.int32) for i, t in enumerate(y)]
