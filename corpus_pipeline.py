@@ -19,7 +19,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat earlier ones are cut from the texts; every document stays."""
-    return without_repeated_lines(docs)
+    return without_repeated_lines(docs, exact=1)
 
 
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .shared import by_cell, cell_pairs, partitions, split_hot, table, whole_cells
 
-#: Largest edit distance of two lines that count as one, and characters of a line below which it is left alone.
+#: Largest edit distance of two lines that count as one, and characters of a line below which only equal lines do.
 EDITS, SHORTEST = 2, 32
 #: Lines that share a substring and emit their pairs; more are compared in blocks, with their texts at hand.
 FEW, BLOCK = 32, 512
@@ -166,13 +166,15 @@ def _met(rows: DataFrame) -> DataFrame:
     return rows.repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key").mapInPandas(run, "a long, b long, held boolean")
 
 
-def repeated_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
+def repeated_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, exact: int | None = None) -> DataFrame:
     """(doc_id, away array<int>): the numbers (from 0) of the lines that repeat an earlier one, for the documents that have such lines.
 
-    Lines of `shortest` characters or more count, in the order of (doc_id, line number). A line goes if an equal one stands earlier, or if its first equal stands
-    after the first equal of a line within `edits` edits. Rows with a null doc_id and null texts have no part; rows that repeat a doc_id are one document.
+    Lines count in the order of (doc_id, line number). A line of `exact` characters or more (unset: `shortest`) goes if an equal one stands earlier; one of `shortest`
+    or more also if its first equal stands after the first equal of such a line within `edits` edits. Blank lines under `shortest` stay. Rows with a null doc_id and null texts have no
+    part; rows that repeat a doc_id are one document.
     """
-    lines = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), F.posexplode(F.split("text", "\n")).alias("no", "text")).where(F.char_length("text") >= shortest)
+    least = shortest if exact is None else min(exact, shortest)
+    lines = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), F.posexplode(F.split("text", "\n")).alias("no", "text")).where((F.char_length("text") >= shortest) | ((F.char_length("text") >= least) & F.col("text").rlike(r"\S")))
     lines = lines.withColumn("h", F.xxhash64("text")).withColumn("h2", F.xxhash64(F.lit(2), "text"))
     every = table(lines.select("doc", "no", "h", "h2"), "lines", "snappy")
     firsts = table(every.groupBy("h", "h2").agg(F.min(F.struct("doc", "no")).alias("f"), F.count("*").alias("n")), "firsts", "snappy")
@@ -219,12 +221,12 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST
     return marked.where("near or doc <> first_doc or no <> first_no").groupBy(F.col("doc").alias("doc_id")).agg(F.array_sort(F.collect_set("no")).alias("away"))
 
 
-def without_repeated_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, exact: int | None = None) -> DataFrame:
     """docs, columns as they came, with the repeated lines cut from text; n_chars, where there is one, counts what is left.
 
     Every row stays; a text whose lines all repeat earlier ones becomes empty, a null text stays null, and a row without repeated lines is unchanged.
     """
-    away = table(repeated_lines(docs, edits, shortest).withColumnRenamed("doc_id", "_doc").withColumnRenamed("away", "_away"), "away", "snappy")
+    away = table(repeated_lines(docs, edits, shortest, exact).withColumnRenamed("doc_id", "_doc").withColumnRenamed("away", "_away"), "away", "snappy")
     out = docs.join(F.broadcast(away) if away.count() <= 50_000 else away, F.col("doc_id") == F.col("_doc"), "left")
     left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_away", i)), "\n")
     cut = F.when(F.col("_away").isNull(), F.col("text")).otherwise(left)

@@ -55,7 +55,7 @@ def op7_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the numbers of its lines that repeat earlier ones (none: an empty list)."""
     docs = read(spark, sf_dir, "documents")
-    away = repeated_lines(docs).withColumnRenamed("doc_id", "_doc")
+    away = repeated_lines(docs, exact=1).withColumnRenamed("doc_id", "_doc")
     out = docs.select(F.col("doc_id").cast("long")).join(away, F.col("doc_id") == F.col("_doc"), "left")
     return out.select("doc_id", F.coalesce("away", F.array().cast("array<int>")).alias("removed_lines"), F.coalesce(F.size("away"), F.lit(0)).alias("n_removed"))
 

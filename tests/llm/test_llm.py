@@ -332,6 +332,20 @@ def test_op8_against_brute_force(spark, monkeypatch):
     assert lines.repeated_lines(empty(spark)).count() == 0 and lines.without_repeated_lines(awkward(spark)).count() == 12
 
 
+def test_op8_equal_lines_of_every_length(spark, tmp_path):
+    import corpus_pipeline
+    from ripplerank.llm import queries
+
+    notice = "Released under the MIT License."  # 31 characters
+    rows = [(1, "}\n" * 3 + notice), (2, f"{notice}\n\n \n}}\nReleased under the MIT License!"), (3, "\n\n \nnew"), (4, "All rights reserved."), (5, "All rights reserved."), (6, " " * 40 + "\n" + " " * 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["removed_lines"] for r in queries.op8_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: [1, 2], 2: [0, 3], 3: [], 4: [], 5: [0], 6: [1]}
+    left = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs, str(tmp_path)).collect()}
+    assert left == {1: "}\n" + notice, 2: "\n \nReleased under the MIT License!", 3: "\n\n \nnew", 4: rows[3][1], 5: "", 6: " " * 40}
+
+
 def test_op9_round_trip(spark):
     df = awkward(spark)
     where = store.write_store(df)
