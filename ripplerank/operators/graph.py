@@ -216,10 +216,10 @@ def power_iteration(edges: DataFrame, kind: str, rounds: int = 50, damping: floa
     return state.select("gene", F.col("p").alias("score"))
 
 
-def core_numbers(edges: DataFrame, most: int = 1000) -> DataFrame:
-    """(gene, core): peels genes of fewer than k live neighbours, k by k."""
+def core_numbers(edges: DataFrame) -> DataFrame:
+    """(gene, core): peels genes of at most k live neighbours, k by k, until none is left."""
     live, out, k = cut(directed(edges).select("src", "dst"), "core"), None, 0
-    while k < most and not live.isEmpty():
+    while not live.isEmpty():
         k = max(k + 1, live.groupBy("src").count().agg(F.min("count")).first()[0])
         while True:
             weak = cut(live.groupBy("src").count().where(F.col("count") <= k).select(F.col("src").alias("gene")), "weak")

@@ -60,6 +60,12 @@ def test_star_and_core(spark):
     assert {r["gene"]: r["betweenness"] for r in graph.betweenness(net(spark, [("a", "b"), ("b", "c")]), 3).collect()} == {"a": 0.0, "b": 1.0, "c": 0.0}
 
 
+def test_core_numbers_over_1000(spark):
+    clique = lambda lo, n: spark.range(lo, lo + n).select(F.col("id").alias("gene_a")).crossJoin(spark.range(lo, lo + n).select(F.col("id").alias("gene_b"))).where("gene_a < gene_b").withColumn("weight", F.lit(1.0))
+    got = graph.core_numbers(clique(0, 1001).unionByName(clique(5000, 1002))).groupBy("core").count().collect()
+    assert {r["core"]: r["count"] for r in got} == {1000: 1001, 1001: 1002}
+
+
 def test_rewire_keeps_degrees(spark):
     e = net(spark, [(f"a{i}", f"a{(i + k) % 30}") for i in range(30) for k in (1, 3)]).distinct()
     before = {r["gene"]: r["degree"] for r in graph.degree(e).collect()}
