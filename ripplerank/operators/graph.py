@@ -179,17 +179,23 @@ def bfs(edges: DataFrame, sources: DataFrame, max_depth: int = 64) -> DataFrame:
 
 def proximity(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """(source, gene, distance, score): score is minus the distance; genes out of reach stand one beyond the farthest of their source."""
-    d = bfs(edges, sources)
+    d = bfs(edges, sources, 1 << 30)
     far = d.groupBy("source").agg((F.max("distance") + 1).alias("far"))
     grid = far.crossJoin(degree(edges).select("gene"))
     return grid.join(d, ["source", "gene"], "left").select("source", "gene", F.coalesce("distance", "far").alias("distance"), (-F.coalesce("distance", "far")).cast("double").alias("score"))
 
 
+def landmarks(edges: DataFrame, most: int = 256, seed: str = "landmarks") -> DataFrame:
+    """(gene): genes of the largest component in the order of their hashes, all of them where there are no more than `most`."""
+    return cut(degree(largest_component(edges)).select("gene").orderBy(uniform(F.col("gene"), seed), "gene").limit(most), "landmarks")
+
+
 def harmonic(edges: DataFrame, landmarks: DataFrame) -> DataFrame:
-    """(gene, closeness): mean of 1 / max(distance, 1) from the landmarks (gene); unreachable ones count 0."""
+    """(gene, closeness): mean of 1 / max(distance, 1) from the landmarks (gene); unreachable ones count 0, and a gene out of reach of all has 0."""
     n = landmarks.agg(F.count("*").alias("k"))
-    d = bfs(edges, landmarks.select(F.col("gene").alias("source"), "gene"))
-    return d.groupBy("gene").agg(F.sum(1.0 / F.greatest("distance", F.lit(1))).alias("s")).crossJoin(n).select("gene", (F.col("s") / F.col("k")).alias("closeness"))
+    d = bfs(edges, landmarks.select(F.col("gene").alias("source"), "gene"), 1 << 30)  # ends with the last frontier
+    s = d.groupBy("gene").agg(F.sum(1.0 / F.greatest("distance", F.lit(1))).alias("s"))
+    return degree(edges).select("gene").join(s, "gene", "left").crossJoin(n).select("gene", F.coalesce(F.col("s") / F.col("k"), F.lit(0.0)).alias("closeness"))
 
 
 def power_iteration(edges: DataFrame, kind: str, rounds: int = 50, damping: float = 0.85, tol: float = 0.0) -> DataFrame:

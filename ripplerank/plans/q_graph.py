@@ -59,6 +59,11 @@ def _seeds(spark, d):
     return t(spark, d, "part").where("p_type like '%ECONOMY%' and p_size <= 10").select(F.lit("s").alias("col"), F.col("p_partkey").alias("gene"))
 
 
+def _label_sources(spark, d):
+    """The label genes of the network, as the starts of one source."""
+    return _seeds(spark, d).join(graph.degree(base.edges(spark, d, 2)), "gene", "left_semi").select(F.col("col").alias("source"), "gene")
+
+
 @query(_rwr_sql(0.5))
 def rwr_scores(spark, d):
     return graph.rwr(base.edges(spark, d), _seeds(spark, d), 0.5, 0.0, 15).select("gene", R("score", 10))
@@ -139,7 +144,23 @@ def proximity_learner(spark, d):
 @query(with_(S_E2, S_DIR, S_DEG) + ", l AS (SELECT gene FROM deg WHERE gene % 151 = 1), b AS (SELECT gene AS source, gene, 0 AS distance FROM l UNION SELECT source, dst, distance + 1 FROM b JOIN dir ON b.gene = dir.src WHERE distance < 12), m AS (SELECT source, gene, min(distance) AS distance FROM b GROUP BY 1, 2) SELECT gene, round(sum(1.0::DOUBLE / greatest(distance, 1)) / (SELECT count(*) FROM l), 8) AS closeness FROM m GROUP BY gene")
 def harmonic_closeness(spark, d):
     e = base.edges(spark, d, 2)
-    return graph.harmonic(e, graph.degree(e).where("gene % 151 = 1").select("gene")).select("gene", R("closeness", 8))
+    return graph.harmonic(e, graph.degree(e).where("gene % 151 = 1").select("gene")).where("closeness > 0").select("gene", R("closeness", 8))
+
+
+@query()
+def closeness_landmarks(spark, d):
+    e = cut(base.edges(spark, d, 2))
+    return graph.harmonic(e, graph.landmarks(e)).select("gene", R("closeness", 8))
+
+
+@query()
+def bfs_from_labels(spark, d):
+    return graph.bfs(base.edges(spark, d, 2), _label_sources(spark, d), 1 << 30)
+
+
+@query()
+def proximity_from_labels(spark, d):
+    return graph.proximity(cut(base.edges(spark, d, 2)), _label_sources(spark, d)).select("gene", "distance")
 
 
 @query(with_(S_E2, S_DIR, S_DEG) + ", n AS (SELECT count(*)::DOUBLE AS n FROM deg), r AS (SELECT 0 AS i, gene, 1.0::DOUBLE / n AS p FROM deg, n UNION ALL SELECT i, gene, p FROM (SELECT r.i + 1 AS i, dst AS gene, 0.15 / any_value(n) + 0.85 * sum(r.p / degree) AS p FROM r JOIN deg ON r.gene = deg.gene JOIN dir ON r.gene = src, n WHERE r.i < 10 GROUP BY r.i, dst)) SELECT gene, round(p, 10) AS score FROM r WHERE i = 10")
@@ -232,7 +253,7 @@ def degree_matched_null(spark, d):
 
 @query()
 def baseline_family(spark, d):
-    e = base.edges(spark, d, 2)
-    s = arms.baselines(e, graph.degree(e).where("gene % 151 = 1").select("gene"), 10)
+    e = cut(base.edges(spark, d, 2))
+    s = arms.baselines(e, graph.landmarks(e), 10)
     y = s.join(base.positives(spark, d).select("gene", F.lit(1).alias("_y")), "gene", "left").withColumn("y", F.coalesce("_y", F.lit(0)))
     return metrics.auroc(y, ["method"])

@@ -66,6 +66,18 @@ def test_core_numbers_over_1000(spark):
     assert {r["core"]: r["count"] for r in got} == {1000: 1001, 1001: 1002}
 
 
+def test_closeness_of_every_gene(spark):
+    from ripplerank.operators import arms
+
+    e = net(spark, [("a", "b"), ("b", "c"), ("c", "d"), ("x", "y")])
+    marks = graph.landmarks(e)
+    assert {r["gene"] for r in marks.collect()} == set("abcd") and graph.landmarks(e, 3).count() == 3
+    got = {r["gene"]: round(r["closeness"], 12) for r in graph.harmonic(e, marks).collect()}
+    ends, inner = round((1 + 1 + 1 / 2 + 1 / 3) / 4, 12), round((1 + 1 + 1 + 1 / 2) / 4, 12)
+    assert got == {"a": ends, "b": inner, "c": inner, "d": ends, "x": 0.0, "y": 0.0}
+    assert {r["count"] for r in arms.baselines(e, marks).groupBy("method").count().collect()} == {6}
+
+
 def test_rewire_keeps_degrees(spark):
     e = net(spark, [(f"a{i}", f"a{(i + k) % 30}") for i in range(30) for k in (1, 3)]).distinct()
     before = {r["gene"]: r["degree"] for r in graph.degree(e).collect()}
