@@ -69,7 +69,7 @@ def seed_null(edges: DataFrame, seeds: DataFrame, targets: DataFrame, resamples:
     return metrics.auroc(scored, ["resample"])
 
 
-def baselines(edges: DataFrame, landmarks: DataFrame, rounds: int = 30) -> DataFrame:
+def baselines(edges: DataFrame, landmarks: DataFrame) -> DataFrame:
     """method, gene, score: degree, closeness, eigenvector and pagerank side by side for one metric pass."""
     tag = lambda name, d, c: d.select(F.lit(name).alias("method"), "gene", F.round(F.col(c).cast("double"), 10).alias("score"))
-    return tag("degree", graph.degree(edges), "degree").unionByName(tag("closeness", graph.harmonic(edges, landmarks), "closeness")).unionByName(tag("eigenvector", graph.power_iteration(edges, "eigenvector", rounds), "score")).unionByName(tag("pagerank", graph.power_iteration(edges, "pagerank", rounds), "score"))
+    return tag("degree", graph.degree(edges), "degree").unionByName(tag("closeness", graph.harmonic(edges, landmarks), "closeness")).unionByName(tag("eigenvector", graph.eigenvector(edges), "score")).unionByName(tag("pagerank", graph.pagerank(edges), "score"))

@@ -198,8 +198,17 @@ def harmonic(edges: DataFrame, landmarks: DataFrame) -> DataFrame:
     return degree(edges).select("gene").join(s, "gene", "left").crossJoin(n).select("gene", F.coalesce(F.col("s") / F.col("k"), F.lit(0.0)).alias("closeness"))
 
 
-def power_iteration(edges: DataFrame, kind: str, rounds: int = 50, damping: float = 0.85, tol: float = 0.0) -> DataFrame:
-    """(gene, score): `eigenvector` by repeated neighbour sums (shifted by the own score, so two-sided graphs settle), scaled to length 1; `pagerank` with uniform teleport and mass moving along the edges."""
+def power_iteration(edges: DataFrame, kind: str, rounds: int = 50, damping: float = 0.85, tol: float = 0.0, strategy: str = "auto") -> DataFrame:
+    """(gene, score): `eigenvector` by repeated neighbour sums (shifted by the own score, so two-sided graphs settle), scaled to length 1; `pagerank` with uniform teleport and mass moving along the edges.
+
+    Without tol exactly `rounds` rounds. With tol the rounds go on until the scores move less than tol in sum; `rounds` is then an error to reach. `arrays`: one task
+    holds the graph; `joins`: any size; `auto` takes arrays for a tol where the edges were counted to fit.
+    """
+    edges = cut(edges, "edges")
+    if strategy == "auto":
+        strategy = "arrays" if tol and edges.count() <= BROADCAST_EDGES else "joins"
+    if strategy == "arrays":
+        return _power_by_arrays(edges, kind, rounds, damping, tol)
     d = cut(degree(edges), "degree")
     e = cut(directed(edges).select("src", "dst"), "edges")
     n = d.count()
@@ -219,9 +228,53 @@ def power_iteration(edges: DataFrame, kind: str, rounds: int = 50, damping: floa
         state = after
         if tol and moved < tol:
             break
+    else:
+        if tol and n:
+            raise RuntimeError(f"{kind}: no convergence to {tol} in {rounds} rounds")
     return state.select("gene", F.col("p").alias("score"))
 
 
+def _power_by_arrays(edges: DataFrame, kind: str, rounds: int, damping: float, tol: float) -> DataFrame:
+    shared = edges.sparkSession.sparkContext.broadcast(_adjacency(edges))
+    kinds = T.StructType([T.StructField("gene", edges.schema["gene_a"].dataType), T.StructField("score", T.DoubleType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _ in batches:
+            genes, code = np.unique(np.concatenate((shared.value["a"], shared.value["b"])), return_inverse=True)
+            n, m = len(genes), len(code) // 2
+            if not n:
+                continue
+            src, dst = code, np.concatenate((code[m:], code[:m]))
+            degree = np.bincount(src, minlength=n)
+            p = np.full(n, 1.0 / n)
+            for _ in range(rounds):
+                if kind == "pagerank":
+                    after = (1 - damping) / n + damping * np.bincount(dst, (p / degree)[src], n)
+                else:
+                    after = np.bincount(dst, p[src], n) + p
+                    after /= np.sqrt(after @ after)
+                moved = np.abs(after - p).sum()
+                p = after
+                if tol and moved < tol:
+                    break
+            else:
+                if tol:
+                    raise RuntimeError(f"{kind}: no convergence to {tol} in {rounds} rounds")
+            yield pd.DataFrame({"gene": genes, "score": p})
+
+    return edges.sparkSession.range(1, numPartitions=1).mapInPandas(run, kinds)
+
+
+def eigenvector(edges: DataFrame) -> DataFrame:
+    """(gene, score): power_iteration to convergence."""
+    return power_iteration(edges, "eigenvector", 100_000, tol=1e-10)
+
+
+def pagerank(edges: DataFrame) -> DataFrame:
+    """(gene, score): power_iteration to convergence."""
+    return power_iteration(edges, "pagerank", 1_000, tol=1e-12)
+
+
 def core_numbers(edges: DataFrame) -> DataFrame:
     """(gene, core): peels genes of at most k live neighbours, k by k, until none is left."""
     live, out, k = cut(directed(edges).select("src", "dst"), "core"), None, 0

@@ -173,6 +173,16 @@ def eigenvector(spark, d):
     return graph.power_iteration(base.edges(spark, d, 2), "eigenvector", 10).select("gene", R("score", 8))
 
 
+@query()
+def pagerank_converged(spark, d):
+    return graph.pagerank(base.edges(spark, d, 2)).select("gene", R("score", 10))
+
+
+@query()
+def eigenvector_converged(spark, d):
+    return graph.eigenvector(base.edges(spark, d, 2)).select("gene", R("score", 8))
+
+
 @query(with_(S_E1, S_DIR, S_DEG) + ", k AS (SELECT e.gene_a, e.gene_b FROM e JOIN deg x ON gene_a = x.gene JOIN deg y ON gene_b = y.gene WHERE x.degree <= 120 AND y.degree <= 120) SELECT g AS gene, count(*)::BIGINT AS degree FROM (SELECT gene_a AS g FROM k UNION ALL SELECT gene_b FROM k) GROUP BY 1")
 def hub_truncated_degree(spark, d):
     return graph.degree(graph.truncate_hubs(base.edges(spark, d), 120))
@@ -254,6 +264,6 @@ def degree_matched_null(spark, d):
 @query()
 def baseline_family(spark, d):
     e = cut(base.edges(spark, d, 2))
-    s = arms.baselines(e, graph.landmarks(e), 10)
+    s = arms.baselines(e, graph.landmarks(e))
     y = s.join(base.positives(spark, d).select("gene", F.lit(1).alias("_y")), "gene", "left").withColumn("y", F.coalesce("_y", F.lit(0)))
     return metrics.auroc(y, ["method"])

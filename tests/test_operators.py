@@ -78,6 +78,25 @@ def test_closeness_of_every_gene(spark):
     assert {r["count"] for r in arms.baselines(e, marks).groupBy("method").count().collect()} == {6}
 
 
+def test_power_iterations_converge(spark):
+    from ripplerank.operators import arms
+
+    pairs = [(f"p{i:02d}", f"p{i + 1:02d}") for i in range(14)] + [("x", "y")]  # a path: 10 rounds leave it far from its vector
+    e, genes = net(spark, pairs), sorted({g for p in pairs for g in p})
+    a = np.zeros((len(genes), len(genes)))
+    for x, y in pairs:
+        a[genes.index(x), genes.index(y)] = a[genes.index(y), genes.index(x)] = 1
+    vector = np.abs(np.linalg.eigh(a)[1][:, -1])
+    rank = np.linalg.solve(np.eye(len(genes)) - 0.85 * (a / a.sum(1, keepdims=True)).T, np.full(len(genes), 0.15 / len(genes)))
+    scores = arms.baselines(e, graph.landmarks(e)).collect()
+    for name, want in (("eigenvector", vector), ("pagerank", rank)):
+        got = {r["gene"]: r["score"] for r in scores if r["method"] == name}
+        assert np.allclose([got[g] for g in genes], want, atol=1e-7)
+    for strategy in ("arrays", "joins"):
+        with pytest.raises(Exception, match="no convergence"):
+            graph.power_iteration(e, "eigenvector", 2, tol=1e-10, strategy=strategy).collect()
+
+
 def test_rewire_keeps_degrees(spark):
     e = net(spark, [(f"a{i}", f"a{(i + k) % 30}") for i in range(30) for k in (1, 3)]).distinct()
     before = {r["gene"]: r["degree"] for r in graph.degree(e).collect()}
