@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where it is unset, a folder of our own."""
+    """spark.checkpoint.dir; where it is unset a folder of our own, on a local master only: elsewhere the executors would not see it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
         if not own.isDefined():
+            master = spark.sparkContext.master
+            if not master.startswith("local") or master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ripplerank-"))
             own = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = own.get()
