@@ -7,34 +7,65 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import cut
 from . import graph, metrics
-from .labels import fold_seeds
 
 
-def fold_scores(edges: DataFrame, splits: DataFrame, alphas: tuple[float, ...] = (0.5,), tol: float = 1e-8, max_iter: int = 200, digits: int = 10, k: int = 5, strategy: str = "auto") -> DataFrame:
-    """repeat, fold, method, alpha, gene, y, score: the test rows of every fold, scored by propagation from the other folds' positives and by degree.
+def check_genes(splits: DataFrame, degree: DataFrame) -> None:
+    """An error if a gene of the splits is not in the network."""
+    missing = splits.select("gene").distinct().join(degree.select("gene"), "gene", "left_anti")
+    n = missing.count()
+    if n:
+        some = ", ".join(str(r["gene"]) for r in missing.orderBy("gene").limit(3).collect())
+        raise ValueError(f"{n} genes of the splits are not in the network: {some}")
 
-    All folds and alphas are columns of one propagation each; scores are rounded before they are ranked, so summation order does not matter.
+
+def fold_scores(edges: DataFrame, splits: DataFrame, alphas: tuple[float, ...] = (0.5,), tol: float = 1e-8, max_iter: int = 200, digits: int = 10, k: int = 5, strategy: str = "auto", keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, repeat, fold, method, alpha, n_iter, converged, gene, y, score: the test rows of every fold, scored by propagation from the other folds' positives and by degree.
+
+    `keys` are columns of the splits (label_set, resample, ...) that tell arms over one network apart: all arms, folds and alphas of a network are columns of one propagation an alpha, and only test rows come back.
+    Genes outside the network are an error. Scores are rounded before they are ranked, so summation order does not matter.
     """
     edges = cut(edges, "edges")
     degree, weights = cut(graph.degree(edges), "degree"), cut(graph.transition(edges), "transition")
-    inside = cut(splits.join(degree.select("gene"), "gene", "left_semi"), "splits")
-    column = F.concat_ws("_", F.col("repeat").cast("string"), F.col("fold").cast("string"))
-    seeds = fold_seeds(inside, k).select(column.alias("col"), "gene")
-    test = inside.withColumn("col", column)
-    out = test.join(degree, "gene").select("repeat", "fold", F.lit("degree").alias("method"), F.lit(None).cast("double").alias("alpha"), "gene", "y", F.col("degree").cast("double").alias("score"))
+    splits = cut(splits, "splits")
+    check_genes(splits, degree)
+    by = [*keys, "repeat", "fold"]
+    column = F.concat_ws("\x1f", *[F.col(c).cast("string") for c in by])
+    others = F.array_except(F.sequence(F.lit(0), F.lit(k - 1)), F.array("fold"))
+    seeds = splits.where("y = 1").select(*keys, "repeat", F.explode(others).alias("fold"), "gene").select(column.alias("col"), "gene")
+    test = cut(splits.withColumn("col", column), "test")
+    seeds = seeds.join(test.select("col").distinct(), "col", "left_semi")
+    none = lambda t: F.lit(None).cast(t)
+    out = test.join(degree, "gene").select(*by, F.lit("degree").alias("method"), none("double").alias("alpha"), none("int").alias("n_iter"), none("boolean").alias("converged"), "gene", "y", F.col("degree").cast("double").alias("score"))
     for a in alphas:
-        p = graph.rwr(edges, seeds, a, tol, max_iter, strategy, weights)
-        out = out.unionByName(test.join(p, ["col", "gene"]).select("repeat", "fold", F.lit("rwr").alias("method"), F.lit(a).alias("alpha"), "gene", "y", F.round("score", digits).alias("score")))
+        p = graph.rwr(edges, seeds, a, tol, max_iter, strategy, weights, test.select("col", "gene"))
+        out = out.unionByName(test.join(p, ["col", "gene"]).select(*by, F.lit("rwr").alias("method"), F.lit(a).alias("alpha"), "n_iter", "converged", "gene", "y", F.round("score", digits).alias("score")))
     return out
 
 
-def run_arm(edges: DataFrame, splits: DataFrame, alphas: tuple[float, ...] = (0.5,), ks: tuple[int, ...] = (50, 100, 500), **how) -> DataFrame:
-    """The result table of one arm: alpha, repeat, fold, method and the metrics; degree rows have a null alpha."""
-    scored = fold_scores(edges, splits, alphas, **how).withColumn("_a", F.coalesce("alpha", F.lit(-1.0)))
-    m = metrics.all_metrics(cut(scored, "scores"), ["_a", "repeat", "fold", "method"], ks)
+def run_arm(edges: DataFrame, splits: DataFrame, alphas: tuple[float, ...] = (0.5,), ks: tuple[int, ...] = (50, 100, 500), keys: tuple[str, ...] = (), scores: DataFrame | None = None, **how) -> DataFrame:
+    """The result table of the arms of one network: keys, alpha, repeat, fold, method, n_iter and the metrics; degree rows have a null alpha. `scores`: fold_scores() that are there already."""
+    scored = (scores if scores is not None else fold_scores(edges, splits, alphas, keys=keys, **how)).withColumn("_a", F.coalesce("alpha", F.lit(-1.0)))
+    scored, by = cut(scored, "scores"), [*keys, "_a", "repeat", "fold", "method"]
+    rounds = scored.groupBy(*by).agg(F.max("n_iter").alias("n_iter"))
+    m = metrics.all_metrics(scored, by, ks).join(rounds, by)
     return m.withColumn("alpha", F.when(F.col("_a") >= 0, F.col("_a"))).drop("_a")
 
 
+def result_table(results: DataFrame, network: str, label_set: str, universe: str) -> DataFrame:
+    """run_arm()'s rows under the columns of the result contract, in their order."""
+    from ..sources.tables import RESULT
+
+    named = results.withColumns({"network": F.lit(network), "label_set": F.lit(label_set), "universe": F.lit(universe)})
+    return named.select(*[(F.col(f.name) if f.name in named.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in RESULT.fields])
+
+
+def dump_check(scores: DataFrame, results: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, method, alpha, repeat, fold, gap: how far the AUROC recomputed from dumped scores lies from the result table's; the largest gap should stay under 1e-12."""
+    by = [*keys, "method", "_a", "repeat", "fold"]
+    again = metrics.auroc(scores.withColumn("_a", F.coalesce("alpha", F.lit(-1.0))), by).withColumnRenamed("auroc", "again")
+    return results.withColumn("_a", F.coalesce("alpha", F.lit(-1.0))).join(again, by).select(*keys, "method", "alpha", "repeat", "fold", F.abs(F.col("auroc") - F.col("again")).alias("gap"))
+
+
 def arm_margins(results: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
     """keys, alpha, repeat, fold and margins over degree: every alpha of a fold meets the fold's one degree row."""
     degree = results.where("method = 'degree'").select(*keys, "repeat", "fold", *[F.col(m).alias(f"degree_{m}") for m in names])
@@ -44,12 +75,11 @@ def arm_margins(results: DataFrame, keys: list[str], names: list[str]) -> DataFr
 
 
 def factorial(networks: dict[str, DataFrame], splits: DataFrame, alphas: tuple[float, ...], **how) -> DataFrame:
-    """network, label_set and the results of every arm: splits carry label_set; each network's columns are all its label sets' folds."""
+    """network, label_set and the results of every arm: splits carry label_set, a key of the columns, so a network's arms are one propagation an alpha. Networks, a handful, are named by the caller."""
     out = None
     for name, edges in networks.items():
-        for label in [r[0] for r in splits.select("label_set").distinct().orderBy("label_set").collect()]:  # label sets, a handful
-            r = run_arm(edges, splits.where(F.col("label_set") == label).drop("label_set"), alphas, **how).withColumn("network", F.lit(name)).withColumn("label_set", F.lit(label))
-            out = r if out is None else out.unionByName(r)
+        r = run_arm(edges, splits, alphas, keys=("label_set",), **how).withColumn("network", F.lit(name))
+        out = r if out is None else out.unionByName(r)
     return out
 
 

@@ -5,11 +5,12 @@ A network is (gene_a, gene_b, weight), one row an edge, gene_a < gene_b. Loops r
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -83,49 +84,84 @@ def transition(edges: DataFrame, beta: float | None = None) -> DataFrame:
     return e.join(total, "src").select("src", "dst", (F.col("raw") / F.col("total")).alias("w"))
 
 
+def transition_problems(w: DataFrame) -> DataFrame:
+    """(rule, n) of what keeps (src, dst, w) from being a walk on a simple undirected network: self-loops, ends without the way back, genes that no edge leaves; empty if nothing does."""
+    loops = w.where("src = dst").agg(F.lit("self_loop").alias("rule"), F.count("*").alias("n"))
+    back = w.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    one_way = w.join(back, ["src", "dst"], "left_anti").agg(F.lit("asymmetric").alias("rule"), F.count("*").alias("n"))
+    alone = w.select(F.col("dst").alias("src")).distinct().join(w, "src", "left_anti").agg(F.lit("isolated").alias("rule"), F.count("*").alias("n"))
+    return loops.unionByName(one_way).unionByName(alone).where("n > 0")
+
+
+def check_transition(w: DataFrame) -> DataFrame:
+    """w, or an error that names the broken rules: at most three rows reach the driver."""
+    broken = transition_problems(w).collect()
+    if broken:
+        raise ValueError("no walk on this network: " + ", ".join(f"{r['rule']} ({r['n']})" for r in broken))
+    return w
+
+
+def transition_safe(genes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(src, dst, w) of the genes asked for: those without an edge have one row, with a null dst and weight 0, so that their walks end."""
+    return genes.select(F.col("gene").alias("src")).distinct().join(transition(edges), "src", "left").select("src", "dst", F.coalesce("w", F.lit(0.0)).alias("w"))
+
+
 def seed_matrix(seeds: DataFrame) -> DataFrame:
     """(col, gene, p0) of (col, gene): uniform over each column's distinct seeds."""
     one = seeds.select("col", "gene").distinct()
     return one.join(one.groupBy("col").agg((1.0 / F.count("*")).alias("p0")), "col")
 
 
-def rwr(edges: DataFrame, seeds: DataFrame, alpha: float = 0.5, tol: float = 1e-8, max_iter: int = 200, strategy: str = "auto", weights: DataFrame | None = None) -> DataFrame:
-    """(col, gene, score, n_iter): random walk with restart, p = alpha * p0 + (1 - alpha) * W'p, from each seed column; stops when the worst column moves less than tol.
+def rwr(edges: DataFrame, seeds: DataFrame, alpha: float = 0.5, tol: float = 1e-8, max_iter: int = 200, strategy: str = "auto", weights: DataFrame | None = None, only: DataFrame | None = None) -> DataFrame:
+    """(col, gene, score, n_iter, converged): random walk with restart, p = alpha * p0 + (1 - alpha) * W'p, from each seed column.
 
-    `joins`: one join and one sum a round over (col, gene, p). `blocks`: edge arrays, up to BROADCAST_EDGES of them, are broadcast and blocks of columns
-    propagated by numpy; each block stops by itself. `auto` takes blocks where the edges were counted to fit, joins otherwise. Seeds outside the network are left out.
+    A column stops by itself when it moves less than tol in sum: n_iter says after how many rounds, converged whether it did within max_iter (null for tol 0, which asks for exactly
+    max_iter rounds). A column without a seed in the network is an error, as is an empty seed set. `only` (col, gene) names the scores that are wanted; without it every column has every gene.
+
+    `joins`: one join and one sum a round over (col, gene, p), any size. `blocks`: edge arrays, up to BROADCAST_EDGES of them, are broadcast and blocks of columns of a fixed
+    number propagated by numpy. Both run each column the same rounds and differ by rounding only; `auto` takes blocks where the edges were counted to fit.
     """
     if not 0 < alpha <= 1:
         raise ValueError("alpha must be over 0 and at most 1")
     w = weights if weights is not None else cut(transition(cut(edges, "edges")), "transition")
     genes = w.select(F.col("src").alias("gene")).distinct()
-    p0 = seed_matrix(seeds.join(genes, "gene", "left_semi"))
+    p0 = cut(seed_matrix(seeds.join(genes, "gene", "left_semi")), "p0")
+    lost = seeds.select("col").distinct().join(p0.select("col").distinct(), "col", "left_anti")
+    if p0.isEmpty() or not lost.isEmpty():
+        raise ValueError("a seed set has no gene in the network")
     if strategy == "auto":
         strategy = "blocks" if w.count() <= BROADCAST_EDGES else "joins"
-    return _by_blocks(w, p0, alpha, tol, max_iter) if strategy == "blocks" else _by_joins(w, p0, alpha, tol, max_iter)
+    return (_by_blocks if strategy == "blocks" else _by_joins)(w, p0, alpha, tol, max_iter, only)
 
 
-def _by_joins(w: DataFrame, p0: DataFrame, alpha: float, tol: float, max_iter: int) -> DataFrame:
-    p0 = cut(p0, "p0")
-    state, n = p0.select("col", "gene", F.col("p0").alias("p")), 0
+def _by_joins(w: DataFrame, p0: DataFrame, alpha: float, tol: float, max_iter: int, only: DataFrame | None) -> DataFrame:
+    state, n, out = p0.select("col", "gene", F.col("p0").alias("p")), 0, None
+    ended = lambda d, n, ok: d.select("col", "gene", F.col("p").alias("score"), F.lit(n).alias("n_iter"), F.lit(ok).cast("boolean").alias("converged"))
     while n < max_iter:
         n += 1
         msg = state.join(w, F.col("gene") == F.col("src")).groupBy("col", "dst").agg(F.sum(F.col("p") * F.col("w")).alias("m"))
-        after = msg.withColumnRenamed("dst", "gene").join(p0, ["col", "gene"], "full").select("col", "gene", (alpha * F.coalesce("p0", F.lit(0.0)) + (1 - alpha) * F.coalesce("m", F.lit(0.0))).alias("p"))
+        start = p0.join(state.select("col").distinct(), "col", "left_semi")
+        after = msg.withColumnRenamed("dst", "gene").join(start, ["col", "gene"], "full").select("col", "gene", (alpha * F.coalesce("p0", F.lit(0.0)) + (1 - alpha) * F.coalesce("m", F.lit(0.0))).alias("p"))
         after = cut(after, "state")
-        moved = 0.0
         if tol > 0:
             gap = after.withColumnRenamed("p", "q").join(state, ["col", "gene"], "full").groupBy("col").agg(F.sum(F.abs(F.coalesce("p", F.lit(0.0)) - F.coalesce("q", F.lit(0.0)))).alias("d"))
-            moved = gap.agg(F.max("d")).first()[0] or 0.0
+            still = cut(gap.where(F.col("d") >= tol).select("col"), "still")
+            if still.count() < gap.count():
+                done = ended(after.join(still, "col", "left_anti"), n, True)
+                out = cut(done if out is None else out.unionByName(done), "done")
+                after = cut(after.join(still, "col", "left_semi"), "state")
         state = after
-        if tol > 0 and moved < tol:
+        if tol > 0 and state.isEmpty():
             break
-    # every gene has a score: those out of reach 0
-    grid = p0.select("col").distinct().crossJoin(w.select(F.col("src").alias("gene")).distinct())
-    return grid.join(state, ["col", "gene"], "left").select("col", "gene", F.coalesce("p", F.lit(0.0)).alias("score"), F.lit(n).alias("n_iter"))
+    rest = ended(state, n, False if tol > 0 else None)
+    out = rest if out is None else out.unionByName(rest)
+    # every gene that is asked for has a score: those out of reach 0
+    grid = only.select("col", "gene") if only is not None else p0.select("col").distinct().crossJoin(w.select(F.col("src").alias("gene")).distinct())
+    ends = out.select("col", "n_iter", "converged").distinct()
+    return grid.join(ends, "col").join(out.select("col", "gene", "score"), ["col", "gene"], "left").select("col", "gene", F.coalesce("score", F.lit(0.0)).alias("score"), "n_iter", "converged")
 
 
-def _by_blocks(w: DataFrame, p0: DataFrame, alpha: float, tol: float, max_iter: int, block: int = 64) -> DataFrame:
+def _by_blocks(w: DataFrame, p0: DataFrame, alpha: float, tol: float, max_iter: int, only: DataFrame | None, block: int = 64) -> DataFrame:
     spark = w.sparkSession
     arrays = w.select("src", "dst", "w").toArrow()  # at most BROADCAST_EDGES rows, counted before
     src, dst, val = (arrays[c].to_numpy() for c in ("src", "dst", "w"))
@@ -135,41 +171,55 @@ def _by_blocks(w: DataFrame, p0: DataFrame, alpha: float, tol: float, max_iter:
     src, both, val = src[order], dst[order], val[order]
     starts = np.flatnonzero(np.r_[True, both[1:] != both[:-1]]) if len(both) else np.zeros(0, int)
     shared = spark.sparkContext.broadcast((genes, src, val, starts, both[starts]))
-    kinds = T.StructType([T.StructField("col", p0.schema["col"].dataType), T.StructField("gene", w.schema["src"].dataType), T.StructField("score", T.DoubleType()), T.StructField("n_iter", T.IntegerType())])
+    kinds = T.StructType([T.StructField("col", p0.schema["col"].dataType), T.StructField("gene", w.schema["src"].dataType), T.StructField("score", T.DoubleType()), T.StructField("n_iter", T.IntegerType()), T.StructField("converged", T.BooleanType())])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf: pd.DataFrame, wanted: pd.DataFrame | None = None) -> pd.DataFrame:
         genes, src, val, starts, at = shared.value
         cols, j = np.unique(pdf["col"].to_numpy(), return_inverse=True)
         p = np.zeros((len(genes), len(cols)))
         p[np.searchsorted(genes, pdf["gene"].to_numpy()), j] = pdf["p0"].to_numpy()
-        start, n = alpha * p, 0
+        start, live, n_iter = alpha * p, np.arange(len(cols)), np.zeros(len(cols), np.int32)
+        ok = np.zeros(len(cols), bool)
         step = max(1, 4_000_000 // max(len(cols), 1))  # edges a slice, so that messages stay small
-        while n < max_iter:
-            n += 1
-            new = start.copy()
-            if len(cols) == 1:
-                new[at, 0] += (1 - alpha) * np.add.reduceat(val * p[src, 0], starts)
-            else:
-                for lo in range(0, len(starts), step):
-                    hi = min(lo + step, len(starts))
-                    a, z = starts[lo], starts[hi] if hi < len(starts) else len(src)
-                    new[at[lo:hi]] += (1 - alpha) * np.add.reduceat(val[a:z, None] * p[src[a:z]], starts[lo:hi] - a, axis=0)
-            moved = np.abs(new - p).sum(0).max(initial=0)
-            p = new
-            if tol > 0 and moved < tol:
-                break
-        return pd.DataFrame({"col": np.repeat(cols, len(genes)), "gene": np.tile(genes, len(cols)), "score": p.T.ravel(), "n_iter": np.int32(n)})
-
-    columns = p0.select("col").distinct().withColumn("_block", F.pmod(F.xxhash64("col"), F.lit(max(spark.sparkContext.defaultParallelism, 1))).cast("int"))
-    return p0.join(columns, "col").groupBy("_block").applyInPandas(run, kinds)
-
-
-def bfs(edges: DataFrame, sources: DataFrame, max_depth: int = 64) -> DataFrame:
-    """(source, gene, distance) of (source, gene): hops from each source's nearest start, frontier by frontier; what is out of reach is absent."""
+        for n in range(1, max_iter + 1):
+            old, new = p[:, live], start[:, live].copy()
+            for lo in range(0, len(starts), step):
+                hi = min(lo + step, len(starts))
+                a, z = starts[lo], starts[hi] if hi < len(starts) else len(src)
+                new[at[lo:hi]] += (1 - alpha) * np.add.reduceat(val[a:z, None] * old[src[a:z]], starts[lo:hi] - a, axis=0)
+            p[:, live], n_iter[live] = new, n
+            if tol > 0:
+                still = np.abs(new - old).sum(0) >= tol
+                ok[live[~still]] = True
+                live = live[still]
+                if not len(live):
+                    break
+        done = (lambda k: ok[k]) if tol > 0 else (lambda k: [None] * len(k))
+        if wanted is None:
+            k = np.repeat(np.arange(len(cols)), len(genes))
+            return pd.DataFrame({"col": cols[k], "gene": np.tile(genes, len(cols)), "score": p.T.ravel(), "n_iter": n_iter[k], "converged": done(k)})
+        k, g = np.searchsorted(cols, wanted["col"].to_numpy()), np.searchsorted(genes, wanted["gene"].to_numpy())
+        inside = genes[np.minimum(g, len(genes) - 1)] == wanted["gene"].to_numpy()
+        return pd.DataFrame({"col": cols[k], "gene": wanted["gene"].to_numpy(), "score": np.where(inside, p[np.minimum(g, len(genes) - 1), k], 0.0), "n_iter": n_iter[k], "converged": done(k)})
+
+    columns = p0.select("col").distinct()
+    blocks = -(-columns.count() // block)
+    # About block / 2 columns a task by hash, whatever the parallelism and the number of columns.
+    columns = cut(columns.withColumn("_block", F.pmod(F.xxhash64("col"), F.lit(max(2 * blocks, 1))).cast("int")), "columns")
+    dealt = p0.join(columns, "col")
+    if only is None:
+        return dealt.groupBy("_block").applyInPandas(lambda pdf: run(pdf), kinds)
+    asked = only.select("col", "gene").join(columns.withColumnRenamed("_block", "_asked"), "col")
+    return dealt.groupBy("_block").cogroup(asked.groupBy("_asked")).applyInPandas(lambda a, b: run(a, b) if len(a) else pd.DataFrame({f.name: [] for f in kinds}), kinds)
+
+
+def bfs(edges: DataFrame, sources: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(source, gene, distance) of (source, gene): hops from each source's nearest start, frontier by frontier until none is left (or as deep as asked for); what is out of reach is absent."""
     e = cut(directed(edges).select("src", "dst"), "edges")
     seen = cut(sources.select("source", "gene").distinct().withColumn("distance", F.lit(0)), "seen")
-    front = seen
-    for d in range(1, max_depth + 1):
+    front, d = seen, 0
+    while max_depth is None or d < max_depth:
+        d += 1
         front = cut(front.join(e, F.col("gene") == F.col("src")).select("source", F.col("dst").alias("gene")).distinct().join(seen, ["source", "gene"], "left_anti").withColumn("distance", F.lit(d)), "front")
         if front.isEmpty():
             break
@@ -179,7 +229,7 @@ def bfs(edges: DataFrame, sources: DataFrame, max_depth: int = 64) -> DataFrame:
 
 def proximity(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """(source, gene, distance, score): score is minus the distance; genes out of reach stand one beyond the farthest of their source."""
-    d = bfs(edges, sources, 1 << 30)
+    d = bfs(edges, sources)
     far = d.groupBy("source").agg((F.max("distance") + 1).alias("far"))
     grid = far.crossJoin(degree(edges).select("gene"))
     return grid.join(d, ["source", "gene"], "left").select("source", "gene", F.coalesce("distance", "far").alias("distance"), (-F.coalesce("distance", "far")).cast("double").alias("score"))
@@ -193,7 +243,7 @@ def landmarks(edges: DataFrame, most: int = 256, seed: str = "landmarks") -> Dat
 def harmonic(edges: DataFrame, landmarks: DataFrame) -> DataFrame:
     """(gene, closeness): mean of 1 / max(distance, 1) from the landmarks (gene); unreachable ones count 0, and a gene out of reach of all has 0."""
     n = landmarks.agg(F.count("*").alias("k"))
-    d = bfs(edges, landmarks.select(F.col("gene").alias("source"), "gene"), 1 << 30)  # ends with the last frontier
+    d = bfs(edges, landmarks.select(F.col("gene").alias("source"), "gene"))
     s = d.groupBy("gene").agg(F.sum(1.0 / F.greatest("distance", F.lit(1))).alias("s"))
     return degree(edges).select("gene").join(s, "gene", "left").crossJoin(n).select("gene", F.coalesce(F.col("s") / F.col("k"), F.lit(0.0)).alias("closeness"))
 
@@ -275,8 +325,11 @@ def pagerank(edges: DataFrame) -> DataFrame:
     return power_iteration(edges, "pagerank", 1_000, tol=1e-12)
 
 
-def core_numbers(edges: DataFrame) -> DataFrame:
-    """(gene, core): peels genes of at most k live neighbours, k by k, until none is left."""
+def core_numbers(edges: DataFrame, strategy: str = "auto") -> DataFrame:
+    """(gene, core): peels genes of at most k live neighbours, k by k, until none is left. `arrays`: one task holds the graph; `joins`: any size; `auto` takes arrays where the edges were counted to fit."""
+    held = None if strategy == "joins" else _adjacency(edges)
+    if held is not None:
+        return _cores_by_arrays(edges, held)
     live, out, k = cut(directed(edges).select("src", "dst"), "core"), None, 0
     while not live.isEmpty():
         k = max(k + 1, live.groupBy("src").count().agg(F.min("count")).first()[0])
@@ -291,6 +344,30 @@ def core_numbers(edges: DataFrame) -> DataFrame:
     return out if out is not None else live.select(F.col("src").alias("gene"), F.lit(0).alias("core"))
 
 
+def _cores_by_arrays(edges: DataFrame, held: dict) -> DataFrame:
+    shared = edges.sparkSession.sparkContext.broadcast(held)
+    kinds = T.StructType([T.StructField("gene", edges.schema["gene_a"].dataType), T.StructField("core", T.IntegerType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _ in batches:
+            genes, code = np.unique(np.concatenate((shared.value["a"], shared.value["b"])), return_inverse=True)
+            m = len(code) // 2
+            src, dst = code, np.concatenate((code[m:], code[:m]))
+            core, alive, k = np.zeros(len(genes), np.int32), np.ones(len(genes), bool), 0
+            degree = np.bincount(src, minlength=len(genes))
+            while alive.any():
+                k = max(k, int(degree[alive].min()))
+                weak = alive & (degree <= k)
+                while weak.any():
+                    core[weak], alive = k, alive & ~weak
+                    gone = weak[src] & alive[dst]
+                    degree = degree - np.bincount(dst[gone], minlength=len(genes))
+                    weak = alive & (degree <= k)
+            yield pd.DataFrame({"gene": genes, "core": core})
+
+    return edges.sparkSession.range(1, numPartitions=1).mapInPandas(run, kinds)
+
+
 def clustering(edges: DataFrame) -> DataFrame:
     """(gene, triangles, clustering): each triangle is found once, from its end of lowest degree on."""
     d = cut(degree(edges), "degree")
@@ -320,27 +397,55 @@ def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
     return state
 
 
-def descriptors(edges: DataFrame) -> DataFrame:
-    """One row: genes, edges, density, mean degree, mean clustering, degree assortativity."""
+def modularity(edges: DataFrame, communities: DataFrame) -> DataFrame:
+    """One row, modularity: the share of edges inside communities (gene, community) less what degrees alone would give."""
+    e = directed(edges).join(communities.select(F.col("gene").alias("src"), F.col("community").alias("ca")), "src").join(communities.select(F.col("gene").alias("dst"), F.col("community").alias("cb")), "dst")
+    per = e.groupBy(F.col("ca").alias("community")).agg(F.sum(F.when(F.col("ca") == F.col("cb"), 1).otherwise(0)).alias("inside"), F.count("*").alias("ends"))
+    total = F.sum("ends").cast("double")
+    return per.agg((F.sum("inside") / total - F.sum(F.col("ends").cast("double") * F.col("ends")) / (total * total)).alias("modularity"))
+
+
+def descriptors(edges: DataFrame, sources: int = 20, rounds: int = 10) -> DataFrame:
+    """One row: genes, edges, density, mean degree, mean clustering, degree assortativity, modularity of the propagated communities, mean path length from `sources` hashed genes of the largest component, the largest core number and the shares of genes in the 2-core and the 10-core."""
+    edges = cut(edges, "edges")
     d = cut(degree(edges), "degree")
     base = d.agg(F.count("*").alias("n_nodes"), (F.sum("degree") / 2).cast("long").alias("n_edges"), F.avg("degree").alias("mean_degree"))
     e = directed(edges).join(d.select(F.col("gene").alias("src"), F.col("degree").alias("ds")), "src").join(d.select(F.col("gene").alias("dst"), F.col("degree").alias("dd")), "dst")
-    return base.withColumn("density", 2.0 * F.col("n_edges") / (F.col("n_nodes") * (F.col("n_nodes") - 1))).crossJoin(clustering(edges).agg(F.avg("clustering").alias("mean_clustering"))).crossJoin(e.agg(F.corr("ds", "dd").alias("assortativity")))
+    out = base.withColumn("density", 2.0 * F.col("n_edges") / (F.col("n_nodes") * (F.col("n_nodes") - 1))).crossJoin(clustering(edges).agg(F.avg("clustering").alias("mean_clustering"))).crossJoin(e.agg(F.corr("ds", "dd").alias("assortativity")))
+    starts = landmarks(edges, sources, "paths")
+    paths = bfs(edges, starts.select(F.col("gene").alias("source"), "gene")).where("distance > 0").agg(F.avg("distance").alias("mean_path"))
+    core = core_numbers(edges).agg(F.max("core").alias("max_core"), F.avg((F.col("core") >= 2).cast("double")).alias("core2"), F.avg((F.col("core") >= 10).cast("double")).alias("core10"))
+    return out.crossJoin(modularity(edges, label_propagation(edges, rounds))).crossJoin(paths).crossJoin(core)
+
+
+def features(edges: DataFrame, sources: int = 300, rounds: int = 10) -> DataFrame:
+    """gene, degree, core, triangles, clustering, betweenness (from sampled sources), pagerank, community and its size: a row a gene."""
+    edges = cut(edges, "edges")
+    c = cut(label_propagation(edges, rounds), "communities")
+    size = c.groupBy("community").agg(F.count("*").alias("community_size"))
+    out = degree(edges).join(core_numbers(edges), "gene", "left").join(clustering(edges), "gene", "left").join(betweenness(edges, sources), "gene", "left")
+    return out.join(pagerank(edges).withColumnRenamed("score", "pagerank"), "gene", "left").join(c, "gene", "left").join(size, "community", "left").select("gene", "degree", "core", "triangles", "clustering", "betweenness", "pagerank", "community", "community_size")
 
 
-def _adjacency(edges: DataFrame) -> dict:
-    """Neighbour arrays of a graph of at most BROADCAST_EDGES edges, for the tasks that walk or rewire it."""
+def _adjacency(edges: DataFrame) -> dict | None:
+    """Neighbour arrays of a graph of at most BROADCAST_EDGES edges, for the tasks that walk or rewire it; None for a larger one."""
     edges = cut(edges, "edges")
     if edges.count() > BROADCAST_EDGES:
-        raise ValueError(f"this operator holds the graph in a task: at most {BROADCAST_EDGES} edges")
+        return None
     p = edges.select("gene_a", "gene_b").toArrow()
     return {c[-1]: p[c].to_numpy() for c in ("gene_a", "gene_b")}
 
 
 def rewire(edges: DataFrame, replicates: int, swaps: float = 10.0, seed: int = 42) -> DataFrame:
-    """(rewire_id, gene_a, gene_b): degree-preserving double-edge swaps, `swaps` tries an edge; one replicate a task."""
+    """(rewire_id, gene_a, gene_b): degree-preserving double-edge swaps, `swaps` tries an edge; one replicate a task.
+
+    Each swap depends on all before it, so a replicate is one task that holds the graph: at most BROADCAST_EDGES edges, more are an error.
+    """
     spark, kind = edges.sparkSession, edges.schema["gene_a"].dataType
-    shared = spark.sparkContext.broadcast(_adjacency(edges))
+    held = _adjacency(edges)
+    if held is None:
+        raise ValueError(f"a rewiring holds the graph in a task: at most {BROADCAST_EDGES} edges")
+    shared = spark.sparkContext.broadcast(held)
     kinds = T.StructType([T.StructField("rewire_id", T.LongType()), T.StructField("gene_a", kind), T.StructField("gene_b", kind)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -378,38 +483,84 @@ def mixing(edges: DataFrame, other: DataFrame) -> DataFrame:
     return same.agg(F.count("*").alias("n_shared_edges")).crossJoin(lost).crossJoin(chance)
 
 
-def walks(edges: DataFrame, per_gene: int = 10, length: int = 20, p: float = 1.0, q: float = 1.0, seed: int = 42) -> DataFrame:
-    """(gene, walk_id, walk array): second-order walks; a step never returns at once, and goes to a neighbour of the last gene with weight 1/p, to others with 1/q."""
+def _draw(seed: int, gene, walk, step) -> float:
+    """uniform() of `seed|gene|walk` and a step, in Python."""
+    return int(hashlib.md5(f"{gene}|{seed}|{walk}|{step}".encode()).hexdigest()[:8], 16) / 4294967296.0
+
+
+def walks(edges: DataFrame, per_gene: int = 10, length: int = 20, p: float = 1.0, q: float = 1.0, seed: int = 42, strategy: str = "auto") -> DataFrame:
+    """(gene, walk_id, walk array): second-order walks; a step never returns at once, and goes to a neighbour of the last gene with weight 1/p, to others with 1/q.
+
+    A step takes the first neighbour, in the order of genes, at which the running weight passes a hashed share of the whole. `arrays`: each task holds the graph; `joins`: a step of all walks is a join, any size;
+    both walk the same ways, and `auto` takes arrays where the edges were counted to fit.
+    """
     spark, kind = edges.sparkSession, edges.schema["gene_a"].dataType
-    shared = spark.sparkContext.broadcast(_adjacency(edges))
+    held = None if strategy == "joins" else _adjacency(edges)
+    if held is None:
+        return _walks_by_joins(edges, per_gene, length, p, q, seed)
+    shared = spark.sparkContext.broadcast(held)
     kinds = T.StructType([T.StructField("gene", kind), T.StructField("walk_id", T.IntegerType()), T.StructField("walk", T.ArrayType(T.StringType()))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        near: dict = {}
-        for x, y in zip(shared.value["a"].tolist(), shared.value["b"].tolist(), strict=True):
-            near.setdefault(x, []).append(y)
-            near.setdefault(y, []).append(x)
-        near = {k: sorted(v) for k, v in near.items()}
-        sets = {k: set(v) for k, v in near.items()}
+        genes, code = np.unique(np.concatenate((shared.value["a"], shared.value["b"])), return_inverse=True)
+        m, n = len(code) // 2, len(genes)
+        ends = np.unique(np.concatenate((code[:m] * n + code[m:], code[m:] * n + code[:m])))
+        near, first = ends % n, np.searchsorted(ends, np.arange(n + 1) * n)
+        names = genes.tolist()
         for frame in batches:
-            out = []
-            for g in frame["gene"].tolist():
-                for w in range(per_gene):
-                    rng = np.random.default_rng(np.frombuffer(f"{seed}|{g}|{w}".encode().ljust(64)[:64], np.uint32))
-                    path, last = [g], None
-                    while len(path) < length:
-                        options = [x for x in near[path[-1]] if x != last]
-                        if not options:
-                            break
-                        weight = np.array([1 / p if last is not None and x in sets[last] else 1 / q for x in options])
-                        last = path[-1]
-                        path.append(options[int(np.searchsorted(np.cumsum(weight), rng.random() * weight.sum()))])
-                    out.append((g, w, [str(x) for x in path]))
-            yield pd.DataFrame(out, columns=["gene", "walk_id", "walk"])
+            own = np.searchsorted(genes, frame["gene"].to_numpy())
+            for lo in range(0, len(own) * per_gene, 2048):  # walks side by side
+                ids = np.arange(lo, min(lo + 2048, len(own) * per_gene))
+                start, walk = own[ids // per_gene], ids % per_gene
+                path, at, last, live = [start], start.copy(), np.full(len(ids), -1), np.ones(len(ids), bool)
+                for step in range(1, length):
+                    who = np.flatnonzero(live)
+                    many = first[at[who] + 1] - first[at[who]]
+                    of = np.repeat(np.arange(len(who)), many)
+                    to = near[np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first[at[who]], many)]
+                    back = last[who][of]
+                    edge = back * n + to
+                    place = np.minimum(np.searchsorted(ends, edge), len(ends) - 1)
+                    weight = np.where((back >= 0) & (ends[place] == edge), 1 / p, 1 / q) * (to != back)
+                    run_sum = np.cumsum(weight)
+                    stop = np.cumsum(many)
+                    before = run_sum[stop - 1] - np.add.reduceat(weight, stop - many) if len(who) else np.zeros(0)
+                    total = np.add.reduceat(weight, stop - many) if len(who) else np.zeros(0)
+                    u = np.array([_draw(seed, names[g], w, step) for g, w in zip(start[who].tolist(), walk[who].tolist(), strict=True)])
+                    passed = (run_sum - before[of] > (u * total)[of]) & (weight > 0)
+                    chosen = np.full(len(who), -1)
+                    hit = np.flatnonzero(passed)[::-1]
+                    chosen[of[hit]] = to[hit]  # the first one of each walk is written last
+                    live[who[chosen < 0]] = False
+                    who, chosen = who[chosen >= 0], chosen[chosen >= 0]
+                    last[who], at[who] = at[who], chosen
+                    path.append(np.where(live, at, -1))
+                steps = np.stack(path, axis=1)
+                yield pd.DataFrame({"gene": genes[start], "walk_id": walk.astype(np.int32), "walk": [[str(names[x]) for x in r if x >= 0] for r in steps.tolist()]})
 
     return degree(edges).select("gene").mapInPandas(run, kinds)
 
 
+def _walks_by_joins(edges: DataFrame, per_gene: int, length: int, p: float, q: float, seed: int) -> DataFrame:
+    e = cut(directed(edges).select("src", "dst").distinct(), "edges")
+    state = degree(edges).select("gene", F.explode(F.sequence(F.lit(0), F.lit(per_gene - 1))).alias("walk_id")).select("gene", "walk_id", F.col("gene").alias("at"), F.lit(None).cast(edges.schema["gene_a"].dataType).alias("last"))
+    steps = [state.select("gene", "walk_id", F.lit(0).alias("step"), "at")]
+    for step in range(1, length):
+        near = state.join(e, F.col("at") == F.col("src")).where("last is null or dst <> last")
+        known = e.select(F.col("src").alias("last"), F.col("dst"), F.lit(True).alias("known"))
+        near = near.join(known, ["last", "dst"], "left").withColumn("w", F.when(F.col("known"), F.lit(1 / p)).otherwise(F.lit(1 / q)))
+        own = Window.partitionBy("gene", "walk_id")
+        u = uniform(F.col("gene"), F.concat_ws("|", F.lit(str(seed)), F.col("walk_id").cast("string"), F.lit(str(step))))
+        placed = near.withColumn("run", F.sum("w").over(own.orderBy("dst").rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("total", F.sum("w").over(own))
+        state = cut(placed.where(F.col("run") > u * F.col("total")).groupBy("gene", "walk_id").agg(F.min("dst").alias("to"), F.first("at").alias("last")).select("gene", "walk_id", F.col("to").alias("at"), "last"), "walks")
+        steps.append(state.select("gene", "walk_id", F.lit(step).alias("step"), "at"))
+    every = steps[0]
+    for x in steps[1:]:
+        every = every.unionByName(x)
+    path = F.transform(F.array_sort(F.collect_list(F.struct("step", "at"))), lambda x: x["at"].cast("string"))
+    return every.groupBy("gene", "walk_id").agg(path.alias("walk"))
+
+
 def embed(walked: DataFrame, size: int = 16, window: int = 5, seed: int = 42) -> DataFrame:
     """(gene string, vector): word vectors of the walks."""
     from pyspark.ml.feature import Word2Vec
@@ -419,12 +570,19 @@ def embed(walked: DataFrame, size: int = 16, window: int = 5, seed: int = 42) ->
     return model.getVectors().select(F.col("word").alias("gene"), vector_to_array("vector").alias("vector"))
 
 
-def betweenness(edges: DataFrame, sources: int = 50, seed: str = "betweenness") -> DataFrame:
-    """(gene, betweenness): shortest-path dependencies from sampled sources, scaled to all sources; sources are dealt to tasks, each holding the graph."""
-    shared = edges.sparkSession.sparkContext.broadcast(_adjacency(edges))
+def betweenness(edges: DataFrame, sources: int = 50, seed: str = "betweenness", strategy: str = "auto") -> DataFrame:
+    """(gene, betweenness): shortest-path dependencies from sampled sources (all genes where they are fewer), scaled to all sources.
+
+    `arrays`: sources are dealt to tasks, each holding the graph; `joins`: paths are counted frontier by frontier, and dependencies passed back level by level, any size; `auto` takes arrays where the edges were counted to fit.
+    """
     kind = edges.schema["gene_a"].dataType
-    picked = degree(edges).select("gene").orderBy(uniform(F.col("gene"), seed), "gene").limit(sources)
-    n = degree(edges).count()
+    picked = cut(degree(edges).select("gene").orderBy(uniform(F.col("gene"), seed), "gene").limit(sources), "sources")
+    n, sources = degree(edges).count(), max(picked.count(), 1)
+    scaled = lambda part: degree(edges).select("gene").join(part.groupBy("gene").agg(F.sum("part").alias("part")), "gene", "left").select("gene", (F.coalesce("part", F.lit(0.0)) * n / sources / 2).alias("betweenness"))
+    held = None if strategy == "joins" else _adjacency(edges)
+    if held is None:
+        return scaled(_dependencies(edges, picked))
+    shared = edges.sparkSession.sparkContext.broadcast(held)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         genes, code = np.unique(np.concatenate((shared.value["a"], shared.value["b"])), return_inverse=True)
@@ -454,5 +612,28 @@ def betweenness(edges: DataFrame, sources: int = 50, seed: str = "betweenness")
         at = np.flatnonzero(total)
         yield pd.DataFrame({"gene": genes[at], "part": total[at]})
 
-    part = picked.repartition(8).mapInPandas(run, T.StructType([T.StructField("gene", kind), T.StructField("part", T.DoubleType())]))
-    return degree(edges).select("gene").join(part.groupBy("gene").agg(F.sum("part").alias("part")), "gene", "left").select("gene", (F.coalesce("part", F.lit(0.0)) * n / sources / 2).alias("betweenness"))
+    return scaled(picked.repartition(edges.sparkSession.sparkContext.defaultParallelism).mapInPandas(run, T.StructType([T.StructField("gene", kind), T.StructField("part", T.DoubleType())])))
+
+
+def _dependencies(edges: DataFrame, picked: DataFrame) -> DataFrame:
+    """(gene, part): for each source the share of its shortest paths that run through each other gene."""
+    e = cut(directed(edges).select("src", "dst"), "edges")
+    front = cut(picked.select(F.col("gene").alias("source"), "gene", F.lit(1.0).alias("paths")), "front")
+    seen, levels = front.select("source", "gene"), [front]
+    while True:
+        front = front.join(e, F.col("gene") == F.col("src")).groupBy("source", F.col("dst").alias("gene")).agg(F.sum("paths").alias("paths")).join(seen, ["source", "gene"], "left_anti")
+        front = cut(front, "front")
+        if front.isEmpty():
+            break
+        levels.append(front)
+        seen = cut(seen.unionByName(front.select("source", "gene")), "seen")
+    owed, out = levels[-1].withColumn("part", F.lit(0.0)), None
+    for level in reversed(levels[:-1]):
+        out = owed.select("gene", "part") if out is None else out.unionByName(owed.select("gene", "part"))
+        back = owed.select("source", F.col("gene").alias("v"), ((1 + F.col("part")) / F.col("paths")).alias("share"))
+        up = level.join(e, F.col("gene") == F.col("src")).withColumnRenamed("dst", "v").join(back, ["source", "v"])
+        gained = up.groupBy("source", "gene").agg(F.sum(F.col("paths") * F.col("share")).alias("part"))
+        owed = cut(level.join(gained, ["source", "gene"], "left").select("source", "gene", "paths", F.coalesce("part", F.lit(0.0)).alias("part")), "owed")
+    if out is None:  # no source has a neighbour
+        return owed.select("gene", "part").where("part > 0")
+    return out
