@@ -136,49 +136,90 @@ def transfer_pools(a: DataFrame, b: DataFrame, universe: DataFrame, sample: int
     return rows.withColumn("fold", ((F.row_number().over(w) - 1) % folds).cast("int")).select("gene", "fold", "y", "role")
 
 
-def grouped_splits(universe: DataFrame, positives: DataFrame, complexes: DataFrame, repeats: int = 10, k: int = 5, max_links: int = 10, max_group: int = 50, seed: int = 42) -> DataFrame:
-    """gene, repeat, fold, y, group: no group of genes that share complexes is cut between folds, up to max_group genes a group.
+def complex_groups(universe: DataFrame, complexes: DataFrame, max_links: int = 10, max_group: int = 1000) -> DataFrame:
+    """(gene, group): genes that share complexes, joined complex by complex.
 
-    Complexes are joined to groups greedily, smallest first, as long as the group stays within max_group; groups are dealt to the fold that is shortest of
-    positives and rows. Both are order-dependent over the list of complexes of one universe, so one task a repeat holds that list.
+    A gene keeps its `max_links` largest complexes. Complexes are taken from the one that most genes kept down (ties by id); one joins all its groups if together they have at most `max_group` genes, and is
+    passed over as a whole if not. The group's name is its smallest gene. The order matters, so one task holds the list of kept links, which `max_links` bounds for each gene.
     """
+    import pandas as pd
+
+    inside = complexes.select("complex_id", "gene").distinct().join(universe.select("gene").distinct(), "gene", "left_semi")
+    sized = inside.withColumn("_n", F.count("*").over(Window.partitionBy("complex_id")))
+    links = sized.withColumn("_r", F.row_number().over(Window.partitionBy("gene").orderBy(F.desc("_n"), "complex_id"))).where(F.col("_r") <= max_links).select("complex_id", "gene")
+    gene = universe.schema["gene"].dataType.simpleString()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        members = pdf.groupby("complex_id")["gene"].apply(list)
+        group: dict = {}
+        of: dict = {}
+        for _, genes in sorted(members.items(), key=lambda x: (-len(x[1]), x[0])):
+            names = {of.get(g, g) for g in genes}
+            joined = [x for n in names for x in group.get(n, [n])]
+            if len(joined) <= max_group and len(names) > 1:
+                name = min(joined)
+                for n in names:
+                    group.pop(n, None)
+                group[name] = joined
+                of.update(dict.fromkeys(joined, name))
+        return pd.DataFrame({"gene": list(of), "group": list(of.values())})
+
+    found = links.groupBy(F.lit(0).alias("_one")).applyInPandas(run, f"gene {gene}, group {gene}")
+    return universe.select("gene").distinct().join(found, "gene", "left").select("gene", F.coalesce("group", "gene").alias("group"))
+
+
+def grouped_splits(universe: DataFrame, positives: DataFrame, complexes: DataFrame, repeats: int = 10, k: int = 5, max_links: int = 10, max_group: int = 1000, tolerance: float = 0.02, seed: str = "20260926") -> DataFrame:
+    """gene, repeat, fold, y, group, moved: no group of genes that share complexes (complex_groups) is cut between folds.
+
+    Groups go from the one of most positives down (then most genes, then by hash of group and repeat) to a fold whose share of positives plus share of genes is least, of those within `tolerance` of it to a
+    hashed one. A fold without a positive then takes one (moved) out of the group of fewest positives that has two or more. Without any complex the folds are those of stratified_splits(). Repeats are independent: a task
+    holds one repeat of one universe.
+    """
+    import hashlib
+
     import numpy as np
     import pandas as pd
 
+    if complexes.join(universe.select("gene"), "gene", "left_semi").isEmpty():
+        return stratified_splits(universe, positives, repeats, k, seed).select("*", F.col("gene").alias("group"), F.lit(False).alias("moved"))
     y = universe.select("gene").distinct().join(positives.select("gene", F.lit(1).alias("_p")).distinct(), "gene", "left").select("gene", F.coalesce("_p", F.lit(0)).alias("y"))
-    sized = complexes.select("complex_id", "gene").distinct().join(y.select("gene"), "gene", "left_semi").withColumn("_n", F.count("*").over(Window.partitionBy("complex_id")))
-    w = Window.partitionBy("gene").orderBy(F.desc("_n"), "complex_id")
-    links = sized.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max_links).groupBy("gene").agg(F.collect_list(F.struct("_n", "complex_id")).alias("c"))
-    rows = y.join(links, "gene", "left").withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    rows = y.join(complex_groups(universe, complexes, max_links, max_group), "gene").withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("gene", ignore_index=True)
-        of: dict = {}
-        for i, cs in enumerate(pdf["c"]):
-            for c in cs if cs is not None else ():
-                of.setdefault((c["_n"], str(c["complex_id"])), []).append(i)
-        root, members = list(range(len(pdf))), {i: [i] for i in range(len(pdf))}
-        for _, ids in sorted(of.items()):
-            for i in ids[1:]:
-                a, b = root[ids[0]], root[i]
-                if a != b and len(members[a]) + len(members[b]) <= max_group:
-                    for x in members.pop(b):
-                        root[x] = a
-                        members[a].append(x)
         r = int(pdf["repeat"].iloc[0])
-        rng, pos = np.random.default_rng([seed, r]), pdf["y"].to_numpy()
-        groups = [members[g] for g in sorted(members)]
-        jitter = rng.random(len(groups))
-        groups = [g for _, _, g in sorted(((-len(g), j, g) for g, j in zip(groups, jitter, strict=True)), key=lambda t: t[:2])]
-        want_p, want_n = max(pos.sum() / k, 1e-9), max(len(pdf) / k, 1e-9)
-        have_p, have_n, fold = np.zeros(k), np.zeros(k), np.zeros(len(pdf), int)
-        for g in groups:
-            p = pos[g].sum()
-            f = int(np.argmin(np.round(((have_p + p) / want_p if p else 0) + (have_n + len(g)) / want_n, 6)))
-            fold[g] = f
+        draw = lambda what: int(hashlib.md5(f"{seed}|{r}|{what}".encode()).hexdigest()[:8], 16) / 4294967296.0
+        per = pdf.groupby("group")["y"].agg(["sum", "count"])
+        groups = sorted(((g, int(p), int(n)) for g, p, n in per.itertuples()), key=lambda x: (-x[1], -x[2], draw(x[0])))
+        want_p, want_n = max(pdf["y"].sum() / k, 1.0), max(len(pdf) / k, 1.0)
+        have_p, have_n, fold_of = np.zeros(k), np.zeros(k), {}
+        for g, p, n in groups:
+            cost = have_p / want_p + have_n / want_n
+            near = np.flatnonzero(cost <= cost.min() * (1 + tolerance) + tolerance)
+            f = int(near[int(draw(f"fold|{g}") * len(near))])
+            fold_of[g] = f
             have_p[f] += p
-            have_n[f] += len(g)
-        return pdf.assign(fold=fold.astype("int32"), group=pdf["gene"].to_numpy()[root])[["gene", "repeat", "fold", "y", "group"]]
+            have_n[f] += n
+        fold = pdf["group"].map(fold_of).to_numpy().astype("int32")
+        moved, positive = np.zeros(len(pdf), bool), pdf["y"].to_numpy() == 1
+        # A donor group of two or more positives; a gene is moved once.
+        donors = sorted((p, n, g) for g, p, n in groups if p >= 2)
+        for f in np.flatnonzero(have_p == 0).tolist():
+            at = np.flatnonzero(positive & ~moved & (pdf["group"] == donors[0][2]).to_numpy()) if donors else []
+            if not len(at):
+                break
+            fold[at[0]], moved[at[0]] = f, True
+        return pdf.assign(fold=fold, moved=moved)[["gene", "repeat", "fold", "y", "group", "moved"]]
 
     gene = universe.schema["gene"].dataType.simpleString()
-    return rows.groupBy("repeat").applyInPandas(run, f"gene {gene}, repeat int, fold int, y int, group {gene}")
+    return rows.groupBy("repeat").applyInPandas(run, f"gene {gene}, repeat int, fold int, y int, group {gene}, moved boolean")
+
+
+def group_invariants(splits: DataFrame) -> DataFrame:
+    """One row: genes, groups, groups larger than the number of folds, groups that a repeat cuts between folds (genes moved on purpose aside), and the least, most and mean number of positives of a fold, folds without any counted."""
+    folds = splits.select("fold").distinct()
+    group = splits.where("repeat = 0").groupBy("group").agg(F.count("*").alias("n")).crossJoin(folds.agg(F.count("*").alias("k")))
+    size = group.agg(F.sum("n").alias("n_genes"), F.count("*").alias("n_groups"), F.count_if(F.col("n") > F.col("k")).alias("n_groups_larger_than_k"))
+    cut = splits.where("not moved").groupBy("repeat", "group").agg(F.count_distinct("fold").alias("f")).agg(F.count_if(F.col("f") > 1).alias("n_groups_split"))
+    grid = splits.select("repeat").distinct().crossJoin(folds).join(splits.groupBy("repeat", "fold").agg(F.sum("y").alias("p")), ["repeat", "fold"], "left").select(F.coalesce("p", F.lit(0)).alias("p"))
+    return size.crossJoin(cut).crossJoin(grid.agg(F.min("p").cast("long").alias("pos_min"), F.max("p").cast("long").alias("pos_max"), F.avg("p").alias("pos_mean")))
