@@ -151,3 +151,12 @@ def compare_facts(want: DataFrame, have: DataFrame, tolerance: float = 1e-9) ->
     h = have.withColumnRenamed("value", "found")
     status = F.when(F.col("found").isNull(), "MISSING").when(F.abs(F.col("found") - F.col("value")) <= tolerance, "PASS").otherwise("FAIL")
     return want.join(h, "quantity", "left").select("quantity", status.alias("status"))
+
+
+def audit(checks: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """test_id, status (PASS, FAIL), message of named checks: one row with `n`, and the condition that it should meet."""
+    out = None
+    for name, (df, holds) in checks.items():  # named by the caller
+        row = df.select(F.lit(name).alias("test_id"), F.when(F.expr(holds), "PASS").otherwise("FAIL").alias("status"), F.col("n").cast("string").alias("message"))
+        out = row if out is None else out.unionByName(row)
+    return out

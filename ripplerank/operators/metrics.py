@@ -65,6 +65,11 @@ def partial_auc(df: DataFrame, keys: list[str], most: float = 0.02) -> DataFrame
     return seg.groupBy(*keys).agg(F.sum(area).alias("pauc")).withColumn("pauc_norm", F.col("pauc") / most)
 
 
+def pauc_excess(one, other, most: float = 0.02):
+    """What one partial AUC has over another, in units of what a perfect ranking has over a random one."""
+    return (one - other) / (most - most * most / 2)
+
+
 def median_rank(df: DataFrame, keys: list[str]) -> DataFrame:
     """keys, medrr: median rank of the positives over the group's size."""
     return ranked(df, keys).where("y = 1").groupBy(*keys).agg((F.percentile("rank", F.lit(0.5)) / F.max("size")).alias("medrr"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import uniform, weighted_median
+from ..sources.shared import cut
 
 
 def percentile_ranks(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -137,3 +138,176 @@ def deciles(df: DataFrame, keys: list[str], by: str) -> DataFrame:
     w = Window.partitionBy(*keys)
     r, n = F.row_number().over(w.orderBy(by, "gene")), F.count("*").over(w)
     return df.withColumn("decile", F.greatest(F.ceil((r - 1) * 10.0 / F.greatest(n - 1, F.lit(1))) - 1, F.lit(0)).cast("int"))
+
+
+def crowding_by(df: DataFrame, keys: list[str], widths: DataFrame) -> DataFrame:
+    """keys, gene, score, crowd: rows of the group whose score lies within the group's own width (widths: keys, width), itself among them.
+
+    A frame cannot vary by group, so both ends are counted: rows at or below score + width less rows below score - width, each from the running count of the scores and the ends put in one order.
+    """
+    w = df.join(F.broadcast(widths.select(*keys, "width")), keys) if keys else df.crossJoin(F.broadcast(widths.select("width")))
+    point = w.select(*keys, F.col("score").alias("at"), F.lit(1).alias("kind"), F.lit(1).alias("n"), F.lit(None).cast(df.schema["gene"].dataType).alias("gene"), F.lit(None).cast("double").alias("score"))
+    ends = lambda sign, kind: w.select(*keys, (F.col("score") + sign * F.col("width")).alias("at"), F.lit(kind).alias("kind"), F.lit(0).alias("n"), "gene", "score")
+    run = F.sum("n").over(Window.partitionBy(*keys).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    counted = point.unionByName(ends(-1, 0)).unionByName(ends(1, 2)).withColumn("below", run).where("kind <> 1")
+    return counted.groupBy(*keys, "gene", "score").agg((F.max(F.when(F.col("kind") == 2, F.col("below"))) - F.max(F.when(F.col("kind") == 0, F.col("below")))).alias("crowd"))
+
+
+def rank_band(df: DataFrame, keys: list[str], share: float = 0.01) -> DataFrame:
+    """df with near_ranks (rows within a share of the group's size by rank, at least one place, itself among them) and band_spread (the range of their scores)."""
+    w = Window.partitionBy(*keys)
+    placed = df.withColumn("_p", F.row_number().over(w.orderBy(F.desc("score"), "gene"))).withColumn("_n", F.count("*").over(w)).withColumn("_b", F.greatest(F.floor(F.lit(share) * F.col("_n")), F.lit(1)))
+    lo, hi = F.greatest(F.col("_p") - F.col("_b"), F.lit(1)), F.least(F.col("_p") + F.col("_b"), F.col("_n"))
+    first, last = placed.select(*keys, F.col("_p").alias("_lo"), F.col("score").alias("_top")), placed.select(*keys, F.col("_p").alias("_hi"), F.col("score").alias("_bottom"))
+    out = placed.withColumn("_lo", lo).withColumn("_hi", hi).join(first, [*keys, "_lo"]).join(last, [*keys, "_hi"])
+    return out.select(*[out[c] for c in df.columns], (F.col("_hi") - F.col("_lo") + 1).alias("near_ranks"), (F.col("_top") - F.col("_bottom")).alias("band_spread"))
+
+
+def nearest_in_pool(df: DataFrame, pool: DataFrame, keys: list[str], k: int = 5) -> DataFrame:
+    """keys, gene, near, near_score, distance, place: the k rows of a pool (keys, gene, score) nearest to each row by score, ties to the smaller score and gene."""
+    from .resample import nearest_in
+
+    return nearest_in(df, pool, keys, "score", k).withColumnRenamed("value", "near_score")
+
+
+def clms(df: DataFrame, keys: list[str], k: int = 5, shrink: float | F.Column = 0.5, variant: str = "global", crowd: str = "crowd", neighbours: DataFrame | None = None) -> DataFrame:
+    """keys, gene, score, smoothed: score + lambda * (m - score), m the median of the row and its k nearest by score, weighted by `confidence`.
+
+    `global`: lambda is `shrink` for every row; `crowding`: shrink times the row's crowd over the largest of its group, so crowded rows move fully and lone ones hardly (all alike where no crowd is over 0). `neighbours` (keys, gene,
+    near_score, near_confidence) take the place of the nearest rows.
+    """
+    if variant not in ("global", "crowding"):
+        raise ValueError(f"unknown variant {variant}")
+    if neighbours is None:
+        near = nearest(df, keys, k)
+        other = df.select(*keys, F.col("gene").alias("near"), F.col("confidence").alias("near_confidence"))
+        neighbours = near.join(other, [*keys, "near"]).select(*keys, "gene", "near_score", "near_confidence")
+    pair = lambda v, w: F.struct(F.col(v).cast("double").alias("value"), F.col(w).cast("double").alias("weight"))
+    lists = neighbours.groupBy(*keys, "gene").agg(F.collect_list(pair("near_score", "near_confidence")).alias("_near"))
+    own = df.join(lists, [*keys, "gene"], "left").withColumn("_m", weighted_median(F.concat(F.array(pair("score", "confidence")), F.coalesce("_near", F.array().cast("array<struct<value:double,weight:double>>")))))
+    size = shrink if isinstance(shrink, F.Column) else F.lit(float(shrink))
+    if variant == "crowding":
+        most = F.max(crowd).over(Window.partitionBy(*keys))
+        size = F.when(most > 0, size * F.col(crowd) / most).otherwise(size)
+    return own.select(*keys, "gene", "score", (F.col("score") + size * (F.col("_m") - F.col("score"))).alias("smoothed"))
+
+
+def smoothing_grid(df: DataFrame, keys: list[str], ks: tuple[int, ...] = (5, 20), shrinks: tuple[float, ...] = (0.0, 0.25, 0.5, 0.75, 1.0), groups: int = 4, tolerance: float = 0.010) -> tuple[DataFrame, DataFrame]:
+    """Smoothing by every k, variant and shrinkage, chosen on some repeats and judged on the others.
+
+    df: keys, repeat, gene, y, score. First: keys, variant, k, shrink, part, auroc, rank_sd (means over the repeats outside the part `repeat % groups`, on which the choice is made, and `auroc_out`, `rank_sd_out` over those inside).
+    Second: keys, variant, k, part, shrink, auroc_out, rank_sd_out: the shrinkage of least rank SD whose AUROC stays within `tolerance` of no shrinkage, chosen without the part. Parameters are columns: each k is one neighbour join, shrinkages are an explode.
+    """
+    from .metrics import auroc
+
+    by = [*keys, "repeat"]
+    conf = df.join(loro_confidence(df, keys), [*by, "gene"])
+    crowded = cut(conf.join(crowding_by(conf, by, bandwidth(conf, by)).select(*by, "gene", "crowd"), [*by, "gene"]), "crowded")
+    out = None
+    for k in ks:
+        for variant in ("global", "crowding"):
+            full = clms(crowded, by, k, 1.0, variant).withColumns({"k": F.lit(k), "variant": F.lit(variant)})
+            out = full if out is None else out.unionByName(full)
+    grid = out.withColumn("shrink", F.explode(F.array(*[F.lit(float(x)) for x in shrinks]))).withColumn("score", F.round(F.col("score") + F.col("shrink") * (F.col("smoothed") - F.col("score")), 10)).drop("smoothed")
+    grid = cut(grid.join(df.select(*by, "gene", "y"), [*by, "gene"]), "grid")
+    cell = [*keys, "variant", "k", "shrink"]
+    parts = df.select((F.col("repeat") % groups).alias("part")).distinct()
+    per = auroc(grid, [*cell, "repeat"]).crossJoin(F.broadcast(parts)).withColumn("inside", F.col("repeat") % groups == F.col("part"))
+    fit = per.groupBy(*cell, "part").agg(F.avg(F.when(~F.col("inside"), F.col("auroc"))).alias("auroc"), F.avg(F.when(F.col("inside"), F.col("auroc"))).alias("auroc_out"))
+    pct = percentile_ranks(grid, [*cell, "repeat"]).crossJoin(F.broadcast(parts)).withColumn("inside", F.col("repeat") % groups == F.col("part"))
+    sd = pct.groupBy(*cell, "part", "gene").agg(F.stddev_samp(F.when(~F.col("inside"), F.col("pct"))).alias("s"), F.stddev_samp(F.when(F.col("inside"), F.col("pct"))).alias("t"))
+    spread = sd.groupBy(*cell, "part").agg(F.avg("s").alias("rank_sd"), F.avg("t").alias("rank_sd_out"))
+    table = cut(fit.join(spread, [*cell, "part"]), "grid")
+    none = table.where("shrink = 0").select(*keys, "variant", "k", "part", F.col("auroc").alias("_base"))
+    fair = table.join(none, [*keys, "variant", "k", "part"]).where(F.col("auroc") >= F.col("_base") - tolerance)
+    best = F.min_by(F.struct("shrink", "auroc_out", "rank_sd_out"), F.struct("rank_sd", "shrink"))
+    chosen = fair.groupBy(*keys, "variant", "k", "part").agg(best.alias("b")).select(*keys, "variant", "k", "part", "b.*")
+    return table, chosen
+
+
+def operators_side_by_side(df: DataFrame, keys: list[str], k: int = 5, shrink: float = 0.5, gamma: float = 0.5) -> DataFrame:
+    """keys, operator, gene, score: the scores as they are and after each smoothing: local median, confidence-weighted, by crowding, global median, flattened and a moving median."""
+    c = df if "confidence" in df.columns else df.withColumn("confidence", F.lit(1.0))
+    crowded = c.join(crowding_by(c, keys, bandwidth(c, keys)).select(*keys, "gene", "crowd"), [*keys, "gene"])
+    ways = {"none": df.withColumn("v", F.col("score").cast("double")), "local": smooth(df, keys, k, shrink).withColumn("v", F.col("smoothed")), "clms": clms(c, keys, k, shrink).withColumn("v", F.col("smoothed")), "clms_crowding": clms(crowded, keys, k, shrink, "crowding").withColumn("v", F.col("smoothed")), "global": global_shrink(df, keys, shrink).withColumn("v", F.col("smoothed")), "flat": flatten(df, keys, gamma).withColumn("v", F.col("flat").cast("double")), "moving": moving_median(df, keys, k).withColumn("v", F.col("median"))}
+    out = None
+    for name, d in ways.items():
+        x = d.select(*keys, F.lit(name).alias("operator"), "gene", F.col("v").alias("score"))
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+def random_control(df: DataFrame, keys: list[str], k: int = 5, shrink: float = 0.5, replicates: int = 20, seed: str = "c1") -> DataFrame:
+    """keys, observed, null_mean, null_sd, p: the mean rank SD after smoothing towards the k nearest, against smoothing towards k others drawn at random, replicate by replicate. df: keys, repeat, gene, score."""
+    by = [*keys, "repeat"]
+    own = smooth(df, by, k, shrink).select(*by, "gene", F.round("smoothed", 10).alias("score"))
+    mean = lambda d, more: rank_sd(d, [*keys, *more]).groupBy(*keys, *more).agg(F.avg("rank_sd").alias("value"))
+    drawn = random_neighbours(df, by, k, replicates, seed).join(df, [*by, "gene"]).select(*by, "rep", "gene", F.round(F.col("score") + shrink * (F.col("median") - F.col("score")), 10).alias("score"))
+    null = mean(drawn, ["rep"])
+    j = null.join(mean(own, []).withColumnRenamed("value", "observed"), keys) if keys else null.crossJoin(mean(own, []).withColumnRenamed("value", "observed"))
+    return j.groupBy(*keys, "observed").agg(F.avg("value").alias("null_mean"), F.stddev_samp("value").alias("null_sd"), ((F.count_if(F.col("value") <= F.col("observed")) + 1) / (F.count("*") + 1)).alias("p"))
+
+
+def attribution(df: DataFrame, keys: list[str], predictors: list[str]) -> DataFrame:
+    """keys, predictor, n, rho: rank correlation of rank_sd with each predictor column."""
+    from .stats import spearman
+
+    out = None
+    for c in predictors:  # a handful of columns
+        x = spearman(df.where(f"rank_sd is not null and {c} is not null"), keys, "rank_sd", c).select(*keys, F.lit(c).alias("predictor"), "n", "rho")
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+def diagnose(df: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, gene, rank_sd, own_sd, others_sd: the SD of a gene's percentile rank over repeats; with the others at their mean scores, so that only its own score moves; and with its own at its mean.
+
+    A rank against frozen scores is a place among them: counted by a running sum over scores and askers in one order.
+    """
+    w = Window.partitionBy(*keys, "gene")
+    m = df.withColumn("mean", F.round(F.avg("score").over(w), 10))
+    n = df.groupBy(*keys, "repeat").agg(F.count("*").alias("n"))
+
+    def placed(points: DataFrame, asks: DataFrame, by: list[str]) -> DataFrame:
+        """by, repeat, gene, pct of asks (by, repeat, gene, at, mean): points (by, at) above each over n - 1, the gene's own point left out."""
+        every = points.select(*by, F.col("at"), F.lit(0).alias("kind"), F.lit(1).alias("one"), F.lit(None).cast("int").alias("repeat"), F.lit(None).cast(df.schema["gene"].dataType).alias("gene"), F.lit(None).cast("double").alias("self"))
+        ask = asks.select(*by, "at", F.lit(1).alias("kind"), F.lit(0).alias("one"), F.col("repeat").cast("int").alias("repeat"), "gene", "self")
+        run = F.sum("one").over(Window.partitionBy(*by).orderBy(F.desc("at"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        above = every.unionByName(ask).withColumn("above", run).where("kind = 1")
+        return above.withColumn("above", F.col("above") - (F.col("self") > F.col("at")).cast("int"))
+
+    means = m.select(*keys, "gene", "mean").distinct()
+    own = placed(means.withColumnRenamed("mean", "at"), m.select(*keys, "repeat", "gene", F.col("score").cast("double").alias("at"), F.col("mean").alias("self")), keys)
+    others = placed(m.select(*keys, F.col("repeat").alias("r"), F.col("score").cast("double").alias("at")), m.select(*keys, F.col("repeat").alias("r"), "repeat", "gene", F.col("mean").alias("at"), F.col("score").cast("double").alias("self")), [*keys, "r"])
+    sd = lambda d, name: d.join(n, [*keys, "repeat"]).groupBy(*keys, "gene").agg(F.stddev_samp(F.col("above") / F.greatest(F.col("n") - 1, F.lit(1))).alias(name))
+    return rank_sd(df, keys).select(*keys, "gene", "rank_sd").join(sd(own, "own_sd"), [*keys, "gene"]).join(sd(others, "others_sd"), [*keys, "gene"])
+
+
+def network_stability(per_arm: DataFrame, described: DataFrame, network: str, value: str, columns: list[str]) -> DataFrame:
+    """predictor, n, rho, rho_least, rho_most: rank correlation of an arm's stability with its network's descriptors, over all arms and, at its least and most, with each network left out."""
+    from .stats import spearman
+
+    j = per_arm.join(F.broadcast(described), network)
+    left = j.select(F.col(network).alias("left_out")).distinct()
+    out = None
+    for c in columns:  # a handful of descriptors
+        full = spearman(j.withColumn("_k", F.lit(0)), ["_k"], value, c).select("n", "rho")
+        each = spearman(j.crossJoin(F.broadcast(left)).where(F.col(network) != F.col("left_out")), ["left_out"], value, c).agg(F.min("rho").alias("rho_least"), F.max("rho").alias("rho_most"))
+        x = full.crossJoin(each).select(F.lit(c).alias("predictor"), "n", "rho", "rho_least", "rho_most")
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+def scorecard(tradeoff: DataFrame, keys: list[str], tolerance: float = 0.010) -> DataFrame:
+    """keys, check, holds of a trade-off (keys, shrink, auroc, rank_sd): the spread never grows with shrinkage, some shrinkage cuts it by a tenth or more, AUROC stays within the tolerance at full shrinkage, and some shrinkage keeps it while the spread falls."""
+    w = Window.partitionBy(*keys).orderBy("shrink")
+    t = tradeoff.withColumn("_before", F.lag("rank_sd").over(w)).withColumn("_base", F.first("auroc").over(w)).withColumn("_sd", F.first("rank_sd").over(w)).withColumn("_last", F.max("shrink").over(Window.partitionBy(*keys)))
+    near = F.col("auroc") >= F.col("_base") - tolerance
+    c = t.groupBy(*keys).agg(F.bool_and(F.coalesce(F.col("rank_sd") <= F.col("_before") + 1e-12, F.lit(True))).alias("monotone"), F.bool_or(F.col("rank_sd") <= 0.9 * F.col("_sd")).alias("tenth"), F.bool_and((F.col("shrink") < F.col("_last")) | near).alias("full_keeps"), F.bool_or(near & (F.col("rank_sd") < F.col("_sd"))).alias("some_keeps"))
+    return c.select(*keys, F.explode(F.create_map(*[x for n in ("monotone", "tenth", "full_keeps", "some_keeps") for x in (F.lit(n), F.col(n))])).alias("check", "holds"))
+
+
+def within_and_transfer(within: DataFrame, transferred: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, system (within, transfer), n, mean, sd of `delta`: how a margin holds inside a label set and from one to another."""
+    both = within.select(*keys, F.lit("within").alias("system"), "delta").unionByName(transferred.select(*keys, F.lit("transfer").alias("system"), "delta"))
+    return both.groupBy(*keys, "system").agg(F.count("*").alias("n"), F.avg("delta").alias("mean"), F.stddev_samp("delta").alias("sd"))

@@ -188,3 +188,86 @@ def gene_bootstrap(scored: DataFrame, keys: list[str], replicates: int = 200, se
     salt = F.concat(F.lit(f"{seed}|"), F.col("rep").cast("string"))
     drawn = grid.select("rep", F.floor(uniform(F.col("_i"), salt) * F.col("_n")).alias("_i")).groupBy("rep", "_i").agg(F.count("*").cast("double").alias("w"))
     return auroc(scored.join(drawn.join(genes, "_i").select("rep", "gene", "w"), "gene"), [*keys, "rep"], "w")
+
+
+def one_sample_t(df: DataFrame, keys: list[str], level: float = 0.95) -> DataFrame:
+    """keys, n, mean, sd, se, t, p (one-sided, for a mean over 0), d (mean over sd) and low, high (normal limits) of `value`; null t, p and d without spread."""
+    s = summary(df, keys).withColumn("t", F.try_divide(F.col("mean"), F.col("se"))).withColumn("d", F.try_divide(F.col("mean"), F.col("sd")))
+    z = D.normal_ppf(0.5 + level / 2)
+    p = D.column(lambda t, n: D.t_sf(t, n - 1) if n > 1 else float("nan"))
+    return s.withColumn("p", p("t", F.col("n").cast("double"))).withColumn("low", F.col("mean") - z * F.col("se")).withColumn("high", F.col("mean") + z * F.col("se"))
+
+
+def paired_t(df: DataFrame, keys: list[str], one: str, other: str) -> DataFrame:
+    """one_sample_t() of the differences of two columns."""
+    return one_sample_t(df.withColumn("value", F.col(one) - F.col(other)), keys)
+
+
+def all_units(margins: DataFrame, keys: list[str], value: str = "delta", replicates: int = 1000) -> DataFrame:
+    """keys, unit (fold, repeat), method (percentile, t, bca), n, mean, low, high: every interval over either unit."""
+    out = None
+    for unit in ("fold", "repeat"):
+        u = unit_values(margins, keys, unit, value).withColumn("value", F.round("value", 10))
+        base = summary(u, keys).select(*keys, "n", "mean")
+        ways = {"percentile": percentile_interval(u, keys, replicates), "t": t_interval(u, keys).select(*keys, "low", "high"), "bca": bca_interval(u, keys, replicates)}
+        for name, d in ways.items():
+            x = base.join(d, keys).select(*keys, F.lit(unit).alias("unit"), F.lit(name).alias("method"), "n", "mean", "low", "high")
+            out = x if out is None else out.unionByName(x)
+    return out
+
+
+def verdict(intervals: DataFrame, by: list[str], arm: list[str]) -> DataFrame:
+    """by, arms, excluding, holds, failing: in how many arms an interval lies over 0, whether in all, and which ones fail, in order."""
+    name = F.concat_ws("/", *[F.col(c).cast("string") for c in arm])
+    over = F.col("low") > 0
+    return intervals.groupBy(*by).agg(F.count("*").alias("arms"), F.count_if(over).alias("excluding"), F.bool_and(over).alias("holds"), F.array_join(F.array_sort(F.collect_list(F.when(~over, name))), ";").alias("failing"))
+
+
+def standardise(df: DataFrame, columns: list[str], keys: list[str] | None = None) -> DataFrame:
+    """df with each column less its mean over its sample SD, in each group of keys; null without spread. Means and SDs are one aggregate, joined back."""
+    keys = keys or []
+    m = df.groupBy(*keys).agg(*[f(c).alias(f"_{k}_{c}") for c in columns for k, f in (("m", F.avg), ("s", F.stddev_samp))])
+    j = df.join(F.broadcast(m), keys) if keys else df.crossJoin(F.broadcast(m))
+    out = j.withColumns({c: F.when(F.col(f"_s_{c}") > 0, (F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}")) for c in columns})
+    return out.select(*df.columns)
+
+
+def variance_components(df: DataFrame, a: str, b: str) -> DataFrame:
+    """component (a, b, ab, within), variance, share, f, p of `value`: random effects of a balanced two-way layout by expected mean squares, negative ones 0; f of a and b over the interaction, of the interaction over within."""
+    sums = anova(df, a, b).crossJoin(df.agg(F.count_distinct(a).alias("na"), F.count_distinct(b).alias("nb"), F.count("*").alias("n")))
+    df_a, df_b, df_ab, df_w = F.col("na") - 1, F.col("nb") - 1, (F.col("na") - 1) * (F.col("nb") - 1), F.col("n") - F.col("na") * F.col("nb")
+    per = F.col("n") / (F.col("na") * F.col("nb"))
+    ms = {k: F.try_divide(F.col(f"ss_{k}"), d) for k, d in (("a", df_a), ("b", df_b), ("ab", df_ab), ("within", df_w))}
+    s = sums.select(*[ms[k].alias(k) for k in ms], per.alias("per"), "na", "nb", df_a.alias("df_a"), df_b.alias("df_b"), df_ab.alias("df_ab"), df_w.alias("df_w"))
+    zero = lambda c: F.greatest(c, F.lit(0.0))
+    c, ab, w = F.col, F.col("ab"), F.col("within")
+    parts = [("a", zero((c("a") - ab) / (c("per") * c("nb"))), F.try_divide(c("a"), ab), c("df_a"), c("df_ab")), ("b", zero((c("b") - ab) / (c("per") * c("na"))), F.try_divide(c("b"), ab), c("df_b"), c("df_ab")), ("ab", zero((ab - w) / c("per")), F.try_divide(ab, w), c("df_ab"), c("df_w")), ("within", w, F.lit(None).cast("double"), c("df_w"), c("df_w"))]
+    rows = s.select(F.explode(F.array(*[F.struct(F.lit(k).alias("component"), v.alias("variance"), f.alias("f"), x.cast("double").alias("d1"), y.cast("double").alias("d2")) for k, v, f, x, y in parts])).alias("r")).select("r.*")
+    total = F.sum("variance").over(Window.partitionBy(F.lit(1)))  # four rows
+    return rows.withColumn("share", F.col("variance") / total).withColumn("p", D.column(D.f_sf)("f", "d1", "d2")).select("component", "variance", "share", "f", "p")
+
+
+def principal_shares(df: DataFrame, columns: list[str]) -> DataFrame:
+    """component, share, and the loading of each column: principal components of the correlation matrix. The driver gets that matrix only."""
+    import numpy as np
+
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    r = df.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)], F.count("*").alias("n")).first()
+    m = np.eye(len(columns))
+    for i, (a, b) in enumerate(pairs):
+        m[columns.index(a), columns.index(b)] = m[columns.index(b), columns.index(a)] = r[f"r{i}"] or 0.0
+    value, vector = np.linalg.eigh(m)
+    rows = []
+    for i, k in enumerate(np.argsort(-value)):
+        v = vector[:, k] * (1 if vector[np.argmax(np.abs(vector[:, k])), k] > 0 else -1)
+        rows.append((i + 1, float(value[k] / value.sum()), *map(float, v)))
+    return df.sparkSession.createDataFrame(rows, "component int, share double, " + ", ".join(f"`{c}` double" for c in columns))
+
+
+def left_out_r2(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column, r2: how much of each column a linear model of the others explains."""
+    out = None
+    for c in columns:  # a handful of columns
+        x = ols(df, c, [o for o in columns if o != c]).limit(1).select(F.lit(c).alias("column"), "r2")
+        out = x if out is None else out.unionByName(x)
+    return out
