@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import uniform
+from ..sources.shared import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -35,9 +36,30 @@ def pairs(spark, d) -> DataFrame:
     return x.select("o", F.col("g").alias("gene_a")).join(x.select("o", F.col("g").alias("gene_b")), "o").where("gene_a < gene_b")
 
 
+_WRITTEN: dict[tuple, DataFrame] = {}
+
+
+def _state(spark, path: str) -> tuple:
+    """Bytes, files and last change of a path, as the file system tells."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    size = fs.getContentSummary(where)
+    return size.getLength(), size.getFileCount(), fs.getFileStatus(where).getModificationTime()
+
+
+def network(spark, d) -> DataFrame:
+    """The co-purchase network; weight is the number of common orders. Written once in an application for each state of the table that it comes from."""
+    key = (spark.sparkContext.applicationId, d, _state(spark, f"{d}/lineitem.parquet"))
+    if key not in _WRITTEN:
+        _WRITTEN.clear()
+        _WRITTEN[key] = cut(pairs(spark, d).groupBy("gene_a", "gene_b").agg(F.count("*").cast("double").alias("weight")), "network")
+    return _WRITTEN[key]
+
+
 def edges(spark, d, least: int = 1) -> DataFrame:
-    """The co-purchase network; weight is the number of common orders."""
-    return pairs(spark, d).groupBy("gene_a", "gene_b").agg(F.count("*").cast("double").alias("weight")).where(F.col("weight") >= least)
+    """The edges of the network that `least` orders or more have in common."""
+    e = network(spark, d)
+    return e.where(F.col("weight") >= least) if least > 1 else e
 
 
 def positives(spark, d, n: int = 100, kind: str = "ECONOMY") -> DataFrame:

@@ -104,7 +104,7 @@ def ground_truth(spark, d):
 
 @query()
 def cap_search(spark, d):
-    e, k = controls.cap_search(base.edges(spark, d, 2), 100, 8)
+    e, k = controls.cap_search(base.edges(spark, d, 2), 100, 18)
     return e.withColumn("k", F.lit(k))
 
 
@@ -116,4 +116,4 @@ def label_participation(spark, d):
 
 @query()
 def coverage_simulation(spark, d):
-    return controls.coverage_simulation(spark, 200)
+    return controls.coverage_simulation(spark, 1000)

@@ -8,23 +8,29 @@ from ..operators import arms, graph, metrics
 from ..operators.labels import stratified_splits
 from ..sources.shared import cut
 from . import base
-from .base import S_COMP, S_DEG, S_DIR, S_E1, S_E2, S_E3, S_X, query, su, t, with_
+from .base import S_COMP, S_DEG, S_DIR, S_E1, S_E2, S_X, query, su, t, with_
 
 R = lambda c, n=6: F.round(F.col(c), n).alias(c)
 
 
 @query(with_(S_E1) + " SELECT * FROM e")
 def edges_canonical(spark, d):
-    x = base.pairs(spark, d)
-    raw = x.groupBy(F.col("gene_b").alias("gene_a"), F.col("gene_a").alias("gene_b")).agg(F.count("*").cast("double").alias("weight"))
-    return graph.canonical(raw)
+    return graph.canonical(_dirty(base.pairs(spark, d).groupBy("gene_a", "gene_b").agg(F.count("*").cast("double").alias("weight"))))
 
 
-@query(with_(S_E2, S_DIR, S_COMP) + """, big AS (SELECT component, count(*) AS n FROM comp GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1)
-SELECT (SELECT count(*) FROM e)::BIGINT AS n_input_edges, (SELECT count(*) FROM e)::BIGINT AS n_mapped_edges, 0::BIGINT AS n_self_loops, (SELECT count(*) FROM e)::BIGINT AS n_edges_dedup,
+def _dirty(e):
+    """Edges with each pair a second time the other way round and lighter, a self-loop at either end and a null end."""
+    back = e.select(F.col("gene_b").alias("gene_a"), F.col("gene_a").alias("gene_b"), (F.col("weight") - 0.5).alias("weight"))
+    loops = e.select("gene_a", F.col("gene_a").alias("gene_b"), F.lit(99.0).alias("weight"))
+    none = e.select("gene_a", F.lit(None).cast("long").alias("gene_b"), F.lit(7.0).alias("weight"))
+    return back.unionByName(e).unionByName(loops).unionByName(none)
+
+
+@query(with_(S_E2, S_DIR, S_COMP) + """, dirty AS (SELECT gene_a AS a, gene_b AS b FROM e UNION ALL SELECT gene_b, gene_a FROM e UNION ALL SELECT gene_a, gene_a FROM e UNION ALL SELECT gene_a, NULL FROM e), big AS (SELECT component, count(*) AS n FROM comp GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1)
+SELECT (SELECT count(*) FROM dirty)::BIGINT AS n_input_edges, (SELECT count(*) FROM dirty WHERE b IS NOT NULL)::BIGINT AS n_mapped_edges, (SELECT count(*) FROM dirty WHERE a = b)::BIGINT AS n_self_loops, (SELECT count(*) FROM (SELECT DISTINCT least(a, b), greatest(a, b) FROM dirty WHERE a <> b))::BIGINT AS n_edges_dedup,
 (SELECT count(DISTINCT component) FROM comp)::BIGINT AS n_components, (SELECT count(*) FROM e JOIN comp ON gene_a = gene WHERE component = (SELECT component FROM big))::BIGINT AS n_edges_lcc, (SELECT n FROM big)::BIGINT AS n_nodes_lcc, 'copurchase' AS net_id""")
 def edge_clean_counts(spark, d):
-    return graph.finalize(base.edges(spark, d, 2), "copurchase")[1]
+    return graph.finalize(_dirty(base.edges(spark, d, 2)), "copurchase")[1]
 
 
 @query(with_(S_E1, S_DIR, S_DEG) + " SELECT * FROM deg")
@@ -32,9 +38,9 @@ def degree_baseline(spark, d):
     return graph.degree(base.edges(spark, d))
 
 
-@query(with_(S_E3, S_DIR, S_COMP) + " SELECT * FROM comp")
+@query(with_(S_E2, S_DIR, S_COMP) + " SELECT * FROM comp")
 def connected_components(spark, d):
-    return graph.components(base.edges(spark, d, 3))
+    return graph.components(base.edges(spark, d, 2))
 
 
 @query(with_(S_E2, S_DIR, S_COMP) + ", big AS (SELECT component FROM comp GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) SELECT e.* FROM e JOIN comp ON gene_a = gene JOIN big USING (component)")
@@ -59,9 +65,9 @@ def _seeds(spark, d):
     return t(spark, d, "part").where("p_type like '%ECONOMY%' and p_size <= 10").select(F.lit("s").alias("col"), F.col("p_partkey").alias("gene"))
 
 
-def _label_sources(spark, d):
+def _label_sources(spark, d, least=2):
     """The label genes of the network, as the starts of one source."""
-    return _seeds(spark, d).join(graph.degree(base.edges(spark, d, 2)), "gene", "left_semi").select(F.col("col").alias("source"), "gene")
+    return _seeds(spark, d).join(graph.degree(base.edges(spark, d, least)), "gene", "left_semi").select(F.col("col").alias("source"), "gene")
 
 
 @query(_rwr_sql(0.5))
@@ -69,6 +75,19 @@ def rwr_scores(spark, d):
     return graph.rwr(base.edges(spark, d), _seeds(spark, d), 0.5, 0.0, 15).select("gene", R("score", 10))
 
 
+@query(_rwr_sql(0.5, 40).replace("round(p, 10)", "round(p, 5)"))
+def rwr_converged(spark, d):
+    """With the stop rule: 40 rounds lie well beyond it."""
+    p = graph.rwr(base.edges(spark, d), _seeds(spark, d), 0.5)
+    return p.where("converged").select("gene", R("score", 5))
+
+
+@query(_rwr_sql(0.5, 40).replace("round(p, 10)", "round(p, 5)"))
+def rwr_converged_by_joins(spark, d):
+    p = graph.rwr(base.edges(spark, d), _seeds(spark, d), 0.5, strategy="joins")
+    return p.where("converged").select("gene", R("score", 5))
+
+
 @query(_rwr_sql(0.5))
 def rwr_scores_by_joins(spark, d):
     return graph.rwr(base.edges(spark, d), _seeds(spark, d), 0.5, 0.0, 15, "joins").select("gene", R("score", 10))
@@ -112,11 +131,20 @@ def fold_margins(spark, d):
     return arms.arm_margins(_arm(spark, d), [], ["auroc"]).select("repeat", "fold", *[R(c) for c in ("delta_auroc", "rwr_auroc", "degree_auroc")])
 
 
-@query(with_(S_E1, S_DIR, S_DEG, S_SEED, _splits_sql(), S_FOLD) + """, k AS (SELECT *, row_number() OVER (PARTITION BY method, repeat, fold ORDER BY score DESC, gene) AS rk, count(*) OVER (PARTITION BY method, repeat, fold) AS n FROM sc)
-SELECT method, repeat, fold, CASE WHEN max(n) >= 50 THEN round(sum(CASE WHEN rk <= 50 THEN y ELSE 0 END) / 50.0::DOUBLE, 6) END AS p_at_50, CASE WHEN max(n) >= 100 THEN round(sum(CASE WHEN rk <= 100 THEN y ELSE 0 END) / 100.0::DOUBLE, 6) END AS p_at_100,
-sum(y)::BIGINT AS n_test_pos, count(*)::BIGINT AS n_test FROM k GROUP BY 1, 2, 3""")
+@query(with_(S_E1, S_DIR, S_DEG, S_SEED, _splits_sql(), S_FOLD) + """, tg AS (SELECT method, repeat, fold, score, sum(y) AS p, count(*) AS n FROM sc GROUP BY ALL), tc AS (SELECT *, sum(p) OVER w / (sum(n) OVER w)::DOUBLE AS pr FROM tg WINDOW w AS (PARTITION BY method, repeat, fold ORDER BY score DESC)),
+ap AS (SELECT method, repeat, fold, CASE WHEN sum(p) > 0 THEN sum(p * pr) / sum(p) END AS auprc FROM tc GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY method, repeat, fold ORDER BY score DESC, gene) AS rk, count(*) OVER (PARTITION BY method, repeat, fold) AS n FROM sc)
+SELECT method, repeat, fold, round(max(au.auroc), 6) AS auroc, round(max(ap.auprc), 6) AS auprc, CASE WHEN max(n) >= 50 THEN round(sum(CASE WHEN rk <= 50 THEN y ELSE 0 END) / 50.0::DOUBLE, 6) END AS p_at_50, CASE WHEN max(n) >= 100 THEN round(sum(CASE WHEN rk <= 100 THEN y ELSE 0 END) / 100.0::DOUBLE, 6) END AS p_at_100,
+sum(y)::BIGINT AS n_test_pos, count(*)::BIGINT AS n_test FROM k JOIN au USING (method, repeat, fold) JOIN ap USING (method, repeat, fold) GROUP BY 1, 2, 3""")
 def arm_results(spark, d):
-    return _arm(spark, d).select("method", "repeat", "fold", R("p_at_50"), R("p_at_100"), "n_test_pos", "n_test")
+    return _arm(spark, d).select("method", "repeat", "fold", R("auroc"), R("auprc"), R("p_at_50"), R("p_at_100"), "n_test_pos", "n_test")
+
+
+@query()
+def fold_margins_full(spark, d):
+    """40 repeats of 5 folds, propagated until they stop."""
+    e = base.edges(spark, d)
+    splits = stratified_splits(graph.degree(e).select("gene"), _seeds(spark, d).select("gene"), 40, 5)
+    return arms.arm_margins(arms.run_arm(e, splits), [], ["auroc", "auprc"])
 
 
 @query()
@@ -128,23 +156,25 @@ def factorial_table1(spark, d):
     return arms.table_one(arms.arm_margins(r, ["network", "label_set"], ["auroc"]), ["network", "label_set"], (0.3, 0.5))
 
 
-@query(with_(S_E2, S_DIR) + ", s0 AS (SELECT p_partkey AS gene FROM part WHERE p_partkey % 97 = 1 AND p_partkey IN (SELECT src FROM dir)), b AS (SELECT gene, 0 AS distance FROM s0 UNION SELECT dst, distance + 1 FROM b JOIN dir ON b.gene = dir.src WHERE distance < 12) SELECT 's' AS source, gene, min(distance)::INTEGER AS distance FROM b GROUP BY gene")
+S_BFS = "b AS (SELECT gene, 0 AS distance FROM sd UNION SELECT dst, distance + 1 FROM b JOIN dir ON b.gene = dir.src WHERE distance < 12)"
+
+
+@query(with_(S_E2, S_DIR, S_DEG, S_SEED, S_BFS) + " SELECT 's' AS source, gene, min(distance)::INTEGER AS distance FROM b GROUP BY gene")
 def bfs_distance(spark, d):
-    e = base.edges(spark, d, 2)
-    s = graph.degree(e).where("gene % 97 = 1").select(F.lit("s").alias("source"), "gene")
-    return graph.bfs(e, s, 12)
+    """Hops from the label genes."""
+    return graph.bfs(base.edges(spark, d, 2), _label_sources(spark, d), 12)
 
 
-@query(with_(S_E2, S_DIR, S_DEG) + ", s0 AS (SELECT gene FROM deg WHERE gene % 97 = 1), b AS (SELECT gene, 0 AS distance FROM s0 UNION SELECT dst, distance + 1 FROM b JOIN dir ON b.gene = dir.src WHERE distance < 12), m AS (SELECT gene, min(distance) AS distance FROM b GROUP BY 1) SELECT deg.gene, coalesce(distance, (SELECT max(distance) + 1 FROM m))::INTEGER AS distance FROM deg LEFT JOIN m ON deg.gene = m.gene")
+@query(with_(S_E1, S_DIR, S_DEG, S_SEED, S_BFS) + ", m AS (SELECT gene, min(distance) AS distance FROM b GROUP BY 1) SELECT deg.gene, coalesce(distance, (SELECT max(distance) + 1 FROM m))::INTEGER AS distance FROM deg LEFT JOIN m ON deg.gene = m.gene")
 def proximity_learner(spark, d):
-    e = base.edges(spark, d, 2)
-    return graph.proximity(e, graph.degree(e).where("gene % 97 = 1").select(F.lit("s").alias("source"), "gene")).select("gene", "distance")
+    return graph.proximity(base.edges(spark, d), _label_sources(spark, d, 1)).select("gene", "distance")
 
 
-@query(with_(S_E2, S_DIR, S_DEG) + ", l AS (SELECT gene FROM deg WHERE gene % 151 = 1), b AS (SELECT gene AS source, gene, 0 AS distance FROM l UNION SELECT source, dst, distance + 1 FROM b JOIN dir ON b.gene = dir.src WHERE distance < 12), m AS (SELECT source, gene, min(distance) AS distance FROM b GROUP BY 1, 2) SELECT gene, round(sum(1.0::DOUBLE / greatest(distance, 1)) / (SELECT count(*) FROM l), 8) AS closeness FROM m GROUP BY gene")
+@query(with_(S_E1, S_DIR, S_DEG) + f", l AS (SELECT gene FROM deg ORDER BY {su('gene', chr(39) + 'landmarks' + chr(39))}, gene LIMIT 32), b AS (SELECT gene AS source, gene, 0 AS distance FROM l UNION SELECT source, dst, distance + 1 FROM b JOIN dir ON b.gene = dir.src WHERE distance < 5), m AS (SELECT source, gene, min(distance) AS distance FROM b GROUP BY 1, 2) SELECT deg.gene, round(coalesce(sum(1.0::DOUBLE / greatest(distance, 1)), 0) / (SELECT count(*) FROM l), 8) AS closeness FROM deg LEFT JOIN m ON deg.gene = m.gene GROUP BY 1")
 def harmonic_closeness(spark, d):
-    e = base.edges(spark, d, 2)
-    return graph.harmonic(e, graph.degree(e).where("gene % 151 = 1").select("gene")).where("closeness > 0").select("gene", R("closeness", 8))
+    """Means over 32 landmarks by hash; closeness_landmarks has 256 on the largest component."""
+    e = base.edges(spark, d)
+    return graph.harmonic(e, graph.degree(e).orderBy(base.u(F.col("gene"), "landmarks"), "gene").limit(32).select("gene")).select("gene", R("closeness", 8))
 
 
 @query()
@@ -155,7 +185,7 @@ def closeness_landmarks(spark, d):
 
 @query()
 def bfs_from_labels(spark, d):
-    return graph.bfs(base.edges(spark, d, 2), _label_sources(spark, d), 1 << 30)
+    return graph.bfs(base.edges(spark, d, 2), _label_sources(spark, d))
 
 
 @query()
@@ -163,14 +193,14 @@ def proximity_from_labels(spark, d):
     return graph.proximity(cut(base.edges(spark, d, 2)), _label_sources(spark, d)).select("gene", "distance")
 
 
-@query(with_(S_E2, S_DIR, S_DEG) + ", n AS (SELECT count(*)::DOUBLE AS n FROM deg), r AS (SELECT 0 AS i, gene, 1.0::DOUBLE / n AS p FROM deg, n UNION ALL SELECT i, gene, p FROM (SELECT r.i + 1 AS i, dst AS gene, 0.15 / any_value(n) + 0.85 * sum(r.p / degree) AS p FROM r JOIN deg ON r.gene = deg.gene JOIN dir ON r.gene = src, n WHERE r.i < 10 GROUP BY r.i, dst)) SELECT gene, round(p, 10) AS score FROM r WHERE i = 10")
+@query(with_(S_E1, S_DIR, S_DEG) + ", n AS (SELECT count(*)::DOUBLE AS n FROM deg), r AS (SELECT 0 AS i, gene, 1.0::DOUBLE / n AS p FROM deg, n UNION ALL SELECT i, gene, p FROM (SELECT r.i + 1 AS i, dst AS gene, 0.15 / any_value(n) + 0.85 * sum(r.p / degree) AS p FROM r JOIN deg ON r.gene = deg.gene JOIN dir ON r.gene = src, n WHERE r.i < 10 GROUP BY r.i, dst)) SELECT gene, round(p, 10) AS score FROM r WHERE i = 10")
 def pagerank(spark, d):
-    return graph.power_iteration(base.edges(spark, d, 2), "pagerank", 10).select("gene", R("score", 10))
+    return graph.power_iteration(base.edges(spark, d), "pagerank", 10).select("gene", R("score", 10))
 
 
-@query(with_(S_E2, S_DIR, S_DEG) + ", r AS (SELECT 0 AS i, gene, 1.0::DOUBLE / (SELECT count(*) FROM deg) AS p FROM deg UNION ALL SELECT i, gene, p / sqrt(sum(p * p) OVER ()) FROM (SELECT r.i + 1 AS i, u AS gene, sum(r.p) AS p FROM r JOIN (SELECT src AS v, dst AS u FROM dir UNION ALL SELECT gene, gene FROM deg) z ON r.gene = z.v WHERE r.i < 10 GROUP BY r.i, u)) SELECT gene, round(p, 8) AS score FROM r WHERE i = 10")
+@query(with_(S_E1, S_DIR, S_DEG) + ", r AS (SELECT 0 AS i, gene, 1.0::DOUBLE / (SELECT count(*) FROM deg) AS p FROM deg UNION ALL SELECT i, gene, p / sqrt(sum(p * p) OVER ()) FROM (SELECT r.i + 1 AS i, u AS gene, sum(r.p) AS p FROM r JOIN (SELECT src AS v, dst AS u FROM dir UNION ALL SELECT gene, gene FROM deg) z ON r.gene = z.v WHERE r.i < 10 GROUP BY r.i, u)) SELECT gene, round(p, 8) AS score FROM r WHERE i = 10")
 def eigenvector(spark, d):
-    return graph.power_iteration(base.edges(spark, d, 2), "eigenvector", 10).select("gene", R("score", 8))
+    return graph.power_iteration(base.edges(spark, d), "eigenvector", 10).select("gene", R("score", 8))
 
 
 @query()
@@ -188,24 +218,34 @@ def hub_truncated_degree(spark, d):
     return graph.degree(graph.truncate_hubs(base.edges(spark, d), 120))
 
 
-@query(with_(S_E2, S_DIR, S_DEG) + ", z AS (SELECT src, dst, pow(x.degree * y.degree, -0.5) AS w FROM dir JOIN deg x ON src = x.gene JOIN deg y ON dst = y.gene) SELECT src, dst, round(w / sum(w) OVER (PARTITION BY src), 8) AS w FROM z")
+@query(with_(S_E1, S_DIR, S_DEG) + ", z AS (SELECT src, dst, pow(x.degree * y.degree, -0.5) AS w FROM dir JOIN deg x ON src = x.gene JOIN deg y ON dst = y.gene) SELECT src, dst, round(w / sum(w) OVER (PARTITION BY src), 8) AS w FROM z")
 def degree_penalised_weights(spark, d):
-    return graph.transition(base.edges(spark, d, 2), 0.5).select("src", "dst", R("w", 8))
+    return graph.transition(base.edges(spark, d), 0.5).select("src", "dst", R("w", 8))
 
 
-@query(with_(S_E2, S_DIR, S_DEG) + ", tr AS (SELECT x.gene_a AS a, x.gene_b AS b, y.gene_b AS c FROM e x JOIN e y ON x.gene_b = y.gene_a JOIN e z ON z.gene_a = x.gene_a AND z.gene_b = y.gene_b), n AS (SELECT gene, count(*) AS k FROM (SELECT unnest([a, b, c]) AS gene FROM tr) GROUP BY 1) SELECT deg.gene, coalesce(k, 0)::BIGINT AS triangles, round(CASE WHEN degree > 1 THEN 2.0::DOUBLE * coalesce(k, 0) / (degree * (degree - 1)) ELSE 0 END, 8) AS clustering FROM deg LEFT JOIN n ON deg.gene = n.gene")
+@query(with_(S_E1, S_DIR, S_DEG) + ", tr AS (SELECT x.gene_a AS a, x.gene_b AS b, y.gene_b AS c FROM e x JOIN e y ON x.gene_b = y.gene_a JOIN e z ON z.gene_a = x.gene_a AND z.gene_b = y.gene_b), n AS (SELECT gene, count(*) AS k FROM (SELECT unnest([a, b, c]) AS gene FROM tr) GROUP BY 1) SELECT deg.gene, coalesce(k, 0)::BIGINT AS triangles, round(CASE WHEN degree > 1 THEN 2.0::DOUBLE * coalesce(k, 0) / (degree * (degree - 1)) ELSE 0 END, 8) AS clustering FROM deg LEFT JOIN n ON deg.gene = n.gene")
 def triangles_clustering(spark, d):
-    return graph.clustering(base.edges(spark, d, 2)).select("gene", "triangles", R("clustering", 8))
+    return graph.clustering(base.edges(spark, d)).select("gene", "triangles", R("clustering", 8))
 
 
-@query(with_(S_E2, S_DIR, S_DEG) + " SELECT round(corr(x.degree, y.degree), 8) AS assortativity, (SELECT count(*) FROM deg)::BIGINT AS n_nodes, (SELECT count(*) FROM e)::BIGINT AS n_edges, (SELECT round(2.0::DOUBLE * (SELECT count(*) FROM e) / (count(*) * (count(*) - 1)), 10) FROM deg) AS density, (SELECT round(avg(degree), 8) FROM deg) AS mean_degree FROM dir JOIN deg x ON src = x.gene JOIN deg y ON dst = y.gene")
+@query(with_(S_E1, S_DIR, S_DEG) + ", tr AS (SELECT x.gene_a AS a, x.gene_b AS b, y.gene_b AS c FROM e x JOIN e y ON x.gene_b = y.gene_a JOIN e z ON z.gene_a = x.gene_a AND z.gene_b = y.gene_b), tn AS (SELECT gene, count(*) AS k FROM (SELECT unnest([a, b, c]) AS gene FROM tr) GROUP BY 1), cl AS (SELECT avg(CASE WHEN degree > 1 THEN 2.0::DOUBLE * coalesce(k, 0) / (degree * (degree - 1)) ELSE 0 END) AS c FROM deg LEFT JOIN tn ON deg.gene = tn.gene) SELECT round(corr(x.degree, y.degree), 8) AS assortativity, (SELECT count(*) FROM deg)::BIGINT AS n_nodes, (SELECT count(*) FROM e)::BIGINT AS n_edges, (SELECT round(2.0::DOUBLE * (SELECT count(*) FROM e) / (count(*) * (count(*) - 1)), 10) FROM deg) AS density, (SELECT round(avg(degree), 8) FROM deg) AS mean_degree, (SELECT round(c, 8) FROM cl) AS mean_clustering FROM dir JOIN deg x ON src = x.gene JOIN deg y ON dst = y.gene")
 def network_descriptors(spark, d):
-    return graph.descriptors(base.edges(spark, d, 2)).select(R("assortativity", 8), "n_nodes", "n_edges", R("density", 10), R("mean_degree", 8))
+    return graph.descriptors(base.edges(spark, d)).select(R("assortativity", 8), "n_nodes", "n_edges", R("density", 10), R("mean_degree", 8), R("mean_clustering", 8))
+
+
+@query()
+def network_descriptors_full(spark, d):
+    return graph.descriptors(base.edges(spark, d, 2))
+
+
+@query()
+def gene_features(spark, d):
+    return graph.features(base.edges(spark, d, 2), 300)
 
 
 @query()
 def kcore(spark, d):
-    return graph.core_numbers(base.edges(spark, d, 2))
+    return graph.core_numbers(base.edges(spark, d))
 
 
 @query(with_(S_E2, S_DIR, S_DEG, "f AS (SELECT * FROM e WHERE (gene_a + gene_b) % 2 = 0)", "sh AS (SELECT gene_a, gene_b FROM e INTERSECT SELECT gene_a, gene_b FROM f)") + " SELECT (SELECT count(*) FROM sh)::BIGINT AS n_shared_edges, (SELECT count(*) FROM deg WHERE gene NOT IN (SELECT gene_a FROM sh UNION SELECT gene_b FROM sh))::BIGINT AS n_changed_nodes, round((SELECT sum(degree * (degree - 1.0)) / (sum(degree) - 1) / 2 FROM deg)::DOUBLE, 6) AS expected_shared")
@@ -223,18 +263,18 @@ def shared_universe(spark, d):
 
 @query()
 def label_propagation(spark, d):
-    return graph.label_propagation(base.edges(spark, d, 2), 5)
+    return graph.label_propagation(base.edges(spark, d), 5)
 
 
 @query()
 def rewire_null(spark, d):
-    e = graph.largest_component(base.edges(spark, d, 2))
-    return graph.rewire(e, 4, 2.0).groupBy("rewire_id").agg(F.count("*").alias("edges"))
+    """100 rewirings of the largest component of the pairs with two orders or more in common."""
+    return graph.rewire(graph.largest_component(base.edges(spark, d, 2)), 100, 10.0)
 
 
 @query()
 def random_walks(spark, d):
-    return graph.walks(graph.largest_component(base.edges(spark, d, 2)), 2, 8).select("gene", "walk_id", F.size("walk").alias("steps"))
+    return graph.walks(graph.largest_component(base.edges(spark, d, 2)), 80, 40)
 
 
 @query()
@@ -242,23 +282,24 @@ def word2vec_auroc(spark, d):
     """AUROC of the cosine to the mean vector of the labelled parts."""
     from ..functions.columns import cosine
 
-    v = graph.embed(graph.walks(graph.largest_component(base.edges(spark, d, 2)), 4, 10)).withColumn("gene", F.col("gene").cast("long"))
+    v = graph.embed(graph.walks(graph.largest_component(base.edges(spark, d, 2)), 80, 40), 64).withColumn("gene", F.col("gene").cast("long"))
     y = v.join(base.positives(spark, d).select("gene", F.lit(1).alias("_y")), "gene", "left").select("gene", "vector", F.coalesce("_y", F.lit(0)).alias("y"))
-    mean = y.where("y = 1 and gene % 2 = 0").select(F.posexplode("vector").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("x")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("mean"))
-    scored = y.where("gene % 2 = 1").crossJoin(F.broadcast(mean)).select(F.lit("node2vec").alias("method"), "gene", "y", F.round(cosine(F.col("vector"), F.col("mean")), 6).alias("score"))
+    half = base.u(F.col("gene"), "half") < 0.5
+    mean = y.where(half & (F.col("y") == 1)).select(F.posexplode("vector").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("x")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("mean"))
+    scored = y.where(~half).crossJoin(F.broadcast(mean)).select(F.lit("node2vec").alias("method"), "gene", "y", F.round(cosine(F.col("vector"), F.col("mean")), 6).alias("score"))
     return metrics.auroc(scored, ["method"])
 
 
 @query()
 def betweenness_sampled(spark, d):
-    return graph.betweenness(base.edges(spark, d, 2), 20)
+    return graph.betweenness(base.edges(spark, d), 300)
 
 
 @query()
 def degree_matched_null(spark, d):
     e = base.edges(spark, d)
     targets = graph.degree(e).select("gene").join(base.positives(spark, d).select("gene", F.lit(1).alias("_y")), "gene", "left").select("gene", F.coalesce("_y", F.lit(0)).alias("y"))
-    return arms.seed_null(e, _seeds(spark, d).select("gene"), targets, 10)
+    return arms.seed_null(e, _seeds(spark, d).select("gene"), targets, 100)
 
 
 @query()

@@ -42,9 +42,9 @@ def roc_points(spark, d):
     return metrics.roc_points(x, ["source"]).select("source", "score", R("fpr", 8), R("tpr", 8))
 
 
-@query(f"WITH s AS (SELECT 'all' AS source, doc_id AS gene, n_chars::DOUBLE AS score, quality AS y FROM documents JOIN labels USING (doc_id)), {S_ROC}, l AS (SELECT *, coalesce(lag(fpr) OVER w, 0) AS x0, coalesce(lag(tpr) OVER w, 0) AS y0 FROM roc WINDOW w AS (PARTITION BY source ORDER BY score DESC)) SELECT source, round(sum(CASE WHEN x0 < 0.2 THEN (least(fpr, 0.2) - x0) * (y0 + CASE WHEN fpr > x0 THEN y0 + (tpr - y0) * (least(fpr, 0.2) - x0) / (fpr - x0) ELSE tpr END) / 2 ELSE 0 END)::DOUBLE, 8) AS pauc FROM l GROUP BY 1")
+@query(f"WITH s AS (SELECT 'all' AS source, doc_id AS gene, n_chars::DOUBLE AS score, quality AS y FROM documents JOIN labels USING (doc_id)), {S_ROC}, l AS (SELECT *, coalesce(lag(fpr) OVER w, 0) AS x0, coalesce(lag(tpr) OVER w, 0) AS y0 FROM roc WINDOW w AS (PARTITION BY source ORDER BY score DESC)) SELECT source, round(sum(CASE WHEN x0 < 0.2 THEN (least(fpr, 0.2) - x0) * (y0 + CASE WHEN fpr > x0 THEN y0 + (tpr - y0) * (least(fpr, 0.2) - x0) / (fpr - x0) ELSE tpr END) / 2 ELSE 0 END)::DOUBLE, 8) AS pauc, round(sum(CASE WHEN x0 < 0.2 THEN (least(fpr, 0.2) - x0) * (y0 + CASE WHEN fpr > x0 THEN y0 + (tpr - y0) * (least(fpr, 0.2) - x0) / (fpr - x0) ELSE tpr END) / 2 ELSE 0 END)::DOUBLE / 0.2, 7) AS pauc_norm FROM l GROUP BY 1")
 def pauc(spark, d):
-    return metrics.partial_auc(base.doc_scores(spark, d).withColumn("source", F.lit("all")), ["source"], 0.2).select("source", R("pauc", 8))
+    return metrics.partial_auc(base.doc_scores(spark, d).withColumn("source", F.lit("all")), ["source"], 0.2).select("source", R("pauc", 8), R("pauc_norm", 7))
 
 
 @query(f"WITH {S_DOC}, {S_RANK} SELECT source, round(quantile_cont(r, 0.5) / max(n), 8) AS medrr FROM k WHERE y = 1 GROUP BY 1")

@@ -46,9 +46,9 @@ def crowding_relative(spark, d):
 S_KNN = "p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score, gene) AS q FROM s), n AS (SELECT a.source, a.gene, b.gene AS near, abs(a.score - b.score) AS distance, b.score AS bs, row_number() OVER (PARTITION BY a.source, a.gene ORDER BY abs(a.score - b.score), b.q) AS place FROM p a JOIN p b ON a.source = b.source AND a.gene <> b.gene)"
 
 
-@query(f"WITH {S_DOC}, {S_KNN} SELECT source, gene, place::INTEGER AS place, distance FROM n WHERE place <= 3")
+@query(f"WITH {S_DOC}, {S_KNN} SELECT source, gene, near, place::INTEGER AS place, distance FROM n WHERE place <= 3")
 def knn_1d(spark, d):
-    return stability.nearest(base.doc_scores(spark, d), ["source"], 3).select("source", "gene", "place", "distance")
+    return stability.nearest(base.doc_scores(spark, d), ["source"], 3).select("source", "gene", "near", "place", "distance")
 
 
 @query(f"WITH {S_DOC}, {S_KNN}, m AS (SELECT source, gene, quantile_cont(bs, 0.5) AS m FROM n WHERE place <= 3 GROUP BY 1, 2) SELECT s.source, s.gene, round(score + 0.5 * (m - score), 8) AS smoothed FROM s JOIN m ON s.source = m.source AND s.gene = m.gene")
