@@ -8,11 +8,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Width of the hashed feature space, and words whose features a worker keeps.
-WIDTH, KEPT = 1 << 20, 300_000
+#: Width of the hashed feature space, words whose features a worker keeps, most features of a word, words looked up at a time.
+WIDTH, KEPT, MOST, CHUNK = 1 << 20, 300_000, 4, 1 << 16
 
 _SIGNS = re.compile(r"[^\w]+|_+")
 
@@ -30,7 +30,7 @@ def stems(word: str) -> tuple[int, ...]:
 def shape(word: str) -> str:
     """What kinds of signs a word is made of: A for capitals, a for letters, 9 for digits, others as they are, runs as one or two."""
     out: list[str] = []
-    for c in word[:64]:
+    for c in word:
         k = "A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c
         if out[-2:] != [k, k]:
             out.append(k)
@@ -43,35 +43,47 @@ def looks(word: str) -> tuple[int, ...]:
     return hashed("c", core), hashed("s", shape(word)), hashed("e", word[-3:])
 
 
+class _Rows(dict):
+    """Numbers of the rows in which words' features stand: KEPT of them for good, others (and words over 64 characters) until the next chunk."""
+
+    def __init__(self, of: Callable[[str], tuple[int, ...]]):
+        super().__init__()
+        self.of, self.table, self.spare = of, np.full((KEPT + CHUNK, MOST), -1, np.int32), 0
+
+    def __missing__(self, word: str) -> int:
+        keep = len(self) < KEPT and len(word) <= 64
+        at = len(self) if keep else KEPT + self.spare
+        found = self.of(word)
+        self.table[at, : len(found)] = found
+        self.table[at, len(found) :] = -1
+        if keep:
+            self[word] = at
+        else:
+            self.spare += 1
+        return at
+
+
 class Features:
-    """Indicator features of whole texts: those of each distinct word and, if asked for, the pairs of shapes that stand side by side."""
-
-    def __init__(self, of: Callable[[str], tuple[int, ...]], pairs: bool = False):
-        self.of, self.pairs, self.kept, self.shapes = of, pairs, {}, {}
-
-    def _word(self, word: str) -> tuple[int, ...]:
-        found = self.kept.get(word)
-        if found is None:
-            found = self.of(word)
-            if len(self.kept) < KEPT and len(word) <= 64:
-                self.kept[word] = found
-        return found
-
-    def _shape(self, word: str) -> str:
-        found = self.shapes.get(word)
-        if found is None:
-            found = shape(word)
-            if len(self.shapes) < KEPT and len(word) <= 64:
-                self.shapes[word] = found
-        return found
+    """Indicator features of whole texts: those of each word and, for the columns `pairs` of them, the bigrams: the pairs of words that stand side by side, by that feature of either."""
+
+    def __init__(self, of: Callable[[str], tuple[int, ...]], pairs: tuple[int, ...] = ()):
+        self.rows, self.pairs = _Rows(of), pairs
 
     def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").split()
-        ids = set().union(*map(self._word, set(words)))
-        if self.pairs:
-            s = list(map(self._shape, words))
-            ids |= {hashed("2", *p) for p in set(zip(s, s[1:], strict=False))}
-        return np.fromiter(ids, np.int32, len(ids))
+        words, out, last = (text or "").split(), [], None
+        for lo in range(0, len(words), CHUNK):
+            part = words[lo : lo + CHUNK]
+            self.rows.spare = 0
+            own = self.rows.table[np.fromiter(map(self.rows.__getitem__, part), np.int64, len(part))]
+            out.append(own.ravel())
+            line = own if last is None else np.concatenate((last, own))
+            for c in self.pairs:
+                x = line[:, c].astype(np.uint64)
+                h = (x[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ x[1:]) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(c)
+                out.append((h >> np.uint64(44)).astype(np.int32))  # the upper 20 bits: below WIDTH
+            last = own[-1:]
+        ids = np.unique(np.concatenate(out)) if out else np.zeros(0, np.int32)
+        return ids[1:] if len(ids) and ids[0] < 0 else ids
 
 
 def sample(docs: DataFrame, labels: DataFrame, column: str, features: Callable[[], Features], rows: int, where: F.Column | None = None) -> tuple[list[np.ndarray], np.ndarray]:
@@ -91,7 +103,7 @@ def sample(docs: DataFrame, labels: DataFrame, column: str, features: Callable[[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = features()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(2), pa.array([np.sort(f(t.as_py())).tobytes() for t in b.column(1)], pa.binary())], names=["doc_id", "y", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(2), pa.array([f(t.as_py()).tobytes() for t in b.column(1)], pa.binary())], names=["doc_id", "y", "x"])
 
     got = sorted((r["doc_id"], r["y"], bytes(r["x"])) for r in chosen.mapInArrow(run, "doc_id long, y int, x binary").collect())
     return [np.frombuffer(x, np.int32) for _, _, x in got], np.array([y for _, y, _ in got], int)
@@ -115,3 +127,17 @@ def scored(docs: DataFrame, features: Callable[[], Features], weights: np.ndarra
             yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, out)], names=["doc_id", *(o.split()[0] for o in outputs.split(", "))])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, f"doc_id long, {outputs}")
+
+
+def flagged(features: Callable[[], Features], weights: np.ndarray, finish: Callable[[np.ndarray, np.ndarray], np.ndarray], spark: SparkSession) -> Callable[[F.Column], F.Column]:
+    """A column function of texts: what `finish` makes of the sum of the weights of a text's features and their number, as in scored()."""
+    shared = spark.sparkContext.broadcast(weights)
+
+    @F.arrow_udf("boolean")
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        f, w = features(), shared.value
+        for b in texts:
+            x = [f(t.as_py()) for t in b]
+            yield pa.array(finish(np.array([w[v].sum(dtype=float) for v in x], float), np.array([len(v) for v in x], float)).astype(bool), pa.bool_())
+
+    return run

@@ -10,14 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import by_cell, cell_pairs, partitions, split_hot, table, whole_cells
+from .shared import by_cell, cell_pairs, keyed, partitions, side, split_hot, table, whole_cells
 
 #: Largest edit distance of two lines that count as one, and characters of a line below which only equal lines do.
 EDITS, SHORTEST = 2, 32
 #: Lines that share a substring and emit their pairs; more are compared in blocks, with their texts at hand.
 FEW, BLOCK = 32, 512
-#: Rows of 40 bytes that may be broadcast.
-BROADCAST_ROWS = 300_000
 
 
 def segments(length: int, edits: int = EDITS) -> list[tuple[int, int]]:
@@ -166,27 +164,27 @@ def _met(rows: DataFrame) -> DataFrame:
     return rows.repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key").mapInPandas(run, "a long, b long, held boolean")
 
 
-def repeated_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, exact: int | None = None) -> DataFrame:
-    """(doc_id, away array<int>): the numbers (from 0) of the lines that repeat an earlier one, for the documents that have such lines.
+def line_marks(rows: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, exact: int | None = None) -> DataFrame:
+    """(id, away array<int>) of written rows (id, doc_id, text): the numbers (from 0) of the lines of a row that repeat an earlier one, for the rows that have such lines.
 
-    Lines count in the order of (doc_id, line number). A line of `exact` characters or more (unset: `shortest`) goes if an equal one stands earlier; one of `shortest`
-    or more also if its first equal stands after the first equal of such a line within `edits` edits. Blank lines under `shortest` stay. Rows with a null doc_id and null texts have no
-    part; rows that repeat a doc_id are one document.
+    Lines count in the order of (doc_id, hash of the text, id, line number), null doc_ids first. A line of `exact` characters or more (unset: `shortest`) goes if an equal one
+    stands earlier; one of `shortest` or more also if its first equal stands after the first equal of such a line within `edits` edits. Blank lines under `shortest` stay.
     """
     least = shortest if exact is None else min(exact, shortest)
-    lines = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), F.posexplode(F.split("text", "\n")).alias("no", "text")).where((F.char_length("text") >= shortest) | ((F.char_length("text") >= least) & F.col("text").rlike(r"\S")))
+    place = ["doc", "th", "id", "no"]
+    given = rows.select("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.col("text").cast("string").alias("whole"))
+    lines = given.select("id", "doc", F.xxhash64("whole").alias("th"), F.posexplode(F.split("whole", "\n")).alias("no", "text")).where((F.char_length("text") >= shortest) | ((F.char_length("text") >= least) & F.col("text").rlike(r"\S")))
     lines = lines.withColumn("h", F.xxhash64("text")).withColumn("h2", F.xxhash64(F.lit(2), "text"))
-    every = table(lines.select("doc", "no", "h", "h2"), "lines", "snappy")
-    firsts = table(every.groupBy("h", "h2").agg(F.min(F.struct("doc", "no")).alias("f"), F.count("*").alias("n")), "firsts", "snappy")
-    met = table(_met(_keys(docs.where("doc_id is not null"), edits, shortest)), "met", "snappy")
+    every = table(lines.select(*place, "h", "h2"), "lines", "snappy")
+    firsts = table(every.groupBy("h", "h2").agg(F.min(F.struct(*place)).alias("f"), F.count("*").alias("n")), "firsts", "snappy")
+    met = table(_met(_keys(rows, edits, shortest)), "met", "snappy")
     pairs = table(met.where("held is null").select("a", "b").distinct(), "pairs", "snappy")
     held = met.where("held is not null").select(F.col("b").alias("key"), F.col("a").alias("line"), F.col("held").alias("probe")).groupBy("key", "line").agg(F.min("probe").alias("probe"))
     held = table(held, "held", "snappy")
     ids = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).unionByName(held.select(F.col("line").alias("h"))).distinct()
-    need = table(firsts.join(ids, "h", "left_semi").select("h", "h2", F.col("f.doc").alias("doc"), F.col("f.no").alias("no")), "need", "snappy")
-    many = need.count()
+    need = table(firsts.join(ids, "h", "left_semi").select("f.id", "f.no"), "need", "snappy")
     # A line's text is read where it stands first: one row each, however often it is repeated.
-    texts = table(lines.join(F.broadcast(need) if many <= BROADCAST_ROWS else need, ["h", "h2", "doc", "no"]).select("h", "h2", "doc", "no", "text").dropDuplicates(["h", "h2", "doc", "no"]), "texts")
+    texts = table(lines.join(side(need, 16), ["id", "no"]).select(*place, "h", "h2", "text"), "texts")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -194,17 +192,19 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST
             ok = [i for i, (s, t) in enumerate(zip(x, y, strict=True)) if within(s, t, edits)]
             yield b.select(["h", "h2"]).take(pa.array(ok, pa.int64()))
 
-    later = F.struct("x.doc", "x.no") > F.struct("y.doc", "y.no")
+    later = F.struct(*[f"x.{c}" for c in place]) > F.struct(*[f"y.{c}" for c in place])
     two = pairs.join(texts.alias("x"), F.col("a") == F.col("x.h")).join(texts.alias("y"), F.col("b") == F.col("y.h"))
     two = two.select(*(F.when(later, F.col(f"x.{c}")).otherwise(F.col(f"y.{c}")).alias(c) for c in ("h", "h2")), F.col("x.text").alias("s"), F.col("y.text").alias("t"))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame, ends in whole_cells(batches, "key"):
             text, probe = frame["text"].tolist(), frame["probe"].to_numpy()
-            doc, no, h, h2 = (frame[c].to_numpy() for c in ("doc", "no", "h", "h2"))
+            h, h2 = frame["h"].to_numpy(), frame["h2"].to_numpy()
+            rank = np.empty(len(frame), np.int64)
+            rank[np.lexsort([frame[c].to_numpy() for c in reversed(place)])] = np.arange(len(frame))
             gone = np.zeros(len(frame), bool)
             for a, b in cell_pairs(frame, ends, 200_000):
-                after = (doc[a] > doc[b]) | ((doc[a] == doc[b]) & (no[a] > no[b]))
+                after = rank[a] > rank[b]
                 late, early = np.where(after, a, b), np.where(after, b, a)
                 ok = ~(probe[a] & probe[b]) & ~gone[late] & ((h[a] != h[b]) | (h2[a] != h2[b]))
                 for x, y in zip(late[ok].tolist(), early[ok].tolist(), strict=True):
@@ -213,25 +213,39 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST
             if gone.any():
                 yield pd.DataFrame({"h": h[gone], "h2": h2[gone]})
 
-    crowd = split_hot(held.join(texts, F.col("line") == F.col("h")).select("key", "probe", "h", "h2", "doc", "no", "text"), "key", "h", BLOCK)
+    crowd = split_hot(held.join(texts, F.col("line") == F.col("h")).select("key", "probe", "h", "h2", *place, "text"), "key", "h", BLOCK)
     near = two.mapInArrow(verify, "h long, h2 long").unionByName(by_cell(crowd, "key").mapInPandas(compare, "h long, h2 long")).distinct()
     marks = firsts.join(near.withColumn("near", F.lit(True)), ["h", "h2"], "left").where("n > 1 or near")
-    marks = table(marks.select("h", "h2", F.col("f.doc").alias("first_doc"), F.col("f.no").alias("first_no"), F.coalesce("near", F.lit(False)).alias("near")), "marks", "snappy")
-    marked = every.join(F.broadcast(marks) if marks.count() <= BROADCAST_ROWS else marks, ["h", "h2"])
-    return marked.where("near or doc <> first_doc or no <> first_no").groupBy(F.col("doc").alias("doc_id")).agg(F.array_sort(F.collect_set("no")).alias("away"))
+    marks = table(marks.select("h", "h2", F.col("f.id").alias("first_id"), F.col("f.no").alias("first_no"), F.coalesce("near", F.lit(False)).alias("near")), "marks", "snappy")
+    marked = every.select("id", "no", "h", "h2").join(side(marks, 40), ["h", "h2"])
+    away = marked.where("near or id <> first_id or no <> first_no").groupBy("id").agg(F.array_sort(F.collect_list("no")).alias("away"))
+    return table(away, "away", "snappy")
+
+
+def _with(rows: DataFrame, away: DataFrame) -> DataFrame:
+    """rows with `away`, null where a row keeps all its lines."""
+    return rows.join(side(away, 32, 4 * F.size("away")), "id", "left")
+
+
+def repeated_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, exact: int | None = None) -> DataFrame:
+    """(doc_id, away array<int>) for every row of docs: the numbers of its lines that repeat earlier ones (line_marks), an empty list where there are none.
+
+    Each row counts by itself: rows that repeat a doc_id are documents of their own, of repeated rows one keeps its lines, and rows of a null doc_id take part, before all others.
+    Null texts have no lines; an empty table gives no rows; other columns are ignored.
+    """
+    rows = table(docs.select(F.monotonically_increasing_id().alias("id"), F.col("doc_id").cast("long"), F.col("text").cast("string")), "rows")
+    return _with(rows.select("id", "doc_id"), line_marks(rows, edits, shortest, exact)).select("doc_id", F.coalesce("away", F.array().cast("array<int>")).alias("away"))
 
 
 def without_repeated_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, exact: int | None = None) -> DataFrame:
     """docs, columns as they came, with the repeated lines cut from text; n_chars, where there is one, counts what is left.
 
-    Every row stays; a text whose lines all repeat earlier ones becomes empty, a null text stays null, and a row without repeated lines is unchanged.
+    Every row stays, each by itself as in repeated_lines(); a text whose lines all repeat earlier ones becomes empty, a null text stays null, and a row without repeated lines is unchanged.
     """
-    away = table(repeated_lines(docs, edits, shortest, exact).withColumnRenamed("doc_id", "_doc").withColumnRenamed("away", "_away"), "away", "snappy")
-    out = docs.join(F.broadcast(away) if away.count() <= 50_000 else away, F.col("doc_id") == F.col("_doc"), "left")
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_away", i)), "\n")
-    cut = F.when(F.col("_away").isNull(), F.col("text")).otherwise(left)
-    kinds = dict(docs.dtypes)
-    out = out.withColumn("text", cut)
+    rows, kinds = keyed(docs), dict(docs.dtypes)
+    away = line_marks(rows.select("id", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text")), edits, shortest, exact)
+    left = F.array_join(F.filter(F.split("row.text", "\n"), lambda x, i: ~F.array_contains("away", i)), "\n")
+    new = {"text": F.when(F.col("away").isNull(), F.col("row.text")).otherwise(left)}
     if "n_chars" in kinds:
-        out = out.withColumn("n_chars", F.when(F.col("_away").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(kinds["n_chars"]))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(F.col("away").isNull(), F.col("row.n_chars")).otherwise(F.char_length(left)).cast(kinds["n_chars"])
+    return _with(rows, away).select(*[new[c].alias(c) if c in new else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_ROWS, in_order, table
+from .shared import in_order, side, table
 
 #: Bits of the hash that one histogram resolves, and how often a boundary bucket is refined: LEVELS * BITS bits in all.
 BITS, LEVELS = 12, 5
@@ -34,51 +34,68 @@ def targets(sizes: DataFrame) -> DataFrame:
     return t.withColumn("target", F.least(F.lit(level) * F.col("weight"), F.col("source_size").cast("double") * REPEATS))
 
 
-def mix(docs: DataFrame, name: str = "mix") -> DataFrame:
-    """doc_id, source, size, source_size, target, copies int, taken long for every row of docs.
+def _hash(doc_id) -> F.Column:
+    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("null"))), 1, 15), 16, 10).cast("long")
 
-    A source whose target is k times its size and something more takes every document k times and the documents under a hash threshold once more. The
-    threshold comes from a histogram of sizes by source and leading hash bits; the bucket in which the budget ends is histogrammed again by the next bits,
-    LEVELS times, so the last bucket holds one hash value; it is taken too if that brings the sum nearer to the target. No rows are sorted.
 
-    The hash is md5 of the doc_id, so reruns agree. Null texts have size 0; a null source is a source, the last; rows that repeat a doc_id within a source
-    share their fate and count each; null doc_ids hash alike; an empty table gives no rows; all-empty texts give targets 0 and nothing taken.
-    """
-    h = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), 1, 15), 16, 10).cast("long")
-    rows = table(docs.select("doc_id", F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size"), h.alias("_h")), name, "snappy")
+def _small(df: DataFrame) -> DataFrame:
+    """A row a source, behind a check of their bytes."""
+    return side(df, 64, F.coalesce(F.octet_length("source"), F.lit(0)))
+
+
+def thresholds(rows: DataFrame) -> DataFrame:
+    """(source, source_size, target, k, under): of written rows (source, size, h) each source's documents are taken k times, and those whose hash h lies below `under` once more."""
     sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     # k whole rounds and the budget that is left for one more
     k = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(REPEATS))).otherwise(F.lit(0)).cast("int")
-    aim = targets(sums).withColumn("_k", k).withColumn("_budget", F.when(F.col("_k") < REPEATS, F.col("target") - F.col("_k") * F.col("source_size")).otherwise(F.lit(0.0)))
-    aim = table(aim.withColumn("_prefix", F.lit(0).cast("long")), "aim", "snappy")
-    small = aim.count() <= BROADCAST_ROWS
-    side = (lambda d: F.broadcast(d)) if small else (lambda d: d)  # a row a source, behind a check of their number
+    aim = targets(sums).withColumn("k", k).withColumn("budget", F.when(F.col("k") < REPEATS, F.col("target") - F.col("k") * F.col("source_size")).otherwise(F.lit(0.0)))
+    aim = table(aim.withColumn("prefix", F.lit(0).cast("long")), "aim", "snappy")
+    here = lambda: _small(aim).select(F.col("source").alias("of"), "prefix")
     for level in range(LEVELS):
         shift = BITS * (LEVELS - 1 - level)
-        inside = rows.join(side(aim.select(F.col("source").alias("_s"), "_prefix")), F.col("source").eqNullSafe(F.col("_s"))).where(F.shiftright("_h", shift + BITS) == F.col("_prefix")) if level else rows
-        hist = inside.groupBy("source", F.shiftright("_h", shift).alias("_b")).agg(F.sum("size").alias("_w"))
+        inside = rows.join(here(), F.col("source").eqNullSafe(F.col("of"))).where(F.shiftright("h", shift + BITS) == F.col("prefix")) if level else rows
+        hist = inside.groupBy("source", F.shiftright("h", shift).alias("b")).agg(F.sum("size").alias("w"))
         # At most 2**BITS buckets a source meet here, with their sums; the threshold's bucket is the first that would pass the budget.
-        run = hist.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("_b", "_w"))).alias("_all"))
+        run = hist.groupBy(F.col("source").alias("of")).agg(F.array_sort(F.collect_list(F.struct("b", "w"))).alias("all"))
         step = F.aggregate(
-            "_all",
-            F.struct(F.col("_budget").alias("left"), F.lit(None).cast("long").alias("at")),
-            lambda acc, x: F.when(acc["at"].isNotNull(), acc).when(x["_w"] > acc["left"], F.struct(acc["left"].alias("left"), x["_b"].alias("at"))).otherwise(F.struct((acc["left"] - x["_w"]).alias("left"), acc["at"].alias("at"))),
+            "all",
+            F.struct(F.col("budget").alias("left"), F.lit(None).cast("long").alias("at")),
+            lambda acc, x: F.when(acc["at"].isNotNull(), acc).when(x["w"] > acc["left"], F.struct(acc["left"].alias("left"), x["b"].alias("at"))).otherwise(F.struct((acc["left"] - x["w"]).alias("left"), acc["at"].alias("at"))),
         )
-        found = aim.withColumnRenamed("source", "_s").join(run, F.col("_s").eqNullSafe(F.col("source")), "left").withColumn("_step", F.coalesce(step, F.struct(F.col("_budget").alias("left"), F.lit(None).cast("long").alias("at"))))
+        found = aim.join(run, F.col("source").eqNullSafe(F.col("of")), "left").withColumn("step", F.coalesce(step, F.struct(F.col("budget").alias("left"), F.lit(None).cast("long").alias("at"))))
         # Where no bucket passes the budget, all of them are under the threshold; where there were none, the threshold stands already.
-        past = F.when(F.col("_all").isNull(), F.col("_prefix")).otherwise(F.col("_prefix") + 1) * (1 << BITS)
-        aim = table(found.select(F.col("_s").alias("source"), "source_size", "weight", "target", "_k", F.col("_step.left").alias("_budget"), F.coalesce("_step.at", past).alias("_prefix")), "aim", "snappy")
-    last = rows.join(side(aim.select(F.col("source").alias("_s"), "_prefix")), F.col("source").eqNullSafe(F.col("_s"))).where("_h = _prefix").groupBy("source").agg(F.sum("size").alias("_w"))
+        past = F.when(F.col("all").isNull(), F.col("prefix")).otherwise(F.col("prefix") + 1) * (1 << BITS)
+        aim = table(found.select("source", "source_size", "target", "k", F.col("step.left").alias("budget"), F.coalesce("step.at", past).alias("prefix")), "aim", "snappy")
+    last = rows.join(here(), F.col("source").eqNullSafe(F.col("of"))).where("h = prefix").groupBy("of").agg(F.sum("size").alias("w"))
     # The one hash value at the threshold: in, if its words overshoot by less than they would fall short.
-    take = F.when(F.coalesce("_w", F.lit(0)) < 2 * F.col("_budget"), F.col("_prefix") + 1).otherwise(F.col("_prefix"))
-    aim = table(aim.withColumnRenamed("source", "_s").join(last, F.col("_s").eqNullSafe(F.col("source")), "left").select("_s", "source_size", "target", "_k", F.when(F.col("_k") < REPEATS, take).otherwise(F.lit(0).cast("long")).alias("_under")), "aim", "snappy")
-    copies = F.col("_k") + (F.col("_h") < F.col("_under")).cast("int")
-    out = rows.join(side(aim), F.col("source").eqNullSafe(F.col("_s"))).withColumn("copies", copies)
+    take = F.when(F.coalesce("w", F.lit(0)) < 2 * F.col("budget"), F.col("prefix") + 1).otherwise(F.col("prefix"))
+    out = aim.join(last, F.col("source").eqNullSafe(F.col("of")), "left")
+    return table(out.select("source", "source_size", "target", "k", F.when(F.col("k") < REPEATS, take).otherwise(F.lit(0).cast("long")).alias("under")), "aim", "snappy")
+
+
+def mix(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies int, taken long for every row of docs.
+
+    A source whose target is k times its size and something more takes every document k times and the documents under a hash threshold once more. The
+    threshold comes from a histogram of sizes by source and leading hash bits; the bucket in which the budget ends is histogrammed again by the next bits,
+    LEVELS times, so the last bucket holds one hash value; it is taken too if that brings the sum nearer to the target. No rows are sorted.
+
+    The hash is md5 of the doc_id, so reruns agree. Null texts have size 0; a null source is a source, the last; rows that repeat a doc_id within a source
+    share their fate and count each; null doc_ids hash alike; an empty table gives no rows; all-empty texts give targets 0 and nothing taken; other columns are ignored.
+    """
+    rows = table(docs.select("doc_id", F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size"), _hash(F.col("doc_id")).alias("h")), "mix", "snappy")
+    aim = _small(thresholds(rows)).withColumnRenamed("source", "of")
+    out = rows.join(aim, F.col("source").eqNullSafe(F.col("of"))).withColumn("copies", F.col("k") + (F.col("h") < F.col("under")).cast("int"))
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """docs as the mix takes them: rows not taken go, rows taken twice or more come as often; columns as they came. Documents without words go with copies 0 as any other."""
-    shares = mix(docs).groupBy("doc_id", "source").agg(F.max("copies").alias("_n")).withColumnRenamed("doc_id", "_d").withColumnRenamed("source", "_s")
-    out = docs.join(shares, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").cast("string").eqNullSafe(F.col("_s"))).where("_n > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+    """docs as the mix takes them: rows not taken go, rows taken twice or more come as often; columns as they came.
+
+    What mix() decides of a row follows from its source's threshold and its own hash, so rows meet a table of sources only and are filtered where they are.
+    """
+    source, h = F.col("source").cast("string"), _hash(F.col("doc_id"))
+    aim = _small(thresholds(table(docs.select(source.alias("source"), words(F.col("text")).alias("size"), h.alias("h")), "mix", "snappy"))).withColumnRenamed("source", "of")
+    out = docs.select(F.struct("*").alias("row"), source.alias("src"), h.alias("h")).join(aim, F.col("src").eqNullSafe(F.col("of")))
+    times = F.col("k") + (F.col("h") < F.col("under")).cast("int")
+    return out.withColumn("times", times).where("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")).select("row.*")

@@ -27,7 +27,8 @@ class Model:
 
 
 def features() -> Features:
-    return Features(looks, pairs=True)
+    """Words, their shapes and endings, word bigrams and bigrams of shapes."""
+    return Features(looks, pairs=(0, 1))
 
 
 def ratios(x: list[np.ndarray], y: np.ndarray) -> np.ndarray:

@@ -46,18 +46,15 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The digest of the shards as written: sizes and checksums are those of the texts read back."""
+    """The digest of the shards' files: sizes and checksums are those of the texts read back."""
     text = F.coalesce(F.col("text"), F.lit(""))
     laid = shard(read(spark, sf_dir, "documents"), SHARDS)
     return laid.select(F.col("doc_id").cast("long"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with the numbers of its lines that repeat earlier ones (none: an empty list)."""
-    docs = read(spark, sf_dir, "documents")
-    away = repeated_lines(docs, exact=1).withColumnRenamed("doc_id", "_doc")
-    out = docs.select(F.col("doc_id").cast("long")).join(away, F.col("doc_id") == F.col("_doc"), "left")
-    return out.select("doc_id", F.coalesce("away", F.array().cast("array<int>")).alias("removed_lines"), F.coalesce(F.size("away"), F.lit(0)).alias("n_removed"))
+    """Every row of documents with the numbers of its lines that repeat earlier ones (none: an empty list)."""
+    return repeated_lines(read(spark, sf_dir, "documents"), exact=1).select("doc_id", F.col("away").alias("removed_lines"), F.size("away").alias("n_removed"))
 
 
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:

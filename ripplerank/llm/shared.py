@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -13,20 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: A side of at most this many rows (each a few numbers) may be broadcast; a larger one is joined by a shuffle.
-BROADCAST_ROWS = 100_000
+from ..sources.shared import shared_dir
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; only where it is unset (as in tests) one of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        own = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if not own.isDefined():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ripplerank-"))
-            own = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = own.get()
-    return found.rstrip("/")
+#: A side of at most this many bytes, counted before, may be broadcast; a larger one is joined by a shuffle.
+BROADCAST_BYTES = 8 << 20
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -44,6 +33,18 @@ def table(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def keyed(docs: DataFrame, name: str = "rows") -> DataFrame:
+    """(id, row): docs written once, with a number for each row and its columns in one struct, so that repeated and null doc_ids tell rows apart and no working column clashes."""
+    return table(docs.select(F.monotonically_increasing_id().alias("id"), F.struct("*").alias("row")), name)
+
+
+def side(df: DataFrame, width: int, *cells: F.Column) -> DataFrame:
+    """df marked for broadcast where its rows, at `width` bytes each and what `cells` (columns of byte counts) add, come to BROADCAST_BYTES at most; else as it is. df is a table()."""
+    extra = [F.coalesce(F.sum(c), F.lit(0)).cast("long") for c in cells]
+    n, *more = df.agg(F.count("*"), *extra).first()
+    return F.broadcast(df) if n * width + sum(more) <= BROADCAST_BYTES else df
+
+
 def drop_table(df: DataFrame) -> None:
     """Deletes the files of a table() that nothing reads any more."""
     spark = df.sparkSession
@@ -101,10 +102,9 @@ def split_hot(rows: DataFrame, key: str, member: str, block: int = 1024) -> Data
     cell holds much over two blocks, however large the key's group is.
     """
     hot = table(rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > block).select(key, F.ceil(F.col("_n") / block).cast("int").alias("_blocks")), "hot")
-    n = hot.count()
-    if not n:
+    if hot.isEmpty():
         return rows.withColumns({x: F.lit(0) for x in ("_i", "_j", "_home")})
-    laid = rows.join(F.broadcast(hot) if n <= BROADCAST_ROWS else hot, key, "left")
+    laid = rows.join(side(hot, 16), key, "left")
     laid = laid.withColumn("_home", F.coalesce(F.pmod(F.xxhash64(F.lit(7), member), F.col("_blocks").cast("long")).cast("int"), F.lit(0)))
     cells = F.expr("transform(sequence(0, coalesce(_blocks, 1) - 1), x -> struct(least(x, _home) as i, greatest(x, _home) as j))")
     laid = laid.withColumn("_cell", F.explode(cells))

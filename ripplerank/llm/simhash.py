@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import by_cell, cell_pairs, components, forest, split_hot, table, whole_cells
+from .shared import by_cell, cell_pairs, components, forest, keyed, side, split_hot, table, whole_cells
 
 #: h of a shingle: XXH64 with this seed.
 SEED = 42
@@ -36,15 +36,17 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """(doc_id, fp long): the whole text's fingerprint for every row; null and blank texts have 0."""
+def fingerprints(rows: DataFrame, words: int = 3) -> DataFrame:
+    """rows (text and any other columns) with fp long, the whole text's fingerprint, in place of text; null and blank texts have 0."""
+    others = [f for f in rows.schema.fields if f.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.fromiter((fingerprint(t.as_py(), words) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            fps = np.fromiter((fingerprint(t.as_py(), words) for t in b.column(len(others))), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fps.view(np.int64))], names=[*b.schema.names[:-1], "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    kind = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in others), "fp long"])
+    return rows.select(*[f.name for f in others], F.col("text").cast("string")).mapInArrow(run, kind)
 
 
 def anchors(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,18 +79,19 @@ def anchors(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def links(classes: DataFrame, bits: int = 3, block: int = BLOCK) -> DataFrame:
-    """(a long, b long): links between the representatives of fingerprint classes (fp, rep) that connect all classes at `bits` (3 or fewer) differing bits, and no others."""
+    """(a long, b long): links between fingerprints (fp, each once) that connect all of them at `bits` (3 or fewer) differing bits, and no others."""
     if not 0 <= bits <= 3:
         raise ValueError("the anchors cover up to 3 differing bits")
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             row, anchor = anchors(b["fp"].to_numpy().view(np.uint64))
-            yield pd.DataFrame({"anchor": anchor.view(np.int64), "fp": b["fp"].to_numpy()[row], "rep": b["rep"].to_numpy()[row]})
+            yield pd.DataFrame({"anchor": anchor.view(np.int64), "fp": b["fp"].to_numpy()[row]})
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame, ends in whole_cells(batches, "anchor"):
-            fp, rep, found = frame["fp"].to_numpy().view(np.uint64), frame["rep"].to_numpy(), []
+            own, found = frame["fp"].to_numpy(), []
+            fp = own.view(np.uint64)
             for a, b in cell_pairs(frame, ends, 1_000_000):
                 near = np.bitwise_count(fp[a] ^ fp[b]) <= bits
                 found.append((a[near], b[near]))
@@ -96,27 +99,38 @@ def links(classes: DataFrame, bits: int = 3, block: int = BLOCK) -> DataFrame:
                 a, b = (np.concatenate(x) for x in zip(*found, strict=True))
                 root = forest(len(frame), a, b)
                 at = np.flatnonzero(root != np.arange(len(frame)))
-                yield pd.DataFrame({"a": rep[at], "b": rep[root[at]]})
+                yield pd.DataFrame({"a": own[at], "b": own[root[at]]})
 
-    dealt = classes.select("fp", "rep").mapInPandas(deal, "anchor long, fp long, rep long")
+    dealt = classes.select("fp").mapInPandas(deal, "anchor long, fp long")
     return by_cell(split_hot(dealt, "anchor", "fp", block), "anchor").mapInPandas(meet, "a long, b long").distinct()
 
 
+def _grouped(fps: DataFrame, first: F.Column, bits: int) -> DataFrame:
+    """(fp, n, first): each fingerprint of fps, the rows that have it and the least `first` of the whole group that its links reach."""
+    classes = table(fps.groupBy("fp").agg(F.count("*").alias("n"), F.min(first).alias("own")), "classes", "snappy")
+    reach = table(components(links(classes, bits)), "reach", "snappy")
+    least = reach.join(classes, reach["id"] == classes["fp"]).groupBy("component").agg(F.min("own").alias("first"), F.sum("n").alias("rows"))
+    of = reach.join(least, "component").select(F.col("id").alias("fp"), "first", "rows")
+    return classes.join(of, "fp", "left").select("fp", F.coalesce("rows", "n").alias("n"), F.when(F.col("rows").isNull(), F.col("own")).otherwise(F.col("first")).alias("first"))
+
+
 def simhash_groups(docs: DataFrame, bits: int = 3, words: int = 3) -> DataFrame:
     """One row for each row of docs: doc_id, fingerprint (16 lowercase hex digits), component_id (smallest doc_id reachable over fingerprints at `bits` or fewer differing bits).
 
-    Equal fingerprints are one class, stood for by its smallest doc_id, so a group of exact copies costs one row in the join. Null and blank texts have
-    fingerprint 0 and link like any other; texts of fewer words than a shingle hash as a whole; a row whose doc_id is null takes part by its fingerprint
-    alone (component null if no row with an id is linked); repeated rows come back as often as they came; an empty table gives no rows. Other columns are ignored.
+    Equal fingerprints are one class, so a group of exact copies costs one row in the join. Null and blank texts have fingerprint 0 and link like any other; texts of fewer words
+    than a shingle hash as a whole; a row whose doc_id is null takes part by its fingerprint alone (component null if no row with an id is linked); rows that repeat a
+    doc_id link by their own texts and come back as often as they came; an empty table gives no rows. Other columns are ignored.
     """
-    fps = table(fingerprints(docs, words), "fingerprints", "snappy")
-    classes = table(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null"), "classes", "snappy")
-    found = components(links(classes, bits))
-    of = classes.join(found, classes["rep"] == found["id"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    fps = table(fingerprints(docs.select(F.col("doc_id").cast("long"), "text"), words), "fingerprints", "snappy")
+    of = _grouped(fps, F.col("doc_id"), bits).select("fp", F.col("first").alias("component_id"))
     return fps.join(of, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def simhash_keep(docs: DataFrame, bits: int = 3, words: int = 3) -> DataFrame:
-    """docs without the documents whose group has one of a smaller doc_id; columns as they came. Rows that repeat a kept doc_id stay; a null doc_id stays."""
-    away = simhash_groups(docs, bits, words).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(away.withColumnRenamed("doc_id", "_away"), F.col("doc_id") == F.col("_away"), "left_anti")
+    """The one row of each group of docs that has the smallest doc_id (of rows alike in it the one of the smallest text hash, null doc_ids last); columns as they came."""
+    rows = keyed(docs)
+    text = F.col("row.text").cast("string")
+    fps = table(fingerprints(rows.select("id", F.col("row.doc_id").cast("long").alias("doc"), F.xxhash64(text).alias("th"), text.alias("text")), words), "fingerprints", "snappy")
+    of = _grouped(fps, F.struct(F.col("doc").isNull().alias("no"), "doc", "th", "id"), bits).where("n > 1").select("fp", F.col("first.id").alias("stays"))
+    away = table(fps.select("id", "fp").join(of, "fp").where("id <> stays").select("id"), "away", "snappy")
+    return rows.join(side(away, 16), "id", "left_anti").select("row.*")

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .features import WIDTH, Features, sample, scored, sparse, stems
+from .features import WIDTH, Features, flagged, sample, scored, sparse, stems
 
 #: Labelled rows of the sample, features that are kept, least documents of a feature, least z of its log-odds, grades above 0, steps of the fit, L2 penalty.
 ROWS, KEEP, LEAST, Z, GRADES, STEPS, PENALTY = 12_000, 4_096, 4, 2.5, 3, 1_500, 1e-4
@@ -120,6 +120,13 @@ def choose_cut(x: list[np.ndarray], y: np.ndarray, folds: int = FOLDS) -> float:
     return float(np.clip(np.nextafter(clean[int(FALSE * len(clean))], 1), LOWEST, HIGHEST))
 
 
+def _fitted(docs: DataFrame, labels: DataFrame, rows: int, cut: float | None) -> tuple[Model, float]:
+    x, y = sample(docs, labels, "toxic", features, rows)
+    once = unlike(x)
+    x, y = [x[i] for i in once], y[once]
+    return fit(x, y), choose_cut(x, y) if cut is None else cut
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, rows: int = ROWS, cut: float | None = None) -> DataFrame:
     """doc_id, severity (expected grade, 0 to GRADES), grade (the most likely one), probability of a grade above 0, toxic (probability >= cut), for every row of docs by its whole text.
 
@@ -127,10 +134,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, rows: int = ROWS, cut: fl
     doc_id, near copies left out; without `cut` the sample chooses it (choose_cut). Null and empty texts have no features and score by the cuts alone; null doc_ids score by their text;
     repeated rows score alike; without both labels nothing is told apart and nothing is called toxic; an empty table gives no rows; other columns are ignored.
     """
-    x, y = sample(docs, labels, "toxic", features, rows)
-    once = unlike(x)
-    x, y = [x[i] for i in once], y[once]
-    model, cut = fit(x, y), choose_cut(x, y) if cut is None else cut
+    model, cut = _fitted(docs, labels, rows, cut)
 
     def finish(total: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
         s = model.above(total)
@@ -141,6 +145,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, rows: int = ROWS, cut: fl
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, rows: int = ROWS, cut: float | None = None) -> DataFrame:
-    """docs without the documents that score_toxicity() calls toxic; columns as they came. Rows of a null doc_id stay."""
-    away = score_toxicity(docs, labels, rows, cut).where("toxic").select(F.col("doc_id").alias("_away")).distinct()
-    return docs.join(away, F.col("doc_id") == F.col("_away"), "left_anti")
+    """docs without the rows whose texts score_toxicity() calls toxic, whatever their doc_id; columns as they came. Only texts go to the Python workers; rows are filtered where they are."""
+    model, cut = _fitted(docs, labels, rows, cut)
+    toxic = flagged(features, model.weights, lambda total, n: model.above(total)[:, 0] >= cut, docs.sparkSession)
+    return docs.where(~toxic(F.col("text").cast("string")))

@@ -92,6 +92,7 @@ def test_op1_against_brute_force(spark):
     near = u @ u.T >= 0.9
     root = union_find(60, [(i, j) for i in range(60) for j in range(i) if near[i, j]])
     low = {r: min(i for i in range(60) if root[i] == r) for r in root}
+    assert embed_dedup.apart(0.9) == 35
     got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embed_dedup.near_duplicate_vectors(df, block=6).collect()}
     assert len(got) == 67
     for i in range(60):
@@ -122,7 +123,7 @@ def test_op3_against_brute_force(spark):
     for i in np.flatnonzero(ids % 50 == 0):
         order = sorted((-int(q[i] @ q[j]), int(ids[j])) for j in range(150) if j != i)[:5]
         want += [(int(ids[i]), k + 1, v, -s) for k, (s, v) in enumerate(order)]
-    got = topk.top_k(df, data_block=40, query_block=4)
+    got = topk.top_k(df, block=40)
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert topk.top_k(df.limit(0)).count() == 0
     huge = spark.createDataFrame([(0, [1e12, -3e11]), (1, [1e12, 1.0]), (2, [5.0, 7.0])], "vec_id long, embedding array<double>")
@@ -311,7 +312,8 @@ def test_op8_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(lines, "FEW", 8)
     monkeypatch.setattr(lines, "BLOCK", 16)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    every = [(i, n, s) for i, t in rows if i is not None for n, s in enumerate((t or "").split("\n")) if len(s) >= 32]
+    rows[-1] = (None, base[0])
+    every = [(-1 if i is None else i, n, s) for i, t in rows for n, s in enumerate((t or "").split("\n")) if len(s) >= 32]
     first = {}
     for i, n, s in sorted(every):
         first.setdefault(s, (i, n))
@@ -323,7 +325,7 @@ def test_op8_against_brute_force(spark, monkeypatch):
     for i, n, s in every:
         if s in gone or first[s] != (i, n):
             want.setdefault(i, []).append(n)
-    got = {r["doc_id"]: r["away"] for r in lines.repeated_lines(df).collect()}
+    got = {-1 if r["doc_id"] is None else r["doc_id"]: r["away"] for r in lines.repeated_lines(df).collect() if r["away"]}
     assert got == want
     left = {r["doc_id"]: r["text"] for r in lines.without_repeated_lines(df).collect()}
     assert left[500] is None and left[None] == base[0] and len(left) == len(rows)
@@ -366,9 +368,12 @@ def test_op9_round_trip(spark):
 def test_op9_chunks_follow_content():
     rng = np.random.default_rng(0)
     body = rng.integers(0, 49000, 20000).astype("<u4")
-    one, two = store.cuts(body), store.cuts(np.concatenate((rng.integers(0, 49000, 137).astype("<u4"), body)))
+    alone = lambda ids: next(store.cuts([ids.tobytes()]))
+    other = np.concatenate((rng.integers(0, 49000, 137).astype("<u4"), body))
+    one, two = alone(body), alone(other)
+    assert list(store.cuts([other.tobytes(), b"", body.tobytes(), body[:9].tobytes()], 100)) == list(store.cuts([other.tobytes(), b"", body.tobytes(), body[:9].tobytes()])) == [two, [], one, [9]]
     assert one[-1] == 20000 and max(np.diff([0, *one])) <= store.MOST and len({x + 137 for x in one} & set(two)) > len(one) * 0.8
-    assert store.cuts(body[:0]) == [] and store.cuts(np.zeros(5000, "<u4"))[-1] == 5000
+    assert alone(np.zeros(5000, "<u4"))[-1] == 5000
 
 
 def test_op9_finds_damage(spark):
