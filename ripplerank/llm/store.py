@@ -12,36 +12,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_ROWS, drop_table, in_order, new_path, table
+from .shared import drop_table, in_order, new_path, side, table
 from .tokens import default_path, encoder
 
-#: Ids that the rolling hash sees, bits that are zero at a cut (so 2**CUT_BITS ids a chunk on average), least and most ids of a chunk, bytes of a digest, children of a Merkle node.
-WINDOW, CUT_BITS, LEAST, MOST, DIGEST, FAN = 16, 9, 64, 2048, 16, 4096
+#: Ids that the rolling hash sees, bits that are zero at a cut (so 2**CUT_BITS ids a chunk on average), least and most ids of a chunk, bytes of a digest, children of a Merkle node, places that one copy of a lent chunk serves.
+WINDOW, CUT_BITS, LEAST, MOST, DIGEST, FAN, ASKS = 16, 9, 64, 2048, 16, 4096, 1024
 
 
 def digest(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=DIGEST).digest()
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one document's ids. A cut depends on the last WINDOW ids only, so equal passages give equal chunks wherever they stand."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Places (counted from 1) after which the rolling hash would cut a stream of ids. A place depends on the last WINDOW ids only, so equal passages give equal places wherever they stand."""
     h = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     span = 1
     while span < WINDOW:
         h[span:] += h[:-span] << np.uint64(span)
         span *= 2
+    return np.flatnonzero((h >> np.uint64(64 - CUT_BITS)) == 0) + 1
+
+
+def ends(n: int, at: list[int]) -> list[int]:
+    """Ends of the chunks of a document of n ids, of LEAST (but the last) to MOST ids each; `at` are its marks. LEAST is over WINDOW, so what stands before the document never tells."""
     out, last = [], 0
-    for at in (np.flatnonzero((h >> np.uint64(64 - CUT_BITS)) == 0) + 1).tolist():
-        while at - last > MOST:
+    for x in at:
+        while x - last > MOST:
             last += MOST
             out.append(last)
-        if at - last >= LEAST:
-            out.append(at)
-            last = at
+        if x - last >= LEAST:
+            out.append(x)
+            last = x
     while n - last > MOST:
         last += MOST
         out.append(last)
@@ -50,8 +52,27 @@ def cuts(ids: np.ndarray) -> list[int]:
     return out
 
 
+def cuts(raws: list[bytes], most: int = 1 << 20) -> Iterator[list[int]]:
+    """Ends of the chunks of each of some documents' ids; about `most` ids are hashed at a time."""
+    lo = 0
+    while lo < len(raws):
+        hi, total = lo, 0
+        while hi < len(raws) and (hi == lo or total + len(raws[hi]) // 4 <= most):
+            total += len(raws[hi]) // 4
+            hi += 1
+        at, begin, k = marks(np.frombuffer(b"".join(raws[lo:hi]), "<u4")).tolist(), 0, 0
+        for raw in raws[lo:hi]:
+            own, n = [], len(raw) // 4
+            while k < len(at) and at[k] <= begin + n:
+                own.append(at[k] - begin)
+                k += 1
+            yield ends(n, own)
+            begin += n
+        lo = hi
+
+
 def _encoded(docs: DataFrame, path: str, end: int) -> DataFrame:
-    """A row a document: its ids cut to chunks, their digests and sizes, and the bytes of the chunks that this task has not met before."""
+    """A row a document: its ids cut to chunks, their digests and sizes, and the bytes of the chunks that this task has not met before (their digests stay with the task, 16 bytes a chunk of its split)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -60,25 +81,25 @@ def _encoded(docs: DataFrame, path: str, end: int) -> DataFrame:
         seen: set[bytes] = set()
         row = TaskContext.get().partitionId() << 33
         for b in batches:
-            out = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                raw = e.encode(text.as_py()) + last
-                ids, start, hashes, sizes, own, data = np.frombuffer(raw, "<u4"), 0, [], [], [], []
-                for stop in cuts(ids):
-                    chunk = raw[4 * start : 4 * stop]
-                    h = digest(chunk)
-                    hashes.append(h)
-                    sizes.append(stop - start)
-                    own.append(h not in seen)
-                    if own[-1]:
-                        seen.add(h)
-                        data.append(ids[start:stop])
-                    start = stop
-                kept = np.concatenate(data) if data else ids[:0]
-                wide = bool((kept > 0xFFFF).any())
-                out.append((doc, row, len(ids), b"".join(hashes), sizes, own, wide, kept.astype("<u4" if wide else "<u2").tobytes()))
-                row += 1
-            if out:
+            for lo in range(0, b.num_rows, 1024):
+                part, out = b.slice(lo, 1024), []
+                raws = [e.encode(text.as_py()) + last for text in part.column(1)]
+                for doc, raw, stops in zip(part.column(0).to_pylist(), raws, cuts(raws), strict=True):
+                    start, hashes, sizes, own, data = 0, [], [], [], []
+                    for stop in stops:
+                        chunk = raw[4 * start : 4 * stop]
+                        h = digest(chunk)
+                        hashes.append(h)
+                        sizes.append(stop - start)
+                        own.append(h not in seen)
+                        if own[-1]:
+                            seen.add(h)
+                            data.append(chunk)
+                        start = stop
+                    kept = np.frombuffer(b"".join(data), "<u4")
+                    wide = len(kept) > 0 and int(kept.max()) > 0xFFFF
+                    out.append((doc, row, len(raw) // 4, b"".join(hashes), sizes, own, wide, data and (b"".join(data) if wide else kept.astype("<u2").tobytes()) or b""))
+                    row += 1
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.bool_(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=_NAMES)
 
@@ -103,40 +124,37 @@ def write_store(docs: DataFrame, tokenizer: str | None = None, end: int = 2, whe
     """Writes docs' ids to a store and returns its path.
 
     `packs`: a row a document with its recipe (digests and sizes of its chunks, in order), which of them it holds, and their ids (2 bytes each where they
-    fit). Over the whole store each distinct chunk is held once, by the row of smallest uid that has it. `manifest`: in ascending doc_id order doc_id,
-    start, n, uid and the digest of the recipe. `merkle`: digests of FAN children each, level by level up to one root.
+    fit). Over the whole store each distinct chunk is held once, by the row of smallest uid that has it. `lenders`: the rows that hold chunks of which other places ask, the chunks'
+    positions, digests and how often they are asked for. `manifest`: in ascending doc_id order doc_id, start, n, uid and the digest of the recipe. `merkle`: digests of FAN children each, level by level up to one root.
     """
     spark = docs.sparkSession
     where = where or new_path(spark, "store")
     staged = table(_encoded(docs, tokenizer or default_path(), end), "ids")
-    held = staged.select("uid", F.posexplode(F.arrays_zip("own", F.expr(f"transform(sequence(0, size(own) - 1), i -> substring(hashes, i * {DIGEST} + 1, {DIGEST}))").alias("hash"))).alias("pos", "c")).where("c.own")
-    held = held.select("uid", "pos", F.col("c.hash").alias("hash"))
-    # Of chunks that more than one task met first, all but the first holder let go.
-    first = held.groupBy("hash").agg(F.min("uid").alias("owner"), F.count("*").alias("k")).where("k > 1").select("hash", "owner")
-    drops = table(held.join(first, "hash").where("uid <> owner").groupBy("uid").agg(F.collect_list("pos").alias("away")), "drops", "snappy")
-    many = drops.count()
-    marked = staged.join(F.broadcast(drops) if many <= BROADCAST_ROWS else drops, "uid", "left").select(*_NAMES, "away")
+    each = F.expr(f"transform(sequence(0, size(own) - 1), i -> struct(i as pos, own[i] as own, substring(hashes, i * {DIGEST} + 1, {DIGEST}) as hash))")
+    refs = table(staged.select("uid", F.explode(each).alias("c")).select("uid", "c.pos", "c.own", "c.hash"), "refs", "snappy")
+    # Of the rows whose tasks met a chunk first, the one of smallest uid keeps it; the others let go and ask for it, as all later ones do.
+    first = refs.groupBy("hash").agg(F.min(F.when(F.col("own"), F.col("uid"))).alias("owner"), F.count("*").alias("places")).where("places > 1")
+    held = table(refs.where("own").join(first, "hash").select("uid", "pos", "hash", "owner", "places"), "held", "snappy")
+    held.where("uid = owner").select("uid", "pos", "hash", "places").write.parquet(f"{where}/lenders")
+    drops = table(held.where("uid <> owner").groupBy("uid").agg(F.collect_list("pos").alias("away")), "drops", "snappy")
+    marked = staged.join(side(drops, 32, 4 * F.size("away")), "uid", "left").select(*_NAMES, "away")
 
     def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            away = b.column(8)
-            if away.null_count == b.num_rows:
-                yield b.select(_NAMES)
-                continue
             rows = b.to_pydict()
             for i, gone in enumerate(rows["away"]):
-                if gone:
-                    gone, own = set(gone), rows["own"][i]
-                    stay = [m and k not in gone for k, m in enumerate(own)]
-                    kept, at, data = np.frombuffer(rows["data"][i], "<u4" if rows["wide"][i] else "<u2"), 0, []
-                    for m, s, n in zip(own, stay, rows["sizes"][i], strict=True):
-                        if s:
-                            data.append(kept[at : at + n].tobytes())
-                        at += n * m
-                    rows["own"][i], rows["data"][i] = stay, b"".join(data)
+                gone, own = set(gone), rows["own"][i]
+                stay = [m and k not in gone for k, m in enumerate(own)]
+                kept, at, data = np.frombuffer(rows["data"][i], "<u4" if rows["wide"][i] else "<u2"), 0, []
+                for m, s, n in zip(own, stay, rows["sizes"][i], strict=True):
+                    if s:
+                        data.append(kept[at : at + n].tobytes())
+                    at += n * m
+                rows["own"][i], rows["data"][i] = stay, b"".join(data)
             yield pa.RecordBatch.from_arrays([pa.array(rows[c], b.schema.field(c).type) for c in _NAMES], names=_NAMES)
 
-    marked.mapInArrow(thin, _KIND).write.option("compression", "zstd").parquet(f"{where}/packs")
+    packs = marked.where("away is null").select(_NAMES).unionByName(marked.where("away is not null").mapInArrow(thin, _KIND))
+    packs.write.option("compression", "zstd").parquet(f"{where}/packs")
     drop_table(staged)
     packs = spark.read.schema(_KIND).parquet(f"{where}/packs")
     # Positions in the order of doc_id; the recipe's digest stands for the document in the Merkle tree.
@@ -205,14 +223,17 @@ def read_store(spark: SparkSession, where: str) -> DataFrame:
     local = packs.where(full).mapInArrow(whole, "uid long, ids_crc32 long")
     lacking = packs.where(~full)
     each = F.expr(f"transform(sequence(0, size(own) - 1), i -> struct(i as pos, own[i] as own, substring(hashes, i * {DIGEST} + 1, {DIGEST}) as hash))")
-    asked = table(lacking.select("uid", F.explode(each).alias("c")).where("not c.own").select("uid", "c.pos", "c.hash"), "asked", "snappy")
-    wanted = asked.select("hash").distinct()
-    # Which rows hold the wanted chunks, and at which positions: found by digest alone, so no ids move for it.
-    holders = packs.select("uid", F.explode(each).alias("c")).where("c.own").select("uid", "c.pos", "c.hash").join(wanted, "hash", "left_semi")
-    lists = table(holders.groupBy("uid").agg(F.collect_list("pos").alias("want")), "holders", "snappy")
-    many = lists.count()
-    lent = packs.join(F.broadcast(lists) if many <= BROADCAST_ROWS else lists, "uid").mapInArrow(parts, kind).select("hash", "ids")
-    borrowed = asked.join(lent, "hash").select("uid", "pos", "ids")
+    lenders = spark.read.schema("uid long, pos int, hash binary, places long").parquet(f"{where}/lenders")
+    # A chunk that many places ask for goes to them in several copies, one for ASKS places: no task gathers all the documents that share it.
+    copies = F.ceil(F.col("places") / ASKS)
+    lists = table(lenders.groupBy("uid").agg(F.collect_list("pos").alias("want")), "holders", "snappy")
+    lent = packs.join(side(lists, 32, 4 * F.size("want")), "uid").mapInArrow(parts, kind).select("hash", "ids")
+    salts = lenders.select("hash", copies.alias("n"))
+    lent = lent.join(salts, "hash").select("hash", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("salt"), "ids")
+    asked = lacking.select("uid", F.explode(each).alias("c")).where("not c.own").select("uid", "c.pos", "c.hash")
+    many = table(salts.where("n > 1"), "hot", "snappy")
+    asked = asked.join(side(many, 48), "hash", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("uid", "pos"), F.col("n")), F.lit(0).cast("long")))
+    borrowed = asked.join(lent, ["hash", "salt"]).select("uid", "pos", "ids")
     kept = lacking.withColumn("want", F.lit(None).cast("array<int>")).mapInArrow(parts, kind).select("uid", "pos", "ids")
     # A document's chunks meet again: a group is one document, never all those that share a chunk.
     whole_again = kept.unionByName(borrowed).groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("parts")).mapInPandas(join, "uid long, ids_crc32 long")

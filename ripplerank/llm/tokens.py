@@ -23,22 +23,27 @@ def default_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: Texts that tell whether a vocabulary drops white space between words: what stands around a word must not change its ids.
+_PROBES = ["the cat sat", " the  cat\tsat\n", "\n\nThe cat's 12 hats.\r\n", "don't  stop -- 3,14 x", "a\x0bb\x0cc", "Über die Straße"]
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers, equal to Tokenizer.encode(text, add_special_tokens=False).
 
-    A vocabulary whose pre-tokenizer drops white space gives the ids of a text as those of its words, one after the other; words are looked up in a
-    cache, and only new ones reach the library. `by_word` says whether the vocabulary is of this kind; without it whole texts go to the library.
+    A vocabulary that drops white space before its merges gives the ids of a text as those of its words, one after the other; words are looked up in a cache, and only new ones
+    reach the library. The vocabulary's own answers to _PROBES say at load whether it is of this kind; with any other whole texts go to the library.
     """
 
-    def __init__(self, path: str, by_word: bool = True):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.by_word = Tokenizer.from_file(path), by_word
+        self.tokenizer = Tokenizer.from_file(path)
+        self.by_word = all(self.whole(x) == b"".join(map(self.whole, x.split())) for x in _PROBES)
         self.pieces, self.words = _Kept(self.short, PIECES), _Kept(self.word, WORDS)
         self.model, level = self.tokenizer.model, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.signs = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(33, 256) if c < 127 or c > 160}  # bytes as the vocabulary writes them
-        self.plain = by_word and all(self.short(x) == self.whole(x) for x in ("the", "thndhain", "çüßñé", "7", "$$$", "..."))
+        self.plain = self.by_word and all(self.short(x) == self.whole(x) == self.whole(x.upper()) for x in ("the", "thndhain", "çüßñé".replace("ß", "s"), "7", "$$$", "..."))
 
     def whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -84,6 +89,6 @@ class _Kept(dict):
 
 
 @functools.lru_cache(2)
-def encoder(path: str | None = None, by_word: bool = True) -> Encoder:
+def encoder(path: str | None = None) -> Encoder:
     """One encoder in a worker."""
-    return Encoder(path or default_path(), by_word)
+    return Encoder(path or default_path())
