@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from .shared import by_cell, cell_pairs, components, forest, split_hot, table, whole_cells
 
 #: Tables, hashes joined to one bucket, buckets of each table that a vector goes to, rotations of a hash, rows of a block.
-TABLES, HASHES, PROBES, ROUNDS, BLOCK = 8, 2, 3, 3, 512
+TABLES, HASHES, PROBES, ROUNDS, BLOCK = 8, 3, 4, 3, 512
+#: Standard deviations by which the sketches of a pair may differ more than its cosine lets expect before it counts as no candidate (1 in 30,000 pairs at the threshold).
+SLACK = 4.0
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -58,25 +60,42 @@ def buckets(unit: np.ndarray, tables: int = TABLES, hashes: int = HASHES, probes
     return out
 
 
-def usable(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(vec_id, embedding array<double>) of the rows whose vector is neither null, empty nor zero and has only finite components."""
-    v = F.col("embedding")
-    ok = (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    return vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("embedding")).where(ok)
+def sketches(unit: np.ndarray, seed: int = 43) -> np.ndarray:
+    """(row, 2) uint64: 128 signs of each rotated vector. Vectors at an angle a differ in about a / pi of them."""
+    d = unit.shape[1]
+    wide = 1 << max(1, (d - 1).bit_length())
+    padded = np.zeros((len(unit), wide))
+    padded[:, :d] = unit
+    rng, out = np.random.default_rng(seed), []
+    while sum(x.shape[1] for x in out) < 128:
+        y = padded
+        for _ in range(ROUNDS):
+            y = hadamard(y * rng.choice([-1.0, 1.0], wide))
+        out.append(y > 0)
+    return np.packbits(np.concatenate(out, axis=1)[:, :128], axis=1).view(np.uint64)
+
+
+def apart(threshold: float) -> int:
+    """Signs of 128 in which the sketches of a pair of that cosine differ at most, but for SLACK standard deviations."""
+    p = np.arccos(min(1.0, max(-1.0, threshold))) / np.pi
+    return int(np.ceil(128 * p + SLACK * np.sqrt(128 * p * (1 - p))))
 
 
 def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, tables: int = TABLES, hashes: int = HASHES, probes: int = PROBES, block: int = BLOCK) -> DataFrame:
     """One row a vector: vec_id, n_links, component_id, kept.
 
     Links are pairs with cosine >= threshold in double precision that share a bucket; all are verified, so none is false. Equal vectors are one class
-    (represented by its smallest vec_id) whose members all link; classes meet in buckets. A pair that shares several buckets counts where it shares the first.
+    (represented by its smallest vec_id) whose members all link. What goes to every bucket of a vector is its number and a sketch of 128 signs; only members whose sketch is near that of
+    another member follow with their vectors, which are compared in full. A pair that shares several buckets counts in the one of smallest number.
     Vectors of different length never link. Null, zero, empty or non-finite vectors link with nothing. Rows that repeat a vec_id and vector count as separate
-    members of the class. Rows with a null vec_id take no part in links and come back with n_links 0 and a null component. An empty table gives no rows; other columns are ignored.
+    members of the class; a vec_id that repeats with different vectors is a row each, linked by its own vector. Rows with a null vec_id take no part in links and come back with n_links 0 and a null component.
+    An empty table gives no rows; other columns are ignored.
     """
-    every = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    good = usable(every).where("vec_id is not null").withColumn("embedding", F.transform("embedding", lambda x: x + F.lit(0.0)))
-    classes = table(good.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "classes", "snappy")
-    kind = "bucket long, rep long, n long, dim int, at int, raw binary, keys binary"
+    v = F.transform(F.col("embedding").cast("array<double>"), lambda x: x + F.lit(0.0))
+    every = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("embedding")).withColumn("h", F.xxhash64("embedding")).withColumn("h2", F.xxhash64(F.lit(2), "embedding"))
+    part = (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0) & F.col("vec_id").isNotNull()
+    classes = every.where(part).groupBy("h", "h2", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
+    classes = table(classes.withColumn("id", F.monotonically_increasing_id()), "classes", "snappy")
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -89,61 +108,66 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, tables: i
                     raw = [s.tobytes() if (s == r).all() else r.tobytes() for s, r in zip(short, x, strict=True)]  # single precision only where nothing is lost
                     x /= np.abs(x).max(1, keepdims=True)  # else squares may overflow
                     x /= np.linalg.norm(x, axis=1, keepdims=True)
-                    keys = buckets(x, tables, hashes, probes)
-                    for t in range(tables):
-                        for p in range(probes):
-                            yield pd.DataFrame(
-                                {"bucket": (keys[:, t, p] * tables + t) * 4099 + d, "rep": part["rep"].to_numpy(), "n": part["n"].to_numpy(), "dim": d, "at": t * probes + p, "raw": raw, "keys": [k.astype(np.int32).tobytes() for k in keys.reshape(len(x), -1)]}
-                            )
+                    keys = (buckets(x, tables, hashes, probes) * tables + np.arange(tables)[None, :, None]) * 4099 + d
+                    signs = sketches(x).view(np.int64)
+                    yield pd.DataFrame({"id": part["id"].to_numpy(), "n": part["n"].to_numpy(), "dim": d, "raw": raw, "keys": list(keys.reshape(len(x), -1)), "s": signs[:, 0], "s2": signs[:, 1]})
+
+    dealt = table(classes.select("id", "n", "embedding").mapInPandas(deal, "id long, n long, dim int, raw binary, keys array<long>, s long, s2 long"), "dealt", "snappy")
+    most = apart(threshold)
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame, ends in whole_cells(batches, "bucket"):
+            s, s2 = frame["s"].to_numpy().view(np.uint64), frame["s2"].to_numpy().view(np.uint64)
+            live = np.zeros(len(frame), bool)
+            for a, b in cell_pairs(frame, ends, 500_000):
+                ok = np.bitwise_count(s[a] ^ s[b]).astype(np.int16) + np.bitwise_count(s2[a] ^ s2[b]) <= most
+                live[a[ok]] = True
+                live[b[ok]] = True
+            if live.any():
+                yield frame.loc[live, ["bucket", "id"]]
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame, ends in whole_cells(batches, "bucket"):
-            alone = ends - np.arange(len(frame)) - 1 == 0
-            if not (~alone).any():
-                continue
-            rep, n = frame["rep"].to_numpy(), frame["n"].to_numpy()
-            dims = frame["dim"].to_numpy()
+            own, n, bucket, dims = (frame[c].to_numpy() for c in ("id", "n", "bucket", "dim"))
             count, found = np.zeros(len(frame), np.int64), []
-            keys = np.frombuffer(b"".join(frame["keys"]), np.int32).reshape(len(frame), tables, probes)
-            at = frame["at"].to_numpy()
+            keys = np.stack(frame["keys"].tolist()).reshape(len(frame), tables, probes)
             for d in np.unique(dims):
-                own = np.flatnonzero(dims == d)
+                mine = np.flatnonzero(dims == d)
                 place = np.zeros(len(frame), np.int64)
-                place[own] = np.arange(len(own))
-                unit = np.array([np.frombuffer(r, np.float32 if len(r) == 4 * d else float) for r in frame["raw"].iloc[own]], float)
+                place[mine] = np.arange(len(mine))
+                unit = np.array([np.frombuffer(r, np.float32 if len(r) == 4 * d else float) for r in frame["raw"].iloc[mine]], float)
                 unit /= np.abs(unit).max(1, keepdims=True)
                 unit /= np.linalg.norm(unit, axis=1, keepdims=True)
                 for a, b in cell_pairs(frame, ends, 60_000):
-                    mine = (dims[a] == d) & (dims[b] == d)
-                    a, b = a[mine], b[mine]
+                    both = (dims[a] == d) & (dims[b] == d)
+                    a, b = a[both], b[both]
                     cos = np.einsum("ij,ij->i", unit[place[a]], unit[place[b]])
                     a, b = a[cos >= threshold], b[cos >= threshold]
                     for lo in range(0, len(a), 20_000):
                         x, y = a[lo : lo + 20_000], b[lo : lo + 20_000]
                         same = (keys[x][:, :, :, None] == keys[y][:, :, None, :]).any(3)  # (pair, table, probe of x)
-                        # The first shared bucket in table order, then by bucket number: alike from either side.
-                        t = same.any(2).argmax(1)
-                        shared = np.where(same[np.arange(len(x)), t], keys[x, t], np.iinfo(np.int32).max).min(1)
-                        here = (t == at[x] // probes) & (shared == keys[x].reshape(len(x), -1)[np.arange(len(x)), at[x]])
+                        here = np.where(same, keys[x], np.iinfo(np.int64).max).min((1, 2)) == bucket[x]
                         x, y = x[here], y[here]
                         np.add.at(count, x, n[y])
                         np.add.at(count, y, n[x])
                         found.append((x, y))
             a, b = (np.concatenate(z) for z in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int))
-            root = rep[forest(len(frame), a, b)]
-            out = pd.DataFrame({"a": rep, "b": root, "links": count})[(count > 0)]
+            root = own[forest(len(frame), a, b)]
+            out = pd.DataFrame({"a": own, "b": root, "links": count})[count > 0]
             if len(out):
                 yield out
 
-    dealt = classes.mapInPandas(deal, kind)
-    found = table(by_cell(split_hot(dealt, "bucket", "rep", block), "bucket").mapInPandas(meet, "a long, b long, links long"), "found", "snappy")
-    group = components(found.select("a", "b"))
-    degree = found.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    of = classes.join(degree, "rep", "left").join(group, F.col("rep") == F.col("id"), "left")
-    of = of.select(F.col("embedding").alias("_vector"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("_links"), F.coalesce("component", "rep").alias("_component"))
-    # A vector that takes no part keeps a null key, which joins with nothing.
-    v = F.transform("embedding", lambda x: x + F.lit(0.0))
-    key = F.when(F.col("vec_id").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x)), v)
-    out = every.withColumn("_key", key).join(of, F.col("_key") == F.col("_vector"), "left")
-    component = F.coalesce("_component", "vec_id")
-    return out.select("vec_id", F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    sent = dealt.select(F.explode(F.array_distinct("keys")).alias("bucket"), "id", "s", "s2")
+    live = table(by_cell(split_hot(sent, "bucket", "id", 4 * block), "bucket").mapInPandas(near, "bucket long, id long").distinct(), "live", "snappy")
+    full = live.join(dealt.select("id", "n", "dim", "raw", "keys"), "id")
+    found = table(by_cell(split_hot(full, "bucket", "id", block), "bucket").mapInPandas(meet, "a long, b long, links long"), "found", "snappy")
+    degree = found.groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
+    reach = table(components(found.select("a", "b")).withColumnRenamed("id", "member"), "reach", "snappy")
+    reps = classes.select("id", "rep")
+    least = reach.join(reps, F.col("member") == F.col("id")).groupBy("component").agg(F.min("rep").alias("least"))
+    of = classes.select("id", "h", "h2", "n", "rep").join(degree, "id", "left").join(reach.join(least, "component").select(F.col("member").alias("id"), "least"), "id", "left")
+    of = of.select(F.col("h").alias("k"), F.col("h2").alias("k2"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("least", "rep").alias("least"))
+    # Vectors come back by the 128 bits of their hash; one that takes no part has a null key, which joins with nothing.
+    out = every.select("vec_id", F.when(part, F.col("h")).alias("h"), "h2").join(of, (F.col("h") == F.col("k")) & (F.col("h2") == F.col("k2")), "left")
+    component = F.coalesce("least", "vec_id")
+    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
