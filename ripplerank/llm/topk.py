@@ -10,110 +10,172 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import partitions
+from .shared import partitions, table
 
-#: Bits of a cell number in one dimension, rows of a data block, queries of a query block, exact vectors read at a time.
-BITS, DATA_BLOCK, QUERY_BLOCK, READ = 4, 4096, 1024, 64
+#: Bits of a cell number in one dimension, rows of a block, exact vectors read at a time, queries bounded at a time, deals of the copies of a vector.
+BITS, BLOCK, READ, ASKED, DEALS = 8, 16_384, 16, 128, 256
 #: Up to here sums of products of two components are exact in double precision (times the dimensions); beyond it Python's integers count.
 EXACT = float(2**53)
+#: The row number of a query, behind all rows of its block.
+ASK = (1 << 31) - 1
 
 
 def approximate(x: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The approximation of a block's vectors: cell numbers (uint8) and each dimension's lower and upper cell bounds, by quantiles of the block."""
+    """The approximation of a block's vectors: cell numbers (uint8) and each dimension's least and greatest value in each cell, cells by quantiles of the block, so that a crowd of like vectors has cells of its own."""
     cells = 1 << bits
     edges = np.quantile(x, np.linspace(0, 1, cells + 1)[1:-1], axis=0, method="lower")
     code = np.empty(x.shape, np.uint8)
-    low, high = np.zeros((cells, x.shape[1])), np.zeros((cells, x.shape[1]))
+    low, high = np.full((x.shape[1], cells), np.inf), np.full((x.shape[1], cells), -np.inf)
     for d in range(x.shape[1]):
         code[:, d] = np.searchsorted(edges[:, d], x[:, d], "left")
-        low[:, d], high[:, d] = np.inf, -np.inf
-        np.minimum.at(low[:, d], code[:, d], x[:, d])
-        np.maximum.at(high[:, d], code[:, d], x[:, d])
+        np.minimum.at(low[d], code[:, d], x[:, d])
+        np.maximum.at(high[d], code[:, d], x[:, d])
     empty = low > high
     low[empty], high[empty] = 0, 0
     return code, low, high
 
 
-def search_block(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, stats: dict | None = None) -> pd.DataFrame:
-    """The k best rows of one block for each query: scan the cells for bounds, then read exact vectors in the order of their bounds until the k-th is certain.
+class Block:
+    """One block of the file: cells of all its vectors, and the vectors, of which only those that are asked for are decoded."""
 
-    The distance is the negated inner product: its lower bound is the negated upper bound here. q and x hold integers.
-    """
-    order = np.argsort(ids, kind="stable")
-    x, ids = x[order], ids[order]
-    code, low, high = approximate(x)
-    dims = np.arange(x.shape[1])
-    up = low[code, dims], high[code, dims]
-    plus, minus = np.maximum(q, 0), np.minimum(q, 0)
-    exact = max(np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * x.shape[1], 0) < EXACT
-    out = []
-    for lo in range(0, len(q), 256):
-        bound = plus[lo : lo + 256] @ up[1].T + minus[lo : lo + 256] @ up[0].T
-        if not exact:
-            bound = np.nextafter(bound * (1 + np.sign(bound) * 1e-9), np.inf) + 1.0
-        for i in range(len(bound)):
-            mine, b = lo + i, bound[i]
-            best: list[tuple[int, int]] = []  # (-score, id)
-            read, ask = 0, READ
-            while read < len(b):
-                # the next rows by bound; ids ascend, so that ties stand in their order
-                if ask < len(b):
-                    floor = np.partition(b, len(b) - ask)[len(b) - ask]
-                    at = np.flatnonzero(b >= floor)
-                else:
-                    at = np.arange(len(b))
-                at = at[np.argsort(-b[at], kind="stable")][read:]
-                if len(best) == k and len(at) and b[at[0]] < -best[-1][0]:
-                    break
-                for step in range(0, len(at), 4 * READ):
-                    part = at[step : step + 4 * READ]
-                    if len(best) == k and b[part[0]] < -best[-1][0]:
+    def __init__(self, code: np.ndarray, low: np.ndarray, high: np.ndarray, raw: list[bytes], ids: list[np.ndarray]):
+        self.raw, self.ids = raw, ids
+        dims = np.arange(code.shape[1])
+        least, most = low[dims, code], high[dims, code]
+        self.mid, self.half = (least + most) / 2, (most - least) / 2
+        self.large = (np.abs(self.mid) + self.half).max(0, initial=0)
+        self.most = float(self.large.max(initial=0))
+
+    def bounds(self, q: np.ndarray) -> np.ndarray:
+        """(query, row): numbers that no inner product passes: q.mid + |q|.half, in single precision where that holds them, and what rounding may take off."""
+        size = np.abs(q) @ self.large
+        kind, step = (np.float32, 2.0**-23) if size.max(initial=0) < 1e30 else (np.float64, 2.0**-52)
+        if self.mid.dtype != kind:
+            self.mid, self.half = self.mid.astype(kind), self.half.astype(kind)
+        up = q.astype(kind) @ self.mid.T + np.abs(q).astype(kind) @ self.half.T
+        return up + ((2 * q.shape[1] + 16) * step * size + 1e-30)[:, None].astype(kind)
+
+    def scores(self, q: np.ndarray, rows: np.ndarray) -> list[int]:
+        n = 8 * len(q)
+        x = np.array([np.frombuffer(self.raw[r], np.float64 if len(self.raw[r]) == n else np.float32) for r in rows.tolist()], float).reshape(len(rows), len(q))
+        if np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * len(q) < EXACT:
+            return (x @ q).astype(np.int64).tolist()
+        own = list(map(int, q.tolist()))
+        return [sum(a * int(c) for a, c in zip(own, row, strict=True)) for row in x.tolist()]
+
+    def search(self, q: np.ndarray, q_ids: np.ndarray, k: int, stats: dict | None = None) -> list[tuple[int, int, int]]:
+        """(query id, id, score) of each query's k best ids in the block, ties to smaller ids: bounds of all rows, then exact vectors in their order until the k-th is certain."""
+        out = []
+        for lo in range(0, len(q), ASKED):
+            bound = self.bounds(q[lo : lo + ASKED])
+            for i, b in enumerate(bound):
+                mine, read, ask = int(q_ids[lo + i]), 0, READ
+                best: dict[int, int] = {}
+                floor = -np.inf
+                while read < len(b):
+                    cut = np.partition(b, len(b) - ask)[len(b) - ask] if ask < len(b) else -np.inf
+                    at = np.flatnonzero(b >= cut)
+                    at = at[np.argsort(-b[at], kind="stable")][read:]
+                    if len(at) and b[at[0]] < floor:
                         break
-                    part = part[ids[part] != q_ids[mine]]
-                    if exact:
-                        score = (x[part] @ q[mine]).astype(np.int64).tolist()
+                    for step in range(0, len(at), READ):
+                        rows = at[step : step + READ]
+                        rows = rows[b[rows] >= floor]
+                        if not len(rows):
+                            break
+                        read += len(rows)
+                        for r, s in zip(rows.tolist(), self.scores(q[lo + i], rows), strict=True):
+                            for v in self.ids[r].tolist():
+                                if v != mine and best.get(v, s - 1) < s:
+                                    best[v] = s
+                        kept = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:k]
+                        best = dict(kept)
+                        floor = kept[-1][1] if len(kept) == k else -np.inf
                     else:
-                        own = list(map(int, q[mine].tolist()))
-                        score = [sum(a * int(c) for a, c in zip(own, row, strict=True)) for row in x[part].tolist()]
-                    best = sorted([*best, *((-s, int(v)) for s, v in zip(score, ids[part].tolist(), strict=True))])[:k]
-                read += len(at)
-                ask = read * 4
-            if stats is not None:
-                stats["read"] = stats.get("read", 0) + read
-                stats["rows"] = stats.get("rows", 0) + len(b)
-            out += [(int(q_ids[mine]), v, -s) for s, v in best]
-    return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
-
-def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, data_block: int = DATA_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+                        ask = 4 * max(ask, len(at))
+                        continue
+                    break
+                if stats is not None:
+                    stats["read"], stats["rows"] = stats.get("read", 0) + read, stats.get("rows", 0) + len(b)
+                out += [(mine, v, s) for v, s in best.items()]
+        return out
+
+
+def integers(vectors: DataFrame, scale: int) -> DataFrame:
+    """(vec_id, v): floor(scale * component) as doubles, of the rows with an id whose vector is neither null nor empty nor holds null or non-finite components."""
+    ok = F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    v = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.lit(float(scale)) * x)
+    # From 2**53 on every double is an integer, and a long would be too short for some.
+    whole = F.transform("v", lambda x: F.when(F.abs(x) < EXACT, F.floor(x).cast("double")).otherwise(x) + F.lit(0.0))
+    return vectors.select("vec_id", "embedding").where(ok).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).select("vec_id", whole.alias("v"))
+
+
+def approximation(vectors: DataFrame, scale: int = 256, k: int = 5, block: int = BLOCK) -> DataFrame:
+    """The file: (dim, block, row, ids, code, raw), a row a distinct vector of floor(scale * component), and for each block a row of its cells' bounds (row -1: low and high as raw).
+
+    A vector's ids are the k + 1 smallest that have it: more of them no query returns. The file is written; blocks hold about `block` distinct vectors, dealt by hash, so equal vectors, however many, are one row.
+    """
+    given = integers(vectors, scale)
+    few = lambda c: F.slice(F.array_sort(F.array_distinct(c)), 1, k + 1)
+    dealt = given.groupBy("v", F.pmod(F.xxhash64("vec_id", F.lit(9)), F.lit(DEALS)).alias("deal")).agg(few(F.collect_set("vec_id")).alias("ids"))
+    one = table(dealt.groupBy("v").agg(few(F.flatten(F.collect_list("ids"))).alias("ids")).withColumn("dim", F.size("v")), "classes", "snappy")
+    blocks = -(-one.count() // block) or 1
+
+    def encode(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.array(pdf["v"].tolist(), float).reshape(len(pdf), -1)
+        code, low, high = approximate(x)
+        short = x.astype(np.float32)
+        raw = [s.tobytes() if (s == r).all() else r.tobytes() for s, r in zip(short, x, strict=True)]
+        head = {"dim": pdf["dim"].iloc[:1], "block": pdf["block"].iloc[:1], "row": -1, "ids": [np.zeros(0, np.int64)], "code": b"", "raw": [np.stack((low, high)).tobytes()]}
+        body = {"dim": pdf["dim"], "block": pdf["block"], "row": np.arange(len(pdf)), "ids": pdf["ids"], "code": [c.tobytes() for c in code], "raw": raw}
+        return pd.concat([pd.DataFrame(head), pd.DataFrame(body)], ignore_index=True)
+
+    kind = "dim int, block int, row int, ids array<long>, code binary, raw binary"
+    return table(one.withColumn("block", F.pmod(F.xxhash64("v", F.lit(1)), F.lit(blocks)).cast("int")).groupBy("dim", "block").applyInPandas(encode, kind), "approximation")
+
+
+def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, block: int = BLOCK) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k rows of largest inner product of floor(scale * component) for each query, ties to the smaller vec_id.
 
-    Queries are the rows whose vec_id `every` divides; candidates all rows but those of the query's vec_id. Data and queries are dealt to blocks, each data
-    block meets each query block in one task of bounded size, and only its k best rows a query go on, merged by an aggregate. Null vectors and ids and
-    vectors with null or non-finite components take no part, nor do vectors of another length meet. Repeated rows are candidates each; queries that repeat
-    an id with different vectors are searched each and merged under that id, a candidate vector counting once. Scores beyond a long fail. An empty table gives no rows.
+    Queries are the rows whose vec_id `every` divides; candidates all rows but those of the query's vec_id. Each block of the approximation file lies in one task, once, and all queries
+    stream past it; only their k best rows of the block go on, merged by an aggregate. Null ids, null and empty vectors and
+    vectors with null or non-finite components take no part, nor do vectors of another length meet. A vec_id that repeats, with one vector or several, counts once for a query, by its best score;
+    queries that repeat an id with different vectors are searched each and merged under that id. Scores beyond a long fail. An empty table gives no rows; other columns are ignored.
     """
-    v = F.col("embedding")
-    ok = v.isNotNull() & F.col("vec_id").isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    whole = vectors.select(F.col("vec_id").cast("long"), v.cast("array<double>").alias("embedding")).where(ok)
-    whole = whole.withColumn("embedding", F.transform("embedding", lambda x: F.floor(F.lit(float(scale)) * x).cast("double"))).withColumn("dim", F.size("embedding"))
-    count = whole.agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("q")).first()
-    blocks, packs = -(-count["n"] // data_block) or 1, -(-count["q"] // query_block) or 1
-    # Rows are dealt by a salted hash of their place, not of their values: a vector or id that a third of the rows share spreads over all blocks.
-    data = whole.withColumn("_b", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")).withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(packs - 1)))).withColumn("_ask", F.lit(False))
-    asks = whole.where(F.col("vec_id") % every == 0).withColumn("_q", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(packs)).cast("int")).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("_ask", F.lit(True))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = [pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")]
-        for _, g in pdf.groupby("dim"):
-            q, x = g[g["_ask"]], g[~g["_ask"]]
-            if len(q) and len(x):
-                found.append(search_block(np.array(q["embedding"].tolist(), float).reshape(len(q), -1), q["vec_id"].to_numpy(), np.array(x["embedding"].tolist(), float).reshape(len(x), -1), x["vec_id"].to_numpy(), k))
-        return pd.concat(found, ignore_index=True).astype("int64")
-
-    cells = data.select("_b", "_q", "_ask", "dim", "vec_id", "embedding").unionByName(asks.select("_b", "_q", "_ask", "dim", "vec_id", "embedding"))
+    file = approximation(vectors, scale, k, block)
+    heads = file.where("row = -1").select("dim", "block")
+    asks = integers(vectors, scale).where(F.col("vec_id") % every == 0).withColumnRenamed("vec_id", "query_id").distinct()
+    asks = table(asks.withColumn("dim", F.size("v")), "asks", "snappy")
+    none = lambda t: F.lit(None).cast(t)
+    data = file.select("dim", "block", "row", "ids", "code", "raw", F.lit(0).cast("long").alias("query_id"), none("array<double>").alias("v"))
+    past = asks.join(heads, "dim").select("dim", "block", F.lit(ASK).alias("row"), none("array<long>").alias("ids"), none("binary").alias("code"), none("binary").alias("raw"), "query_id", "v")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held, ready = None, [], None
+        for b in batches:
+            if not len(b):
+                continue
+            key = b[["dim", "block"]].to_numpy()
+            new = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
+            for lo, hi in zip([0, *new.tolist()], [*new.tolist(), len(b)], strict=True):
+                part = b.iloc[lo:hi]
+                if at != tuple(key[lo]):
+                    at, held, ready = tuple(key[lo]), [], None
+                asked = part["row"].to_numpy() == ASK
+                if not asked.all():
+                    held.append(part[~asked][["ids", "code", "raw"]])
+                if asked.any():
+                    if ready is None:
+                        rows = pd.concat(held, ignore_index=True)
+                        low, high = np.frombuffer(rows["raw"].iloc[0], float).reshape(2, int(at[0]), 1 << BITS)
+                        code = np.frombuffer(b"".join(rows["code"].iloc[1:]), np.uint8).reshape(len(rows) - 1, int(at[0]))
+                        ready, held = Block(code, low, high, rows["raw"].tolist()[1:], rows["ids"].tolist()[1:]), []
+                    q = part[asked]
+                    yield pd.DataFrame(ready.search(np.array(q["v"].tolist(), float).reshape(len(q), -1), q["query_id"].to_numpy(), k), columns=["query_id", "vec_id", "score"])
+
     kind = T.StructType([T.StructField(c, T.LongType()) for c in ("query_id", "vec_id", "score")])
-    local = cells.repartition(max(partitions(vectors.sparkSession), 1), "_b", "_q").groupBy("_b", "_q").applyInPandas(run, kind)
+    cells = data.unionByName(past).repartition(max(partitions(vectors.sparkSession), 1), "dim", "block").sortWithinPartitions("dim", "block", "row")
+    local = cells.mapInPandas(run, kind).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), F.col("vec_id")))), 1, k)
     merged = local.groupBy("query_id").agg(best.alias("best"))
     return merged.select("query_id", F.posexplode("best").alias("p", "b")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.minus")).alias("score"))
