@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from .shared import in_order, table
 from .tokens import default_path, encoder
 
-#: Tokens of a sequence, nodes of the search, items that a completion adds to the largest document, completions tried at a node.
-CAPACITY, NODES, ITEMS, BRANCHES = 2048, 6000, 4, 3
+#: Tokens of a sequence, steps of the search (sizes tried for a filling, and fillings used).
+CAPACITY, STEPS = 2048, 300_000
 
 
 def pieces(docs: DataFrame, path: str | None = None, end: int = 0, capacity: int = CAPACITY) -> DataFrame:
@@ -76,95 +76,108 @@ def best_fit(left: _Left, capacity: int) -> tuple[int, ...]:
     return tuple(items)
 
 
-def completions(left: _Left, capacity: int, items: int = ITEMS, most: int = BRANCHES) -> list[tuple[int, ...]]:
-    """Undominated fillings around the largest piece: best-fit's own, then for each first partner the fullest sets of up to `items` pieces.
+def dominated(filling: tuple[int, ...], left: _Left, capacity: int) -> bool:
+    """Whether some piece outside a filling could stand in it in place of pieces of the same or a smaller sum (none: beside them) and still fit: what those pieces can do elsewhere the one piece cannot, so the filling
+    with the larger piece is at least as good. The first piece of a filling, the largest that is left, is never replaced. One of equal size is no gain."""
+    waste, one, two = capacity - sum(filling), 1, 0  # bits: sums of pieces, and sums of two or more of them
+    for x in filling[1:]:
+        two |= (one & ~1) << x | two << x
+        one |= one << x
+    for x in left.sizes:
+        if left.count[x] > filling.count(x) and (one >> max(x - waste, 0) & ((1 << min(waste, x)) - 1) or two >> x & 1):
+            return True
+    return False
 
-    A filling is dominated by one that holds larger pieces in the same room; the fullest in each form are kept, those of less waste first.
-    """
-    big, found = left.sizes[-1], {}
-    room = capacity - big
-    plain = best_fit(left, capacity)
-    found[plain] = capacity - sum(plain)
-    have = lambda x, used: left.count[x] - used.count(x) > 0
-
-    def fullest(used: tuple[int, ...], room: int, depth: int) -> tuple[int, ...]:
-        at = bisect.bisect_right(left.sizes, room)
-        best, tried = used, 0
-        while at and tried < (8 if depth else 4):
-            x = left.sizes[at - 1]
-            if have(x, used):
-                tried += 1
-                more = fullest((*used, x), room - x, depth - 1) if depth and room - x >= left.sizes[0] else (*used, x)
-                if sum(more) > sum(best):
-                    best = more
-                if sum(best) == capacity:
-                    break
-            at -= 1
-        return best
-
-    at = bisect.bisect_right(left.sizes, room)
-    for x in [left.sizes[i] for i in range(at - 1, max(-1, at - 1 - 4 * most), -1)]:
-        if len(found) > 2 * most or 0 in found.values():
-            break
-        if have(x, (big,)):
-            s = fullest((big, x), room - x, items - 2) if room - x >= left.sizes[0] else (big, x)
-            found[s] = capacity - sum(s)
-    return sorted(found, key=lambda s: (found[s], -len(s) and s[1:] and -s[1]))[:most]
 
-
-def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[tuple[int, ...], int]]:
+def completions(left: _Left, capacity: int, budget: list[int]) -> Iterator[tuple[int, ...]]:
+    """The undominated fillings around the largest piece: best fit's own first, then by growing waste. Each size tried takes a step off the budget, and none are left when it is spent."""
+    plain, sizes, count = best_fit(left, capacity), list(left.sizes), dict(left.count)
+    big = sizes[-1]
+    room = capacity - big
+    count[big] -= 1
+    yield plain
+
+    def exactly(total: int, upto: int) -> Iterator[tuple[int, ...]]:
+        """Sets of pieces of sizes[:upto], largest first, that sum to total."""
+        if not total:
+            yield ()
+            return
+        for i in range(min(upto, bisect.bisect_right(sizes, total)) - 1, -1, -1):
+            budget[0] -= 1
+            if budget[0] <= 0:
+                return
+            x = sizes[i]
+            if count[x]:
+                count[x] -= 1
+                for rest in exactly(total - x, i + 1):
+                    yield (x, *rest)
+                count[x] += 1
+
+    for waste in range(room + 1):
+        for rest in exactly(room - waste, len(sizes)):
+            filling = (big, *rest)
+            if filling != plain and not dominated(filling, left, capacity):
+                yield filling
+        if budget[0] <= 0:
+            return
+
+
+def plan(counts: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS) -> list[tuple[tuple[int, ...], int]]:
     """Fillings and how often each is used, for all pieces of the given lengths, in as few sequences as the search finds.
 
-    Bin completion on the histogram of lengths: a node fills around the largest piece that is left, as often as the counts allow at once; children are the
-    undominated fillings in order of waste; a node is pruned when the waste so far leaves no room for fewer sequences than the incumbent. The first descent
-    and a best-fit-decreasing run give the incumbent; `nodes` bounds the search, and the incumbent stands for whatever it did not reach.
+    Bin completion on the histogram of lengths: a node fills around the largest piece that is left; its children are the undominated fillings in order of
+    waste, each used as often as the counts allow, then once. A node is pruned when the waste so far leaves no room for fewer sequences than the incumbent. A
+    best-fit-decreasing run is the first incumbent. Where the search ends of itself, the result has the fewest sequences there can be; `steps` is its only limit, and the incumbent
+    stands for what it did not reach.
     """
     total = sum(k * n for k, n in counts.items())
     if not total:
         return []
     floor = -(-total // capacity)
     counts = {k: n for k, n in counts.items() if n}
-
-    def descend(left: _Left, choose) -> list[tuple[tuple[int, ...], int]]:
-        out = []
-        while left.sizes:
-            s = choose(left)
-            n = left.times(s)
-            out.append((s, n))
-            left.take(s, n)
-        return out
-
     size = lambda p: sum(n for _, n in p)
-    best = descend(_Left(counts), lambda left: best_fit(left, capacity))
-    left, path, visited = _Left(counts), [], 0
-    stack: list[list[tuple[int, ...]]] = [completions(left, capacity)] if size(best) > floor else []
-    waste = 0
-    while stack and visited < nodes and size(best) > floor:
-        if not stack[-1]:
+    left, best = _Left(counts), []
+    while left.sizes:
+        s = best_fit(left, capacity)
+        best.append((s, left.times(s)))
+        left.take(*best[-1])
+
+    left, path, waste, budget = _Left(counts), [], 0, [steps]
+
+    def children() -> Iterator[tuple[tuple[int, ...], int]]:
+        for s in completions(left, capacity, budget):
+            most = left.times(s)
+            yield s, most
+            if most > 1:
+                yield s, 1
+
+    stack = [children()] if size(best) > floor else []
+    while stack and budget[0] > 0 and size(best) > floor:
+        child = next(stack[-1], None)
+        if child is None:
             stack.pop()
             if path:
                 s, n = path.pop()
                 left.give(s, n)
                 waste -= n * (capacity - sum(s))
             continue
-        s = stack[-1].pop(0)
-        visited += 1
-        n = left.times(s)
-        spare = (size(best) - 1) * capacity - total  # waste that a better solution may have
-        if waste + n * (capacity - sum(s)) > spare:
+        budget[0] -= 1
+        s, n = child
+        lost = n * (capacity - sum(s))
+        if waste + lost > (size(best) - 1) * capacity - total:  # more waste than a better solution may have
             continue
         left.take(s, n)
-        path.append((s, n))
-        waste += n * (capacity - sum(s))
+        path.append(child)
+        waste += lost
         if left.sizes:
-            stack.append(completions(left, capacity))
+            stack.append(children())
         else:
             best = list(path)
-            stack.append([])
+            stack.append(iter(()))
     return best
 
 
-def pack(cut: DataFrame, capacity: int = CAPACITY, nodes: int = NODES) -> DataFrame:
+def pack(cut: DataFrame, capacity: int = CAPACITY, steps: int = STEPS) -> DataFrame:
     """cut (rows with a length) with sequence_id and offset. The driver sees the histogram only: at most `capacity` rows, whatever the input.
 
     Pieces stand in the order of (length, doc_id, piece); the plan says which ranks of a length go to which sequences and offsets.
@@ -177,7 +190,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, nodes: int = NODES) -> DataFr
         base[k], at = at, at + counts[k]
     # Runs of pieces by place in the order: (first place, sequence of the first, offset). A sequence takes one piece of each of its slots.
     runs, used, first = [], dict(base), 0
-    for s, n in plan(counts, capacity, nodes):
+    for s, n in plan(counts, capacity, steps):
         offset = 0
         for x in s:
             runs.append((used[x], first, offset))
