@@ -21,6 +21,14 @@ def test_without_llm(tmp_path):
     assert "no_such_module" in run(tmp_path, "import __spark_entry__").stderr
 
 
+def test_without_llm_but_with_the_pipeline_file(tmp_path):
+    shutil.copytree(ROOT / "ripplerank", tmp_path / "ripplerank", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for f in ("__spark_entry__.py", "corpus_pipeline.py"):
+        shutil.copy(ROOT / f, tmp_path)
+    out = run(tmp_path, "import __spark_entry__ as e; q = e.queries(); assert 'fold_margins' in q and 'pipeline' not in q and not any(k.startswith('op1') for k in q)")
+    assert out.returncode == 0, out.stderr
+
+
 def test_nothing_imports_llm():
     for f in (ROOT / "ripplerank").rglob("*.py"):
         if "llm" not in f.relative_to(ROOT).parts:
