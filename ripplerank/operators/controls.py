@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import distributions as D
+from ..sources.shared import numbered
 from . import graph, metrics
 
 
@@ -38,8 +39,7 @@ def class_means(df: DataFrame, member: str, group: str) -> DataFrame:
 
 def cap_search(edges: DataFrame, target: int, steps: int = 18) -> tuple[DataFrame, int]:
     """(edges of the largest component of the k strongest edges, k): the k whose component comes nearest to a number of edges, by bisection on the driver."""
-    w = Window.orderBy(F.desc("weight"), "gene_a", "gene_b")
-    placed = graph.cut(edges.withColumn("_k", F.row_number().over(w)), "placed")
+    placed = graph.cut(numbered(edges, [F.desc("weight"), "gene_a", "gene_b"], name="_k").withColumn("_k", F.col("_k") + 1), "placed")
     low, high, best = 1, placed.count(), None
     for _ in range(steps):
         if low > high:

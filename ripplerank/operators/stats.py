@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import distributions as D
 from ..functions.columns import uniform
+from ..sources.shared import cut, mid_ranks, numbered
 
 
 def unit_values(margins: DataFrame, keys: list[str], unit: str = "repeat", value: str = "delta") -> DataFrame:
@@ -125,7 +126,7 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
 
 def permutation(df: DataFrame, x: str, y: str, key: str, permutations: int = 1000, seed: str = "perm") -> DataFrame:
     """One row: rho, how many of the hashed permutations reach its size, p = (k + 1) / (n + 1)."""
-    r = df.withColumn("_x", average_rank(x, [])).withColumn("_y", average_rank(y, [])).withColumn("_i", F.row_number().over(Window.orderBy(key)))
+    r = cut(numbered(mid_ranks(mid_ranks(df, x, "_x"), y, "_y"), [key], name="_i").withColumn("_i", F.col("_i") + 1), "ranked")
     perms = r.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
     salt = F.concat(F.lit(f"{seed}|"), F.col("perm").cast("string"))
     dealt = perms.withColumn("_at", F.row_number().over(Window.partitionBy("perm").orderBy(uniform(F.col("_i"), salt), "_i")))
@@ -137,7 +138,7 @@ def permutation(df: DataFrame, x: str, y: str, key: str, permutations: int = 100
 
 def kruskal(df: DataFrame, group: str) -> DataFrame:
     """One row: n, groups, h with tie correction, p, eta2 of `value`."""
-    r = df.withColumn("_r", average_rank("value", []))
+    r = mid_ranks(df, "value", "_r")
     g = r.groupBy(group).agg(F.count("*").alias("n"), F.sum("_r").alias("s"))
     ties = df.groupBy("value").count().agg(F.sum(F.pow("count", F.lit(3)) - F.col("count")).alias("t"))
     s = g.agg(F.sum("n").alias("n"), F.count("*").alias("groups"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("q")).crossJoin(F.broadcast(ties))
@@ -182,7 +183,7 @@ def gene_bootstrap(scored: DataFrame, keys: list[str], replicates: int = 200, se
     """keys, rep, auroc: multiplicities of genes, drawn once a replicate and shared by all groups, weight the AUROC."""
     from .metrics import auroc
 
-    genes = scored.select("gene").distinct().withColumn("_i", F.row_number().over(Window.orderBy("gene")) - 1)
+    genes = numbered(scored.select("gene").distinct(), ["gene"], name="_i")
     n = genes.agg(F.count("*").alias("_n"))
     grid = genes.crossJoin(F.broadcast(n)).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     salt = F.concat(F.lit(f"{seed}|"), F.col("rep").cast("string"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,3 +32,31 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, order: list, weight: str | None = None, name: str = "_number") -> DataFrame:
+    """df with its place in a global order (from 0) and, with a weight, `_before`: the sum of the weight over all rows before it. The order has to tell rows apart.
+
+    Range partitions are sorted and written once; their counts and sums, a row a partition, give each one's start: no task sees more than its range.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    laid = cut(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()), "numbered")
+    part, row = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    w = F.coalesce(F.col(weight).cast("long"), F.lit(0)) if weight else F.lit(0).cast("long")
+    starts, at, sums = [], 0, 0
+    for r in laid.groupBy(part.alias("p")).agg(F.count("*").alias("n"), F.sum(w).alias("w")).orderBy("p").collect():  # a row a partition
+        starts.append((r["p"], at, sums))
+        at, sums = at + r["n"], sums + r["w"]
+    first = spark.createDataFrame(starts, "_part long, _first long, _base long")
+    out = laid.withColumn("_part", part).join(F.broadcast(first), "_part").withColumn(name, F.col("_first") + row)
+    if weight:
+        out = out.withColumn("_before", F.col("_base") + F.sum(w).over(Window.partitionBy("_part").orderBy("_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - w)
+    return out.drop("_id", "_part", "_first", "_base")
+
+
+def mid_ranks(df: DataFrame, column: str, name: str) -> DataFrame:
+    """df with the mid-rank of a column over all rows: distinct values are numbered with their counts, not the rows."""
+    counts = df.groupBy(F.col(column).alias("_value")).agg(F.count("*").alias("_n"))
+    ranks = numbered(counts, ["_value"], "_n").select("_value", (F.col("_before") + (F.col("_n") + 1) / 2.0).alias(name))
+    return df.join(ranks, F.col(column).eqNullSafe(F.col("_value"))).drop("_value")
