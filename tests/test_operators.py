@@ -208,3 +208,17 @@ def test_streaming(spark, tmp_path):
     q = edges.counts(edges.read_events(spark, str(tmp_path / "e"), 100)).writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("counts").agg(F.sum("n")).first()[0] == 30
+
+
+def test_stream_sessions(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from ripplerank.streaming import edges
+
+    at = datetime(2024, 1, 1, 10)
+    rows = [(k, at + timedelta(minutes=m), u, "click", 1.0, "{}") for k, (u, m) in enumerate([(1, 0), (1, 20), (1, 45), (1, 120), (2, 5), (3, 60 * 24 * 30)])]
+    spark.createDataFrame(rows, edges.EVENTS).coalesce(1).write.parquet(f"{tmp_path}/events")
+    q = edges.sessions(edges.read_events(spark, f"{tmp_path}/events")).writeStream.format("memory").queryName("sessions_seen").outputMode("append").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = sorted((r["user_id"], int((r["end"] - r["start"]).total_seconds() // 60), r["n"]) for r in spark.table("sessions_seen").collect())
+    assert got == [(1, 30, 1), (1, 75, 3), (2, 30, 1)]
