@@ -22,26 +22,32 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors with the number of their links at cosine 0.9, their component and whether they stay."""
     return near_duplicate_vectors(read(spark, sf_dir, "embeddings"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with expected severity, grade, probability and whether they are toxic."""
     return score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five highest inner products for each vector whose id 50 divides."""
     return top_k(read(spark, sf_dir, "embeddings"))
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pieces of all documents with their sequences and offsets."""
     return pack_documents(read(spark, sf_dir, "documents"))
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with fingerprint and component."""
     return simhash_groups(read(spark, sf_dir, "documents"))
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with quality score and prediction, held out or not."""
     return score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
@@ -58,10 +64,12 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as read back from the store: start, number and checksum of their ids."""
     return store_documents(read(spark, sf_dir, "documents"))
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with what the mix takes of them."""
     return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
