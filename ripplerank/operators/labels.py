@@ -82,7 +82,7 @@ def jaccard(sets: DataFrame, key: str = "label_set") -> DataFrame:
     one = sets.select(F.col(key).alias("k"), "gene").distinct()
     n = one.groupBy("k").agg(F.count("*").alias("n"))
     both = one.alias("a").join(one.alias("b"), "gene").where("a.k < b.k").groupBy(F.col("a.k").alias("set_a"), F.col("b.k").alias("set_b")).agg(F.count("*").alias("shared"))
-    sized = both.join(F.broadcast(n.select(F.col("k").alias("set_a"), F.col("n").alias("na"))), "set_a").join(F.broadcast(n.select(F.col("k").alias("set_b"), F.col("n").alias("nb"))), "set_b")
+    sized = both.join(n.select(F.col("k").alias("set_a"), F.col("n").alias("na")), "set_a").join(n.select(F.col("k").alias("set_b"), F.col("n").alias("nb")), "set_b")
     return sized.select("set_a", "set_b", "shared", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("jaccard"))
 
 

@@ -73,7 +73,7 @@ def smooth(df: DataFrame, keys: list[str], k: int = 5, shrink: float = 0.5) -> D
 def global_shrink(df: DataFrame, keys: list[str], shrink: float = 0.5) -> DataFrame:
     """df with smoothed: towards the group's median."""
     m = df.groupBy(*keys).agg(F.percentile("score", F.lit(0.5)).alias("_m"))
-    return (df.join(F.broadcast(m), keys) if keys else df.crossJoin(m)).withColumn("smoothed", F.col("score") + shrink * (F.col("_m") - F.col("score"))).drop("_m")
+    return (df.join(m, keys) if keys else df.crossJoin(m)).withColumn("smoothed", F.col("score") + shrink * (F.col("_m") - F.col("score"))).drop("_m")
 
 
 def flatten(df: DataFrame, keys: list[str], gamma: float = 0.5) -> DataFrame:
@@ -145,7 +145,7 @@ def crowding_by(df: DataFrame, keys: list[str], widths: DataFrame) -> DataFrame:
 
     A frame cannot vary by group, so both ends are counted: rows at or below score + width less rows below score - width, each from the running count of the scores and the ends put in one order.
     """
-    w = df.join(F.broadcast(widths.select(*keys, "width")), keys) if keys else df.crossJoin(F.broadcast(widths.select("width")))
+    w = df.join(widths.select(*keys, "width"), keys) if keys else df.crossJoin(F.broadcast(widths.select("width")))
     point = w.select(*keys, F.col("score").alias("at"), F.lit(1).alias("kind"), F.lit(1).alias("n"), F.lit(None).cast(df.schema["gene"].dataType).alias("gene"), F.lit(None).cast("double").alias("score"))
     ends = lambda sign, kind: w.select(*keys, (F.col("score") + sign * F.col("width")).alias("at"), F.lit(kind).alias("kind"), F.lit(0).alias("n"), "gene", "score")
     run = F.sum("n").over(Window.partitionBy(*keys).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -287,7 +287,7 @@ def network_stability(per_arm: DataFrame, described: DataFrame, network: str, va
     """predictor, n, rho, rho_least, rho_most: rank correlation of an arm's stability with its network's descriptors, over all arms and, at its least and most, with each network left out."""
     from .stats import spearman
 
-    j = per_arm.join(F.broadcast(described), network)
+    j = per_arm.join(described, network)
     left = j.select(F.col(network).alias("left_out")).distinct()
     out = None
     for c in columns:  # a handful of descriptors

@@ -228,7 +228,7 @@ def standardise(df: DataFrame, columns: list[str], keys: list[str] | None = None
     """df with each column less its mean over its sample SD, in each group of keys; null without spread. Means and SDs are one aggregate, joined back."""
     keys = keys or []
     m = df.groupBy(*keys).agg(*[f(c).alias(f"_{k}_{c}") for c in columns for k, f in (("m", F.avg), ("s", F.stddev_samp))])
-    j = df.join(F.broadcast(m), keys) if keys else df.crossJoin(F.broadcast(m))
+    j = df.join(m, keys) if keys else df.crossJoin(F.broadcast(m))
     out = j.withColumns({c: F.when(F.col(f"_s_{c}") > 0, (F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}")) for c in columns})
     return out.select(*df.columns)
 

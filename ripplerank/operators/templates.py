@@ -315,7 +315,7 @@ def consensus_left_out(ranks: DataFrame, run: str, targets: DataFrame) -> DataFr
 
 def reliable_consensus(ranks: DataFrame, run: str, reliability: DataFrame) -> DataFrame:
     """gene, weighted_rank: the mean percentile rank (1 the best) over runs, weighted by each run's reliability (run, weight)."""
-    p = stability.percentile_ranks(ranks, [run]).withColumn("good", 1 - F.col("pct")).join(F.broadcast(reliability.select(run, "weight")), run)
+    p = stability.percentile_ranks(ranks, [run]).withColumn("good", 1 - F.col("pct")).join(reliability.select(run, "weight"), run)
     return p.groupBy("gene").agg((F.sum(F.col("good") * F.col("weight")) / F.sum("weight")).alias("weighted_rank"))
 
 
@@ -325,7 +325,7 @@ def embedding_margins(vectors: DataFrame, edges: DataFrame, splits: DataFrame, k
 
     train = _training(splits, k).join(vectors, "gene").select("repeat", "fold", F.posexplode("vector").alias("i", "x"))
     mean = train.groupBy("repeat", "fold", "i").agg(F.avg("x").alias("x")).groupBy("repeat", "fold").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("mean"))
-    rows = splits.join(vectors, "gene").join(F.broadcast(mean), ["repeat", "fold"]).join(graph.degree(edges), "gene")
+    rows = splits.join(vectors, "gene").join(mean, ["repeat", "fold"]).join(graph.degree(edges), "gene")
     both = rows.select("repeat", "fold", "gene", "y", F.explode(F.create_map(F.lit("rwr"), F.round(cosine(F.col("vector"), F.col("mean")), 10), F.lit("degree"), F.col("degree").cast("double"))).alias("method", "score"))
     m = metrics.margins(metrics.auroc(both, ["repeat", "fold", "method"]), ["repeat", "fold"], ["auroc"])
     return m.select("repeat", "fold", "rwr_auroc", "degree_auroc", F.col("delta_auroc").alias("delta"))

@@ -84,7 +84,7 @@ def shrinkage_tradeoff(spark, d):
 
     x = base.doc_scores(spark, d)
     m = x.groupBy("source").agg(F.percentile("score", F.lit(0.5)).alias("m"))
-    grid = x.join(F.broadcast(m), "source").withColumn("shrink", F.explode(F.array(*[F.lit(i / 4) for i in range(5)])))
+    grid = x.join(m, "source").withColumn("shrink", F.explode(F.array(*[F.lit(i / 4) for i in range(5)])))
     c = grid.groupBy("source", "shrink").agg(F.stddev_samp(F.col("score") + F.col("shrink") * (F.col("m") - F.col("score"))).alias("sd"))
     before = F.lag("sd").over(Window.partitionBy("source").orderBy("shrink"))
     return c.withColumn("falls", F.col("sd") <= F.coalesce(before, F.col("sd"))).select("source", "shrink", R("sd"), "falls")
