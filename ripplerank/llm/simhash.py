@@ -111,7 +111,8 @@ def _grouped(fps: DataFrame, first: F.Column, bits: int) -> DataFrame:
     reach = table(components(links(classes, bits)), "reach", "snappy")
     least = reach.join(classes, reach["id"] == classes["fp"]).groupBy("component").agg(F.min("own").alias("first"), F.sum("n").alias("rows"))
     of = reach.join(least, "component").select(F.col("id").alias("fp"), "first", "rows")
-    return classes.join(of, "fp", "left").select("fp", F.coalesce("rows", "n").alias("n"), F.when(F.col("rows").isNull(), F.col("own")).otherwise(F.col("first")).alias("first"))
+    out = classes.join(of, "fp", "left").select("fp", F.coalesce("rows", "n").alias("n"), F.when(F.col("rows").isNull(), F.col("own")).otherwise(F.col("first")).alias("first"))
+    return table(out, "groups", "snappy")  # written, so that a join on it can split the rows of a fingerprint that many share
 
 
 def simhash_groups(docs: DataFrame, bits: int = 3, words: int = 3) -> DataFrame:
@@ -132,5 +133,5 @@ def simhash_keep(docs: DataFrame, bits: int = 3, words: int = 3) -> DataFrame:
     text = F.col("row.text").cast("string")
     fps = table(fingerprints(rows.select("id", F.col("row.doc_id").cast("long").alias("doc"), F.xxhash64(text).alias("th"), text.alias("text")), words), "fingerprints", "snappy")
     of = _grouped(fps, F.struct(F.col("doc").isNull().alias("no"), "doc", "th", "id"), bits).where("n > 1").select("fp", F.col("first.id").alias("stays"))
-    away = table(fps.select("id", "fp").join(of, "fp").where("id <> stays").select("id"), "away", "snappy")
+    away = table(fps.select("id", "fp").join(side(of, 16), "fp").where("id <> stays").select("id"), "away", "snappy")
     return rows.join(side(away, 16), "id", "left_anti").select("row.*")
