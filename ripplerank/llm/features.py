@@ -48,11 +48,12 @@ class _Rows(dict):
 
     def __init__(self, of: Callable[[str], tuple[int, ...]]):
         super().__init__()
-        self.of, self.table, self.spare = of, np.full((KEPT + CHUNK, MOST), -1, np.int32), 0
+        self.of, self.most, self.spare = of, KEPT, 0
+        self.table = np.full((self.most + CHUNK, MOST), -1, np.int32)
 
     def __missing__(self, word: str) -> int:
-        keep = len(self) < KEPT and len(word) <= 64
-        at = len(self) if keep else KEPT + self.spare
+        keep = len(self) < self.most and len(word) <= 64
+        at = len(self) if keep else self.most + self.spare
         found = self.of(word)
         self.table[at, : len(found)] = found
         self.table[at, len(found) :] = -1

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .features import WIDTH, Features, looks, sample, scored, sparse
+from .features import WIDTH, Features, looks, sample, scored
 
 #: Labelled rows of the sample, least documents of a feature, smoothing of the counts, C of the hinge loss, passes of the coordinate descent, folds of the calibration, share of the mean weight.
 ROWS, LEAST, SMOOTH, C, PASSES, FOLDS, MEAN = 12_000, 3, 1.0, 1.0, 12, 5, 0.25
@@ -33,9 +33,9 @@ def features() -> Features:
 
 def ratios(x: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     """Class log-count ratios r of the indicators, smoothed; 0 for features of fewer than LEAST documents."""
-    row, col = sparse(x)
-    pos = np.bincount(col[y[row] == 1], minlength=WIDTH).astype(float)
-    neg = np.bincount(col[y[row] == 0], minlength=WIDTH).astype(float)
+    neg, pos = np.zeros(WIDTH), np.zeros(WIDTH)
+    for v, t in zip(x, y, strict=True):  # a document's features are distinct
+        (pos if t else neg)[v] += 1
     p, q = pos + SMOOTH, neg + SMOOTH
     r = np.log(p / p.sum()) - np.log(q / q.sum())
     r[pos + neg < LEAST] = 0
@@ -45,8 +45,8 @@ def ratios(x: list[np.ndarray], y: np.ndarray) -> np.ndarray:
 def dual_descent(x: list[np.ndarray], y: np.ndarray, r: np.ndarray, c: float = C, passes: int = PASSES, seed: int = 42) -> tuple[np.ndarray, float]:
     """Linear hinge-loss weights by dual coordinate descent: one multiplier a document in [0, c], each set to its optimum in turn. Rows are r * indicator / sqrt(number), and a constant 1."""
     w, bias = np.zeros(WIDTH), 0.0
-    rows = [r[v] / np.sqrt(max(len(v), 1)) for v in x]
-    norm = np.array([v @ v + 1.0 for v in rows])
+    scale = [1 / np.sqrt(max(len(v), 1)) for v in x]
+    norm = np.array([s * s * float(np.sum(r[v] ** 2)) + 1.0 for v, s in zip(x, scale, strict=True)])
     alpha, sign = np.zeros(len(x)), np.where(y == 1, 1.0, -1.0)
     # classes weigh alike, so that the rarer one counts
     upper = np.where(y == 1, c * len(y) / max(2 * (y == 1).sum(), 1), c * len(y) / max(2 * (y == 0).sum(), 1))
@@ -54,10 +54,11 @@ def dual_descent(x: list[np.ndarray], y: np.ndarray, r: np.ndarray, c: float = C
     for _ in range(passes):
         moved = 0.0
         for i in rng.permutation(len(x)).tolist():
-            g = sign[i] * (w[x[i]] @ rows[i] + bias) - 1.0
+            row = r[x[i]] * scale[i]  # worked out anew: all rows at once would be the largest thing on the driver
+            g = sign[i] * (w[x[i]] @ row + bias) - 1.0
             new = min(max(alpha[i] - g / norm[i], 0.0), upper[i])
             if step := new - alpha[i]:
-                w[x[i]] += step * sign[i] * rows[i]
+                w[x[i]] += step * sign[i] * row
                 bias += step * sign[i]
                 alpha[i] = new
                 moved = max(moved, abs(step))
