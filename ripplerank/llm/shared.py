@@ -196,3 +196,24 @@ def components(links: DataFrame) -> DataFrame:
             break
         seen = now
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+
+
+#: Copies of a key's row, so that no task meets all the rows that share it.
+SALTS = 16
+
+
+def meet(rows: DataFrame, few: DataFrame, on: list[str], width: int, *cells: F.Column, how: str = "inner") -> DataFrame:
+    """rows joined with the written table `few` on columns of one name (nulls match nulls), however many rows share a key.
+
+    Where few's rows, at `width` bytes each and `cells`, come to BROADCAST_BYTES at most, they are broadcast. Otherwise each goes out in SALTS copies and a
+    row of `rows` meets one of them, dealt by its other columns' hash: a key that a third of all rows share is spread over SALTS tasks.
+    """
+    right = few.withColumnsRenamed({c: f"_on_{c}" for c in on})
+    same = [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on]
+    marked = side(few, width, *cells)
+    if marked is not few:
+        out = rows.join(F.broadcast(right), same, how)
+    else:
+        salted = right.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        out = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).join(salted, [*same, F.col("_salt") == F.col("_copy")], how)
+    return out.drop("_salt", "_copy", *[f"_on_{c}" for c in on])

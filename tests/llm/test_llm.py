@@ -419,14 +419,14 @@ def test_op10_targets_and_taken(spark):
 
 
 @needs_data
-@pytest.mark.parametrize("name", ["op1_embedding_near_dedup", "op3_exact_topk", "op10_source_mixing"])
+@pytest.mark.parametrize("name", ["op1_embedding_near_dedup", "op3_exact_topk", "op10_source_mixing", "op11_merkle_manifest", "op13_winnowing_decontamination"])
 def test_queries_against_sql(spark, name):
     import duckdb
 
     from ripplerank.llm import queries
 
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark"):
         con.execute(f"create view {t} as select * from '{D}/{t}.parquet'")
     got, want = queries.QUERIES[name](spark, D).toPandas(), con.execute(queries.SQL[name]).fetchdf()
     cols = sorted(want.columns)
