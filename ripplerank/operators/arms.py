@@ -10,8 +10,9 @@ from . import graph, metrics
 
 
 def check_genes(splits: DataFrame, degree: DataFrame) -> None:
-    """An error if a gene of the splits is not in the network."""
-    missing = splits.select("gene").distinct().join(degree.select("gene"), "gene", "left_anti")
+    """An error if a gene of the splits is not in its network."""
+    net = graph.networks(degree)
+    missing = splits.select(*net, "gene").distinct().join(degree.select(*net, "gene"), [*net, "gene"], "left_anti")
     n = missing.count()
     if n:
         some = ", ".join(str(r["gene"]) for r in missing.orderBy("gene").limit(3).collect())
@@ -21,25 +22,23 @@ def check_genes(splits: DataFrame, degree: DataFrame) -> None:
 def fold_scores(edges: DataFrame, splits: DataFrame, alphas: tuple[float, ...] = (0.5,), tol: float = 1e-8, max_iter: int = 200, digits: int = 10, k: int = 5, strategy: str = "auto", keys: tuple[str, ...] = ()) -> DataFrame:
     """keys, repeat, fold, method, alpha, n_iter, converged, gene, y, score: the test rows of every fold, scored by propagation from the other folds' positives and by degree.
 
-    `keys` are columns of the splits (label_set, resample, ...) that tell arms over one network apart: all arms, folds and alphas of a network are columns of one propagation an alpha, and only test rows come back.
-    Genes outside the network are an error. Scores are rounded before they are ranked, so summation order does not matter.
+    `keys` are columns of the splits (label_set, resample, ...) that tell arms apart; where edges carry a `network` column, it is one of them. All arms, folds, alphas and networks are columns of one propagation, and only
+    test rows come back. Genes outside their network are an error. Scores are rounded before they are ranked, so summation order does not matter.
     """
-    edges = cut(edges, "edges")
+    edges, net = cut(edges, "edges"), graph.networks(edges)
     degree, weights = cut(graph.degree(edges), "degree"), cut(graph.transition(edges), "transition")
     splits = cut(splits, "splits")
     check_genes(splits, degree)
-    by = [*keys, "repeat", "fold"]
+    by = [*dict.fromkeys([*net, *keys, "repeat", "fold"])]
     column = F.concat_ws("\x1f", *[F.col(c).cast("string") for c in by])
     others = F.array_except(F.sequence(F.lit(0), F.lit(k - 1)), F.array("fold"))
-    seeds = splits.where("y = 1").select(*keys, "repeat", F.explode(others).alias("fold"), "gene").select(column.alias("col"), "gene")
-    test = cut(splits.withColumn("col", column), "test")
+    seeds = splits.where("y = 1").withColumn("fold", F.explode(others)).select(*net, column.alias("col"), "gene")
+    test = cut(splits.withColumn("col", column).join(degree, [*net, "gene"]), "test")
     seeds = seeds.join(test.select("col").distinct(), "col", "left_semi")
     none = lambda t: F.lit(None).cast(t)
-    out = test.join(degree, "gene").select(*by, F.lit("degree").alias("method"), none("double").alias("alpha"), none("int").alias("n_iter"), none("boolean").alias("converged"), "gene", "y", F.col("degree").cast("double").alias("score"))
-    for a in alphas:
-        p = graph.rwr(edges, seeds, a, tol, max_iter, strategy, weights, test.select("col", "gene"))
-        out = out.unionByName(test.join(p, ["col", "gene"]).select(*by, F.lit("rwr").alias("method"), F.lit(a).alias("alpha"), "n_iter", "converged", "gene", "y", F.round("score", digits).alias("score")))
-    return out
+    own = test.select(*by, F.lit("degree").alias("method"), none("double").alias("alpha"), none("int").alias("n_iter"), none("boolean").alias("converged"), "gene", "y", F.col("degree").cast("double").alias("score"))
+    p = graph.rwr_series(edges, seeds, alphas, tol, max_iter, strategy, weights, test.select(*net, "col", "gene")).drop(*net)
+    return own.unionByName(test.join(p, ["col", "gene"]).select(*by, F.lit("rwr").alias("method"), "alpha", "n_iter", "converged", "gene", "y", F.round("score", digits).alias("score")))
 
 
 def run_arm(edges: DataFrame, splits: DataFrame, alphas: tuple[float, ...] = (0.5,), ks: tuple[int, ...] = (50, 100, 500), keys: tuple[str, ...] = (), scores: DataFrame | None = None, **how) -> DataFrame:
@@ -74,15 +73,26 @@ def arm_margins(results: DataFrame, keys: list[str], names: list[str]) -> DataFr
     return both.select(*keys, "alpha", "repeat", "fold", *[c for m in names for c in ((F.col(f"rwr_{m}") - F.col(f"degree_{m}")).alias(f"delta_{m}"), f"rwr_{m}", f"degree_{m}")])
 
 
-def factorial(networks: dict[str, DataFrame], splits: DataFrame, alphas: tuple[float, ...], **how) -> DataFrame:
-    """network, label_set and the results of every arm: splits carry label_set, a key of the columns, so a network's arms are one propagation an alpha. Networks, a handful, are named by the caller."""
+def side_by_side(networks: dict[str, DataFrame]) -> DataFrame:
+    """One edge table of several, told apart by `network`."""
     out = None
-    for name, edges in networks.items():
-        r = run_arm(edges, splits, alphas, keys=("label_set",), **how).withColumn("network", F.lit(name))
-        out = r if out is None else out.unionByName(r)
+    for name, edges in networks.items():  # a handful, named by the caller
+        e = edges.select(F.lit(name).alias("network"), "gene_a", "gene_b", "weight")
+        out = e if out is None else out.unionByName(e)
     return out
 
 
+def factorial(networks: dict[str, DataFrame] | DataFrame, splits: DataFrame, alphas: tuple[float, ...], **how) -> DataFrame:
+    """network, label_set and the results of every arm: all networks, label sets, folds and alphas are one propagation.
+
+    networks: edge tables by name, or one with a `network` column. Splits carry label_set and, where networks have splits of their own, network; otherwise every network takes all of them.
+    """
+    edges = cut(side_by_side(networks) if isinstance(networks, dict) else networks, "networks")
+    if "network" not in splits.columns:
+        splits = splits.crossJoin(edges.select("network").distinct())  # one row a network
+    return run_arm(edges, splits, alphas, keys=("network", "label_set"), **how)
+
+
 def table_one(margins: DataFrame, keys: list[str], alphas: tuple[float, ...], value: str = "delta_auroc") -> DataFrame:
     """keys and a{alpha}_mean, a{alpha}_std, a{alpha}_n: the values of the pivot are given, so it costs one aggregate."""
     at = lambda a: F.when(F.col("alpha") == a, F.col(value))

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from itertools import chain
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import harmonic_sum, split_multi
-from . import graph, labels
+from . import graph, labels, ranks
 
 #: The weight of each class of evidence of a gene-disease curation.
 EVIDENCE = {"Definitive": 1.0, "Strong": 1.0, "Moderate": 0.5, "Limited": 0.0, "Disputed": 0.0, "Refuted": 0.0, "No Known Disease Relationship": 0.0}
@@ -16,7 +16,8 @@ EVIDENCE = {"Definitive": 1.0, "Strong": 1.0, "Moderate": 0.5, "Limited": 0.0, "
 
 def ranked(scores: DataFrame, source: str, release: str, by: str = "score") -> DataFrame:
     """gene, rank, source, release of (gene, score): the highest first, ties by gene. One label catalogue's genes."""
-    return scores.select("gene", F.row_number().over(Window.orderBy(F.desc(by), "gene")).alias("rank"), F.lit(source).alias("source"), F.lit(release).alias("release"))
+    placed = ranks.by_group(scores, [], [F.desc(by), "gene"])
+    return placed.select("gene", F.col("_place").cast("int").alias("rank"), F.lit(source).alias("source"), F.lit(release).alias("release"))
 
 
 def mapped(rows: DataFrame, column: str, mapping: DataFrame, kind: str = "symbol") -> DataFrame:
@@ -64,13 +65,13 @@ def validity(rows: DataFrame, cancers: DataFrame, mapping: DataFrame, release: s
 def catalogue(genes: DataFrame, known: DataFrame, candidates: DataFrame, screens: DataFrame, nomenclature: DataFrame) -> DataFrame:
     """symbol, entrez, tier, is_oncogene, is_tsg, cancer_type, primary_site, n_publications, symbol_hgnc, matches: four sheets joined into one row a gene.
 
-    genes (symbol, entrez); known (symbol, oncogene, tsg); candidates (symbol); screens (symbol, publication, cancer_type, primary_site). Known beats candidate, the rest are screening. The symbol is checked against
-    the nomenclature's for the same entrez id.
+    genes (symbol, entrez); known (symbol, oncogene, tsg); candidates (symbol); screens (symbol, publication, cancer_type, primary_site). Known beats candidate, the rest are screening. Types and sites are all that any
+    screen names ("-", "nan" and empty name none), sorted; "multiple" stands as a site only where no specific one is named. The symbol is checked against the nomenclature's for the same entrez id.
     """
-    seen = F.array_sort(F.collect_set(F.nullif(F.trim("cancer_type"), F.lit(""))))
-    site = F.array_sort(F.collect_set(F.nullif(F.trim("primary_site"), F.lit(""))))
-    many = lambda a: F.when(F.size(a) > 5, "multiple").otherwise(F.array_join(a, ";"))
-    per = screens.groupBy("symbol").agg(F.count_distinct("publication").cast("int").alias("n_publications"), many(seen).alias("cancer_type"), many(site).alias("primary_site"))
+    named = lambda c: F.array_sort(F.collect_set(F.when(~F.col(c).isin("", "-", "nan"), F.col(c))))
+    per = screens.groupBy("symbol").agg(F.count_distinct("publication").cast("int").alias("n_publications"), named("cancer_type").alias("types"), named("primary_site").alias("sites"))
+    specific = F.array_remove("sites", "multiple")
+    per = per.select("symbol", "n_publications", F.array_join("types", ";").alias("cancer_type"), F.array_join(F.when(F.size(specific) > 0, specific).otherwise(F.col("sites")), ";").alias("primary_site"))
     role = known.groupBy("symbol").agg(F.max("oncogene").cast("int").alias("is_oncogene"), F.max("tsg").cast("int").alias("is_tsg")).withColumn("_known", F.lit(True))
     cand = candidates.select("symbol").distinct().withColumn("_candidate", F.lit(True))
     ids = nomenclature.select(F.explode(F.split("entrez_id", ";")).alias("entrez"), F.col("symbol").alias("symbol_hgnc")).withColumn("entrez", F.trim("entrez")).where("entrez rlike '^[0-9]+$'")
@@ -111,10 +112,10 @@ def star_tiers(rows: DataFrame, cuts: dict[str, float]) -> DataFrame:
 
 
 def complex_map(rows: DataFrame, by_accession: DataFrame, source: str) -> DataFrame:
-    """complex_id, gene, uniprot, source, n_members of (complex_id, members: accessions with separators): members that map (uniprot, gene), complexes with the number of their genes."""
+    """complex_id, gene, uniprot, source, n_members of (complex_id, members: accessions with separators): members that map (uniprot, gene), with the number of the complex's rows: two accessions of one gene are two members."""
     each = rows.select("complex_id", F.explode(split_multi(F.regexp_replace("members", "[;,]", "|"))).alias("uniprot")).withColumn("uniprot", F.substring_index("uniprot", "-", 1))
     named = each.join(by_accession.select("uniprot", "gene"), "uniprot").select("complex_id", "gene", "uniprot").distinct()
-    n = named.groupBy("complex_id").agg(F.count_distinct("gene").cast("int").alias("n_members"))
+    n = named.groupBy("complex_id").agg(F.count("*").cast("int").alias("n_members"))
     return named.join(n, "complex_id").select("complex_id", "gene", "uniprot", F.lit(source).alias("source"), "n_members")
 
 

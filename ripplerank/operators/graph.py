@@ -15,10 +15,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import uniform
-from ..sources.shared import cut
+from ..sources.shared import cut, fresh
+from .ranks import by_group
 
 #: Edges of which arrays may be broadcast to the tasks that propagate blocks of seed sets; larger graphs go by joins.
 BROADCAST_EDGES = 4_000_000
+#: Columns of a block that numpy propagates, and columns of a row of the propagation by joins.
+BLOCK_COLUMNS, WIDTH = 64, 16
 
 
 def canonical(pairs: DataFrame) -> DataFrame:
@@ -27,9 +30,15 @@ def canonical(pairs: DataFrame) -> DataFrame:
     return good.groupBy(F.least("gene_a", "gene_b").alias("gene_a"), F.greatest("gene_a", "gene_b").alias("gene_b")).agg(F.max("weight").alias("weight"))
 
 
+def networks(df: DataFrame) -> list[str]:
+    """The column that tells networks apart, where several stand in one table."""
+    return ["network"] if "network" in df.columns else []
+
+
 def directed(edges: DataFrame) -> DataFrame:
-    """(src, dst, weight): every edge from either end."""
-    return edges.select(F.col("gene_a").alias("src"), F.col("gene_b").alias("dst"), "weight").unionByName(edges.select(F.col("gene_b").alias("src"), F.col("gene_a").alias("dst"), "weight"))
+    """(network if there are several, src, dst, weight): every edge from either end."""
+    net = networks(edges)
+    return edges.select(*net, F.col("gene_a").alias("src"), F.col("gene_b").alias("dst"), "weight").unionByName(edges.select(*net, F.col("gene_b").alias("src"), F.col("gene_a").alias("dst"), "weight"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -69,19 +78,19 @@ def finalize(pairs: DataFrame, network: str) -> tuple[DataFrame, DataFrame]:
 
 
 def degree(edges: DataFrame) -> DataFrame:
-    """(gene, degree): distinct neighbours."""
-    return directed(edges).groupBy(F.col("src").alias("gene")).agg(F.count("*").alias("degree"))
+    """(gene, degree): distinct neighbours (in each network, where there are several)."""
+    return directed(edges).groupBy(*networks(edges), F.col("src").alias("gene")).agg(F.count("*").alias("degree"))
 
 
 def transition(edges: DataFrame, beta: float | None = None) -> DataFrame:
     """(src, dst, w) whose weights leave each src as a distribution: 1 / degree, or with beta 1 / (degree_src * degree_dst) ** beta, made to sum to 1."""
-    d = degree(edges)
-    e = directed(edges).select("src", "dst").join(d.select(F.col("gene").alias("src"), F.col("degree").alias("ds")), "src")
+    d, net = degree(edges), networks(edges)
+    e = directed(edges).select(*net, "src", "dst").join(d.select(*net, F.col("gene").alias("src"), F.col("degree").alias("ds")), [*net, "src"])
     if beta is None:
-        return e.select("src", "dst", (1.0 / F.col("ds")).alias("w"))
-    e = e.join(d.select(F.col("gene").alias("dst"), F.col("degree").alias("dd")), "dst").withColumn("raw", F.pow(F.col("ds") * F.col("dd"), F.lit(-beta)))
-    total = e.groupBy("src").agg(F.sum("raw").alias("total"))
-    return e.join(total, "src").select("src", "dst", (F.col("raw") / F.col("total")).alias("w"))
+        return e.select(*net, "src", "dst", (1.0 / F.col("ds")).alias("w"))
+    e = e.join(d.select(*net, F.col("gene").alias("dst"), F.col("degree").alias("dd")), [*net, "dst"]).withColumn("raw", F.pow(F.col("ds") * F.col("dd"), F.lit(-beta)))
+    total = e.groupBy(*net, "src").agg(F.sum("raw").alias("total"))
+    return e.join(total, [*net, "src"]).select(*net, "src", "dst", (F.col("raw") / F.col("total")).alias("w"))
 
 
 def transition_problems(w: DataFrame) -> DataFrame:
@@ -107,110 +116,190 @@ def transition_safe(genes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def seed_matrix(seeds: DataFrame) -> DataFrame:
-    """(col, gene, p0) of (col, gene): uniform over each column's distinct seeds."""
-    one = seeds.select("col", "gene").distinct()
-    return one.join(one.groupBy("col").agg((1.0 / F.count("*")).alias("p0")), "col")
+    """(col, gene, p0) of (col, gene): uniform over each column's distinct seeds (of a network, where there are several)."""
+    net = networks(seeds)
+    one = seeds.select(*net, "col", "gene").distinct()
+    return one.join(one.groupBy(*net, "col").agg((1.0 / F.count("*")).alias("p0")), [*net, "col"])
 
 
 def rwr(edges: DataFrame, seeds: DataFrame, alpha: float = 0.5, tol: float = 1e-8, max_iter: int = 200, strategy: str = "auto", weights: DataFrame | None = None, only: DataFrame | None = None) -> DataFrame:
-    """(col, gene, score, n_iter, converged): random walk with restart, p = alpha * p0 + (1 - alpha) * W'p, from each seed column.
+    """rwr_series() for one alpha, without its column."""
+    return rwr_series(edges, seeds, (alpha,), tol, max_iter, strategy, weights, only).drop("alpha")
+
+
+def rwr_series(edges: DataFrame, seeds: DataFrame, alphas: tuple[float, ...], tol: float = 1e-8, max_iter: int = 200, strategy: str = "auto", weights: DataFrame | None = None, only: DataFrame | None = None) -> DataFrame:
+    """(col, alpha, gene, score, n_iter, converged): random walk with restart, p = alpha * p0 + (1 - alpha) * W'p, from each seed column at each alpha, all from one series.
 
-    A column stops by itself when it moves less than tol in sum: n_iter says after how many rounds, converged whether it did within max_iter (null for tol 0, which asks for exactly
-    max_iter rounds). A column without a seed in the network is an error, as is an empty seed set. `only` (col, gene) names the scores that are wanted; without it every column has every gene.
+    With x(k) = W'^k p0, round n of an alpha is alpha * sum over k < n of (1 - alpha)^k x(k), and (1 - alpha)^n x(n); it moves by (1 - alpha)^n |x(n) - x(n - 1)|. So x(k) is propagated once for all
+    alphas, and a (column, alpha) stops by itself at the first round that moves less than tol: n_iter says which, converged whether it came within max_iter (null for tol 0, which asks for exactly max_iter rounds).
+    Where edges, seeds (and only) have a `network` column, networks stand side by side: a column belongs to one, and the result has the column too. A column without a seed in its network is an error, as is an empty
+    seed set. `only` (col, gene) names the scores that are wanted; without it every column has every gene of its network.
 
-    `joins`: one join and one sum a round over (col, gene, p), any size. `blocks`: edge arrays, up to BROADCAST_EDGES of them, are broadcast and blocks of columns of a fixed
-    number propagated by numpy. Both run each column the same rounds and differ by rounding only; `auto` takes blocks where the edges were counted to fit.
+    `joins`: a row a gene and WIDTH columns; a round is one join and one sum of a row an edge and block, any size. `blocks`: edge arrays, up to BROADCAST_EDGES of them, are broadcast and even
+    blocks of columns propagated by numpy. Both run each column the same rounds and differ by rounding only; `auto` takes blocks where the edges were counted to fit.
     """
-    if not 0 < alpha <= 1:
+    if not alphas or any(not 0 < a <= 1 for a in alphas):
         raise ValueError("alpha must be over 0 and at most 1")
-    w = weights if weights is not None else cut(transition(cut(edges, "edges")), "transition")
-    genes = w.select(F.col("src").alias("gene")).distinct()
-    p0 = cut(seed_matrix(seeds.join(genes, "gene", "left_semi")), "p0")
-    lost = seeds.select("col").distinct().join(p0.select("col").distinct(), "col", "left_anti")
-    if p0.isEmpty() or not lost.isEmpty():
+    w = weights if weights is not None else cut(transition(edges), "transition")
+    net = networks(w)
+    p0 = cut(seed_matrix(seeds.join(w.select(*net, F.col("src").alias("gene")).distinct(), [*net, "gene"], "left_semi")), "p0")
+    here = p0.select(*net, "col").distinct().withColumn("_in", F.lit(1))
+    columns = seeds.select(*net, "col").distinct().join(here, [*net, "col"], "left").agg(F.count("*").alias("n"), F.count("_in").alias("found")).first()
+    if not columns["n"] or columns["found"] < columns["n"]:
         raise ValueError("a seed set has no gene in the network")
     if strategy == "auto":
         strategy = "blocks" if w.count() <= BROADCAST_EDGES else "joins"
-    return (_by_blocks if strategy == "blocks" else _by_joins)(w, p0, alpha, tol, max_iter, only)
+    alphas = tuple(dict.fromkeys(map(float, alphas)))
+    return (_by_blocks if strategy == "blocks" else _by_joins)(w, p0, net, alphas, tol, max_iter, only, columns["n"])
 
 
-def _by_joins(w: DataFrame, p0: DataFrame, alpha: float, tol: float, max_iter: int, only: DataFrame | None) -> DataFrame:
-    state, n, out = p0.select("col", "gene", F.col("p0").alias("p")), 0, None
-    ended = lambda d, n, ok: d.select("col", "gene", F.col("p").alias("score"), F.lit(n).alias("n_iter"), F.lit(ok).cast("boolean").alias("converged"))
+def _dealt(p0: DataFrame, net: list[str], block: int) -> DataFrame:
+    """(network, col, _block, _at): the columns of each network in blocks of up to `block`, as even as can be."""
+    placed = by_group(p0.select(*net, "col").distinct(), net, ["col"])
+    blocks = F.ceil(F.col("_size") / block)
+    return cut(placed.select(*net, "col", F.pmod(F.col("_place") - 1, blocks).cast("int").alias("_block"), F.floor((F.col("_place") - 1) / blocks).cast("int").alias("_at")), "columns")
+
+
+def _by_joins(w: DataFrame, p0: DataFrame, net: list[str], alphas: tuple[float, ...], tol: float, max_iter: int, only: DataFrame | None, columns: int) -> DataFrame:
+    spark = w.sparkSession
+    width = min(WIDTH, columns)
+    names = [f"x{i}" for i in range(width)]
+    dealt = _dealt(p0, net, width)
+    home = fresh(spark, "series")  # one folder a round: the series is read once more at the end, for all alphas
+
+    def put(df: DataFrame, k: int) -> DataFrame:
+        df.write.parquet(f"{home}/k={k}")
+        return spark.read.schema(df.schema).parquet(f"{home}/k={k}")
+
+    first = [F.sum(F.when(F.col("_at") == i, F.col("p0")).otherwise(0.0)).alias(x) for i, x in enumerate(names)]
+    x = put(p0.join(dealt, [*net, "col"]).groupBy(*net, "_block", "gene").agg(*first), 0)
+    slow, n, gaps = 1 - min(alphas), 0, None
+    open_columns = dealt
     while n < max_iter:
         n += 1
-        msg = state.join(w, F.col("gene") == F.col("src")).groupBy("col", "dst").agg(F.sum(F.col("p") * F.col("w")).alias("m"))
-        start = p0.join(state.select("col").distinct(), "col", "left_semi")
-        after = msg.withColumnRenamed("dst", "gene").join(start, ["col", "gene"], "full").select("col", "gene", (alpha * F.coalesce("p0", F.lit(0.0)) + (1 - alpha) * F.coalesce("m", F.lit(0.0))).alias("p"))
-        after = cut(after, "state")
+        live = x.join(open_columns.select(*net, "_block").distinct(), [*net, "_block"], "left_semi")
+        msg = live.join(w, [*[live[c] == w[c] for c in net], live["gene"] == w["src"]])
+        msg = msg.groupBy(*[live[c] for c in net], live["_block"], w["dst"].alias("gene")).agg(*[F.sum(F.col(c) * w["w"]).alias(c) for c in names])
+        after = put(msg, n)
         if tol > 0:
-            gap = after.withColumnRenamed("p", "q").join(state, ["col", "gene"], "full").groupBy("col").agg(F.sum(F.abs(F.coalesce("p", F.lit(0.0)) - F.coalesce("q", F.lit(0.0)))).alias("d"))
-            still = cut(gap.where(F.col("d") >= tol).select("col"), "still")
-            if still.count() < gap.count():
-                done = ended(after.join(still, "col", "left_anti"), n, True)
-                out = cut(done if out is None else out.unionByName(done), "done")
-                after = cut(after.join(still, "col", "left_semi"), "state")
-        state = after
-        if tol > 0 and state.isEmpty():
-            break
-    rest = ended(state, n, False if tol > 0 else None)
-    out = rest if out is None else out.unionByName(rest)
+            before = live.withColumnsRenamed({c: f"_{c}" for c in names})
+            moved = after.join(before, [*net, "_block", "gene"], "full").groupBy(*net, "_block").agg(*[F.sum(F.abs(F.coalesce(c, F.lit(0.0)) - F.coalesce(f"_{c}", F.lit(0.0)))).alias(c) for c in names])
+            each = F.explode(F.array(*[F.struct(F.lit(i).alias("_at"), F.col(c).alias("d")) for i, c in enumerate(names)])).alias("g")
+            gap = cut(moved.select(*net, "_block", each).select(*net, "_block", "g.*").join(open_columns, [*net, "_block", "_at"]).withColumn("k", F.lit(n)), "gaps")
+            gaps = gap if gaps is None else gaps.unionByName(gap)
+            open_columns = cut(gap.where(F.col("d") * F.lit(slow**n) >= tol).select(*net, "col", "_block", "_at"), "open")
+            if open_columns.isEmpty():
+                break
+        x = after
+    ask = F.explode(F.array(*[F.lit(a) for a in alphas])).alias("alpha")
+    ends = dealt.select(*net, "col", "_block", "_at", ask)
+    if tol > 0:
+        power = F.pow(1 - F.col("alpha"), F.col("k"))
+        stops = gaps.select(*net, "col", "k", "d", ask).where(F.col("d") * power < tol).groupBy(*net, "col", "alpha").agg(F.min("k").alias("_k"))
+        ends = ends.join(stops, [*net, "col", "alpha"], "left").select(*net, "col", "_block", "_at", "alpha", F.coalesce("_k", F.lit(n)).alias("n_iter"), F.col("_k").isNotNull().alias("converged"))
+    else:
+        ends = ends.select("*", F.lit(n).alias("n_iter"), F.lit(None).cast("boolean").alias("converged"))
+    ends = cut(ends, "ends")
+    series = spark.read.schema(T.StructType([*x.schema.fields, T.StructField("k", T.IntegerType())])).parquet(home)
+    each = F.explode(F.filter(F.array(*[F.struct(F.lit(i).alias("_at"), F.col(c).alias("v")) for i, c in enumerate(names)]), lambda s: s["v"] != 0)).alias("s")
+    parts = series.select(*net, "_block", "gene", "k", each).select(*net, "_block", "gene", "k", "s.*").join(dealt, [*net, "_block", "_at"])
+    grid = only.select(*net, "col", "gene").distinct() if only is not None else None
+    if grid is not None:
+        parts = parts.join(grid, [*net, "col", "gene"], "left_semi")
+    parts = parts.select(*net, "col", "gene", "k", "v").join(ends.select(*net, "col", "alpha", "n_iter"), [*net, "col"]).where("k <= n_iter")
+    weight = F.when(F.col("k") < F.col("n_iter"), F.col("alpha")).otherwise(F.lit(1.0)) * F.pow(1 - F.col("alpha"), F.col("k"))
+    scores = parts.groupBy(*net, "col", "alpha", "gene").agg(F.sum(F.col("v") * weight).alias("score"))
     # every gene that is asked for has a score: those out of reach 0
-    grid = only.select("col", "gene") if only is not None else p0.select("col").distinct().crossJoin(w.select(F.col("src").alias("gene")).distinct())
-    ends = out.select("col", "n_iter", "converged").distinct()
-    return grid.join(ends, "col").join(out.select("col", "gene", "score"), ["col", "gene"], "left").select("col", "gene", F.coalesce("score", F.lit(0.0)).alias("score"), "n_iter", "converged")
-
-
-def _by_blocks(w: DataFrame, p0: DataFrame, alpha: float, tol: float, max_iter: int, only: DataFrame | None, block: int = 64) -> DataFrame:
+    genes = w.select(*net, F.col("src").alias("gene")).distinct()
+    if grid is None:
+        grid = genes.join(dealt.select(*net, "col"), net) if net else dealt.select("col").crossJoin(genes)
+    out = grid.join(ends.select(*net, "col", "alpha", "n_iter", "converged"), [*net, "col"]).join(scores, [*net, "col", "alpha", "gene"], "left")
+    return out.select(*net, "col", "alpha", "gene", F.coalesce("score", F.lit(0.0)).alias("score"), "n_iter", "converged")
+
+
+class _Matrix:
+    """W' of one network by rows, for products with one column at a time."""
+
+    def __init__(self, src: np.ndarray, dst: np.ndarray, val: np.ndarray):
+        self.genes = np.unique(src)  # every gene has an edge from it
+        src, dst = np.searchsorted(self.genes, src), np.searchsorted(self.genes, dst)
+        order = np.argsort(dst, kind="stable")
+        self.src, dst, val = src[order].astype(np.int32), dst[order], val[order]
+        self.starts = np.flatnonzero(np.r_[True, dst[1:] != dst[:-1]])
+        self.at = dst[self.starts]
+        self.scale = np.zeros(len(self.genes))
+        self.scale[self.src] = val
+        self.val = None if (self.scale[self.src] == val).all() else val  # weights that follow from the source alone scale the vector instead
+
+    def __matmul__(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(self.genes))
+        flow = (x * self.scale)[self.src] if self.val is None else x[self.src] * self.val
+        out[self.at] = np.add.reduceat(flow, self.starts)
+        return out
+
+
+def _by_blocks(w: DataFrame, p0: DataFrame, net: list[str], alphas: tuple[float, ...], tol: float, max_iter: int, only: DataFrame | None, columns: int) -> DataFrame:
     spark = w.sparkSession
-    arrays = w.select("src", "dst", "w").toArrow()  # at most BROADCAST_EDGES rows, counted before
+    tag = w.select(*(net or [F.lit("").alias("network")]), "src", "dst", "w")
+    arrays = tag.toArrow()  # at most BROADCAST_EDGES rows, counted before
+    name = np.array([str(x) for x in arrays["network"].unique().to_pylist()], object)
+    which = arrays["network"].combine_chunks().dictionary_encode().indices.to_numpy()
     src, dst, val = (arrays[c].to_numpy() for c in ("src", "dst", "w"))
-    genes = np.unique(src)  # every gene has an edge from it
-    src, dst = np.searchsorted(genes, src), np.searchsorted(genes, dst)
-    order = np.argsort(dst, kind="stable")
-    src, both, val = src[order], dst[order], val[order]
-    starts = np.flatnonzero(np.r_[True, both[1:] != both[:-1]]) if len(both) else np.zeros(0, int)
-    shared = spark.sparkContext.broadcast((genes, src, val, starts, both[starts]))
-    kinds = T.StructType([T.StructField("col", p0.schema["col"].dataType), T.StructField("gene", w.schema["src"].dataType), T.StructField("score", T.DoubleType()), T.StructField("n_iter", T.IntegerType()), T.StructField("converged", T.BooleanType())])
+    shared = spark.sparkContext.broadcast({n: _Matrix(src[which == i], dst[which == i], val[which == i]) for i, n in enumerate(name)})
+    fields = [p0.schema[c] for c in (*net, "col")] + [T.StructField("alpha", T.DoubleType()), T.StructField("gene", w.schema["src"].dataType), T.StructField("score", T.DoubleType()), T.StructField("n_iter", T.IntegerType()), T.StructField("converged", T.BooleanType())]
+    kinds = T.StructType(fields)
 
     def run(pdf: pd.DataFrame, wanted: pd.DataFrame | None = None) -> pd.DataFrame:
-        genes, src, val, starts, at = shared.value
+        own = pdf["network"].iloc[0] if net else None
+        m = shared.value[str(own) if net else ""]
         cols, j = np.unique(pdf["col"].to_numpy(), return_inverse=True)
-        p = np.zeros((len(genes), len(cols)))
-        p[np.searchsorted(genes, pdf["gene"].to_numpy()), j] = pdf["p0"].to_numpy()
-        start, live, n_iter = alpha * p, np.arange(len(cols)), np.zeros(len(cols), np.int32)
-        ok = np.zeros(len(cols), bool)
-        step = max(1, 4_000_000 // max(len(cols), 1))  # edges a slice, so that messages stay small
-        for n in range(1, max_iter + 1):
-            old, new = p[:, live], start[:, live].copy()
-            for lo in range(0, len(starts), step):
-                hi = min(lo + step, len(starts))
-                a, z = starts[lo], starts[hi] if hi < len(starts) else len(src)
-                new[at[lo:hi]] += (1 - alpha) * np.add.reduceat(val[a:z, None] * old[src[a:z]], starts[lo:hi] - a, axis=0)
-            p[:, live], n_iter[live] = new, n
-            if tol > 0:
-                still = np.abs(new - old).sum(0) >= tol
-                ok[live[~still]] = True
-                live = live[still]
-                if not len(live):
-                    break
-        done = (lambda k: ok[k]) if tol > 0 else (lambda k: [None] * len(k))
+        n_genes = len(m.genes)
+        x = np.zeros((len(cols), n_genes))
+        x[j, np.searchsorted(m.genes, pdf["gene"].to_numpy())] = pdf["p0"].to_numpy()
         if wanted is None:
-            k = np.repeat(np.arange(len(cols)), len(genes))
-            return pd.DataFrame({"col": cols[k], "gene": np.tile(genes, len(cols)), "score": p.T.ravel(), "n_iter": n_iter[k], "converged": done(k)})
-        k, g = np.searchsorted(cols, wanted["col"].to_numpy()), np.searchsorted(genes, wanted["gene"].to_numpy())
-        inside = genes[np.minimum(g, len(genes) - 1)] == wanted["gene"].to_numpy()
-        return pd.DataFrame({"col": cols[k], "gene": wanted["gene"].to_numpy(), "score": np.where(inside, p[np.minimum(g, len(genes) - 1), k], 0.0), "n_iter": n_iter[k], "converged": done(k)})
-
-    columns = p0.select("col").distinct()
-    blocks = -(-columns.count() // block)
-    # About block / 2 columns a task by hash, whatever the parallelism and the number of columns.
-    columns = cut(columns.withColumn("_block", F.pmod(F.xxhash64("col"), F.lit(max(2 * blocks, 1))).cast("int")), "columns")
-    dealt = p0.join(columns, "col")
+            k, gene = np.repeat(np.arange(len(cols)), n_genes), np.tile(m.genes, len(cols))
+        else:
+            k, gene = np.searchsorted(cols, wanted["col"].to_numpy()), wanted["gene"].to_numpy()
+        g = np.minimum(np.searchsorted(m.genes, gene), n_genes - 1)
+        inside = m.genes[g] == gene
+        order = np.argsort(k, kind="stable")
+        bounds = np.searchsorted(k[order], np.arange(len(cols) + 1))
+        score = np.zeros((len(alphas), len(k)))
+        rounds, ok = np.zeros((len(alphas), len(cols)), np.int32), np.zeros((len(alphas), len(cols)), bool)
+        for c in range(len(cols)):
+            mine, now = order[bounds[c] : bounds[c + 1]], x[c]
+            at, live = g[mine], list(range(len(alphas)))
+            for n in range(1, max_iter + 1):
+                after = m @ now
+                gap = float(np.abs(after - now).sum()) if tol > 0 else np.inf
+                for a in list(live):
+                    less = 1 - alphas[a]
+                    score[a, mine] += alphas[a] * less ** (n - 1) * now[at]
+                    rounds[a, c] = n
+                    ok[a, c] = less**n * gap < tol
+                    if ok[a, c] or n == max_iter:
+                        score[a, mine] += less**n * after[at]
+                        live.remove(a)
+                if not live:
+                    break
+                now = after
+        score[:, ~inside] = 0.0
+        size = len(alphas)
+        out = {"network": own} if net else {}
+        out |= {"col": np.tile(cols[k], size), "alpha": np.repeat(np.array(alphas), len(k)), "gene": np.tile(gene, size), "score": score.ravel()}
+        return pd.DataFrame(out | {"n_iter": rounds[:, k].ravel(), "converged": ok[:, k].ravel() if tol > 0 else [None] * (size * len(k))})
+
+    # Blocks of about as many columns as keep every core at work, BLOCK_COLUMNS at most.
+    block = max(1, min(BLOCK_COLUMNS, -(-columns // (2 * spark.sparkContext.defaultParallelism))))
+    dealt = _dealt(p0, net, block)
+    by = [*net, "_block"]
+    rows = p0.join(dealt, [*net, "col"])
     if only is None:
-        return dealt.groupBy("_block").applyInPandas(lambda pdf: run(pdf), kinds)
-    asked = only.select("col", "gene").join(columns.withColumnRenamed("_block", "_asked"), "col")
-    return dealt.groupBy("_block").cogroup(asked.groupBy("_asked")).applyInPandas(lambda a, b: run(a, b) if len(a) else pd.DataFrame({f.name: [] for f in kinds}), kinds)
+        return rows.groupBy(*by).applyInPandas(lambda pdf: run(pdf), kinds)
+    to = dealt.select(*[F.col(c).alias(f"_{c}") for c in (*net, "col")], F.col("_block").alias("_asked"))
+    asked = only.select(*net, "col", "gene").join(to, [F.col(c) == F.col(f"_{c}") for c in (*net, "col")])
+    rows = rows.join(asked.select(*net, F.col("_asked").alias("_block")).distinct(), by, "left_semi")  # nothing is propagated that nobody asked for
+    return rows.groupBy(*by).cogroup(asked.groupBy(*net, "_asked")).applyInPandas(lambda a, b: run(a, b), kinds)
 
 
 def bfs(edges: DataFrame, sources: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -397,6 +486,81 @@ def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
     return state
 
 
+def louvain(edges: DataFrame, tol: float = 1e-4, seed: str = "louvain") -> DataFrame:
+    """(gene, community): communities of high modularity, named by their smallest gene; every edge counts one.
+
+    Genes move to the neighbouring community of highest gain, round by round, until rounds gain less than tol; communities then become the nodes of a coarser network, and so on until a level gains less than tol.
+    There is no number of rounds. Random choices are hashes, so the result does not depend on how rows are dealt.
+    """
+    e = cut(directed(edges).select("src", "dst", F.lit(1.0).alias("w")), "louvain")
+    nodes = cut(e.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k")).withColumn("loop", F.lit(0.0)), "nodes")
+    total = nodes.agg(F.sum("k")).first()[0]
+    of = nodes.select(F.col("node").alias("gene"), F.col("node").alias("community"))
+    level = 0
+    while total:
+        level += 1
+        state, gained = _settle(e, nodes, total, tol, f"{seed}|{level}")
+        if gained < tol:
+            break
+        of = cut(of.join(state.select(F.col("node").alias("community"), F.col("community").alias("to")), "community").select("gene", F.col("to").alias("community")), "communities")
+        ends = e.join(state.select(F.col("node").alias("src"), F.col("community").alias("a")), "src").join(state.select(F.col("node").alias("dst"), F.col("community").alias("b")), "dst")
+        between = cut(ends.groupBy("a", "b").agg(F.sum("w").alias("w")), "between")
+        inside = between.where("a = b").select(F.col("a").alias("node"), F.col("w").alias("_in"))
+        held = state.groupBy(F.col("community").alias("node")).agg(F.sum("k").alias("k"), F.sum("loop").alias("loop"))
+        nodes = cut(held.join(inside, "node", "left").select("node", "k", (F.col("loop") + F.coalesce("_in", F.lit(0.0))).alias("loop")), "nodes")
+        e = between.where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst"), "w")
+    least = of.groupBy("community").agg(F.min("gene").alias("name"))
+    return of.join(least, "community").select("gene", F.col("name").alias("community"))
+
+
+def _settle(e: DataFrame, nodes: DataFrame, total: float, tol: float, seed: str) -> tuple[DataFrame, float]:
+    """((node, k, loop, community), modularity gained): one level's moves, from every node for itself until rounds gain less than tol.
+
+    A round is one pass over the edges, which tells each node's best move and the modularity of where it stands. Communities get a hashed order, and nodes move up in it only, so that no two swap. A round that loses modularity is
+    taken back and tried with fewer of the nodes; where few are not few enough, each community takes part in its best move alone: gains of such moves add up exactly, so that modularity rises with every round that is kept.
+    """
+    state = nodes.withColumn("community", F.col("node"))
+    first = best = kept = None
+    share, n, small = 1.0, 0, 0
+    while True:
+        n += 1
+        held = state.select(F.col("node").alias("dst"), "community")
+        links = e.join(held, "dst").select(F.col("src").alias("node"), "community", "w").unionByName(state.select("node", "community", F.lit(0.0).alias("w")))
+        links = links.groupBy("node", "community").agg(F.sum("w").alias("w")).join(state.groupBy("community").agg(F.sum("k").alias("tot")), "community")
+        seen = links.join(state.select("node", "k", "loop", F.col("community").alias("at")), "node")
+        # what a community is worth to a node, itself not counted; rounded, so that the order of summation decides nothing
+        mine = F.col("community") == F.col("at")
+        worth = F.round(F.col("w") - F.col("k") * (F.col("tot") - F.when(mine, F.col("k")).otherwise(0.0)) / total, 9)
+        ways = [F.max(F.when(mine, c)).alias(n) for c, n in ((F.col("w"), "w_at"), (F.col("tot"), "tot_at"), (worth, "stay"))]
+        best_of = F.max(F.when(~mine, F.struct(worth.alias("worth"), F.col("community").alias("to")))).alias("m")
+        per = seen.groupBy("node", "k", "loop", "at").agg(*ways, best_of)
+        per = cut(per.select("node", "k", "loop", "at", "w_at", "tot_at", F.col("m.to").alias("to"), F.coalesce(F.col("m.worth") - F.col("stay"), F.lit(0.0)).alias("gain")), "moves")
+        r = per.agg(F.sum(F.col("w_at") + F.col("loop")).alias("inside"), F.sum(F.col("k") * F.col("tot_at")).alias("square"), F.sum(F.greatest("gain", F.lit(0.0))).alias("gain")).first()
+        q = round(r["inside"] / total - r["square"] / (total * total), 12)
+        if best is None or q > best:
+            small = small + 1 if best is not None and q - best < tol else 0
+            first = q if first is None else first
+            best, kept, share = q, per, share if small else min(1.0, 4 * share)
+            if r["gain"] * 2 / total < tol or small > 2 or (share < 1 / 32 and small):
+                break
+        elif share < 1 / 32:  # moves that cannot lose have lost to rounding: nothing is left
+            break
+        else:
+            share /= 4
+        wanted = F.col("gain") > 1e-9
+        if share >= 1 / 32:
+            rank = lambda c: uniform(F.col(c), f"{seed}|{n}")
+            taken = wanted & (rank("at") < rank("to")) & (uniform(F.col("node"), f"{seed}|{n}|node") < share)
+            state = cut(kept.select("node", "k", "loop", F.when(taken, F.col("to")).otherwise(F.col("at")).alias("community")), "state")
+        else:
+            each = kept.where(wanted).select("node", "gain", F.explode(F.array("at", "to")).alias("c")).groupBy("c").agg(F.max(F.struct("gain", "node")).alias("top"))
+            lead = lambda c: each.select(F.col("c").alias(c), F.col("top.node").alias(f"_{c}"))
+            alone = kept.where(wanted).join(lead("at"), "at").join(lead("to"), "to").where((F.col("_at") == F.col("node")) & (F.col("_to") == F.col("node")))
+            state = kept.join(alone.select("node", F.col("to").alias("_move")), "node", "left").select("node", "k", "loop", F.coalesce("_move", "at").alias("community"))
+            state = cut(state, "state")
+    return kept.select("node", "k", "loop", F.col("at").alias("community")), best - first
+
+
 def modularity(edges: DataFrame, communities: DataFrame) -> DataFrame:
     """One row, modularity: the share of edges inside communities (gene, community) less what degrees alone would give."""
     e = directed(edges).join(communities.select(F.col("gene").alias("src"), F.col("community").alias("ca")), "src").join(communities.select(F.col("gene").alias("dst"), F.col("community").alias("cb")), "dst")
@@ -405,8 +569,8 @@ def modularity(edges: DataFrame, communities: DataFrame) -> DataFrame:
     return per.agg((F.sum("inside") / total - F.sum(F.col("ends").cast("double") * F.col("ends")) / (total * total)).alias("modularity"))
 
 
-def descriptors(edges: DataFrame, sources: int = 20, rounds: int = 10) -> DataFrame:
-    """One row: genes, edges, density, mean degree, mean clustering, degree assortativity, modularity of the propagated communities, mean path length from `sources` hashed genes of the largest component, the largest core number and the shares of genes in the 2-core and the 10-core."""
+def descriptors(edges: DataFrame, sources: int = 20) -> DataFrame:
+    """One row: genes, edges, density, mean degree, mean clustering, degree assortativity, modularity of the Louvain communities, mean path length from `sources` hashed genes of the largest component, the largest core number and the shares of genes in the 2-core and the 10-core."""
     edges = cut(edges, "edges")
     d = cut(degree(edges), "degree")
     base = d.agg(F.count("*").alias("n_nodes"), (F.sum("degree") / 2).cast("long").alias("n_edges"), F.avg("degree").alias("mean_degree"))
@@ -415,13 +579,13 @@ def descriptors(edges: DataFrame, sources: int = 20, rounds: int = 10) -> DataFr
     starts = landmarks(edges, sources, "paths")
     paths = bfs(edges, starts.select(F.col("gene").alias("source"), "gene")).where("distance > 0").agg(F.avg("distance").alias("mean_path"))
     core = core_numbers(edges).agg(F.max("core").alias("max_core"), F.avg((F.col("core") >= 2).cast("double")).alias("core2"), F.avg((F.col("core") >= 10).cast("double")).alias("core10"))
-    return out.crossJoin(modularity(edges, label_propagation(edges, rounds))).crossJoin(paths).crossJoin(core)
+    return out.crossJoin(modularity(edges, louvain(edges))).crossJoin(paths).crossJoin(core)
 
 
-def features(edges: DataFrame, sources: int = 300, rounds: int = 10) -> DataFrame:
-    """gene, degree, core, triangles, clustering, betweenness (from sampled sources), pagerank, community and its size: a row a gene."""
+def features(edges: DataFrame, sources: int = 300) -> DataFrame:
+    """gene, degree, core, triangles, clustering, betweenness (from sampled sources), pagerank, Louvain community and its size: a row a gene."""
     edges = cut(edges, "edges")
-    c = cut(label_propagation(edges, rounds), "communities")
+    c = cut(louvain(edges), "communities")
     size = c.groupBy("community").agg(F.count("*").alias("community_size"))
     out = degree(edges).join(core_numbers(edges), "gene", "left").join(clustering(edges), "gene", "left").join(betweenness(edges, sources), "gene", "left")
     return out.join(pagerank(edges).withColumnRenamed("score", "pagerank"), "gene", "left").join(c, "gene", "left").join(size, "community", "left").select("gene", "degree", "core", "triangles", "clustering", "betweenness", "pagerank", "community", "community_size")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import split_multi, uniform
+from . import ranks
 
 
 def symbol_map(table: DataFrame) -> DataFrame:
@@ -58,14 +59,14 @@ def cap_all(labels: DataFrame, universe: DataFrame) -> DataFrame:
     """(label_set, gene, rank) cut to the size of the smallest label set in the universe, by rank."""
     inside = labels.join(universe.select("gene").distinct(), "gene", "left_semi")
     least = inside.groupBy("label_set").count().agg(F.min("count").alias("n"))
-    w = Window.partitionBy("label_set").orderBy("rank", "gene")
-    return inside.withColumn("rank", F.row_number().over(w)).crossJoin(F.broadcast(least)).where("rank <= n").drop("n")
+    placed = ranks.by_group(inside, ["label_set"], ["rank", "gene"])
+    return placed.withColumn("rank", F.col("_place").cast("int")).drop("_place", "_size").crossJoin(F.broadcast(least)).where("rank <= n").drop("n")
 
 
 def new_labels(now: DataFrame, before: DataFrame) -> DataFrame:
     """gene, rank: what a later release has and an earlier one has not, by name."""
     new = now.select("gene").subtract(before.select("gene"))
-    return new.withColumn("rank", F.row_number().over(Window.orderBy("gene")))
+    return ranks.by_group(new, [], ["gene"]).select("gene", F.col("_place").cast("int").alias("rank"))
 
 
 def overlap(labels: DataFrame, networks: DataFrame) -> DataFrame:
@@ -92,7 +93,7 @@ def publication_adjusted(df: DataFrame, q: float = 0.5) -> DataFrame:
     adj = df.crossJoin(F.broadcast(beta)).withColumn("adjusted", F.col("log_n") - F.col("beta") * F.col("y")).where("y = 1")
     cut = adj.agg(F.percentile("adjusted", F.lit(q)).alias("cut"))
     kept = adj.crossJoin(F.broadcast(cut)).where("adjusted >= cut")
-    return kept.select("gene", "adjusted", F.row_number().over(Window.orderBy(F.desc("adjusted"), "gene")).alias("rank"))
+    return ranks.by_group(kept.select("gene", "adjusted"), [], [F.desc("adjusted"), "gene"]).select("gene", "adjusted", F.col("_place").cast("int").alias("rank"))
 
 
 def stratified_splits(universe: DataFrame, positives: DataFrame, repeats: int = 10, k: int = 5, seed: str = "20260926") -> DataFrame:
@@ -100,8 +101,8 @@ def stratified_splits(universe: DataFrame, positives: DataFrame, repeats: int =
     y = universe.select("gene").distinct().join(positives.select("gene", F.lit(1).alias("_p")).distinct(), "gene", "left").select("gene", F.coalesce("_p", F.lit(0)).alias("y"))
     grid = y.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     u = uniform(F.col("gene"), F.concat(F.lit(f"{seed}|"), F.col("repeat").cast("string")))
-    w = Window.partitionBy("repeat", "y").orderBy("_u", "gene")
-    return grid.withColumn("_u", u).withColumn("fold", ((F.row_number().over(w) - 1) % k).cast("int")).select("gene", "repeat", "fold", "y")
+    placed = ranks.by_group(grid.withColumn("_u", u), ["repeat", "y"], ["_u", "gene"], most=ranks.largest(y, ["y"]))  # a repeat's class is as large as the class
+    return placed.withColumn("fold", ((F.col("_place") - 1) % k).cast("int")).select("gene", "repeat", "fold", "y")
 
 
 def split_sizes(splits: DataFrame) -> DataFrame:
@@ -127,13 +128,16 @@ def complex_leakage(splits: DataFrame, complexes: DataFrame) -> DataFrame:
 
 
 def transfer_pools(a: DataFrame, b: DataFrame, universe: DataFrame, sample: int = 1000, folds: int = 5, seed: str = "transfer") -> DataFrame:
-    """gene, fold, y, role: targets are of b, not of a, in the universe; the background is a hash-ordered sample of genes of neither."""
+    """gene, fold, y, role: targets are of b, not of a, in the universe, and stand in every fold; the background, a hash-ordered sample of genes of neither, is cut into slices of
+    floor(sample / folds) genes (one at least), a fold each; what is left behind the last slice has no fold and no row."""
     target = b.select("gene").subtract(a.select("gene")).intersect(universe.select("gene"))
     rest = universe.select("gene").subtract(a.select("gene")).subtract(b.select("gene"))
     back = rest.orderBy(uniform(F.col("gene"), seed), "gene").limit(sample)
-    rows = target.select("gene", F.lit(1).alias("y"), F.lit("target").alias("role")).unionByName(back.select("gene", F.lit(0).alias("y"), F.lit("background").alias("role")))
-    w = Window.partitionBy("role").orderBy(uniform(F.col("gene"), f"{seed}|fold"), "gene")
-    return rows.withColumn("fold", ((F.row_number().over(w) - 1) % folds).cast("int")).select("gene", "fold", "y", "role")
+    placed = ranks.by_group(back.select("gene", uniform(F.col("gene"), f"{seed}|fold").alias("_u")), [], ["_u", "gene"], most=sample)
+    fold = F.floor((F.col("_place") - 1) / F.greatest(F.floor(F.col("_size") / folds), F.lit(1))).cast("int")
+    sliced = placed.select("gene", fold.alias("fold"), F.lit(0).alias("y"), F.lit("background").alias("role")).where(F.col("fold") < folds)
+    every = target.select("gene", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("fold"), F.lit(1).alias("y"), F.lit("target").alias("role"))
+    return every.unionByName(sliced)
 
 
 def complex_groups(universe: DataFrame, complexes: DataFrame, max_links: int = 10, max_group: int = 1000) -> DataFrame:

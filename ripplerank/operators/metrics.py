@@ -5,37 +5,38 @@ Input columns: the group's keys, gene, score, y (0 or 1). Ties count half in AUR
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import ranks
 
-def auroc(df: DataFrame, keys: list[str], weight: str | None = None) -> DataFrame:
+
+def auroc(df: DataFrame, keys: list[str], weight: str | None = None, most: int | None = None) -> DataFrame:
     """keys, auroc: mid-rank Mann-Whitney; null if a class is missing. With a weight column each row counts that often."""
     w = F.col(weight) if weight else F.lit(1.0)
     ties = df.groupBy(*keys, "score").agg(F.sum(F.when(F.col("y") == 1, w).otherwise(0.0)).alias("p"), F.sum(F.when(F.col("y") == 0, w).otherwise(0.0)).alias("n"))
-    below = F.sum("n").over(Window.partitionBy(*keys).orderBy("score").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
-    won = ties.withColumn("won", F.col("p") * (below + F.col("n") / 2)).groupBy(*keys).agg(F.sum("won").alias("won"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    placed = ranks.by_group(ties, keys, ["score"], {"n": "n"}, most)
+    won = placed.withColumn("won", F.col("p") * (F.col("_before_n") + F.col("n") / 2)).groupBy(*keys).agg(F.sum("won").alias("won"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return won.select(*keys, F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("won") / (F.col("p") * F.col("n"))).alias("auroc"))
 
 
-def auprc(df: DataFrame, keys: list[str]) -> DataFrame:
+def auprc(df: DataFrame, keys: list[str], most: int | None = None) -> DataFrame:
     """keys, auprc: average precision over the distinct thresholds; null without positives."""
     ties = df.groupBy(*keys, "score").agg(F.sum("y").alias("p"), F.count("*").alias("n"))
-    w = Window.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = ties.withColumn("precision", F.sum("p").over(w) / F.sum("n").over(w))
+    placed = ranks.by_group(ties, keys, [F.desc("score")], {"p": "p", "n": "n"}, most)
+    cum = placed.withColumn("precision", (F.col("_before_p") + F.col("p")) / (F.col("_before_n") + F.col("n")))
     out = cum.groupBy(*keys).agg(F.sum(F.col("p") * F.col("precision")).alias("s"), F.sum("p").alias("p"))
     return out.select(*keys, F.when(F.col("p") > 0, F.col("s") / F.col("p")).alias("auprc"))
 
 
-def ranked(df: DataFrame, keys: list[str]) -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], most: int | None = None) -> DataFrame:
     """df with rank (from 1) and size of its group."""
-    w = Window.partitionBy(*keys)
-    return df.withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "gene"))).withColumn("size", F.count("*").over(w))
+    return ranks.by_group(df, keys, [F.desc("score"), "gene"], most=most).withColumnsRenamed({"_place": "rank", "_size": "size"})
 
 
-def precision_at(df: DataFrame, keys: list[str], ks: tuple[int, ...] = (50, 100, 500)) -> DataFrame:
+def precision_at(df: DataFrame, keys: list[str], ks: tuple[int, ...] = (50, 100, 500), most: int | None = None) -> DataFrame:
     """keys and p_at_k for each k; null where the group has fewer rows."""
-    r = ranked(df, keys)
+    r = ranked(df, keys, most)
     cols = [F.when(F.max("size") >= k, F.sum(F.when(F.col("rank") <= k, F.col("y")).otherwise(0)) / float(k)).alias(f"p_at_{k}") for k in ks]
     return r.groupBy(*keys).agg(*cols)
 
@@ -46,23 +47,25 @@ def precision_top(df: DataFrame, keys: list[str], share: float = 0.1) -> DataFra
     return r.groupBy(*keys).agg(F.avg("y").alias("p_top"))
 
 
+def _roc(df: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, score, x0, y0, fpr, tpr: each distinct score with the rates before and at it."""
+    ties = df.groupBy(*keys, "score").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
+    placed = ranks.by_group(ties, keys, [F.desc("score")], {"p": "p", "n": "n"})
+    rate = lambda c, more: F.try_divide(F.col(f"_before_{c}") + more, F.col(f"_all_{c}"))
+    return placed.select(*keys, "score", rate("n", F.lit(0)).alias("x0"), rate("p", F.lit(0)).alias("y0"), rate("n", F.col("n")).alias("fpr"), rate("p", F.col("p")).alias("tpr"))
+
+
 def roc_points(df: DataFrame, keys: list[str]) -> DataFrame:
     """keys, score, fpr, tpr at each distinct score."""
-    ties = df.groupBy(*keys, "score").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
-    w = Window.partitionBy(*keys)
-    run = w.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return ties.select(*keys, "score", F.try_divide(F.sum("n").over(run), F.sum("n").over(w)).alias("fpr"), F.try_divide(F.sum("p").over(run), F.sum("p").over(w)).alias("tpr"))
+    return _roc(df, keys).drop("x0", "y0")
 
 
 def partial_auc(df: DataFrame, keys: list[str], most: float = 0.02) -> DataFrame:
     """keys, pauc: area under the ROC up to a false positive rate, cut linearly; pauc_norm: over that rate."""
-    pts = roc_points(df, keys)
-    w = Window.partitionBy(*keys).orderBy(F.desc("score"))
-    seg = pts.withColumn("x0", F.coalesce(F.lag("fpr").over(w), F.lit(0.0))).withColumn("y0", F.coalesce(F.lag("tpr").over(w), F.lit(0.0)))
     end = F.least(F.col("fpr"), F.lit(most))
     height = F.when(F.col("fpr") > F.col("x0"), F.col("y0") + (F.col("tpr") - F.col("y0")) * (end - F.col("x0")) / (F.col("fpr") - F.col("x0"))).otherwise(F.col("tpr"))
     area = F.when(F.col("x0") < most, (end - F.col("x0")) * (F.col("y0") + height) / 2).otherwise(F.lit(0.0))
-    return seg.groupBy(*keys).agg(F.sum(area).alias("pauc")).withColumn("pauc_norm", F.col("pauc") / most)
+    return _roc(df, keys).groupBy(*keys).agg(F.sum(area).alias("pauc")).withColumn("pauc_norm", F.col("pauc") / most)
 
 
 def pauc_excess(one, other, most: float = 0.02):
@@ -78,7 +81,8 @@ def median_rank(df: DataFrame, keys: list[str]) -> DataFrame:
 def all_metrics(df: DataFrame, keys: list[str], ks: tuple[int, ...] = (50, 100, 500)) -> DataFrame:
     """keys with auroc, auprc, p_at_k, n_test_pos, n_test."""
     n = df.groupBy(*keys).agg(F.sum("y").cast("long").alias("n_test_pos"), F.count("*").alias("n_test"))
-    return auroc(df, keys).join(auprc(df, keys), keys).join(precision_at(df, keys, ks), keys).join(n, keys)
+    most = ranks.largest(df, keys)
+    return auroc(df, keys, most=most).join(auprc(df, keys, most), keys).join(precision_at(df, keys, ks, most), keys).join(n, keys)
 
 
 def margins(results: DataFrame, keys: list[str], metrics: list[str], one: str = "rwr", other: str = "degree") -> DataFrame:

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import uniform, weighted_median
 from ..sources.shared import cut
+from . import ranks
 
 
 def percentile_ranks(df: DataFrame, keys: list[str]) -> DataFrame:
     """df with pct: (rank - 1) / (n - 1), 0 for the best, ties by gene."""
-    return df.withColumn("pct", F.percent_rank().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "gene")))
+    placed = ranks.by_group(df, keys, [F.desc("score"), "gene"])
+    return placed.withColumn("pct", F.when(F.col("_size") > 1, (F.col("_place") - 1) / (F.col("_size") - 1)).otherwise(F.lit(0.0))).drop("_place", "_size")
 
 
 def by_repeat(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -38,7 +40,11 @@ def _within(keys: list[str], by: str, low: float, high: float) -> F.Column:
 
 
 def crowding(df: DataFrame, keys: list[str], width: float) -> DataFrame:
-    """df with crowd: rows of the group whose score lies within `width`, itself among them."""
+    """df with crowd: rows of the group whose score lies within `width`, itself among them. A window over a range of scores, or in groups over ranks.GROUP_ROWS the counts at both ends (crowding_by)."""
+    if ranks.largest(df, keys) > ranks.GROUP_ROWS:
+        widths = df.select(*keys).distinct() if keys else df.sparkSession.range(1)
+        crowd = crowding_by(df, keys, widths.select(*keys, F.lit(float(width)).alias("width"))).select(*keys, "gene", "crowd")
+        return df.join(crowd, [*keys, "gene"])
     return df.withColumn("crowd", _within(keys, "score", -width, width))
 
 
@@ -55,8 +61,7 @@ def nearest(df: DataFrame, keys: list[str], k: int = 5) -> DataFrame:
 
     In one dimension they lie within k places, so the join is on places, not on all pairs of a group.
     """
-    w = Window.partitionBy(*keys).orderBy("score", "gene")
-    placed = df.select(*keys, "gene", "score", F.row_number().over(w).alias("_p"))
+    placed = ranks.by_group(df.select(*keys, "gene", "score"), keys, ["score", "gene"]).withColumnRenamed("_place", "_p").drop("_size")
     asks = placed.withColumn("_q", F.explode(F.expr(f"filter(sequence(_p - {k}, _p + {k}), x -> x <> _p)")))
     other = placed.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], F.col("gene").alias("near"), F.col("score").alias("_s"), F.col("_p").alias("_r"))
     pair = asks.join(other, [*[F.col(c) == F.col(f"_k{i}") for i, c in enumerate(keys)], F.col("_q") == F.col("_r")]).withColumn("distance", F.abs(F.col("score") - F.col("_s")))
@@ -84,15 +89,19 @@ def flatten(df: DataFrame, keys: list[str], gamma: float = 0.5) -> DataFrame:
 
 
 def random_neighbours(df: DataFrame, keys: list[str], k: int = 5, reps: int = 3, seed: str = "random") -> DataFrame:
-    """keys, gene, rep, median: of k others drawn with replacement."""
-    w = Window.partitionBy(*keys)
-    placed = df.select(*keys, "gene", "score", (F.row_number().over(w.orderBy("gene")) - 1).alias("_p"), F.count("*").over(w).alias("_n"))
-    grid = placed.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    """keys, gene, rep, median: of the row's own score and those of k others drawn with replacement (at most as many as there are), weighted by `confidence` (1 where df has none): clms() with neighbours drawn at random."""
+    df = df if "confidence" in df.columns else df.withColumn("confidence", F.lit(1.0))
+    placed = ranks.by_group(df.select(*keys, "gene", "score", "confidence"), keys, ["gene"]).withColumn("_p", F.col("_place") - 1).withColumnRenamed("_size", "_n").drop("_place")
+    most = F.greatest(F.least(F.lit(k), F.col("_n").cast("int") - 1), F.lit(1))
+    grid = placed.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("_d", F.explode(F.sequence(F.lit(0), most - 1)))
     u = uniform(F.col("gene"), F.concat_ws("|", F.lit(seed), F.col("rep").cast("string"), F.col("_d").cast("string")))
-    step = F.floor(u * (F.col("_n") - 1)) + 1  # a way round the circle that never comes back to the row itself
+    step = F.floor(u * (F.col("_n") - 1)) + 1  # a way round the circle that never comes back to the row itself, unless it is alone
     asks = grid.withColumn("_q", F.pmod(F.col("_p") + step, F.col("_n")))
-    other = placed.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], F.col("score").alias("_s"), F.col("_p").alias("_r"))
-    return asks.join(other, [*[F.col(c) == F.col(f"_k{i}") for i, c in enumerate(keys)], F.col("_q") == F.col("_r")]).groupBy(*keys, "gene", "rep").agg(F.percentile("_s", F.lit(0.5)).alias("median"))
+    pair = lambda v, c: F.struct(F.col(v).cast("double").alias("value"), F.col(c).cast("double").alias("weight"))
+    other = placed.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], pair("score", "confidence").alias("_s"), F.col("_p").alias("_r"))
+    drawn = asks.join(other, [*[F.col(c) == F.col(f"_k{i}") for i, c in enumerate(keys)], F.col("_q") == F.col("_r")])
+    lists = drawn.groupBy(*keys, "gene", "rep").agg(F.collect_list("_s").alias("_near"), F.first(pair("score", "confidence")).alias("_own"))
+    return lists.select(*keys, "gene", "rep", weighted_median(F.concat(F.array("_own"), "_near")).alias("median"))
 
 
 def loro_confidence(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -107,8 +116,12 @@ def loro_confidence(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def moving_median(df: DataFrame, keys: list[str], half: int = 5) -> DataFrame:
     """df with median: of the rows up to `half` places away in the order of score and gene."""
-    w = Window.partitionBy(*keys).orderBy(F.desc("score"), "gene").rowsBetween(-half, half)
-    return df.withColumn("median", F.expr("percentile(score, 0.5)").over(w))
+    if ranks.largest(df, keys) <= ranks.GROUP_ROWS:
+        w = Window.partitionBy(*keys).orderBy(F.desc("score"), "gene").rowsBetween(-half, half)
+        return df.withColumn("median", F.expr("percentile(score, 0.5)").over(w))
+    placed = cut(ranks.by_group(df, keys, [F.desc("score"), "gene"], most=ranks.GROUP_ROWS + 1).drop("_size"), "placed")
+    near = placed.select(*keys, "score", F.explode(F.sequence(F.col("_place") - half, F.col("_place") + half)).alias("_place"))
+    return placed.join(near.groupBy(*keys, "_place").agg(F.percentile("score", F.lit(0.5)).alias("median")), [*keys, "_place"]).select(*df.columns, "median")
 
 
 def network_median(df: DataFrame, edges: DataFrame) -> DataFrame:
@@ -128,16 +141,15 @@ def consensus(df: DataFrame, run: str) -> DataFrame:
 
 def strata(df: DataFrame, keys: list[str], by: str) -> DataFrame:
     """df with stratum low, mid, high: cut at floor(n / 3) and floor(2n / 3) in the order of a column and gene."""
-    w = Window.partitionBy(*keys)
-    r, n = F.row_number().over(w.orderBy(by, "gene")), F.count("*").over(w)
-    return df.withColumn("stratum", F.when(r <= F.floor(n / 3), "low").when(r <= F.floor(2 * n / 3), "mid").otherwise("high"))
+    r, n = F.col("_place"), F.col("_size")
+    stratum = F.when(r <= F.floor(n / 3), "low").when(r <= F.floor(2 * n / 3), "mid").otherwise("high")
+    return ranks.by_group(df, keys, [by, "gene"]).withColumn("stratum", stratum).drop("_place", "_size")
 
 
 def deciles(df: DataFrame, keys: list[str], by: str) -> DataFrame:
     """df with decile 0 to 9 by place: (rn - 1) * 10 / (n - 1), as quantile bins cut it."""
-    w = Window.partitionBy(*keys)
-    r, n = F.row_number().over(w.orderBy(by, "gene")), F.count("*").over(w)
-    return df.withColumn("decile", F.greatest(F.ceil((r - 1) * 10.0 / F.greatest(n - 1, F.lit(1))) - 1, F.lit(0)).cast("int"))
+    decile = F.greatest(F.ceil((F.col("_place") - 1) * 10.0 / F.greatest(F.col("_size") - 1, F.lit(1))) - 1, F.lit(0)).cast("int")
+    return ranks.by_group(df, keys, [by, "gene"]).withColumn("decile", decile).drop("_place", "_size")
 
 
 def crowding_by(df: DataFrame, keys: list[str], widths: DataFrame) -> DataFrame:
@@ -148,15 +160,15 @@ def crowding_by(df: DataFrame, keys: list[str], widths: DataFrame) -> DataFrame:
     w = df.join(widths.select(*keys, "width"), keys) if keys else df.crossJoin(F.broadcast(widths.select("width")))
     point = w.select(*keys, F.col("score").alias("at"), F.lit(1).alias("kind"), F.lit(1).alias("n"), F.lit(None).cast(df.schema["gene"].dataType).alias("gene"), F.lit(None).cast("double").alias("score"))
     ends = lambda sign, kind: w.select(*keys, (F.col("score") + sign * F.col("width")).alias("at"), F.lit(kind).alias("kind"), F.lit(0).alias("n"), "gene", "score")
-    run = F.sum("n").over(Window.partitionBy(*keys).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    counted = point.unionByName(ends(-1, 0)).unionByName(ends(1, 2)).withColumn("below", run).where("kind <> 1")
+    every = point.unionByName(ends(-1, 0)).unionByName(ends(1, 2))
+    counted = ranks.by_group(every, keys, ["at", "kind", "gene"], {"n": "n"}).where("kind <> 1").withColumnRenamed("_before_n", "below")
     return counted.groupBy(*keys, "gene", "score").agg((F.max(F.when(F.col("kind") == 2, F.col("below"))) - F.max(F.when(F.col("kind") == 0, F.col("below")))).alias("crowd"))
 
 
 def rank_band(df: DataFrame, keys: list[str], share: float = 0.01) -> DataFrame:
     """df with near_ranks (rows within a share of the group's size by rank, at least one place, itself among them) and band_spread (the range of their scores)."""
-    w = Window.partitionBy(*keys)
-    placed = df.withColumn("_p", F.row_number().over(w.orderBy(F.desc("score"), "gene"))).withColumn("_n", F.count("*").over(w)).withColumn("_b", F.greatest(F.floor(F.lit(share) * F.col("_n")), F.lit(1)))
+    placed = ranks.by_group(df, keys, [F.desc("score"), "gene"]).withColumnsRenamed({"_place": "_p", "_size": "_n"})
+    placed = placed.withColumn("_b", F.greatest(F.floor(F.lit(share) * F.col("_n")), F.lit(1)))
     lo, hi = F.greatest(F.col("_p") - F.col("_b"), F.lit(1)), F.least(F.col("_p") + F.col("_b"), F.col("_n"))
     first, last = placed.select(*keys, F.col("_p").alias("_lo"), F.col("score").alias("_top")), placed.select(*keys, F.col("_p").alias("_hi"), F.col("score").alias("_bottom"))
     out = placed.withColumn("_lo", lo).withColumn("_hi", hi).join(first, [*keys, "_lo"]).join(last, [*keys, "_hi"])
@@ -238,9 +250,10 @@ def operators_side_by_side(df: DataFrame, keys: list[str], k: int = 5, shrink: f
 
 
 def random_control(df: DataFrame, keys: list[str], k: int = 5, shrink: float = 0.5, replicates: int = 20, seed: str = "c1") -> DataFrame:
-    """keys, observed, null_mean, null_sd, p: the mean rank SD after smoothing towards the k nearest, against smoothing towards k others drawn at random, replicate by replicate. df: keys, repeat, gene, score."""
+    """keys, observed, null_mean, null_sd, p: the mean rank SD after clms() with the k nearest, against the same operator with k others drawn at random, replicate by replicate. df: keys, repeat, gene, score and, if it is to weight, confidence."""
+    df = df if "confidence" in df.columns else df.withColumn("confidence", F.lit(1.0))
     by = [*keys, "repeat"]
-    own = smooth(df, by, k, shrink).select(*by, "gene", F.round("smoothed", 10).alias("score"))
+    own = clms(df, by, k, shrink).select(*by, "gene", F.round("smoothed", 10).alias("score"))
     mean = lambda d, more: rank_sd(d, [*keys, *more]).groupBy(*keys, *more).agg(F.avg("rank_sd").alias("value"))
     drawn = random_neighbours(df, by, k, replicates, seed).join(df, [*by, "gene"]).select(*by, "rep", "gene", F.round(F.col("score") + shrink * (F.col("median") - F.col("score")), 10).alias("score"))
     null = mean(drawn, ["rep"])

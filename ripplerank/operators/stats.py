@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import distributions as D
 from ..functions.columns import uniform
 from ..sources.shared import cut, mid_ranks, numbered
+from . import ranks
 
 
 def unit_values(margins: DataFrame, keys: list[str], unit: str = "repeat", value: str = "delta") -> DataFrame:
@@ -27,6 +28,11 @@ def t_interval(df: DataFrame, keys: list[str], level: float = 0.95) -> DataFrame
     return s.select(*keys, "n", "mean", "sd", "se", (F.col("mean") - F.col("_q") * F.col("se")).alias("low"), (F.col("mean") + F.col("_q") * F.col("se")).alias("high"))
 
 
+def ordered_mean(values) -> F.Column:
+    """Mean of an array, summed in the order of its values: the same on any number of partitions."""
+    return F.try_divide(F.aggregate(F.array_sort(values), F.lit(0.0), lambda s, x: s + x), F.size(values))
+
+
 def bootstrap(df: DataFrame, keys: list[str], replicates: int = 1000, seed: str = "boot") -> DataFrame:
     """keys, rep, value: means of resamples with replacement by the portable generator.
 
@@ -38,7 +44,7 @@ def bootstrap(df: DataFrame, keys: list[str], replicates: int = 1000, seed: str
     salt = F.concat(F.lit(f"{seed}|"), F.col("rep").cast("string"))
     draws = numbered.select(*keys, "_n", "_i").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("_at", F.floor(uniform(F.col("_i"), salt) * F.col("_n")))
     drawn = draws.drop("_i").join(numbered.select(*[F.col(k).alias(f"_k{j}") for j, k in enumerate(keys)], F.col("_i").alias("_at2"), "value"), [*[F.col(k).eqNullSafe(F.col(f"_k{j}")) for j, k in enumerate(keys)], F.col("_at") == F.col("_at2")])
-    return drawn.groupBy(*keys, "rep").agg(F.avg("value").alias("value"))
+    return drawn.groupBy(*keys, "rep").agg(F.collect_list("value").alias("_v")).select(*keys, "rep", ordered_mean("_v").alias("value"))
 
 
 def percentile_interval(df: DataFrame, keys: list[str], replicates: int = 1000, level: float = 0.95, seed: str = "boot") -> DataFrame:
@@ -47,36 +53,64 @@ def percentile_interval(df: DataFrame, keys: list[str], replicates: int = 1000,
 
 
 def bca_interval(df: DataFrame, keys: list[str], replicates: int = 1000, level: float = 0.95, seed: str = "boot") -> DataFrame:
-    """keys, low, high: bias-corrected and accelerated; acceleration from leave-one-out means."""
-    w = Window.partitionBy(*keys)
-    loo = df.where("value is not null").withColumn("_n", F.count("*").over(w)).withColumn("_j", F.try_divide(F.sum("value").over(w) - F.col("value"), F.col("_n") - 1)).withColumn("_m", F.avg("_j").over(w))
-    d = F.col("_m") - F.col("_j")
-    base = loo.groupBy(*keys).agg(F.avg("value").alias("mean"), F.try_divide(F.sum(d * d * d), 6 * F.pow(F.sum(d * d), F.lit(1.5))).alias("a"))
-    b = bootstrap(df, keys, replicates, seed).join(base, keys)
-    z0 = D.column(lambda p: D.normal_ppf(min(max(p, 1e-6), 1 - 1e-6)))
-    per = b.groupBy(*keys).agg(F.avg((F.col("value") < F.col("mean")).cast("double")).alias("p"), F.max("a").alias("a"), F.array_sort(F.collect_list("value")).alias("v")).withColumn("z0", z0("p"))
-    cut = D.column(lambda z, a, q: D.normal_ppf(q) if z != z or a != a else 1 - D.normal_sf(z + (z + D.normal_ppf(q)) / (1 - a * (z + D.normal_ppf(q)))))
-    at = lambda q: cut("z0", F.coalesce("a", F.lit(0.0)), F.lit(q)) * (F.size("v") - 1)
+    """keys, low, high: bias-corrected and accelerated; acceleration from leave-one-out means.
+
+    Means are summed in one order and compared at 12 decimals, so that a resample that is a permutation of the sample ties with it wherever it is computed. The
+    share of resamples below the mean is kept at least 1 / (2 * replicates) from 0 and 1; without spread there is no acceleration; fewer than three values have the t interval.
+    """
+    good = df.where("value is not null")
+    own = good.groupBy(*keys).agg(F.array_sort(F.collect_list(F.col("value").cast("double"))).alias("x"))
+    add = lambda xs, f: F.aggregate(F.transform(xs, f), F.lit(0.0), lambda s, x: s + x)
+    own = own.withColumn("n", F.size("x")).withColumn("sum", add("x", lambda v: v)).withColumn("j", F.transform("x", lambda v: F.try_divide(F.col("sum") - v, F.col("n") - 1)))
+    own = own.withColumn("m", F.try_divide(add("j", lambda v: v), F.col("n")))
+    cube = add("j", lambda v: (F.col("m") - v) * (F.col("m") - v) * (F.col("m") - v))
+    square = add("j", lambda v: (F.col("m") - v) * (F.col("m") - v))
+    base = own.select(*keys, (F.col("sum") / F.col("n")).alias("mean"), F.when(square > 0, cube / (6 * F.pow(square, F.lit(1.5)))).otherwise(F.lit(0.0)).alias("a"))
+    b = bootstrap(good, keys, replicates, seed)
+    b = b.join(base, keys) if keys else b.crossJoin(base)
+    less = (F.round("value", 12) < F.round("mean", 12)).cast("double")
+    per = b.groupBy(*keys).agg(F.avg(less).alias("p"), F.max("a").alias("a"), F.array_sort(F.collect_list("value")).alias("v"))
+    least = 1 / (2 * replicates)
+    at = D.column(lambda p, a, q: _bca_share(min(max(p, least), 1 - least), a, q))
+    place = lambda q: at("p", "a", F.lit(q)) * (F.size("v") - 1)
     pick = lambda c: F.element_at("v", F.floor(c).cast("int") + 1) + (c - F.floor(c)) * (F.element_at("v", F.least(F.ceil(c).cast("int") + 1, F.size("v"))) - F.element_at("v", F.floor(c).cast("int") + 1))
-    return per.withColumn("_l", at((1 - level) / 2)).withColumn("_h", at((1 + level) / 2)).select(*keys, pick(F.col("_l")).alias("low"), pick(F.col("_h")).alias("high"))
+    per = per.withColumn("_l", place((1 - level) / 2)).withColumn("_h", place((1 + level) / 2))
+    few = t_interval(good, keys, level).select(*keys, "n", F.col("low").alias("_tl"), F.col("high").alias("_th"))
+    out = per.join(few, keys) if keys else per.crossJoin(few)
+    return out.select(*keys, F.when(F.col("n") < 3, F.col("_tl")).otherwise(pick(F.col("_l"))).alias("low"), F.when(F.col("n") < 3, F.col("_th")).otherwise(pick(F.col("_h"))).alias("high"))
+
+
+def _bca_share(p: float, a: float, q: float) -> float:
+    """The share of the resamples that a bound at q moves to."""
+    z = D.normal_ppf(p) + D.normal_ppf(q)
+    return min(max(1 - D.normal_sf(D.normal_ppf(p) + z / (1 - a * z)), 0.0), 1.0)
 
 
-def tost(df: DataFrame, keys: list[str], bound: float = 0.01) -> DataFrame:
-    """keys, n, mean, se, t_low, t_high, p_tost, verdict: two one-sided tests against +-bound; without spread the mean alone decides."""
+def tost(df: DataFrame, keys: list[str], bound: float = 0.01, alpha: float = 0.05) -> DataFrame:
+    """keys, n, mean, sd, se, t_low, t_high, p_low, p_high, p_tost, ci90_low, ci90_high, ci95_low, ci95_high, verdict: two one-sided tests against +-bound at alpha, and the intervals at 1 - 2 alpha and 1 - alpha.
+
+    equivalent (both tests reject) or, by the mean, superior, inferior or open; `zero variance` without spread and `insufficient data` below two values have neither tests nor intervals.
+    """
     s = summary(df, keys)
-    p = D.column(lambda a, b, n: max(D.t_sf(a, n - 1), D.t_sf(-b, n - 1)))
-    s = s.withColumn("t_low", F.try_divide(F.col("mean") + bound, F.col("se"))).withColumn("t_high", F.try_divide(F.col("mean") - bound, F.col("se")))
-    s = s.withColumn("p_tost", F.when(F.col("se") > 0, p(F.col("t_low"), F.col("t_high"), F.col("n").cast("double"))).otherwise(F.when(F.abs("mean") < bound, F.lit(0.0)).otherwise(F.lit(1.0))))
-    return s.withColumn("verdict", F.when(F.col("p_tost") < 0.05, "equivalent").when(F.col("mean") > bound, "superior").when(F.col("mean") < -bound, "inferior").otherwise("open"))
+    usable = (F.col("n") > 1) & (F.col("sd") > 0)
+    when = lambda c: F.when(usable, c)
+    sf = D.column(lambda t, n: D.t_sf(t, n - 1))
+    n = F.col("n").cast("double")
+    quantile = lambda q: D.column(lambda k: D.t_ppf(q, k - 1) if k > 1 else float("nan"))(n)
+    s = s.withColumn("t_low", when((F.col("mean") + bound) / F.col("se"))).withColumn("t_high", when((F.col("mean") - bound) / F.col("se")))
+    s = s.withColumn("p_low", when(sf("t_low", n))).withColumn("p_high", when(sf(-F.col("t_high"), n))).withColumn("p_tost", F.greatest("p_low", "p_high"))
+    for name, q in (("ci90", 1 - alpha), ("ci95", 1 - alpha / 2)):
+        s = s.withColumn("_q", quantile(q)).withColumns({f"{name}_low": when(F.col("mean") - F.col("_q") * F.col("se")), f"{name}_high": when(F.col("mean") + F.col("_q") * F.col("se"))}).drop("_q")
+    verdict = F.when(F.col("n") < 2, "insufficient data").when(F.col("sd") == 0, "zero variance").when((F.col("p_low") < alpha) & (F.col("p_high") < alpha), "equivalent")
+    return s.withColumn("verdict", verdict.when(F.col("mean") > bound, "superior").when(F.col("mean") < -bound, "inferior").otherwise("open"))
 
 
 def bh(df: DataFrame, keys: list[str], p: str = "p") -> DataFrame:
     """df with q and reject (q < 0.05): Benjamini-Hochberg in each group of keys."""
-    w = Window.partitionBy(*keys)
-    r = df.withColumn("_r", F.row_number().over(w.orderBy(p, *[c for c in df.columns if c not in {*keys, p}]))).withColumn("_n", F.count("*").over(w))
-    down = w.orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    q = F.least(F.lit(1.0), F.min(F.col(p) * F.col("_n") / F.col("_r")).over(down))
-    return r.withColumn("q", q).withColumn("reject", F.col("q") < 0.05).drop("_r", "_n")
+    most = ranks.largest(df, keys)
+    placed = ranks.by_group(df, keys, [p, *[c for c in df.columns if c not in {*keys, p}]], most=most)
+    least = ranks.least_after(placed.withColumn("_q", F.col(p) * F.col("_size") / F.col("_place")), keys, ["_place"], "_q", "q", most)
+    return least.withColumn("q", F.least(F.lit(1.0), "q")).withColumn("reject", F.col("q") < 0.05).drop("_q", "_place", "_size")
 
 
 def meta(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -112,15 +146,10 @@ def icc(df: DataFrame, keys: list[str], group: str) -> DataFrame:
     return s.select(*keys, "msb", "msw", "icc", (1 + (F.col("size") - 1) * F.col("icc")).alias("design_effect"))
 
 
-def average_rank(column: str, keys: list[str]) -> F.Column:
-    """Mid-rank of a column in its group."""
-    w = Window.partitionBy(*keys)
-    return F.rank().over(w.orderBy(column)) + (F.count("*").over(Window.partitionBy(*keys, column)) - 1) / 2.0
-
-
 def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """keys, n, rho, pearson."""
-    r = df.withColumn("_x", average_rank(x, keys)).withColumn("_y", average_rank(y, keys))
+    most = ranks.largest(df, keys)
+    r = ranks.mid_ranks(ranks.mid_ranks(df, keys, x, "_x", most), keys, y, "_y", most)
     return r.groupBy(*keys).agg(F.count("*").alias("n"), F.corr("_x", "_y").alias("rho"), F.corr(x, y).alias("pearson"))
 
 

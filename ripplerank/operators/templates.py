@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import uniform
 from ..sources.shared import cut
-from . import arms, graph, labels, metrics, resample, stability, stats
+from . import arms, graph, labels, metrics, ranks, resample, stability, stats
 
 SEP = "\x1f"
 
@@ -80,7 +80,7 @@ def transfer(edges: DataFrame, seeds: DataFrame, pools: DataFrame, draws: int =
     scored = cut(p.select("gene", F.round("score", 10).alias("score")).join(degree, "gene"), "scored")
     back = pools.where("role = 'background'").select("gene").distinct().withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     u = uniform(F.col("gene"), F.concat(F.lit(f"{seed}|"), F.col("draw").cast("string")))
-    back = back.withColumn("_r", F.row_number().over(Window.partitionBy("draw").orderBy(u, "gene"))).where(F.col("_r") <= size).select("draw", "gene", F.lit(0).alias("y"))
+    back = ranks.by_group(back.withColumn("_u", u), ["draw"], ["_u", "gene"]).where(F.col("_place") <= size).select("draw", "gene", F.lit(0).alias("y"))
     test = target.select(F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"), "gene", F.lit(1).alias("y")).unionByName(back).join(scored, "gene")
     rows = test.select("draw", F.lit("rwr").alias("method"), "gene", "y", "score").unionByName(test.select("draw", F.lit("degree").alias("method"), "gene", "y", F.col("degree").cast("double").alias("score")))
     m = metrics.margins(metrics.auroc(rows, ["draw", "method"]), ["draw"], ["auroc"])
@@ -92,7 +92,7 @@ def temporal(edges: DataFrame, now: DataFrame, new: DataFrame, repeats: int = 50
     """alpha, repeat, rwr_auroc, degree_auroc, delta, n_seeds: a later release's new genes against all others of the network, from the earlier genes drawn with replacement."""
     degree = cut(graph.degree(edges), "degree")
     pool = now.select("gene").distinct().join(new.select("gene"), "gene", "left_anti").join(degree.select("gene"), "gene", "left_semi")
-    placed = cut(pool.withColumn("i", F.row_number().over(Window.orderBy("gene")) - 1), "pool")  # one label set's genes
+    placed = cut(ranks.by_group(pool, [], ["gene"]).withColumn("i", F.col("_place") - 1).select("gene", "i"), "pool")
     n = placed.agg(F.count("*").alias("n"))
     grid = placed.crossJoin(F.broadcast(n)).withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     u = uniform(F.col("i"), F.concat(F.lit(f"{seed}|"), F.col("repeat").cast("string")))
@@ -113,8 +113,8 @@ def panel(universe: DataFrame, label_sets: DataFrame, repeats: int = 10, k: int
     y = universe.select("gene").distinct().crossJoin(F.broadcast(names)).join(label_sets.select("label_set", "gene", F.lit(1).alias("_p")).distinct(), ["label_set", "gene"], "left").withColumn("y", F.coalesce("_p", F.lit(0)))
     grid = y.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     u = uniform(F.col("gene"), F.concat(F.lit(f"{seed}|"), F.col("repeat").cast("string")))
-    fold = (F.row_number().over(Window.partitionBy("label_set", "repeat", "y").orderBy("_u", "gene")) - 1) % k
-    return grid.withColumn("_u", u).select("label_set", "gene", "repeat", fold.cast("int").alias("fold"), "y")
+    placed = ranks.by_group(grid.withColumn("_u", u), ["label_set", "repeat", "y"], ["_u", "gene"])
+    return placed.select("label_set", "gene", "repeat", ((F.col("_place") - 1) % k).cast("int").alias("fold"), "y")
 
 
 def equal_size(edges: DataFrame, label_sets: DataFrame, repeats: int = 10, alphas: tuple[float, ...] = (0.5,), **how) -> DataFrame:
@@ -164,7 +164,8 @@ def seed_strata(edges: DataFrame, splits: DataFrame, alpha: float = 0.5, k: int
 
 def degree_percentile(degrees: DataFrame) -> DataFrame:
     """degrees with percentile: place in the order of degree and gene over n - 1, times 100."""
-    return degrees.withColumn("percentile", F.percent_rank().over(Window.orderBy("degree", "gene")) * 100)
+    place = F.when(F.col("_size") > 1, (F.col("_place") - 1) / (F.col("_size") - 1)).otherwise(F.lit(0.0))
+    return ranks.by_group(degrees, [], ["degree", "gene"]).withColumn("percentile", place * 100).drop("_place", "_size")
 
 
 def random_input(edges: DataFrame, splits: DataFrame, replicates: int = 10, top: int = 100, alpha: float = 0.5, k: int = 5, seed: str = "random", **how) -> tuple[DataFrame, DataFrame]:
@@ -179,7 +180,7 @@ def random_input(edges: DataFrame, splits: DataFrame, replicates: int = 10, top:
     n = real.groupBy("repeat", "fold").agg(F.count("*").alias("n"))
     pool = degree.select("gene").crossJoin(n).join(splits.select("repeat", "fold", "gene"), ["repeat", "fold", "gene"], "left_anti").withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     u = uniform(F.col("gene"), F.concat_ws("|", F.lit(seed), *[F.col(c).cast("string") for c in by]))
-    drawn = pool.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(u, "gene"))).where("_r <= n")
+    drawn = ranks.by_group(pool.withColumn("_u", u), by, ["_u", "gene"]).where("_place <= n")
     seeds = real.withColumn("run", F.lit(-1)).select(*by, "gene").unionByName(drawn.select(*by, "gene"))
     genes = splits.select("gene").distinct()
     cells = seeds.select(*by).distinct()
@@ -261,7 +262,7 @@ def bait_null(values: DataFrame, label: DataFrame, matching: str, draws: int = 1
     ask = placed.select("gene", "_n").distinct().select("gene", "_n", grid)
     ask = ask.withColumn("_p", F.floor(uniform(F.col("gene"), F.concat(F.lit(f"{seed}|"), F.col("draw").cast("string"))) * F.col("_n")))
     matched = ask.join(placed.select("gene", "_p", "v"), ["gene", "_p"]).groupBy("draw").agg(F.avg("v").alias("value"))
-    numbered = rest.select(F.col("value").alias("v"), (F.row_number().over(Window.orderBy("gene")) - 1).alias("_p"))
+    numbered = ranks.by_group(rest, [], ["gene"]).select(F.col("value").alias("v"), (F.col("_place") - 1).alias("_p"))
     n = rest.agg(F.count("*").alias("_n"))
     free = inside.select("gene", grid).crossJoin(F.broadcast(n)).withColumn("_p", F.floor(uniform(F.col("gene"), F.concat(F.lit(f"{seed}|any|"), F.col("draw").cast("string"))) * F.col("_n")))
     unmatched = free.join(numbered, "_p").groupBy("draw").agg(F.avg("v").alias("value"))

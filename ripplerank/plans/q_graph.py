@@ -96,8 +96,7 @@ def rwr_scores_by_joins(spark, d):
 @query(" UNION ALL ".join(f"SELECT {a}::DOUBLE AS alpha, gene, score FROM ({_rwr_sql(a)})" for a in (0.3, 0.7)))
 def rwr_alpha_sweep(spark, d):
     e = base.edges(spark, d)
-    out = [graph.rwr(e, _seeds(spark, d), a, 0.0, 15).select(F.lit(a).alias("alpha"), "gene", R("score", 10)) for a in (0.3, 0.7)]
-    return out[0].unionByName(out[1])
+    return graph.rwr_series(e, _seeds(spark, d), (0.3, 0.7), 0.0, 15).select("alpha", "gene", R("score", 10))
 
 
 def _splits_sql(rep: int = 2, k: int = 5) -> str:
@@ -147,13 +146,42 @@ def fold_margins_full(spark, d):
     return arms.arm_margins(arms.run_arm(e, splits), [], ["auroc", "auprc"])
 
 
-@query()
+S_FACTORIAL = f"""e2 AS (SELECT 'all' AS network, * FROM e UNION ALL SELECT 'strong', * FROM e WHERE weight >= 2),
+dir2 AS (SELECT network, gene_a AS src, gene_b AS dst FROM e2 UNION ALL SELECT network, gene_b, gene_a FROM e2), deg2 AS (SELECT network, src AS gene, count(*) AS degree FROM dir2 GROUP BY 1, 2),
+w2 AS (SELECT network, src, dst, 1.0::DOUBLE / degree AS w FROM dir2 JOIN deg2 USING (network) WHERE src = gene),
+yy AS (SELECT label_set, gene, (p_type LIKE '%' || label_set || '%')::INTEGER AS y FROM (VALUES ('ECONOMY'), ('PROMO')) z(label_set), deg2 JOIN part ON gene = p_partkey WHERE network = 'strong'),
+sp AS (SELECT label_set, gene, repeat::INTEGER AS repeat, ((row_number() OVER (PARTITION BY label_set, repeat, y ORDER BY {su("gene", "'20260926|' || repeat")}, gene) - 1) % 5)::INTEGER AS fold, y FROM yy, range(2) rr(repeat)),
+ps AS (SELECT a.label_set, a.repeat, f.fold::INTEGER AS fold, a.gene FROM sp a JOIN range(5) f(fold) ON a.fold <> f.fold WHERE a.y = 1),
+r AS (SELECT 0 AS k, network, label_set, repeat, fold, gene, 1.0::DOUBLE / count(*) OVER (PARTITION BY network, label_set, repeat, fold) AS x FROM ps, (VALUES ('all'), ('strong')) n(network)
+ UNION ALL SELECT r.k + 1, r.network, r.label_set, r.repeat, r.fold, w2.dst, sum(r.x * w2.w) FROM r JOIN w2 ON r.network = w2.network AND r.gene = w2.src WHERE r.k < 12 GROUP BY ALL),
+al AS (SELECT unnest([0.3, 0.5])::DOUBLE AS alpha),
+sc AS (SELECT r.network, r.label_set, alpha, r.repeat, r.fold, r.gene, any_value(y) AS y, round(sum(x * CASE WHEN k < 12 THEN alpha ELSE 1 END * pow(1 - alpha, k)), 10) AS score FROM sp JOIN r USING (label_set, repeat, fold, gene), al GROUP BY ALL),
+au AS (WITH a AS ({_auroc_sql("sc", "network, label_set, alpha, repeat, fold")}) SELECT * FROM a),
+dg AS (SELECT network, label_set, repeat, fold, gene, y, degree::DOUBLE AS score FROM sp JOIN deg2 USING (gene)), ad AS (WITH a AS ({_auroc_sql("dg", "network, label_set, repeat, fold")}) SELECT * FROM a),
+m AS (SELECT au.network, au.label_set, alpha, au.auroc - ad.auroc AS d FROM au JOIN ad USING (network, label_set, repeat, fold))"""
+
+
+@query(with_(S_E1, S_FACTORIAL) + " SELECT network, label_set, " + ", ".join(f"round(avg(d) FILTER (alpha = {a}), 6) AS \"a{a}_mean\", round(stddev_samp(d) FILTER (alpha = {a}), 6) AS \"a{a}_std\", (count(d) FILTER (alpha = {a}))::BIGINT AS \"a{a}_n\"" for a in (0.3, 0.5)) + " FROM m GROUP BY 1, 2")
 def factorial_table1(spark, d):
-    nets = {"all": cut(base.edges(spark, d)), "strong": cut(graph.largest_component(base.edges(spark, d, 2)))}
-    u = graph.degree(nets["strong"]).select("gene")
-    s = [stratified_splits(u, base.positives(spark, d, kind=k).select("gene"), 2, 5).withColumn("label_set", F.lit(k)) for k in ("ECONOMY", "PROMO")]
-    r = arms.factorial(nets, s[0].unionByName(s[1]), (0.3, 0.5), ks=(50,))
-    return arms.table_one(arms.arm_margins(r, ["network", "label_set"], ["auroc"]), ["network", "label_set"], (0.3, 0.5))
+    """Two networks, two label sets, ten folds and two alphas as one propagation of twelve rounds, so that SQL can repeat it; factorial_converged has three alphas to the end."""
+    r = _factorial(spark, d, 2, (0.3, 0.5), tol=0.0, max_iter=12)
+    one = arms.table_one(arms.arm_margins(r, ["network", "label_set"], ["auroc"]), ["network", "label_set"], (0.3, 0.5))
+    return one.select("network", "label_set", *[F.round(f"`{c}`", 6).alias(c) if c.startswith("a") and not c.endswith("_n") else F.col(f"`{c}`") for c in one.columns[2:]])
+
+
+def _factorial(spark, d, repeats, alphas, **how):
+    edges = base.network(spark, d)
+    nets = {"all": edges, "strong": edges.where("weight >= 2")}
+    u = cut(graph.degree(nets["strong"]).select("gene"), "universe")
+    s = [stratified_splits(u, base.positives(spark, d, kind=k).select("gene"), repeats, 5).withColumn("label_set", F.lit(k)) for k in ("ECONOMY", "PROMO")]
+    return arms.factorial(nets, s[0].unionByName(s[1]), alphas, ks=(50,), **how)
+
+
+@query()
+def factorial_converged(spark, d):
+    """The arms' table over three alphas, ten repeats of five folds, each (column, alpha) propagated until it stops."""
+    alphas = (0.3, 0.5, 0.7)
+    return arms.table_one(arms.arm_margins(_factorial(spark, d, 10, alphas), ["network", "label_set"], ["auroc"]), ["network", "label_set"], alphas)
 
 
 S_BFS = "b AS (SELECT gene, 0 AS distance FROM sd UNION SELECT dst, distance + 1 FROM b JOIN dir ON b.gene = dir.src WHERE distance < 12)"
@@ -266,6 +294,14 @@ def label_propagation(spark, d):
     return graph.label_propagation(base.edges(spark, d), 5)
 
 
+@query()
+def louvain_modularity(spark, d):
+    """What the communities of either kind are worth on the whole network."""
+    e = base.edges(spark, d)
+    of = lambda name, c: graph.modularity(e, c).select(F.lit(name).alias("method"), "modularity")
+    return of("louvain", cut(graph.louvain(e), "communities")).unionByName(of("propagation", graph.label_propagation(e, 5)))
+
+
 @query()
 def rewire_null(spark, d):
     """100 rewirings of the largest component of the pairs with two orders or more in common."""

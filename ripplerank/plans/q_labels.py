@@ -161,8 +161,8 @@ def complex_aware_splits(spark, d):
 
 @query(f"""WITH un AS (SELECT p_partkey AS gene FROM part), a AS (SELECT p_partkey AS gene FROM part WHERE p_size <= 10), b AS (SELECT p_partkey AS gene FROM part WHERE p_retailprice >= 1500),
 tg AS (SELECT gene FROM b EXCEPT SELECT gene FROM a), bk AS (SELECT gene FROM un EXCEPT SELECT gene FROM a EXCEPT SELECT gene FROM b), bs AS (SELECT gene FROM bk ORDER BY {su('gene', "'transfer'")}, gene LIMIT 200),
-z AS (SELECT gene, 1 AS y, 'target' AS role FROM tg UNION ALL SELECT gene, 0, 'background' FROM bs)
-SELECT gene, ((row_number() OVER (PARTITION BY role ORDER BY {su('gene', "'transfer|fold'")}, gene) - 1) % 5)::INTEGER AS fold, y, role FROM z""")
+z AS (SELECT gene, ((row_number() OVER (ORDER BY {su('gene', "'transfer|fold'")}, gene) - 1) // greatest(count(*) OVER () // 5, 1))::INTEGER AS fold FROM bs)
+SELECT gene, f::INTEGER AS fold, 1 AS y, 'target' AS role FROM tg, range(5) r(f) UNION ALL SELECT gene, fold, 0, 'background' FROM z WHERE fold < 5""")
 def transfer_pools(spark, d):
     p = t(spark, d, "part").withColumnRenamed("p_partkey", "gene")
     return labels.transfer_pools(p.where("p_size <= 10"), p.where("p_retailprice >= 1500"), p, 200)
@@ -175,7 +175,7 @@ def coexpr_top_pairs(spark, d):
     return resample.coexpression(v, 200, 150).withColumn("z", F.round("z", 6))
 
 
-@query(r"SELECT count(*)::BIGINT AS rows, sum(('0x' || substr(md5(concat_ws('|', p_brand, p_name, p_partkey, p_size, p_type)), 1, 15))::HUGEINT)::VARCHAR AS fingerprint FROM part")
+@query(r"SELECT count(*)::BIGINT AS rows, sum(('0x' || substr(md5(concat(length(p_brand), ':', p_brand, length(p_name), ':', p_name, length(p_partkey::VARCHAR), ':', p_partkey, length(p_size::VARCHAR), ':', p_size, length(p_type), ':', p_type)), 1, 15))::HUGEINT)::VARCHAR AS fingerprint FROM part")
 def table_fingerprint(spark, d):
     return tables.fingerprint(t(spark, d, "part").drop("p_retailprice"))
 

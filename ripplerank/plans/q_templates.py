@@ -92,10 +92,10 @@ def is_approved(spark, d):
     return catalogues.is_approved(p, "p_name", p.where("p_size <= 5").select(F.col("p_name").alias("symbol"))).select(F.col("p_partkey").alias("gene"), "approved")
 
 
-@query("WITH m AS (SELECT DISTINCT l_suppkey AS complex_id, l_partkey AS pk FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size <= 40) SELECT complex_id, p_brand || p_partkey AS gene, 'P' || pk AS uniprot, 'supply' AS source, (count(*) OVER (PARTITION BY complex_id))::INTEGER AS n_members FROM m JOIN part ON pk = p_partkey")
+@query("WITH m AS (SELECT DISTINCT l_suppkey AS complex_id, l_partkey AS pk FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size <= 40) SELECT complex_id, p_brand || '_' || (p_partkey // 2) AS gene, 'P' || pk AS uniprot, 'supply' AS source, (count(*) OVER (PARTITION BY complex_id))::INTEGER AS n_members FROM m JOIN part ON pk = p_partkey")
 def complex_map(spark, d):
     rows = t(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("complex_id")).agg(F.array_join(F.array_sort(F.collect_set(F.concat(F.lit("P"), F.col("l_partkey").cast("string"), F.lit("-1")))), "; ").alias("members"))
-    by = t(spark, d, "part").where("p_size <= 40").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("uniprot"), F.concat("p_brand", F.col("p_partkey").cast("string")).alias("gene"))
+    by = t(spark, d, "part").where("p_size <= 40").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("uniprot"), F.concat_ws("_", "p_brand", F.floor(F.col("p_partkey") / 2).cast("string")).alias("gene"))  # two accessions of a brand and pair of keys name one gene
     return catalogues.complex_map(rows, by, "supply")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import io
 import tarfile
 import zipfile
@@ -84,13 +86,19 @@ def read_preamble(spark: SparkSession, path: str, schema: str, skip: int, divide
     return rows.where(F.col(first).isNotNull() & ~F.col(first).cast("string").startswith(divider))
 
 
-def read_wide(spark: SparkSession, path: str, key: str, value: str = "value") -> DataFrame:
-    """(key, gene, value) of a wide CSV, a column a gene: what stands in brackets behind a name goes; of rows that repeat a key the first by value of its cells stays."""
-    raw = need(spark.read.option("header", True).csv(path), [key])
-    genes = [c for c in raw.columns if c != key]
-    long = raw.unpivot(key, [F.col(f"`{c}`") for c in genes], "gene", value)
-    named = long.select(key, F.regexp_replace("gene", r" \([^)]*\)$", "").alias("gene"), F.expr(f"try_cast(`{value}` as double)").alias(value)).where(F.col(value).isNotNull())
-    return named.groupBy(key, "gene").agg(F.min(value).alias(value))
+def read_wide(spark: SparkSession, path: str, key: str, value: str = "value", default: str | None = None, meta: tuple[str, ...] = ()) -> DataFrame:
+    """(key, gene, value) of a wide CSV, a column a gene: what stands in brackets behind a name goes.
+
+    Of the lines that repeat a key one stays whole, the first in the file (by file name, then by where it stands); with `default`, the name of a flag column, only lines that it marks (yes, true, 1) count. `meta` are other columns that hold no gene.
+    """
+    raw = need(spark.read.option("header", True).csv(path), [key, *([default] if default else [])])
+    genes = [c for c in raw.columns if c not in {key, default, *meta}]
+    lines = raw.select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_line"))
+    if default:
+        lines = lines.where(F.upper(F.trim(F.col(f"`{default}`"))).isin("YES", "TRUE", "1"))
+    cells = F.array(*[F.struct(F.lit(re.sub(r" \([^)]*\)$", "", c)).alias("gene"), F.expr(f"try_cast(`{c}` as double)").alias("value")) for c in genes])
+    first = lines.groupBy(F.col(f"`{key}`").alias(key)).agg(F.min_by(cells, F.struct("_file", "_line")).alias("cells"))
+    return first.select(key, F.explode("cells").alias("c")).select(key, F.col("c.gene").alias("gene"), F.col("c.value").alias(value)).where(F.col(value).isNotNull())
 
 
 def read_members(spark: SparkSession, path: str, suffix: str) -> DataFrame:

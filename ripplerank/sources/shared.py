@@ -24,14 +24,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def cut(df: DataFrame, name: str = "step") -> DataFrame:
-    """df written to the shared folder and read back; the files go when the application ends."""
-    spark = df.sparkSession
+def fresh(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder; what is written there goes when the application ends."""
     path = f"{shared_dir(spark)}/ripplerank-{name}-{uuid.uuid4().hex}"
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
+def cut(df: DataFrame, name: str = "step") -> DataFrame:
+    """df written to the shared folder and read back; the files go when the application ends."""
+    path = fresh(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def numbered(df: DataFrame, order: list, weight: str | None = None, name: str = "_number") -> DataFrame:

@@ -81,8 +81,9 @@ def todo(work: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """rows, fingerprint: the same for the same rows in any order, in any engine that writes values alike; repeated rows count. The sum over the rows of the first 60 bits of md5 of their values, columns by name, nulls left out."""
-    text = F.concat_ws("|", *[F.col(f"`{c}`").cast("string") for c in sorted(df.columns)])
+    """rows, fingerprint: the same for the same rows in any order, in any engine that writes values alike; repeated rows count. The sum over the rows of the first 60 bits of md5 of their values, columns by name: each value as its number of characters, ":" and itself, a null as "-", so that neither nulls nor separators inside values make rows alike."""
+    cell = lambda c: F.when(c.isNull(), F.lit("-")).otherwise(F.concat(F.length(c).cast("string"), F.lit(":"), c))
+    text = F.concat(*[cell(F.col(f"`{c}`").cast("string")) for c in sorted(df.columns)])
     return df.agg(F.count("*").alias("rows"), F.sum(F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("decimal(38,0)")).cast("string").alias("fingerprint"))
 
 

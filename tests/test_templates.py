@@ -85,6 +85,49 @@ def test_rwr_strategies_agree_in_scores_and_rounds(spark):
     assert [r[0] for r in graph.rwr(e, seeds, 0.5, 0.0, 4).select("converged").distinct().collect()] == [None]
 
 
+def test_rwr_series_is_separate_runs(spark):
+    nets = {"one": small(spark), "two": small(spark, 30, 40, 9), "three": edges(spark, [("g000", "g001"), ("g001", "g002")])}
+    union = arms.side_by_side(nets)
+    seeds = spark.createDataFrame([(n, f"{n}{c}", g) for n in nets for c, g in (("a", "g000"), ("b", "g002"), ("b", "g001"))], "network string, col string, gene string")
+    alphas = (0.2, 0.5, 0.9)
+    want = {}
+    for n, e in nets.items():
+        for a in alphas:
+            own = seeds.where(F.col("network") == n).drop("network")
+            want |= {(n, r["col"], a, r["gene"]): (r["score"], r["n_iter"], r["converged"]) for r in graph.rwr(e, own, a, 1e-8, strategy="blocks").collect()}
+    assert len({v[1] for v in want.values()}) > 3
+    for how in ("blocks", "joins"):
+        got = {(r["network"], r["col"], r["alpha"], r["gene"]): (r["score"], r["n_iter"], r["converged"]) for r in graph.rwr_series(union, seeds, alphas, 1e-8, strategy=how).collect()}
+        assert got.keys() == want.keys()
+        assert all(abs(got[k][0] - v[0]) < 1e-8 and got[k][1:] == v[1:] for k, v in want.items())
+    # more columns than a row of the joins holds
+    many = spark.createDataFrame([(f"c{i:02d}", f"g{i:03d}") for i in range(39)], "col string, gene string")
+    one, two = ({(r["col"], r["gene"]): round(r["score"], 9) for r in graph.rwr(nets["one"], many, 0.4, strategy=how).collect()} for how in ("blocks", "joins"))
+    assert one == two and len(one) == 39 * 40
+
+
+def test_rwr_of_weights_that_depend_on_both_ends(spark):
+    e = small(spark)
+    seeds = spark.createDataFrame([("one", "g000")], "col string, gene string")
+    w = graph.transition(e, 0.7)
+    one, two = ({r["gene"]: r["score"] for r in graph.rwr(e, seeds, 0.3, 1e-10, strategy=how, weights=w).collect()} for how in ("blocks", "joins"))
+    assert one.keys() == two.keys() and all(abs(one[g] - two[g]) < 1e-12 for g in one) and abs(sum(one.values()) - 1) < 1e-8
+
+
+def test_factorial_over_networks_of_their_own(spark):
+    nets = {"one": small(spark), "two": small(spark, 30, 40, 9)}
+    splits = {n: labels.stratified_splits(graph.degree(e).select("gene"), graph.degree(e).select("gene").where("gene < 'g012'"), 2, 3).withColumn("label_set", F.lit("l")) for n, e in nets.items()}
+    both = splits["one"].withColumn("network", F.lit("one")).unionByName(splits["two"].withColumn("network", F.lit("two")))
+    got = {tuple(r[c] for c in ("network", "alpha", "repeat", "fold", "method")): (r["auroc"], r["auprc"], r["n_iter"]) for r in arms.factorial(nets, both, (0.3, 0.6), k=3).collect()}
+    for n, e in nets.items():
+        for a in (0.3, 0.6):
+            for r in arms.run_arm(e, splits[n].drop("label_set"), (a,), k=3).collect():
+                x = got[(n, r["alpha"], r["repeat"], r["fold"], r["method"])]
+                assert abs(x[0] - r["auroc"]) < 1e-8 and abs(x[1] - r["auprc"]) < 1e-8 and x[2] == r["n_iter"]
+    with pytest.raises(ValueError, match="not in the network"):
+        arms.factorial(nets, splits["one"], (0.5,), k=3)
+
+
 def test_rwr_refuses_empty_seed_sets(spark):
     e = small(spark)
     for rows in ([], [("c", "nowhere")], [("c", "g000"), ("d", "nowhere")]):
@@ -299,8 +342,12 @@ def test_tests_and_intervals_in_closed_form(spark):
     low = (m + 10) / (sd / math.sqrt(3))
     high = (10 - m) / (sd / math.sqrt(3))
     sf = lambda x: (1 - x / math.sqrt(x * x + 2)) / 2
-    assert abs(tt["a"]["p_tost"] - max(sf(low), sf(high))) < 1e-10 and tt["a"]["verdict"] == "equivalent" and tt["b"]["p_tost"] == 0
-    assert stats.tost(df, ["arm"], 0.5).where("arm = 'b'").first()["verdict"] == "superior"
+    assert abs(tt["a"]["p_tost"] - max(sf(low), sf(high))) < 1e-10 and tt["a"]["verdict"] == "equivalent"
+    assert tt["b"]["verdict"] == "zero variance" and all(tt["b"][c] is None for c in ("t_low", "p_high", "p_tost", "ci90_low", "ci95_high"))
+    se = sd / math.sqrt(3)
+    assert abs(tt["a"]["ci95_high"] - (m + q * se)) < 1e-8 and abs(tt["a"]["ci90_low"] - (m - 2.919985580355516 * se)) < 1e-8
+    assert stats.tost(df, ["arm"], 0.5).where("arm = 'a'").first()["verdict"] == "superior"
+    assert stats.tost(df.limit(1), ["arm"]).first()["verdict"] == "insufficient data"
     assert abs(D.f_sf(3.0, 2, 4) - (1 / (1 + 2 * 3.0 / 4)) ** 2) < 1e-12 and abs(D.chi2_sf(3.0, 2) - math.exp(-1.5)) < 1e-12
     k = stats.kruskal(spark.createDataFrame([("x", 1.0), ("x", 2.0), ("y", 3.0), ("y", 4.0), ("z", 5.0), ("z", 6.0)], "g string, value double"), "g").first()
     assert abs(k["h"] - 32 / 7) < 1e-12 and abs(k["p"] - math.exp(-16 / 7)) < 1e-10
@@ -318,10 +365,17 @@ def test_bca_and_percentile_against_brute_force(spark):
     j = (x.sum() - x) / 4
     d = j.mean() - j
     a = (d**3).sum() / (6 * (d**2).sum() ** 1.5)
-    z0 = NormalDist().inv_cdf((boot < x.mean()).mean())
+    z0 = NormalDist().inv_cdf((boot.round(12) < x.mean().round(12)).mean())
     at = [NormalDist().cdf(z0 + (z0 + NormalDist().inv_cdf(q)) / (1 - a * (z0 + NormalDist().inv_cdf(q)))) for q in (0.025, 0.975)]
-    r = stats.bca_interval(df, ["arm"], 400).first()
+    (r,) = {tuple(stats.bca_interval(df.repartition(n), ["arm"], 400).first()[1:]) for n in (1, 3, 8)}
+    r = dict(zip(("low", "high"), r, strict=True))
     assert np.allclose([r["low"], r["high"]], np.quantile(boot, at), atol=1e-9)
+    two = stats.bca_interval(df.limit(2), ["arm"], 50).first()
+    assert abs(two["low"] - (0.75 - 12.706204736174698 * 0.45)) < 1e-6
+    lone = stats.bca_interval(df.limit(1), ["arm"], 50).first()
+    assert lone["low"] is None or math.isnan(lone["low"])
+    one = stats.bca_interval(df.withColumn("value", F.lit(2.0)), ["arm"], 50).first()
+    assert (one["low"], one["high"]) == (2.0, 2.0)
     p = stats.percentile_interval(df, ["arm"], 400).first()
     assert np.allclose([p["low"], p["high"]], np.quantile(boot, [0.025, 0.975]), atol=1e-9)
 
@@ -460,7 +514,34 @@ def test_medians_and_random_neighbours(spark):
     df, _ = scored(spark, 10, 1)
     r = stability.random_neighbours(df, ["key"], 1, 200)
     scores = as_dict(df, value="score")
-    assert r.count() == 2000 and all(x["median"] != scores[x["gene"]] for x in r.collect())
+    assert r.count() == 2000
+    # one other: the lower of the two is the first at which half of an even weight is reached
+    assert all(x["median"] <= scores[x["gene"]] for x in r.collect()) and {x["median"] for x in r.collect()} >= set(sorted(scores.values())[:-1])
+    heavy = stability.random_neighbours(df.withColumn("confidence", F.when(F.col("gene") == df.first()["gene"], 100.0).otherwise(1.0)), ["key"], 4, 20)
+    assert {x["median"] for x in heavy.where(F.col("gene") == df.first()["gene"]).collect()} == {scores[df.first()["gene"]]}
+    assert [x["median"] for x in stability.random_neighbours(df.limit(1), ["key"], 4, 2).collect()] == [df.first()["score"]] * 2
+
+
+def test_louvain(spark):
+    rng = np.random.default_rng(3)
+    planted = [(i, j) for i in range(120) for j in range(i) if rng.random() < (0.5 if i // 20 == j // 20 else 0.02)]
+    e = edges(spark, [(f"g{j:03d}", f"g{i:03d}") for i, j in planted])
+    got = as_dict(graph.louvain(e), value="community")
+    assert got == {f"g{i:03d}": f"g{i // 20 * 20:03d}" for i in range(120)}  # each planted group, by its smallest gene
+    assert got == as_dict(graph.louvain(e.repartition(7)), value="community")
+    q = lambda x, c: graph.modularity(x, c).first()[0]
+    loose = small(spark, 150, 500, 4)
+    c = graph.louvain(loose)
+    assert q(loose, c) >= q(loose, graph.label_propagation(loose)) and q(loose, c) > 0.25
+    # no single gene can be moved to a neighbour's community with a gain
+    near: dict = {}
+    for r in loose.collect():
+        near.setdefault(r["gene_a"], set()).add(r["gene_b"])
+        near.setdefault(r["gene_b"], set()).add(r["gene_a"])
+    where, m2 = as_dict(c, value="community"), sum(map(len, near.values()))
+    apart = edges(spark, [("a", "b"), ("b", "c"), ("a", "c"), ("x", "y")])
+    assert as_dict(graph.louvain(apart), value="community") == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x"}
+    assert graph.louvain(apart.limit(0)).count() == 0 and len(where) == len(near) and m2 > 0
 
 
 def test_label_propagation_joins_cliques(spark):
@@ -518,15 +599,16 @@ def test_catalogues(spark):
     assert sorted(r[0] for r in ids.collect()) == ["D1", "D2"]
     val = spark.createDataFrame([("TP53", "D1", "Definitive"), ("TP53", "D2", "Moderate"), ("KRAS", "D1", "Strong"), ("KRAS", "D3", "Strong"), ("HDM2", "D1", "Limited")], "symbol string, disease string, classification string")
     assert [(r["gene"], r["rank"]) for r in catalogues.validity(val, ids, names, "r").orderBy("rank").collect()] == [("TP53", 1), ("KRAS", 2)]
-    ncg = catalogues.catalogue(spark.createDataFrame([("TP53", 7157), ("MDM2", 9), ("NEW", 1)], "symbol string, entrez long"), spark.createDataFrame([("TP53", 0, 1)], "symbol string, oncogene int, tsg int"), spark.createDataFrame([("TP53",), ("MDM2",)], "symbol string"), spark.createDataFrame([("MDM2", "p1", "lung", ""), ("MDM2", "p2", "skin", None), ("MDM2", "p2", "skin", "arm")], "symbol string, publication string, cancer_type string, primary_site string"), hgnc)
+    ncg = catalogues.catalogue(spark.createDataFrame([("TP53", 7157), ("MDM2", 9), ("NEW", 1)], "symbol string, entrez long"), spark.createDataFrame([("TP53", 0, 1)], "symbol string, oncogene int, tsg int"), spark.createDataFrame([("TP53",), ("MDM2",)], "symbol string"), spark.createDataFrame([("MDM2", "p1", "lung", ""), ("MDM2", "p2", "skin", None), ("MDM2", "p2", "skin", "arm"), ("MDM2", "p2", "-", "multiple"), ("NEW", "p9", "nan", "multiple"), *[("TP53", "p1", f"t{i}", "-") for i in range(7)]], "symbol string, publication string, cancer_type string, primary_site string"), hgnc)
     got = {r["symbol"]: r for r in ncg.collect()}
-    assert [got[g]["tier"] for g in ("TP53", "MDM2", "NEW")] == ["known", "candidate", "screening"] and got["MDM2"]["cancer_type"] == "lung;skin" and got["MDM2"]["n_publications"] == 2 and got["MDM2"]["matches"] and not got["NEW"]["matches"] and got["TP53"]["is_tsg"] == 1
+    assert [got[g]["tier"] for g in ("TP53", "MDM2", "NEW")] == ["known", "candidate", "screening"] and got["MDM2"]["cancer_type"] == "lung;skin" and got["MDM2"]["primary_site"] == "arm" and got["MDM2"]["n_publications"] == 2 and got["MDM2"]["matches"] and not got["NEW"]["matches"] and got["TP53"]["is_tsg"] == 1
+    assert got["TP53"]["cancer_type"] == ";".join(f"t{i}" for i in range(7)) and got["TP53"]["primary_site"] == "" and (got["NEW"]["cancer_type"], got["NEW"]["primary_site"]) == ("", "multiple")
     sc = spark.createDataFrame([("t1", "D1", "lit", 0.9), ("t1", "D1", "exp", 0.5), ("t1", "D1", "gen", 0.4), ("t2", "D2", "exp", 0.6), ("t2", "D3", "exp", 1.0)], "targetId string, diseaseId string, datasourceId string, score double")
     tg = spark.createDataFrame([("t1", "A"), ("t2", "B")], "id string, symbol string")
     assert [r["gene"] for r in catalogues.association_labels(sc, tg, ids, 5, "r").orderBy("rank").collect()] == ["A", "B"]
     assert [r["gene"] for r in catalogues.association_labels(sc, tg, ids, 5, "r", "lit").orderBy("rank").collect()] == ["B", "A"]  # (0.5 + 0.1) / (pi^2 / 6) < 0.6
-    cx = catalogues.complex_map(spark.createDataFrame([("c1", "P04637; P01116-2,Q0")], "complex_id string, members string"), spark.createDataFrame([("P04637", "TP53"), ("P01116", "KRAS")], "uniprot string, gene string"), "s")
-    assert sorted((r["gene"], r["n_members"]) for r in cx.collect()) == [("KRAS", 2), ("TP53", 2)]
+    cx = catalogues.complex_map(spark.createDataFrame([("c1", "P04637; P01116-2,Q0")], "complex_id string, members string"), spark.createDataFrame([("P04637", "TP53"), ("P01116", "KRAS"), ("Q0", "KRAS")], "uniprot string, gene string"), "s")
+    assert sorted((r["gene"], r["n_members"]) for r in cx.collect()) == [("KRAS", 3), ("KRAS", 3), ("TP53", 3)]  # two accessions of one gene are two members
     tiers = catalogues.evidence_tiers(spark.createDataFrame([("a", "w"), ("b", "s1"), ("b", "s2"), ("c", "s1"), ("c", "w")], "gene string, source string"), ["s1", "s2"])
     assert as_dict(tiers, value="tier") == {"a": "only_weak", "b": "strong", "c": "mixed"}
     best = catalogues.best_channel(spark.createDataFrame([(1.0, 2.0, None), (3.0, 3.0, 1.0), (None, None, None)], "x double, y double, z double"), ["x", "y", "z"]).collect()
@@ -567,8 +649,9 @@ def test_scans(spark, tmp_path):
     assert [tuple(r) for r in scans.read_counts(spark, f"{tmp_path}/g2p.tsv").collect()] == [("7157", 2)]
     (tmp_path / "pre.csv").write_text('one\ntwo\nGENE,CLASS\n+++++,+++++\nTP53,"a, b"\n\nKRAS,c\n')
     assert [tuple(r) for r in scans.read_preamble(spark, f"{tmp_path}/pre.csv", "gene string, class string", 2).collect()] == [("TP53", "a, b"), ("KRAS", "c")]
-    (tmp_path / "wide.csv").write_text("model,TP53 (7157),KRAS (3845)\nm1,-1.5,0.2\nm2,,0.3\nm1,-1.5,0.2\n")
-    assert sorted(tuple(r) for r in scans.read_wide(spark, f"{tmp_path}/wide.csv", "model").collect()) == [("m1", "KRAS", 0.2), ("m1", "TP53", -1.5), ("m2", "KRAS", 0.3)]
+    (tmp_path / "wide.csv").write_text("model,main,TP53 (7157),KRAS (3845)\nm1,No,-9,-9\nm1,Yes,-1.5,0.2\nm2,yes,,0.3\nm1,Yes,-3,0.1\n")
+    assert sorted(tuple(r) for r in scans.read_wide(spark, f"{tmp_path}/wide.csv", "model", default="main").collect()) == [("m1", "KRAS", 0.2), ("m1", "TP53", -1.5), ("m2", "KRAS", 0.3)]
+    assert ("m1", "TP53", -9.0) in [tuple(r) for r in scans.read_wide(spark, f"{tmp_path}/wide.csv", "model", meta=("main",)).collect()]
     (tmp_path / "hgnc.txt").write_text("\t".join(scans.NOMENCLATURE) + "\nTP53\tApproved\t\t\t1\tE\tP\nOLD\tWithdrawn\t\t\t\t\t\n")
     assert [r["symbol"] for r in scans.read_nomenclature(spark, f"{tmp_path}/hgnc.txt").collect()] == ["TP53"]
     (tmp_path / "lack.txt").write_text("symbol\tstatus\nA\tApproved\n")
