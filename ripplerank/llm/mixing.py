@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import in_order, side, table
+from ..operators.ranks import by_group
+from .shared import drop_table, in_order, keyed, side, table
 
 #: Bits of the hash that one histogram resolves, and how often a boundary bucket is refined: LEVELS * BITS bits in all.
 BITS, LEVELS = 12, 5
@@ -19,23 +20,25 @@ def words(text) -> F.Column:
 
 
 def targets(sizes: DataFrame) -> DataFrame:
-    """(source, source_size) -> with weight and target double: sources by code point, null last, weigh 1, 2, 3, 1, ...; all sizes are shared out by weight, a share stops at REPEATS times its source, and what it leaves is shared again."""
+    """(source, source_size) -> with weight and target double: sources by code point, null last, weigh 1, 2, 3, 1, ...; all sizes are shared out by weight, a share stops at REPEATS times its source, and what it leaves is shared again.
+
+    Sources stop in the order of size over weight, so running sums in that order tell at which of them the stopping ends: one pass, however many stop.
+    """
     ranked = in_order(sizes.withColumn("_null", F.col("source").isNull().cast("int")), ["_null", "source"], name="sources")
     t = table(ranked.select("source", "source_size", (F.col("_index") % 3 + 1).cast("double").alias("weight")), "weights", "snappy")
-    total = t.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("s")).first()["s"]
-    level, stopped = 0.0, -1
-    # Raise the level (words a unit of weight) until no further source is stopped: each round stops at least one more, and all aggregates are two numbers.
-    while True:
-        full = F.col("weight") * level >= REPEATS * F.col("source_size")
-        r = t.agg(F.count_if(full).alias("k"), F.coalesce(F.sum(F.when(full, REPEATS * F.col("source_size"))), F.lit(0)).alias("s"), F.coalesce(F.sum(F.when(~full, F.col("weight"))), F.lit(0.0)).alias("w")).first()
-        if r["k"] == stopped or not r["w"]:
-            break
-        stopped, level = r["k"], max(level, (total - r["s"]) / r["w"])
+    total = t.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("s"), F.coalesce(F.sum("weight"), F.lit(0.0)).alias("w")).first()
+    full = (F.col("source_size") * REPEATS).alias("full")
+    steps = by_group(t.select("source", "weight", full, (full / F.col("weight")).alias("ratio")), [], ["ratio", "source"], {"full": "full", "weight": "weight"})
+    rest, share = F.lit(total["s"]) - F.col("_before_full") - F.col("full"), F.lit(total["w"]) - F.col("_before_weight") - F.col("weight")
+    level = steps.where((share > 0.5) & (F.col("ratio") * share <= rest)).agg(F.max(rest / share)).first()[0]
+    level = max(level or 0.0, total["s"] / total["w"] if total["w"] else 0.0)
     return t.withColumn("target", F.least(F.lit(level) * F.col("weight"), F.col("source_size").cast("double") * REPEATS))
 
 
-def _hash(doc_id) -> F.Column:
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("null"))), 1, 15), 16, 10).cast("long")
+def _hash(doc_id, text) -> F.Column:
+    """60 bits of md5 of the id and the text: rows that share them are alike."""
+    both = F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit("|"), F.coalesce(F.md5(text), F.lit("-")))
+    return F.conv(F.substring(F.md5(both), 1, 15), 16, 10).cast("long")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -44,7 +47,8 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def thresholds(rows: DataFrame) -> DataFrame:
-    """(source, source_size, target, k, under): of written rows (source, size, h) each source's documents are taken k times, and those whose hash h lies below `under` once more."""
+    """(source, source_size, target, k, under, some): of written rows (source, size, h) each source's documents are taken k times, and those whose hash h lies below `under` once more; of the rows alike whose hash is `under`
+    itself also `some` (0, but where rows that share id and text stand at the end of the budget)."""
     sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     # k whole rounds and the budget that is left for one more
     k = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(REPEATS))).otherwise(F.lit(0)).cast("int")
@@ -66,11 +70,34 @@ def thresholds(rows: DataFrame) -> DataFrame:
         # Where no bucket passes the budget, all of them are under the threshold; where there were none, the threshold stands already.
         past = F.when(F.col("all").isNull(), F.col("prefix")).otherwise(F.col("prefix") + 1) * (1 << BITS)
         aim = table(found.select("source", "source_size", "target", "k", F.col("step.left").alias("budget"), F.coalesce("step.at", past).alias("prefix")), "aim", "snappy")
-    last = rows.join(here(), F.col("source").eqNullSafe(F.col("of"))).where("h = prefix").groupBy("of").agg(F.sum("size").alias("w"))
-    # The one hash value at the threshold: in, if its words overshoot by less than they would fall short.
-    take = F.when(F.coalesce("w", F.lit(0)) < 2 * F.col("budget"), F.col("prefix") + 1).otherwise(F.col("prefix"))
+    last = rows.join(here(), F.col("source").eqNullSafe(F.col("of"))).where("h = prefix").groupBy("of").agg(F.sum("size").alias("w"), F.count("*").alias("c"))
+    # The one hash value at the threshold: its rows, alike, as long as one more brings the words nearer to the target.
     out = aim.join(last, F.col("source").eqNullSafe(F.col("of")), "left")
-    return table(out.select("source", "source_size", "target", "k", F.when(F.col("k") < REPEATS, take).otherwise(F.lit(0).cast("long")).alias("under")), "aim", "snappy")
+    many = F.least(F.col("c"), F.greatest(F.ceil(F.try_divide(F.col("budget") * F.col("c"), F.col("w")) - 0.5), F.lit(0)))
+    out = out.withColumn("many", F.when(F.col("k") < REPEATS, F.when(F.col("w") == 0, F.col("c")).otherwise(many)))
+    all_in = F.col("many") >= F.col("c")
+    under = F.when(F.col("k") < REPEATS, F.when(all_in, F.col("prefix") + 1).otherwise(F.col("prefix"))).otherwise(F.lit(0).cast("long"))
+    some = F.when(all_in, F.lit(0)).otherwise(F.coalesce("many", F.lit(0))).cast("long")
+    return table(out.select("source", "source_size", "target", "k", under.alias("under"), some.alias("some")), "aim", "snappy")
+
+
+def _tied(rows: DataFrame, aim: DataFrame) -> DataFrame | None:
+    """(id) of the rows at a threshold that are taken once more, of written rows (id, source, h); None where no source's budget ends inside rows that are alike."""
+    ends = table(aim.where("some > 0").select(F.col("source").alias("of"), "under", "some"), "ends", "snappy")
+    if ends.isEmpty():
+        return None
+    at = rows.join(_small(ends.withColumnRenamed("of", "source")).withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")) & (F.col("h") == F.col("under")))
+    placed = by_group(table(at.select("id", "source", "some"), "tied", "snappy"), ["source"], ["id"])
+    return table(placed.where(F.col("_place") <= F.col("some")).select("id"), "tied", "snappy")
+
+
+def _copies(rows: DataFrame, tied: DataFrame | None) -> DataFrame:
+    """rows (id, h, k, under) with copies."""
+    more = F.col("h") < F.col("under")
+    if tied is not None:
+        rows = rows.join(side(tied.withColumnRenamed("id", "_tied"), 16), F.col("id") == F.col("_tied"), "left")
+        more = more | F.col("_tied").isNotNull()
+    return rows.withColumn("copies", F.col("k") + more.cast("int"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
@@ -78,24 +105,37 @@ def mix(docs: DataFrame) -> DataFrame:
 
     A source whose target is k times its size and something more takes every document k times and the documents under a hash threshold once more. The
     threshold comes from a histogram of sizes by source and leading hash bits; the bucket in which the budget ends is histogrammed again by the next bits,
-    LEVELS times, so the last bucket holds one hash value; it is taken too if that brings the sum nearer to the target. No rows are sorted.
+    LEVELS times, so the last bucket holds one hash value; of its rows so many are taken as bring the sum nearest to the target. No rows are sorted but those.
 
-    The hash is md5 of the doc_id, so reruns agree. Null texts have size 0; a null source is a source, the last; rows that repeat a doc_id within a source
-    share their fate and count each; null doc_ids hash alike; an empty table gives no rows; all-empty texts give targets 0 and nothing taken; other columns are ignored.
+    The hash is md5 of doc_id and text, so reruns agree. Null texts have size 0; a null source is a source, the last; rows that repeat a doc_id or have none are told apart by their texts, and rows alike
+    in both are as good as each other: as many of them are taken as the target asks for, so that every source comes within one document of it. An empty table gives no rows; all-empty texts give
+    targets 0 and nothing taken; other columns are ignored.
     """
-    rows = table(docs.select("doc_id", F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size"), _hash(F.col("doc_id")).alias("h")), "mix", "snappy")
-    aim = _small(thresholds(rows)).withColumnRenamed("source", "of")
-    out = rows.join(aim, F.col("source").eqNullSafe(F.col("of"))).withColumn("copies", F.col("k") + (F.col("h") < F.col("under")).cast("int"))
+    text = F.col("text").cast("string")
+    rows = docs.select(F.monotonically_increasing_id().alias("id"), "doc_id", F.col("source").cast("string").alias("source"), words(text).alias("size"), _hash(F.col("doc_id"), text).alias("h"))
+    rows = table(rows, "mix", "snappy")
+    found = thresholds(rows)
+    aim = _small(found).withColumnRenamed("source", "of")
+    out = _copies(rows.join(aim, F.col("source").eqNullSafe(F.col("of"))), _tied(rows, found))
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """docs as the mix takes them: rows not taken go, rows taken twice or more come as often; columns as they came.
 
-    What mix() decides of a row follows from its source's threshold and its own hash, so rows meet a table of sources only and are filtered where they are.
+    What mix() decides of a row follows from its source's threshold and its own hash, so rows meet a table of sources only and are filtered where they are. Only where a budget ends inside rows that are alike, docs are written once with
+    numbers, so that those of them that stay can be named.
     """
-    source, h = F.col("source").cast("string"), _hash(F.col("doc_id"))
-    aim = _small(thresholds(table(docs.select(source.alias("source"), words(F.col("text")).alias("size"), h.alias("h")), "mix", "snappy"))).withColumnRenamed("source", "of")
-    out = docs.select(F.struct("*").alias("row"), source.alias("src"), h.alias("h")).join(aim, F.col("src").eqNullSafe(F.col("of")))
-    times = F.col("k") + (F.col("h") < F.col("under")).cast("int")
-    return out.withColumn("times", times).where("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")).select("row.*")
+    source, text = F.col("source").cast("string"), F.col("text").cast("string")
+    h = _hash(F.col("doc_id"), text)
+    sizes = table(docs.select(source.alias("source"), words(text).alias("size"), h.alias("h")), "mix", "snappy")
+    found = thresholds(sizes)
+    drop_table(sizes)
+    tied, given = None, docs.select(F.struct("*").alias("row"), F.lit(0).alias("id"), source.alias("src"), h.alias("h"))
+    if not found.where("some > 0").isEmpty():
+        rows = keyed(docs)
+        own = _hash(F.col("row.doc_id"), F.col("row.text").cast("string"))
+        given = rows.select("row", "id", F.col("row.source").cast("string").alias("src"), own.alias("h"))
+        tied = _tied(given.select("id", F.col("src").alias("source"), "h"), found)
+    out = _copies(given.join(_small(found).withColumnRenamed("source", "of"), F.col("src").eqNullSafe(F.col("of"))), tied)
+    return out.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")

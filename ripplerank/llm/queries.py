@@ -128,7 +128,7 @@ k AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score
 SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 5""",
     "op10_source_mixing": r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-                  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS h FROM documents),
+                  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || '|' || coalesce(md5(text), '-')), 1, 15))::BIGINT AS h FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS n FROM d GROUP BY source),
 w AS (SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS w FROM s),
 o AS (SELECT 3 * n / w AS ratio, sum(3 * n) OVER (ORDER BY 3 * n / w, source) AS stopped, sum(w) OVER (ORDER BY 3 * n / w, source) AS used FROM w
@@ -138,10 +138,11 @@ lv AS (SELECT max(((SELECT sum(n) FROM s) - stopped)::DOUBLE / ((SELECT sum(w) F
 t AS (SELECT source, n, least(level * w, 3.0::DOUBLE * n) AS target FROM w, lv),
 k AS (SELECT *, CASE WHEN n > 0 THEN least(floor(target / n), 3) ELSE 0 END::INTEGER AS k FROM t),
 b AS (SELECT *, CASE WHEN k < 3 THEN target - k * n ELSE 0 END AS budget FROM k),
-g AS (SELECT d.source, h, sum(size)::BIGINT AS x, sum(sum(size)) OVER (PARTITION BY d.source ORDER BY h)::BIGINT AS upto FROM d GROUP BY d.source, h),
-f AS (SELECT g.source, g.h, b.k < 3 AND (upto <= budget OR (upto - x <= budget AND x < 2 * (budget - (upto - x)))) AS more FROM g JOIN b ON g.source IS NOT DISTINCT FROM b.source)
-SELECT d.doc_id, d.size, b.n AS source_size, b.target, ((b.k + f.more::INTEGER) * d.size)::BIGINT AS taken
-FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source JOIN f ON d.source IS NOT DISTINCT FROM f.source AND d.h = f.h""",
+g AS (SELECT d.source, h, sum(size)::BIGINT AS x, count(*) AS c, sum(sum(size)) OVER (PARTITION BY d.source ORDER BY h)::BIGINT AS upto FROM d GROUP BY d.source, h),
+f AS (SELECT g.source, g.h, CASE WHEN b.k = 3 OR upto - x > budget THEN 0 WHEN upto <= budget THEN c ELSE greatest(ceil((budget - (upto - x)) * c / x - 0.5), 0) END AS many FROM g JOIN b ON g.source IS NOT DISTINCT FROM b.source),
+e AS (SELECT *, row_number() OVER (PARTITION BY source, h) AS i FROM d)
+SELECT d.doc_id, d.size, b.n AS source_size, b.target, ((b.k + (d.i <= f.many)::INTEGER) * d.size)::BIGINT AS taken
+FROM e d JOIN b ON d.source IS NOT DISTINCT FROM b.source JOIN f ON d.source IS NOT DISTINCT FROM f.source AND d.h = f.h""",
     "op11_merkle_manifest": r"""
 WITH RECURSIVE t AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, 3988292384 * (c & 1)))) AS crc),
 d AS (SELECT *, CASE WHEN doc_id IS NOT NULL AND (xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
