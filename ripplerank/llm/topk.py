@@ -16,6 +16,8 @@ from .shared import partitions, table
 BITS, BLOCK, READ, ASKED, DEALS = 8, 16_384, 16, 128, 256
 #: Up to here sums of products of two components are exact in double precision (times the dimensions); beyond it Python's integers count.
 EXACT = float(2**53)
+#: Scores beyond a long count as the largest or smallest one; so do components beyond a double.
+MOST, LARGEST = (1 << 63) - 1, 1.7976931348623157e308
 #: The row number of a query, behind all rows of its block.
 ASK = (1 << 31) - 1
 
@@ -42,26 +44,35 @@ class Block:
         self.raw, self.ids = raw, ids
         dims = np.arange(code.shape[1])
         least, most = low[dims, code], high[dims, code]
-        self.mid, self.half = (least + most) / 2, (most - least) / 2
-        self.large = (np.abs(self.mid) + self.half).max(0, initial=0)
+        self.mid, self.half = least / 2 + most / 2, most / 2 - least / 2
+        with np.errstate(over="ignore"):
+            self.large = (np.abs(self.mid) + self.half).max(0, initial=0)
         self.most = float(self.large.max(initial=0))
 
     def bounds(self, q: np.ndarray) -> np.ndarray:
-        """(query, row): numbers that no inner product passes: q.mid + |q|.half, in single precision where that holds them, and what rounding may take off."""
+        """(query, row): numbers that no inner product passes: q.mid + |q|.half, in single precision where that holds them, and what rounding may take off; where doubles overflow, infinity."""
+        with np.errstate(over="ignore", invalid="ignore"):
+            return self._bounds(q)
+
+    def _bounds(self, q: np.ndarray) -> np.ndarray:
         size = np.abs(q) @ self.large
         kind, step = (np.float32, 2.0**-23) if size.max(initial=0) < 1e30 else (np.float64, 2.0**-52)
         if self.mid.dtype != kind:
             self.mid, self.half = self.mid.astype(kind), self.half.astype(kind)
         up = q.astype(kind) @ self.mid.T + np.abs(q).astype(kind) @ self.half.T
-        return up + ((2 * q.shape[1] + 16) * step * size + 1e-30)[:, None].astype(kind)
+        up = up + ((2 * q.shape[1] + 16) * step * size + 1e-30)[:, None].astype(kind)
+        if kind == np.float32:
+            return up
+        up[np.isnan(up)] = np.inf
+        return np.maximum(up, -float(MOST))  # no score is less
 
     def scores(self, q: np.ndarray, rows: np.ndarray) -> list[int]:
         n = 8 * len(q)
         x = np.array([np.frombuffer(self.raw[r], np.float64 if len(self.raw[r]) == n else np.float32) for r in rows.tolist()], float).reshape(len(rows), len(q))
-        if np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * len(q) < EXACT:
+        if float(np.abs(q).max(initial=0)) * (float(np.abs(x).max(initial=0)) * len(q)) < EXACT:
             return (x @ q).astype(np.int64).tolist()
         own = list(map(int, q.tolist()))
-        return [sum(a * int(c) for a, c in zip(own, row, strict=True)) for row in x.tolist()]
+        return [max(-MOST, min(MOST, sum(a * int(c) for a, c in zip(own, row, strict=True)))) for row in x.tolist()]
 
     def search(self, q: np.ndarray, q_ids: np.ndarray, k: int, stats: dict | None = None) -> list[tuple[int, int, int]]:
         """(query id, id, score) of each query's k best ids in the block, ties to smaller ids: bounds of all rows, then exact vectors in their order until the k-th is certain."""
@@ -104,7 +115,7 @@ class Block:
 def integers(vectors: DataFrame, scale: int) -> DataFrame:
     """(vec_id, v): floor(scale * component) as doubles, of the rows with an id whose vector is neither null nor empty nor holds null or non-finite components."""
     ok = F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    v = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.lit(float(scale)) * x)
+    v = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.greatest(F.least(F.lit(float(scale)) * x, F.lit(LARGEST)), F.lit(-LARGEST)))
     # From 2**53 on every double is an integer, and a long would be too short for some.
     whole = F.transform("v", lambda x: F.when(F.abs(x) < EXACT, F.floor(x).cast("double")).otherwise(x) + F.lit(0.0))
     return vectors.select("vec_id", "embedding").where(ok).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).select("vec_id", whole.alias("v"))
@@ -140,7 +151,8 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, blo
     Queries are the rows whose vec_id `every` divides; candidates all rows but those of the query's vec_id. Each block of the approximation file lies in one task, once, and all queries
     stream past it; only their k best rows of the block go on, merged by an aggregate. Null ids, null and empty vectors and
     vectors with null or non-finite components take no part, nor do vectors of another length meet. A vec_id that repeats, with one vector or several, counts once for a query, by its best score;
-    queries that repeat an id with different vectors are searched each and merged under that id. Scores beyond a long fail. An empty table gives no rows; other columns are ignored.
+    queries that repeat an id with different vectors are searched each and merged under that id. Scores beyond a long count as the
+    largest (or, but for its sign, smallest) one, so that they tie, and go by vec_id; a product 256 * component beyond a double counts as the largest double. An empty table gives no rows; other columns are ignored.
     """
     file = approximation(vectors, scale, k, block)
     heads = file.where("row = -1").select("dim", "block")

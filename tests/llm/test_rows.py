@@ -154,6 +154,23 @@ def test_mixed_documents_are_what_mix_says(spark):
 
 # --- op1, op3
 
+def test_op10_sources_of_null_and_equal_ids_come_near_their_target(spark):
+    rows = [(None, "five words in this row", "a")] * 50 + [(None, f"w{i} x y", "b") for i in range(40)] + [(7, "one two three four", "c")] * 30 + [(7, "t " * (i % 9), "d") for i in range(30)]
+    rows += [(i, "many words " * 20, "e") for i in range(200)] + [(None, None, None)] * 5 + [(None, "", "f")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for df in (docs, docs.repartition(7)):
+        got = mixing.mix(df).toPandas()
+        for s, own in got.groupby(got["source"].fillna("-")):
+            assert abs(own["taken"].sum() - own["target"].iloc[0]) <= max(own["size"].max() / 2, 1e-9) + 1e-6 * own["target"].iloc[0], s
+            assert (own["taken"] <= 3 * own["size"]).all()
+        out = mixing.mixed_documents(df)
+        assert out.columns == df.columns and out.count() == got["copies"].sum()
+        per = {r["source"]: r["n"] for r in out.groupBy("source").agg(F.sum(mixing.words(F.col("text"))).alias("n")).collect()}
+        assert all(per.get(s, 0) == n for s, n in got.groupby("source")["taken"].sum().items())
+    again = [sorted(map(repr, mixing.mix(d).select("doc_id", "size", "taken").collect())) for d in (docs, docs.repartition(3))]
+    assert again[0] == again[1]
+
+
 def test_op1_repeated_ids_and_dense_groups(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(120, 24))
@@ -239,6 +256,29 @@ def test_op3_ties_beyond_k_and_large_ids(spark):
         assert [v for _, v in sorted(found)] == [i for i, v in sorted(rows) if i != q and v == [1.0, 2.0]][:5]
 
 
+def test_op3_finite_vectors_of_any_size(spark):
+    rng = random.Random(8)
+    sizes = [0.0, 1.0, -3.5, 1e15, -1e15, 1e30, -1e200, 1.7e308, -1.7e308, 5e-324]
+    rows = [(i, [rng.choice(sizes) for _ in range(3)]) for i in range(120)] + [(200, [1e15, 1.0, 0.0]), (250, [1e15, 2.0, 0.0])]
+    most = (1 << 63) - 1
+
+    def whole(x):
+        f = 256.0 * x
+        return int(math.copysign(1.7976931348623157e308, f)) if math.isinf(f) else math.floor(f)
+
+    want = {}
+    for q, a in rows:
+        if q % 50 == 0:
+            scores = sorted((-max(-most, min(most, sum(whole(x) * whole(y) for x, y in zip(a, b, strict=True)))), i) for i, b in rows if i != q)
+            want[q] = [(r, i, -s) for r, (s, i) in enumerate(scores[:5], 1)]
+    for block in (16_384, 20):
+        got = {}
+        for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block=block).collect():
+            got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+        assert {q: sorted(v) for q, v in got.items()} == want
+    assert any(s == most for v in want.values() for _, _, s in v)
+
+
 def test_op3_reads_few_exact_vectors():
     rng = np.random.default_rng(6)
     x = np.floor(256 * rng.normal(size=(4000, 64)))
