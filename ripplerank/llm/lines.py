@@ -14,6 +14,8 @@ from .shared import by_cell, cell_pairs, keyed, partitions, side, split_hot, tab
 
 #: Largest edit distance of two lines that count as one, and characters of a line below which only equal lines do.
 EDITS, SHORTEST = 2, 32
+#: Characters of which a blank line consists.
+BLANK = " \t\x0b\f\r"
 #: Lines that share a substring and emit their pairs; more are compared in blocks, with their texts at hand.
 FEW, BLOCK = 32, 512
 
@@ -100,7 +102,7 @@ def _keys(docs: DataFrame, edits: int, shortest: int) -> DataFrame:
             keys, ids, probes = [], [], []
             for text in b.column(0):
                 for line in (text.as_py() or "").split("\n"):
-                    if len(line) >= shortest:
+                    if len(line) >= shortest and line.strip(BLANK):
                         h = xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"), 42)
                         if h not in seen:
                             seen.add(h)
@@ -168,12 +170,12 @@ def line_marks(rows: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, ex
     """(id, away array<int>) of written rows (id, doc_id, text): the numbers (from 0) of the lines of a row that repeat an earlier one, for the rows that have such lines.
 
     Lines count in the order of (doc_id, hash of the text, id, line number), null doc_ids first. A line of `exact` characters or more (unset: `shortest`) goes if an equal one
-    stands earlier; one of `shortest` or more also if its first equal stands after the first equal of such a line within `edits` edits. Blank lines under `shortest` stay.
+    stands earlier; one of `shortest` or more also if its first equal stands after the first equal of such a line within `edits` edits. Blank lines, of any length, stay and match nothing.
     """
     least = shortest if exact is None else min(exact, shortest)
     place = ["doc", "th", "id", "no"]
     given = rows.select("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.col("text").cast("string").alias("whole"))
-    lines = given.select("id", "doc", F.xxhash64("whole").alias("th"), F.posexplode(F.split("whole", "\n")).alias("no", "text")).where((F.char_length("text") >= shortest) | ((F.char_length("text") >= least) & F.col("text").rlike(r"\S")))
+    lines = given.select("id", "doc", F.xxhash64("whole").alias("th"), F.posexplode(F.split("whole", "\n")).alias("no", "text")).where((F.char_length("text") >= least) & F.col("text").rlike(r"\S"))
     lines = lines.withColumn("h", F.xxhash64("text")).withColumn("h2", F.xxhash64(F.lit(2), "text"))
     every = table(lines.select(*place, "h", "h2"), "lines", "snappy")
     firsts = table(every.groupBy("h", "h2").agg(F.min(F.struct(*place)).alias("f"), F.count("*").alias("n")), "firsts", "snappy")
