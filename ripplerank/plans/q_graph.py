@@ -155,7 +155,8 @@ ps AS (SELECT a.label_set, a.repeat, f.fold::INTEGER AS fold, a.gene FROM sp a J
 r AS (SELECT 0 AS k, network, label_set, repeat, fold, gene, 1.0::DOUBLE / count(*) OVER (PARTITION BY network, label_set, repeat, fold) AS x FROM ps, (VALUES ('all'), ('strong')) n(network)
  UNION ALL SELECT r.k + 1, r.network, r.label_set, r.repeat, r.fold, w2.dst, sum(r.x * w2.w) FROM r JOIN w2 ON r.network = w2.network AND r.gene = w2.src WHERE r.k < 12 GROUP BY ALL),
 al AS (SELECT unnest([0.3, 0.5])::DOUBLE AS alpha),
-sc AS (SELECT r.network, r.label_set, alpha, r.repeat, r.fold, r.gene, any_value(y) AS y, round(sum(x * CASE WHEN k < 12 THEN alpha ELSE 1 END * pow(1 - alpha, k)), 10) AS score FROM sp JOIN r USING (label_set, repeat, fold, gene), al GROUP BY ALL),
+ask AS (SELECT sp.*, network, alpha FROM sp, (VALUES ('all'), ('strong')) n(network), al),
+sc AS (SELECT ask.network, ask.label_set, alpha, ask.repeat, ask.fold, ask.gene, any_value(ask.y) AS y, round(coalesce(sum(x * CASE WHEN k < 12 THEN alpha ELSE 1 END * pow(1 - alpha, k)), 0), 10) AS score FROM ask LEFT JOIN r USING (network, label_set, repeat, fold, gene) GROUP BY ALL),
 au AS (WITH a AS ({_auroc_sql("sc", "network, label_set, alpha, repeat, fold")}) SELECT * FROM a),
 dg AS (SELECT network, label_set, repeat, fold, gene, y, degree::DOUBLE AS score FROM sp JOIN deg2 USING (gene)), ad AS (WITH a AS ({_auroc_sql("dg", "network, label_set, repeat, fold")}) SELECT * FROM a),
 m AS (SELECT au.network, au.label_set, alpha, au.auroc - ad.auroc AS d FROM au JOIN ad USING (network, label_set, repeat, fold))"""
