@@ -22,6 +22,8 @@ from .ranks import by_group
 BROADCAST_EDGES = 4_000_000
 #: Columns of a block that numpy propagates, and columns of a row of the propagation by joins.
 BLOCK_COLUMNS, WIDTH = 64, 16
+#: 64-bit words of a row of the search from many sources.
+WORDS = 4
 
 
 def canonical(pairs: DataFrame) -> DataFrame:
@@ -329,12 +331,47 @@ def landmarks(edges: DataFrame, most: int = 256, seed: str = "landmarks") -> Dat
     return cut(degree(largest_component(edges)).select("gene").orderBy(uniform(F.col("gene"), seed), "gene").limit(most), "landmarks")
 
 
+def reach_counts(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(gene, distance, n): how many of the sources (gene) lie at each distance from a gene, 0 for itself; genes out of reach of all are absent.
+
+    Sources are bits: a row of the frontier is a gene and WORDS * 64 sources, so a round moves one row an edge for all of them, bit by bit or'ed together, and what was seen before is masked out. The rounds end when no
+    bit is new.
+    """
+    e = cut(directed(edges).select("src", "dst"), "edges")
+    words = [f"b{i}" for i in range(WORDS)]
+    placed = by_group(sources.select("gene").distinct(), [], ["gene"]).withColumn("_at", F.col("_place") - 1)
+    word, bit = F.floor(F.col("_at") / 64 % WORDS).cast("int"), F.expr("shiftleft(1L, cast(_at % 64 as int))")
+    here = placed.select("gene", F.floor(F.col("_at") / (64 * WORDS)).alias("block"), word.alias("word"), bit.alias("bit"))
+    first = here.select("block", "gene", *[F.when(F.col("word") == i, F.col("bit")).otherwise(F.lit(0).cast("long")).alias(w) for i, w in enumerate(words)])
+    seen = cut(first.join(degree(edges).select("gene"), "gene", "left_semi").select("block", "gene", *words, *[F.col(w).alias(f"new_{w}") for w in words]), "seen")
+    count = sum((F.bit_count(f"new_{w}") for w in words), F.lit(0)).cast("long").alias("n")
+    out = seen.select("gene", F.lit(0).alias("distance"), count)
+    d = 0
+    while True:
+        d += 1
+        front = seen.where(" or ".join(f"new_{w} <> 0" for w in words)).select("block", F.col("gene").alias("src"), *[F.col(f"new_{w}").alias(f"got_{w}") for w in words])
+        got = front.join(e, "src").groupBy("block", F.col("dst").alias("gene")).agg(*[F.bit_or(f"got_{w}").alias(f"got_{w}") for w in words])
+        both = seen.drop(*[f"new_{w}" for w in words]).join(got, ["block", "gene"], "full")
+        zero = F.lit(0).cast("long")
+        old, come = (lambda w: F.coalesce(F.col(w), zero)), (lambda w: F.coalesce(F.col(f"got_{w}"), zero))
+        seen = cut(both.select("block", "gene", *[old(w).bitwiseOR(come(w)).alias(w) for w in words], *[come(w).bitwiseAND(F.bitwise_not(old(w))).alias(f"new_{w}") for w in words]), "seen")
+        new = cut(seen.select("gene", F.lit(d).alias("distance"), count).where("n > 0"), "new")
+        if new.isEmpty():
+            return out.groupBy("gene", "distance").agg(F.sum("n").alias("n"))
+        out = out.unionByName(new)
+
+
 def harmonic(edges: DataFrame, landmarks: DataFrame) -> DataFrame:
     """(gene, closeness): mean of 1 / max(distance, 1) from the landmarks (gene); unreachable ones count 0, and a gene out of reach of all has 0."""
     n = landmarks.agg(F.count("*").alias("k"))
-    d = bfs(edges, landmarks.select(F.col("gene").alias("source"), "gene"))
-    s = d.groupBy("gene").agg(F.sum(1.0 / F.greatest("distance", F.lit(1))).alias("s"))
-    return degree(edges).select("gene").join(s, "gene", "left").crossJoin(n).select("gene", F.coalesce(F.col("s") / F.col("k"), F.lit(0.0)).alias("closeness"))
+    s = reach_counts(edges, landmarks).groupBy("gene").agg(F.sum(F.col("n") / F.greatest("distance", F.lit(1))).alias("s"))
+    return degree(edges).select("gene").join(s, "gene", "left").crossJoin(F.broadcast(n)).select("gene", F.coalesce(F.col("s") / F.col("k"), F.lit(0.0)).alias("closeness"))
+
+
+def closeness(edges: DataFrame, exact: int = 5000, most: int = 256) -> DataFrame:
+    """(gene, closeness): harmonic() from every gene of a network of up to `exact` genes, from `most` landmarks of the largest component of a larger one."""
+    genes = cut(degree(edges).select("gene"), "genes")
+    return harmonic(edges, genes if genes.count() <= exact else landmarks(edges, most))
 
 
 def power_iteration(edges: DataFrame, kind: str, rounds: int = 50, damping: float = 0.85, tol: float = 0.0, strategy: str = "auto") -> DataFrame:

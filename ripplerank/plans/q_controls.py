@@ -104,7 +104,7 @@ def ground_truth(spark, d):
 
 @query()
 def cap_search(spark, d):
-    e, k = controls.cap_search(base.edges(spark, d, 2), 100, 18)
+    e, k = controls.cap_search(base.edges(spark, d), 10_000, 18)
     return e.withColumn("k", F.lit(k))
 
 

@@ -208,18 +208,24 @@ def harmonic_closeness(spark, d):
 
 @query()
 def closeness_landmarks(spark, d):
-    e = cut(base.edges(spark, d, 2))
+    e = base.edges(spark, d)
     return graph.harmonic(e, graph.landmarks(e)).select("gene", R("closeness", 8))
 
 
+@query()
+def closeness_exact(spark, d):
+    """From every gene where the network has up to 5,000, else from landmarks."""
+    return graph.closeness(base.edges(spark, d)).select("gene", R("closeness", 8))
+
+
 @query()
 def bfs_from_labels(spark, d):
-    return graph.bfs(base.edges(spark, d, 2), _label_sources(spark, d))
+    return graph.bfs(base.edges(spark, d), _label_sources(spark, d))
 
 
 @query()
 def proximity_from_labels(spark, d):
-    return graph.proximity(cut(base.edges(spark, d, 2)), _label_sources(spark, d)).select("gene", "distance")
+    return graph.proximity(base.edges(spark, d), _label_sources(spark, d)).select("gene", "distance")
 
 
 @query(with_(S_E1, S_DIR, S_DEG) + ", n AS (SELECT count(*)::DOUBLE AS n FROM deg), r AS (SELECT 0 AS i, gene, 1.0::DOUBLE / n AS p FROM deg, n UNION ALL SELECT i, gene, p FROM (SELECT r.i + 1 AS i, dst AS gene, 0.15 / any_value(n) + 0.85 * sum(r.p / degree) AS p FROM r JOIN deg ON r.gene = deg.gene JOIN dir ON r.gene = src, n WHERE r.i < 10 GROUP BY r.i, dst)) SELECT gene, round(p, 10) AS score FROM r WHERE i = 10")
@@ -234,12 +240,12 @@ def eigenvector(spark, d):
 
 @query()
 def pagerank_converged(spark, d):
-    return graph.pagerank(base.edges(spark, d, 2)).select("gene", R("score", 10))
+    return graph.pagerank(base.edges(spark, d)).select("gene", R("score", 10))
 
 
 @query()
 def eigenvector_converged(spark, d):
-    return graph.eigenvector(base.edges(spark, d, 2)).select("gene", R("score", 8))
+    return graph.eigenvector(base.edges(spark, d)).select("gene", R("score", 8))
 
 
 @query(with_(S_E1, S_DIR, S_DEG) + ", k AS (SELECT e.gene_a, e.gene_b FROM e JOIN deg x ON gene_a = x.gene JOIN deg y ON gene_b = y.gene WHERE x.degree <= 120 AND y.degree <= 120) SELECT g AS gene, count(*)::BIGINT AS degree FROM (SELECT gene_a AS g FROM k UNION ALL SELECT gene_b FROM k) GROUP BY 1")
@@ -264,12 +270,12 @@ def network_descriptors(spark, d):
 
 @query()
 def network_descriptors_full(spark, d):
-    return graph.descriptors(base.edges(spark, d, 2))
+    return graph.descriptors(base.edges(spark, d))
 
 
 @query()
 def gene_features(spark, d):
-    return graph.features(base.edges(spark, d, 2), 300)
+    return graph.features(base.edges(spark, d), 300)
 
 
 @query()
@@ -341,7 +347,7 @@ def degree_matched_null(spark, d):
 
 @query()
 def baseline_family(spark, d):
-    e = cut(base.edges(spark, d, 2))
+    e = base.edges(spark, d)
     s = arms.baselines(e, graph.landmarks(e))
     y = s.join(base.positives(spark, d).select("gene", F.lit(1).alias("_y")), "gene", "left").withColumn("y", F.coalesce("_y", F.lit(0)))
     return metrics.auroc(y, ["method"])

@@ -111,4 +111,4 @@ def random_neighbourhood(spark, d):
 @query()
 def network_median(spark, d):
     s = base.t(spark, d, "part").select(F.col("p_partkey").alias("gene"), F.col("p_retailprice").alias("score"), (1.0 / F.col("p_size")).alias("confidence"))
-    return stability.network_median(s, base.edges(spark, d, 2))
+    return stability.network_median(s, base.edges(spark, d))

@@ -271,21 +271,26 @@ def arbitration_by_type(spark, d):
 
 # --- arms
 
+def _whole(spark, d):
+    """The network and stratified splits of its label genes: two repeats of five folds."""
+    e = base.network(spark, d)
+    return e, cut(labels.stratified_splits(graph.degree(e).select("gene"), base.positives(spark, d).select("gene"), 2, 5), "splits")
+
+
 def _strong(spark, d):
-    """The largest component of the pairs with two orders or more in common, and stratified splits of its label genes."""
+    """The same of the largest component of the pairs with two orders or more in common."""
     e = cut(graph.largest_component(base.edges(spark, d, 2)), "strong")
-    u = graph.degree(e).select("gene")
-    pos = base.positives(spark, d).select("gene")
-    return e, cut(labels.stratified_splits(u, pos, 2, 5), "splits")
+    return e, cut(labels.stratified_splits(graph.degree(e).select("gene"), base.positives(spark, d).select("gene"), 2, 5), "splits")
 
 
 @query()
 def seed_null_summary(spark, d):
-    return templates.seed_null(*_strong(spark, d), 20)[1]
+    return templates.seed_null(*_whole(spark, d), 100)[1]
 
 
 @query()
 def rewiring_null_summary(spark, d):
+    """On strong pairs, ten times: each rewiring is one task over the whole graph."""
     return templates.rewiring_null(*_strong(spark, d), 10, 10.0)[1]
 
 
@@ -320,49 +325,49 @@ def shared_universe_margins(spark, d):
 def publication_matched(spark, d):
     from .q_labels import pubcount
 
-    e, s = _strong(spark, d)
+    e, s = _whole(spark, d)
     return templates.matched_background(arms.fold_scores(e, s), pubcount(spark, d))
 
 
 @query()
 def seed_strata_margins(spark, d):
-    return templates.seed_strata(*_strong(spark, d))
+    return templates.seed_strata(*_whole(spark, d))
 
 
 @query()
 def random_input_runs(spark, d):
-    return templates.random_input(*_strong(spark, d), 5)[0]
+    return templates.random_input(*_whole(spark, d), 10)[0]
 
 
 @query()
 def random_input_folds(spark, d):
-    return templates.random_input(*_strong(spark, d), 5)[1]
+    return templates.random_input(*_whole(spark, d), 10)[1]
 
 
 @query()
 def seed_fraction_margins(spark, d):
-    return templates.seed_fractions(*_strong(spark, d))[0]
+    return templates.seed_fractions(*_whole(spark, d))[0]
 
 
 @query()
 def seed_fraction_stability(spark, d):
-    return templates.seed_fractions(*_strong(spark, d), (0.05, 0.1, 0.25, 0.5, 1.0))[1]
+    return templates.seed_fractions(*_whole(spark, d), (0.05, 0.1, 0.25, 0.5, 1.0))[1]
 
 
 @query()
 def hub_variant_margins(spark, d):
-    return templates.hub_variants(*_strong(spark, d), (8, 16))
+    return templates.hub_variants(*_whole(spark, d), (128, 256))
 
 
 @query()
 def early_endpoint_intervals(spark, d):
-    e, s = _strong(spark, d)
+    e, s = _whole(spark, d)
     return templates.early_endpoints(arms.fold_scores(e, s), 0.1)[1]
 
 
 @query()
 def tier_margins(spark, d):
-    e, s = _strong(spark, d)
+    e, s = _whole(spark, d)
     return templates.tier_margins(arms.fold_scores(e, s), star_tiers(spark, d), 0.17)
 
 
@@ -382,14 +387,14 @@ def label_circularity(spark, d):
 
 @query()
 def result_contract(spark, d):
-    e, s = _strong(spark, d)
-    return arms.result_table(arms.run_arm(e, s, (0.3, 0.5)), "strong", "economy", "native")
+    e, s = _whole(spark, d)
+    return arms.result_table(arms.run_arm(e, s, (0.3, 0.5)), "all", "economy", "native")
 
 
 @query("SELECT 0::BIGINT AS beyond")
 def dump_crosscheck(spark, d):
     """Result rows whose AUROC differs by 1e-12 or more from the one recomputed of written scores."""
-    e, s = _strong(spark, d)
+    e, s = _whole(spark, d)
     scores = cut(arms.fold_scores(e, s), "dump")
     return arms.dump_check(scores, arms.run_arm(e, s, scores=scores)).where("gap >= 1e-12").agg(F.count("*").alias("beyond"))
 

@@ -85,6 +85,30 @@ def test_rwr_strategies_agree_in_scores_and_rounds(spark):
     assert [r[0] for r in graph.rwr(e, seeds, 0.5, 0.0, 4).select("converged").distinct().collect()] == [None]
 
 
+def test_search_from_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(graph, "WORDS", 2)  # 130 genes: two blocks
+    e = small(spark, 130, 90, 11).unionByName(edges(spark, [("x", "y")]))
+    near: dict = {}
+    for r in e.collect():
+        near.setdefault(r["gene_a"], set()).add(r["gene_b"])
+        near.setdefault(r["gene_b"], set()).add(r["gene_a"])
+    want = {}
+    for s in near:
+        seen, front, d = {s: 0}, [s], 0
+        while front:
+            d += 1
+            front = [x for g in front for x in near[g] if x not in seen and not seen.update({x: d})]
+        for g, x in seen.items():
+            want[g] = want.get(g, 0.0) + 1 / max(x, 1)
+    got = as_dict(graph.closeness(e), value="closeness")
+    assert got.keys() == near.keys() and all(abs(got[g] - want[g] / len(near)) < 1e-12 for g in near)
+    few = as_dict(graph.closeness(e, exact=10, most=8), value="closeness")
+    assert few.keys() == near.keys() and few["x"] == 0.0
+    by_hops = graph.bfs(e, graph.landmarks(e, 8).select(F.col("gene").alias("source"), "gene"))
+    counts = {(r["gene"], r["distance"]): r["n"] for r in graph.reach_counts(e, graph.landmarks(e, 8)).where("n > 0").collect()}
+    assert counts == {(r["gene"], r["distance"]): r["n"] for r in by_hops.groupBy("gene", "distance").agg(F.count("*").alias("n")).collect()}
+
+
 def test_rwr_series_is_separate_runs(spark):
     nets = {"one": small(spark), "two": small(spark, 30, 40, 9), "three": edges(spark, [("g000", "g001"), ("g001", "g002")])}
     union = arms.side_by_side(nets)
