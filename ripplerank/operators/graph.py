@@ -692,8 +692,9 @@ def _draw(seed: int, gene, walk, step) -> float:
 def walks(edges: DataFrame, per_gene: int = 10, length: int = 20, p: float = 1.0, q: float = 1.0, seed: int = 42, strategy: str = "auto") -> DataFrame:
     """(gene, walk_id, walk array): second-order walks; a step never returns at once, and goes to a neighbour of the last gene with weight 1/p, to others with 1/q.
 
-    A step takes the first neighbour, in the order of genes, at which the running weight passes a hashed share of the whole. `arrays`: each task holds the graph; `joins`: a step of all walks is a join, any size;
-    both walk the same ways, and `auto` takes arrays where the edges were counted to fit.
+    A step proposes hashed places in the list of neighbours, one after the other, and takes the first that a second hash accepts: never the last gene, others in proportion to their weights. So a walk reads the neighbours
+    that it proposes, not all of them, and a hub costs what any gene does. `arrays`: each task holds the graph; `joins`: a step of all walks is a join on (gene, place), any size; both walk the same ways, and `auto`
+    takes arrays where the edges were counted to fit.
     """
     spark, kind = edges.sparkSession, edges.schema["gene_a"].dataType
     held = None if strategy == "joins" else _adjacency(edges)
@@ -715,26 +716,18 @@ def walks(edges: DataFrame, per_gene: int = 10, length: int = 20, p: float = 1.0
                 start, walk = own[ids // per_gene], ids % per_gene
                 path, at, last, live = [start], start.copy(), np.full(len(ids), -1), np.ones(len(ids), bool)
                 for step in range(1, length):
-                    who = np.flatnonzero(live)
-                    many = first[at[who] + 1] - first[at[who]]
-                    of = np.repeat(np.arange(len(who)), many)
-                    to = near[np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first[at[who]], many)]
-                    back = last[who][of]
-                    edge = back * n + to
-                    place = np.minimum(np.searchsorted(ends, edge), len(ends) - 1)
-                    weight = np.where((back >= 0) & (ends[place] == edge), 1 / p, 1 / q) * (to != back)
-                    run_sum = np.cumsum(weight)
-                    stop = np.cumsum(many)
-                    before = run_sum[stop - 1] - np.add.reduceat(weight, stop - many) if len(who) else np.zeros(0)
-                    total = np.add.reduceat(weight, stop - many) if len(who) else np.zeros(0)
-                    u = np.array([_draw(seed, names[g], w, step) for g, w in zip(start[who].tolist(), walk[who].tolist(), strict=True)])
-                    passed = (run_sum - before[of] > (u * total)[of]) & (weight > 0)
-                    chosen = np.full(len(who), -1)
-                    hit = np.flatnonzero(passed)[::-1]
-                    chosen[of[hit]] = to[hit]  # the first one of each walk is written last
-                    live[who[chosen < 0]] = False
-                    who, chosen = who[chosen >= 0], chosen[chosen >= 0]
-                    last[who], at[who] = at[who], chosen
+                    many = first[at + 1] - first[at]
+                    live &= ~((many == 1) & (last >= 0))  # the only way leads back
+                    who, attempt = np.flatnonzero(live), 0
+                    while len(who):
+                        u, v = (np.array([_draw(seed, names[g], w, f"{step}|{attempt}{x}") for g, w in zip(start[who].tolist(), walk[who].tolist(), strict=True)]) for x in ("", "|keep"))
+                        to = near[first[at[who]] + (u * many[who]).astype(np.int64)]
+                        edge = last[who] * n + to
+                        place = np.minimum(np.searchsorted(ends, edge), len(ends) - 1)
+                        share = np.where(ends[place] == edge, 1 / p, 1 / q) / max(1 / p, 1 / q)
+                        ok = (last[who] < 0) | ((to != last[who]) & (v < share))
+                        last[who[ok]], at[who[ok]] = at[who[ok]], to[ok]
+                        who, attempt = who[~ok], attempt + 1
                     path.append(np.where(live, at, -1))
                 steps = np.stack(path, axis=1)
                 yield pd.DataFrame({"gene": genes[start], "walk_id": walk.astype(np.int32), "walk": [[str(names[x]) for x in r if x >= 0] for r in steps.tolist()]})
@@ -744,16 +737,32 @@ def walks(edges: DataFrame, per_gene: int = 10, length: int = 20, p: float = 1.0
 
 def _walks_by_joins(edges: DataFrame, per_gene: int, length: int, p: float, q: float, seed: int) -> DataFrame:
     e = cut(directed(edges).select("src", "dst").distinct(), "edges")
-    state = degree(edges).select("gene", F.explode(F.sequence(F.lit(0), F.lit(per_gene - 1))).alias("walk_id")).select("gene", "walk_id", F.col("gene").alias("at"), F.lit(None).cast(edges.schema["gene_a"].dataType).alias("last"))
+    placed = by_group(e, ["src"], ["dst"])
+    size = e.groupBy(F.col("src").alias("dst")).agg(F.count("*").alias("to_degree"))
+    near = cut(placed.select("src", (F.col("_place") - 1).alias("place"), "dst").join(size, "dst").select("src", "place", F.col("dst").alias("to"), "to_degree"), "neighbours")
+    known = e.select(F.col("src").alias("last"), F.col("dst").alias("to"), F.lit(True).alias("known"))
+    kind = edges.schema["gene_a"].dataType
+    state = size.select(F.col("dst").alias("gene"), F.explode(F.sequence(F.lit(0), F.lit(per_gene - 1))).alias("walk_id"), F.col("to_degree").alias("degree"))
+    state = state.select("gene", "walk_id", F.col("gene").alias("at"), "degree", F.lit(None).cast(kind).alias("last"))
     steps = [state.select("gene", "walk_id", F.lit(0).alias("step"), "at")]
     for step in range(1, length):
-        near = state.join(e, F.col("at") == F.col("src")).where("last is null or dst <> last")
-        known = e.select(F.col("src").alias("last"), F.col("dst"), F.lit(True).alias("known"))
-        near = near.join(known, ["last", "dst"], "left").withColumn("w", F.when(F.col("known"), F.lit(1 / p)).otherwise(F.lit(1 / q)))
-        own = Window.partitionBy("gene", "walk_id")
-        u = uniform(F.col("gene"), F.concat_ws("|", F.lit(str(seed)), F.col("walk_id").cast("string"), F.lit(str(step))))
-        placed = near.withColumn("run", F.sum("w").over(own.orderBy("dst").rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("total", F.sum("w").over(own))
-        state = cut(placed.where(F.col("run") > u * F.col("total")).groupBy("gene", "walk_id").agg(F.min("dst").alias("to"), F.first("at").alias("last")).select("gene", "walk_id", F.col("to").alias("at"), "last"), "walks")
+        pending, begun, tries, taken = state.where("degree > 1 or last is null"), 0, 4, None
+        while True:  # a walk is refused with a chance of a half at most where p and q are equal, so each round leaves few
+            salt = F.concat_ws("|", F.lit(str(seed)), F.col("walk_id").cast("string"), F.lit(str(step)), F.col("attempt").cast("string"))
+            asks = pending.withColumn("attempt", F.explode(F.sequence(F.lit(begun), F.lit(begun + tries - 1))))
+            asks = asks.withColumn("place", F.floor(uniform(F.col("gene"), salt) * F.col("degree"))).withColumn("v", uniform(F.col("gene"), F.concat(salt, F.lit("|keep"))))
+            offers = asks.join(near, (asks["at"] == near["src"]) & (asks["place"] == near["place"])).select("gene", "walk_id", "at", "last", "attempt", "v", "to", "to_degree").where("last is null or to <> last")
+            if p != q:
+                share = F.when(F.col("known"), F.lit(1 / p)).otherwise(F.lit(1 / q)) / F.lit(max(1 / p, 1 / q))
+                offers = offers.join(known, ["last", "to"], "left").where(F.col("last").isNull() | (F.col("v") < share))
+            first = offers.groupBy("gene", "walk_id").agg(F.min_by(F.struct("to", "to_degree", "at"), "attempt").alias("m"))
+            got = cut(first.select("gene", "walk_id", F.col("m.to").alias("at"), F.col("m.to_degree").alias("degree"), F.col("m.at").alias("last")), "walks")
+            taken = got if taken is None else taken.unionByName(got)
+            pending = cut(pending.join(got.select("gene", "walk_id"), ["gene", "walk_id"], "left_anti"), "pending")
+            begun, tries = begun + tries, 4 * tries
+            if pending.isEmpty():
+                break
+        state = taken
         steps.append(state.select("gene", "walk_id", F.lit(step).alias("step"), "at"))
     every = steps[0]
     for x in steps[1:]:

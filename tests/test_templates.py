@@ -59,6 +59,32 @@ def test_walks_by_arrays_and_by_joins_are_the_same(spark):
     assert all(frozenset(x) in near for _, _, w in one for x in zip(w, w[1:])) and all(a != c for _, _, w in one for a, c in zip(w, w[2:]))
 
 
+def test_walks_follow_their_weights(spark):
+    e = edges(spark, [("a", "b"), ("a", "c"), ("b", "c"), ("a", "d"), ("d", "f"), ("d", "g"), ("a", "h"), ("h", "c")])
+    near: dict = {}
+    for r in e.collect():
+        near.setdefault(r["gene_a"], set()).add(r["gene_b"])
+        near.setdefault(r["gene_b"], set()).add(r["gene_a"])
+    p, q, n, seen = 0.5, 2.0, 3000, {}
+    for r in graph.walks(e, n, 3, p, q).collect():
+        seen.setdefault(tuple(r["walk"][:2]), []).append(r["walk"][2:])
+    for (u, v), ends in seen.items():
+        ways = sorted(near[v] - {u})
+        assert bool(ways) == any(ends)  # a walk whose only way leads back ends
+        weight = np.array([1 / p if x in near[u] else 1 / q for x in ways])
+        got = np.array([sum(x == [w] for x in ends) for w in ways], float)
+        want = weight / weight.sum() * len(ends) if ways else weight
+        assert ((got - want) ** 2 / want).sum() < 20 if len(ways) > 1 else got.sum() == len(ends) * len(ways)  # chi-square, four degrees of freedom at most: p of 5e-4
+        assert abs(len(ends) - n / len(near[u])) < 5 * np.sqrt(n)
+
+
+def test_walks_around_a_hub_by_joins(spark):
+    star = edges(spark, [("hub", f"l{i:04d}") for i in range(1500)])
+    got = graph.walks(star, 1, 3, strategy="joins").collect()
+    assert len(got) == 1501 and all(len(r["walk"]) == 3 and r["walk"][1] == "hub" and r["walk"][2] != r["gene"] for r in got if r["gene"] != "hub")
+    assert len({r["walk"][2] for r in got if r["gene"] != "hub"}) > 700 and [len(r["walk"]) for r in got if r["gene"] == "hub"] == [2]
+
+
 def test_betweenness_by_arrays_and_by_joins_and_of_a_path(spark):
     e = small(spark, 15, 20)
     one, two = (as_dict(graph.betweenness(e, 15, strategy=s), value="betweenness") for s in ("auto", "joins"))
