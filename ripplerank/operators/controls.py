@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import distributions as D
-from ..sources.shared import numbered
+from ..sources.shared import cut, numbered
 from . import graph, metrics
+from .ranks import by_group
+from .stats import hypergeometric
 
 
 def clean_background(splits: DataFrame, catalogue: DataFrame) -> DataFrame:
@@ -160,3 +162,37 @@ def audit(checks: dict[str, tuple[DataFrame, str]]) -> DataFrame:
         row = df.select(F.lit(name).alias("test_id"), F.when(F.expr(holds), "PASS").otherwise("FAIL").alias("status"), F.col("n").cast("string").alias("message"))
         out = row if out is None else out.unionByName(row)
     return out
+
+
+def line_enrichment(scored: DataFrame, essential: DataFrame, measured: DataFrame, keys: list[str], ks: tuple[float, ...] = (0.01, 0.05, 100), least: tuple[int, int] = (5, 20)) -> DataFrame:
+    """keys, k, line, hits, hits_rest, candidates, population, p: are the best-ranked unlabelled genes of a cell (keys: a fold of an arm) needed in a cell line more often than the others?
+
+    scored: keys, gene, y, score; essential: (gene, line); measured: (gene). Candidates are the first k negatives by score, ties by gene (k under 1: that share of the cell's rows, rounded up), the rest of the negatives is the background;
+    both count measured genes only, and cells with fewer than `least` candidates or background genes are left out. p is the chance of at least `hits` candidates among hits_rest genes drawn from the population; lines without a hit
+    in the background are left out. All ks are columns of one join; p is worked out once for equal numbers.
+    """
+    cells = scored.groupBy(*keys).agg(F.count("*").alias("_rows"))
+    negatives = scored.where("y = 0").select(*keys, "gene", "score")
+    placed = by_group(negatives, keys, [F.desc("score"), "gene"]).join(cells, keys).join(measured.select("gene").distinct(), "gene", "left_semi")
+    size = lambda k: F.least(F.ceil(F.lit(float(k)) * F.col("_rows")) if k < 1 else F.lit(int(k)).cast("long"), F.col("_size"))
+    roles = placed.select(*keys, "gene", F.array(*[F.when(F.col("_size") - size(k) >= least[1], F.col("_place") <= size(k)) for k in ks]).alias("in"))
+    roles = cut(roles, "roles")
+    at = lambda i: F.get("in", F.lit(i))
+    count = lambda d, by: d.groupBy(*by).agg(*[c for i in range(len(ks)) for c in (F.count_if(at(i)).alias(f"c{i}"), F.count_if(~at(i)).alias(f"b{i}"))])
+    each = F.explode(F.array(*[F.struct(F.lit(float(k)).alias("k"), F.col(f"c{i}").alias("c"), F.col(f"b{i}").alias("b")) for i, k in enumerate(ks)])).alias("x")
+    whole = count(roles, keys).select(*keys, each).select(*keys, "x.k", F.col("x.c").alias("candidates"), (F.col("x.c") + F.col("x.b")).alias("population"), F.col("x.b").alias("_b"))
+    whole = whole.where((F.col("candidates") >= least[0]) & (F.col("_b") >= least[1])).drop("_b")
+    lines = count(roles.join(essential.select("gene", "line").distinct(), "gene"), [*keys, "line"])
+    hits = lines.select(*keys, "line", each).select(*keys, "line", "x.k", F.col("x.c").alias("hits"), F.col("x.b").alias("hits_rest")).where("hits_rest > 0")
+    out = cut(hits.join(whole, [*keys, "k"]), "enrichment")
+    by = ["hits", "population", "candidates", "hits_rest"]
+    p = hypergeometric(out.select("hits", "population", F.col("candidates").alias("good"), F.col("hits_rest").alias("draws")).distinct()).withColumnsRenamed({"good": "candidates", "draws": "hits_rest"})
+    return out.join(p, by).select(*keys, "k", "line", *["hits", "hits_rest", "candidates", "population"], "p")
+
+
+def enrichment_summary(lines: DataFrame, keys: list[str], cells: list[str]) -> DataFrame:
+    """keys, k, n_cells, n_lines, below_05, below_01 (shares of p), median_p, least_p, median_candidates of line_enrichment()'s rows; cells: the columns that tell an arm's folds apart."""
+    sizes = lines.select(*keys, *cells, "k", "candidates").distinct().groupBy(*keys, "k").agg(F.count("*").alias("n_cells"), F.percentile("candidates", F.lit(0.5)).alias("median_candidates"))
+    share = lambda x: F.avg((F.col("p") < x).cast("double"))
+    p = lines.groupBy(*keys, "k").agg(F.count("*").alias("n_lines"), share(0.05).alias("below_05"), share(0.01).alias("below_01"), F.percentile("p", F.lit(0.5)).alias("median_p"), F.min("p").alias("least_p"))
+    return sizes.join(p, [*keys, "k"]).select(*keys, "k", "n_cells", "n_lines", "below_05", "below_01", "median_p", "least_p", "median_candidates")

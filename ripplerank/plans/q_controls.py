@@ -117,3 +117,32 @@ def label_participation(spark, d):
 @query()
 def coverage_simulation(spark, d):
     return controls.coverage_simulation(spark, 1000)
+
+
+S_LINES = """sc AS (SELECT p_type AS arm, p_partkey AS gene, p_retailprice AS score, (p_size <= 5)::INTEGER AS y FROM part), ms AS (SELECT p_partkey AS gene FROM part WHERE p_size <= 45),
+es AS (SELECT DISTINCT l_partkey AS gene, s_nationkey AS line FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity >= 45), ce AS (SELECT arm, count(*) AS rows FROM sc GROUP BY 1),
+pl AS (SELECT arm, gene, row_number() OVER (PARTITION BY arm ORDER BY score DESC, gene) AS place, count(*) OVER (PARTITION BY arm) AS size FROM sc WHERE y = 0), ks AS (SELECT unnest([0.2, 20.0])::DOUBLE AS k),
+ro AS (SELECT arm, k, gene, place <= least(CASE WHEN k < 1 THEN ceil(k * rows) ELSE k END, size) AS cand FROM pl JOIN ce USING (arm) JOIN ms USING (gene), ks WHERE size - least(CASE WHEN k < 1 THEN ceil(k * rows) ELSE k END, size) >= 20),
+wh AS (SELECT arm, k, count(*) FILTER (cand) AS candidates, count(*) AS population FROM ro GROUP BY 1, 2 HAVING count(*) FILTER (cand) >= 5 AND count(*) FILTER (NOT cand) >= 20),
+hi AS (SELECT arm, k, line, count(*) FILTER (cand) AS hits, count(*) FILTER (NOT cand) AS hits_rest FROM ro JOIN es USING (gene) GROUP BY 1, 2, 3 HAVING count(*) FILTER (NOT cand) > 0), j AS (SELECT * FROM hi JOIN wh USING (arm, k)),
+pp AS (SELECT arm, k, line, sum(CASE WHEN i >= hits AND i <= least(candidates, hits_rest) AND hits_rest - i <= population - candidates THEN exp(lgamma(candidates + 1) - lgamma(i + 1) - lgamma(candidates - i + 1) + lgamma(population - candidates + 1) - lgamma(hits_rest - i + 1) - lgamma(population - candidates - hits_rest + i + 1)
+ - lgamma(population + 1) + lgamma(hits_rest + 1) + lgamma(population - hits_rest + 1)) ELSE 0 END) AS p FROM (SELECT *, unnest(range(0, least(candidates, hits_rest) + 1)) AS i FROM j) GROUP BY 1, 2, 3)"""
+
+
+@query(f"WITH {S_LINES} SELECT j.arm, j.k, j.line, hits::BIGINT AS hits, hits_rest::BIGINT AS hits_rest, candidates::BIGINT AS candidates, population::BIGINT AS population, round(least(1.0, p), 6) AS p FROM j JOIN pp ON j.arm = pp.arm AND j.k = pp.k AND j.line = pp.line")
+def line_enrichment(spark, d):
+    """Are a type's dearest parts sold in large lots in a nation more often than its others?"""
+    return _lines(spark, d).withColumn("p", F.round(F.least(F.lit(1.0), "p"), 6))
+
+
+def _lines(spark, d):
+    part = t(spark, d, "part").select(F.col("p_type").alias("arm"), F.col("p_partkey").alias("gene"), F.col("p_retailprice").alias("score"), (F.col("p_size") <= 5).cast("int").alias("y"), "p_size")
+    sold = t(spark, d, "lineitem").where("l_quantity >= 45").join(t(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("l_partkey").alias("gene"), F.col("s_nationkey").alias("line"))
+    return controls.line_enrichment(part, sold, part.where("p_size <= 45"), ["arm"], (0.2, 20))
+
+
+@query(f"WITH {S_LINES}, m AS (SELECT k, median(candidates) AS c, count(*)::BIGINT AS n_cells FROM (SELECT DISTINCT arm, k, candidates FROM j) GROUP BY 1) SELECT j.k, any_value(m.n_cells) AS n_cells, count(*)::BIGINT AS n_lines, round(avg((p < 0.05)::INTEGER), 6) AS below_05, round(avg((p < 0.01)::INTEGER), 6) AS below_01, round(median(p), 6) AS median_p, round(min(p), 6) AS least_p, any_value(m.c)::DOUBLE AS median_candidates FROM j JOIN pp ON j.arm = pp.arm AND j.k = pp.k AND j.line = pp.line JOIN m ON j.k = m.k GROUP BY 1")
+def line_enrichment_summary(spark, d):
+    r = lambda c: F.round(c, 6).alias(c)
+    s = controls.enrichment_summary(_lines(spark, d), [], ["arm"])
+    return s.select("k", "n_cells", "n_lines", r("below_05"), r("below_01"), r("median_p"), r("least_p"), "median_candidates")
