@@ -220,6 +220,29 @@ def gene_bootstrap(scored: DataFrame, keys: list[str], replicates: int = 200, se
     return auroc(scored.join(drawn.join(genes, "_i").select("rep", "gene", "w"), "gene"), [*keys, "rep"], "w")
 
 
+def gene_interval(scored: DataFrame, keys: list[str], cells: list[str], replicates: int = 1000, level: float = 0.95, one: str = "rwr", other: str = "degree", seed: str = "genes") -> DataFrame:
+    """keys, low, high, boot_mean, boot_sd, observed_mean, observed_sd, n_cells, n_boot: the percentile interval over genes of the mean difference in AUROC of two methods.
+
+    scored: keys, cells (repeat, fold), method, gene, y, score. Genes are drawn with replacement once a replicate and shared by all cells, so a gene moves as a block; a replicate's value is the mean over
+    the cells in which both methods have both classes, and replicates without such a cell are left out.
+    """
+    from .metrics import auroc
+
+    scored = cut(scored.select(*keys, *cells, "method", "gene", "y", "score"), "scored")
+
+    def differences(d: DataFrame, by: list[str]) -> DataFrame:
+        of = lambda m: F.max(F.when(F.col("method") == m, F.col("auroc")))
+        return d.groupBy(*by).agg((of(one) - of(other)).alias("delta")).where("delta is not null")
+
+    own = differences(auroc(scored, [*keys, *cells, "method"]), [*keys, *cells])
+    boot = differences(gene_bootstrap(scored, [*keys, *cells, "method"], replicates, seed), [*keys, *cells, "rep"]).groupBy(*keys, "rep").agg(F.avg("delta").alias("value"))
+    q = lambda p: F.percentile("value", F.lit(p))
+    b = boot.groupBy(*keys).agg(q((1 - level) / 2).alias("low"), q((1 + level) / 2).alias("high"), F.avg("value").alias("boot_mean"), F.stddev_samp("value").alias("boot_sd"), F.count("*").alias("n_boot"))
+    o = own.groupBy(*keys).agg(F.avg("delta").alias("observed_mean"), F.stddev_samp("delta").alias("observed_sd"), F.count("*").alias("n_cells"))
+    both = b.join(o, keys) if keys else b.crossJoin(o)
+    return both.select(*keys, "low", "high", "boot_mean", "boot_sd", "observed_mean", "observed_sd", "n_cells", "n_boot")
+
+
 def one_sample_t(df: DataFrame, keys: list[str], level: float = 0.95) -> DataFrame:
     """keys, n, mean, sd, se, t, p (one-sided, for a mean over 0), d (mean over sd) and low, high (normal limits) of `value`; null t, p and d without spread."""
     s = summary(df, keys).withColumn("t", F.try_divide(F.col("mean"), F.col("se"))).withColumn("d", F.try_divide(F.col("mean"), F.col("sd")))

@@ -101,6 +101,20 @@ def gene_bootstrap(spark, d):
     return stats.gene_bootstrap(x, ["arm"], 10).select("rep", R("auroc", 8))
 
 
+@query(f"""WITH {S_DOC}, sc AS (SELECT source, gene, y, 'rwr' AS method, score FROM s UNION ALL SELECT source, gene, y, 'degree', (gene % 97)::DOUBLE FROM s),
+b AS (SELECT gene, row_number() OVER (ORDER BY gene) - 1 AS _i, count(*) OVER () AS n FROM (SELECT DISTINCT gene FROM s)), w AS (SELECT rep, floor({su('_i', chr(39) + 'genes|' + chr(39) + ' || rep')} * n) AS at FROM b, range(300) z(rep)),
+m AS (SELECT rep, gene, count(*)::DOUBLE AS w FROM w JOIN b ON w.at = b._i GROUP BY 1, 2 UNION ALL SELECT -1, gene, 1 FROM b),
+g AS (SELECT rep, source, method, score, sum(w * y) AS p, sum(w * (1 - y)) AS n FROM sc JOIN m USING (gene) GROUP BY ALL), c AS (SELECT *, sum(n) OVER (PARTITION BY rep, source, method ORDER BY score) - n AS below FROM g),
+a AS (SELECT rep, source, method, CASE WHEN sum(p) > 0 AND sum(n) > 0 THEN sum(p * (below + n / 2)) / (sum(p) * sum(n)) END AS auroc FROM c GROUP BY ALL),
+d AS (SELECT rep, source, max(auroc) FILTER (method = 'rwr') - max(auroc) FILTER (method = 'degree') AS delta FROM a GROUP BY ALL), r AS (SELECT rep, avg(delta) AS value FROM d WHERE rep >= 0 AND delta IS NOT NULL GROUP BY 1), o AS (SELECT * FROM d WHERE rep = -1 AND delta IS NOT NULL)
+SELECT round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high, round(avg(value), 6) AS boot_mean, round((SELECT avg(delta) FROM o), 6) AS observed_mean, (SELECT count(*) FROM o)::BIGINT AS n_cells, count(*)::BIGINT AS n_boot FROM r""")
+def gene_interval(spark, d):
+    """The interval over documents of the difference between two scores of their quality, over sources."""
+    s = base.doc_scores(spark, d)
+    both = s.withColumn("method", F.lit("rwr")).unionByName(s.withColumns({"method": F.lit("degree"), "score": (F.col("gene") % 97).cast("double")}))
+    return stats.gene_interval(both, [], ["source"], 300).select(R("low"), R("high"), R("boot_mean"), R("observed_mean"), "n_cells", "n_boot")
+
+
 @query()
 def permutation_p(spark, d):
     return stats.permutation(base.doc_scores(spark, d).withColumn("other", F.col("y").cast("double")), "score", "other", "gene", 10_000)
