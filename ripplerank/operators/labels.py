@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import split_multi, uniform
+from ..sources.shared import cut
 from . import ranks
 
 
@@ -79,12 +80,13 @@ def overlap(labels: DataFrame, networks: DataFrame) -> DataFrame:
 
 
 def jaccard(sets: DataFrame, key: str = "label_set") -> DataFrame:
-    """set_a, set_b, shared, jaccard of every two sets that share a gene."""
+    """set_a, set_b, shared, jaccard of every two sets, those that share nothing too: a row a pair, as the matrix has. Shared genes are counted by a join on the gene, so only the sets' sizes meet pair by pair."""
     one = sets.select(F.col(key).alias("k"), "gene").distinct()
-    n = one.groupBy("k").agg(F.count("*").alias("n"))
-    both = one.alias("a").join(one.alias("b"), "gene").where("a.k < b.k").groupBy(F.col("a.k").alias("set_a"), F.col("b.k").alias("set_b")).agg(F.count("*").alias("shared"))
-    sized = both.join(n.select(F.col("k").alias("set_a"), F.col("n").alias("na")), "set_a").join(n.select(F.col("k").alias("set_b"), F.col("n").alias("nb")), "set_b")
-    return sized.select("set_a", "set_b", "shared", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("jaccard"))
+    n = cut(one.groupBy("k").agg(F.count("*").alias("n")), "sizes")
+    both = one.alias("a").join(one.alias("b"), "gene").where("a.k < b.k").groupBy(F.col("a.k").alias("set_a"), F.col("b.k").alias("set_b")).agg(F.count("*").alias("both"))
+    pairs = n.select(F.col("k").alias("set_a"), F.col("n").alias("na")).join(n.select(F.col("k").alias("set_b"), F.col("n").alias("nb")), F.col("set_a") < F.col("set_b"))
+    shared = F.coalesce("both", F.lit(0)).cast("long")
+    return pairs.join(both, ["set_a", "set_b"], "left").select("set_a", "set_b", shared.alias("shared"), (shared / (F.col("na") + F.col("nb") - shared)).alias("jaccard"))
 
 
 def publication_adjusted(df: DataFrame, q: float = 0.5) -> DataFrame:

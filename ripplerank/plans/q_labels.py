@@ -90,7 +90,7 @@ def label_overlap(spark, d):
     return labels.overlap(_labels(spark, d), n)
 
 
-@query("WITH b AS (SELECT DISTINCT p_brand AS k, p_size AS g FROM part), n AS (SELECT k, count(*) AS n FROM b GROUP BY 1) SELECT x.k AS set_a, y.k AS set_b, count(*)::BIGINT AS shared, round(count(*)::DOUBLE / (any_value(nx.n) + any_value(ny.n) - count(*)), 8) AS jaccard FROM b x JOIN b y ON x.g = y.g AND x.k < y.k JOIN n nx ON nx.k = x.k JOIN n ny ON ny.k = y.k GROUP BY 1, 2")
+@query("WITH b AS (SELECT DISTINCT p_brand AS k, p_size AS g FROM part), n AS (SELECT k, count(*) AS n FROM b GROUP BY 1), m AS (SELECT x.k AS a, y.k AS b, count(*) AS c FROM b x JOIN b y ON x.g = y.g AND x.k < y.k GROUP BY 1, 2) SELECT x.k AS set_a, y.k AS set_b, coalesce(c, 0)::BIGINT AS shared, round(coalesce(c, 0)::DOUBLE / (x.n + y.n - coalesce(c, 0)), 8) AS jaccard FROM n x JOIN n y ON x.k < y.k LEFT JOIN m ON m.a = x.k AND m.b = y.k")
 def jaccard_matrix(spark, d):
     b = t(spark, d, "part").select(F.col("p_brand").alias("label_set"), F.col("p_size").alias("gene"))
     return labels.jaccard(b).withColumn("jaccard", F.round("jaccard", 8))
