@@ -24,15 +24,17 @@ def _training(splits: DataFrame, k: int = 5) -> DataFrame:
     return labels.fold_seeds(splits, k)
 
 
-def cell_margins(edges: DataFrame, seeds: DataFrame, test: DataFrame, keys: list[str], alpha: float = 0.5, digits: int = 10, weights: DataFrame | None = None, **how) -> DataFrame:
-    """keys, rwr_auroc, degree_auroc, delta: of each cell's test rows (keys, gene, y) under propagation from its seeds (keys, gene) and under degree."""
+def cell_margins(edges: DataFrame, seeds: DataFrame, test: DataFrame, keys: list[str], alpha: float | tuple[float, ...] = 0.5, digits: int = 10, weights: DataFrame | None = None, **how) -> DataFrame:
+    """keys (and alpha, where several are given), rwr_auroc, degree_auroc, delta: of each cell's test rows (keys, gene, y) under propagation from its seeds (keys, gene) and under degree. All cells and alphas are one propagation."""
+    alphas = alpha if isinstance(alpha, tuple) else (alpha,)
+    by = [*keys, *(["alpha"] if isinstance(alpha, tuple) else [])]
     degree = cut(graph.degree(edges), "degree")
     test = cut(test.select(*keys, "gene", "y").join(degree, "gene").withColumn("col", _col(keys)), "test")
-    p = graph.rwr(edges, seeds.select(_col(keys).alias("col"), "gene").distinct(), alpha, weights=weights, only=test.select("col", "gene"), **how)
+    p = graph.rwr_series(edges, seeds.select(_col(keys).alias("col"), "gene").distinct(), alphas, weights=weights, only=test.select("col", "gene"), **how)
     scored = test.join(p, ["col", "gene"]).withColumn("score", F.round("score", digits))
-    rows = scored.select(*keys, F.lit("rwr").alias("method"), "gene", "y", "score").unionByName(test.select(*keys, F.lit("degree").alias("method"), "gene", "y", F.col("degree").cast("double").alias("score")))
-    m = metrics.margins(metrics.auroc(cut(rows, "scored"), [*keys, "method"]), keys, ["auroc"])
-    return m.select(*keys, "rwr_auroc", "degree_auroc", F.col("delta_auroc").alias("delta"))
+    one = metrics.auroc(cut(scored.select(*by, "gene", "y", "score"), "scored"), by).withColumnRenamed("auroc", "rwr_auroc")
+    other = metrics.auroc(test.select(*keys, "gene", "y", F.col("degree").cast("double").alias("score")), keys).withColumnRenamed("auroc", "degree_auroc")
+    return one.join(other, keys).select(*by, "rwr_auroc", "degree_auroc", (F.col("rwr_auroc") - F.col("degree_auroc")).alias("delta"))
 
 
 def seed_null(edges: DataFrame, splits: DataFrame, resamples: int = 100, alpha: float = 0.5, k: int = 5, seed: str = "null", **how) -> tuple[DataFrame, DataFrame]:
@@ -100,11 +102,7 @@ def temporal(edges: DataFrame, now: DataFrame, new: DataFrame, repeats: int = 50
     y = degree.select("gene").join(new.select("gene", F.lit(1).alias("_y")).distinct(), "gene", "left").select("gene", F.coalesce("_y", F.lit(0)).alias("y"))
     test = y.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     size = seeds.groupBy("repeat").agg(F.count("*").alias("n_seeds"))
-    out = None
-    for a in alphas:
-        m = cell_margins(edges, seeds, test, ["repeat"], a, **how).join(size, "repeat").withColumn("alpha", F.lit(a))
-        out = m if out is None else out.unionByName(m)
-    return out
+    return cell_margins(edges, seeds, test, ["repeat"], tuple(alphas), **how).join(size, "repeat")
 
 
 def panel(universe: DataFrame, label_sets: DataFrame, repeats: int = 10, k: int = 5, seed: str = "20260926") -> DataFrame:
