@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -87,10 +89,10 @@ class Features:
         return ids[1:] if len(ids) and ids[0] < 0 else ids
 
 
-def sample(docs: DataFrame, labels: DataFrame, column: str, features: Callable[[], Features], rows: int, where: F.Column | None = None) -> tuple[list[np.ndarray], np.ndarray]:
-    """Features and 0/1 labels of about `rows` labelled documents at most, the same ones each time: those whose hashed doc_id falls under rows / all.
+def labelled(docs: DataFrame, labels: DataFrame, column: str, features: Callable[[], Features], rows: int, where: F.Column | None = None) -> DataFrame:
+    """(doc_id, y, x): features and 0/1 labels of about `rows` labelled documents at most, the same ones each time: those whose hashed doc_id falls under rows / all.
 
-    A bounded sample: the driver gets `rows` sparse vectors whatever the input. Labels other than 0 and 1 are left out; a document labelled more than once has its largest label.
+    Labels other than 0 and 1 are left out; a document labelled more than once has its largest label.
     """
     given = labels.where(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull())
     if where is not None:
@@ -106,10 +108,25 @@ def sample(docs: DataFrame, labels: DataFrame, column: str, features: Callable[[
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(2), pa.array([f(t.as_py()).tobytes() for t in b.column(1)], pa.binary())], names=["doc_id", "y", "x"])
 
-    got = sorted((r["doc_id"], r["y"], bytes(r["x"])) for r in chosen.mapInArrow(run, "doc_id long, y int, x binary").collect())
+    return chosen.mapInArrow(run, "doc_id long, y int, x binary")
+
+
+def _in_order(rows: Iterable[tuple[int, int, bytes]]) -> tuple[list[np.ndarray], np.ndarray]:
+    got = sorted(rows)
     return [np.frombuffer(x, np.int32) for _, _, x in got], np.array([y for _, y, _ in got], int)
 
 
+def fitted(docs: DataFrame, labels: DataFrame, column: str, features: Callable[[], Features], rows: int, learn: Callable[[list[np.ndarray], np.ndarray], Any], where: F.Column | None = None) -> Any:
+    """What `learn` makes of the labelled() sample: worked out in one task, which `rows` bounds, so that the driver gets the model and never the sample."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [row for b in batches for row in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(learn(*_in_order(rows)))], pa.binary())], names=["model"])
+
+    got = labelled(docs, labels, column, features, rows, where).repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(bytes(got["model"])) if got else learn(*_in_order([]))
+
+
 def sparse(x: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(row, feature) of every indicator that is set."""
     return np.repeat(np.arange(len(x)), [len(v) for v in x]), np.concatenate(x) if x else np.zeros(0, np.int32)

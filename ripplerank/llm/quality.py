@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .features import WIDTH, Features, looks, sample, scored
+from .features import WIDTH, Features, fitted, looks, scored
 
 #: Labelled rows of the sample, least documents of a feature, smoothing of the counts, C of the hinge loss, passes of the coordinate descent, folds of the calibration, share of the mean weight.
 ROWS, LEAST, SMOOTH, C, PASSES, FOLDS, MEAN = 12_000, 3, 1.0, 1.0, 12, 5, 0.25
@@ -114,7 +114,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, rows: int = ROWS, cut: flo
     labels every score is 0.5; an empty table gives no rows; other columns are ignored.
     """
     held = lambda c: F.crc32(c.cast("string").cast("binary")) % 5 == 0
-    m = fit(*sample(docs, labels, "quality", features, rows, ~held(F.col("doc_id"))))
+    m = fitted(docs, labels, "quality", features, rows, fit, ~held(F.col("doc_id")))
 
     def finish(total: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
         s = 1 / (1 + np.exp(-np.clip(m.a * (total / np.sqrt(np.maximum(n, 1)) + m.bias) + m.b, -30, 30)))

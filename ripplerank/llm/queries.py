@@ -25,7 +25,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All vectors with the number of their links at cosine 0.9, their component and whether they stay."""
+    """All vectors with the number of their links at cosine 0.9, their component and whether they stay; a row whose vec_id is null has null for both."""
     return near_duplicate_vectors(read(spark, sf_dir, "embeddings"))
 
 

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .features import WIDTH, Features, flagged, sample, scored, sparse, stems
+from .features import WIDTH, Features, fitted, flagged, scored, sparse, stems
 
 #: Labelled rows of the sample, features that are kept, least documents of a feature, least z of its log-odds, grades above 0, steps of the fit, L2 penalty.
 ROWS, KEEP, LEAST, Z, GRADES, STEPS, PENALTY = 12_000, 4_096, 4, 2.5, 3, 1_500, 1e-4
@@ -121,10 +121,12 @@ def choose_cut(x: list[np.ndarray], y: np.ndarray, folds: int = FOLDS) -> float:
 
 
 def _fitted(docs: DataFrame, labels: DataFrame, rows: int, cut: float | None) -> tuple[Model, float]:
-    x, y = sample(docs, labels, "toxic", features, rows)
-    once = unlike(x)
-    x, y = [x[i] for i in once], y[once]
-    return fit(x, y), choose_cut(x, y) if cut is None else cut
+    def learn(x: list[np.ndarray], y: np.ndarray) -> tuple[Model, float]:
+        once = unlike(x)
+        x, y = [x[i] for i in once], y[once]
+        return fit(x, y), choose_cut(x, y) if cut is None else cut
+
+    return fitted(docs, labels, "toxic", features, rows, learn)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, rows: int = ROWS, cut: float | None = None) -> DataFrame:
