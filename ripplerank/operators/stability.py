@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import uniform, weighted_median
+from ..functions.columns import log_c, uniform, weighted_median
 from ..sources.shared import cut
 from . import ranks
 
@@ -49,10 +49,10 @@ def crowding(df: DataFrame, keys: list[str], width: float) -> DataFrame:
 
 
 def relative_crowding(df: DataFrame, keys: list[str], share: float = 0.1) -> DataFrame:
-    """df (positive scores) with crowd: rows whose score lies within a factor 1 - share to 1 + share."""
+    """df (positive scores) with crowd: rows whose score lies within a factor 1 - share to 1 + share, by the C library's logarithms: at the very end of the band the last bit of a logarithm decides."""
     import math
 
-    logged = df.where("score > 0").withColumn("_l", F.log("score"))
+    logged = df.where("score > 0").withColumn("_l", log_c(F.col("score")))
     return logged.withColumn("crowd", _within(keys, "_l", math.log(1 - share), math.log(1 + share))).drop("_l")
 
 
