@@ -57,16 +57,25 @@ def relative_crowding(df: DataFrame, keys: list[str], share: float = 0.1) -> Dat
 
 
 def nearest(df: DataFrame, keys: list[str], k: int = 5) -> DataFrame:
-    """keys, gene, near, distance, place: the k nearest other rows by score, ties to the earlier place in the order of score and gene.
+    """keys, gene, near, distance, place: the k nearest other rows by score, ties to the earlier place in the order of score and gene; rows without a score take no part.
 
-    In one dimension they lie within k places, so the join is on places, not on all pairs of a group.
+    Of rows with one score only the first k + 1 can be anyone's neighbours, on either side of the asker. So scores are lined up with that many rows each, upwards and downwards, and every score meets its own rows, the k places above
+    and the k below: a join on places, not on all pairs of a group. A row takes the first k of its score's list, itself left out.
     """
-    placed = ranks.by_group(df.select(*keys, "gene", "score"), keys, ["score", "gene"]).withColumnRenamed("_place", "_p").drop("_size")
-    asks = placed.withColumn("_q", F.explode(F.expr(f"filter(sequence(_p - {k}, _p + {k}), x -> x <> _p)")))
-    other = placed.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], F.col("gene").alias("near"), F.col("score").alias("_s"), F.col("_p").alias("_r"))
-    pair = asks.join(other, [*[F.col(c) == F.col(f"_k{i}") for i, c in enumerate(keys)], F.col("_q") == F.col("_r")]).withColumn("distance", F.abs(F.col("score") - F.col("_s")))
-    place = F.row_number().over(Window.partitionBy(*keys, "gene").orderBy("distance", "_r"))
-    return pair.withColumn("place", place).where(F.col("place") <= k).select(*keys, "gene", "near", "distance", "place", F.col("_s").alias("near_score"))
+    rows = df.select(*keys, "gene", "score").where("score is not null")
+    pool = ranks.by_group(rows, [*keys, "score"], ["gene"]).where(F.col("_place") <= k + 1)
+    pool = cut(pool.select(*keys, "score", "gene", F.col("_place").alias("_i")), "pool")
+    counts = pool.groupBy(*keys, "score").agg(F.count("*").alias("_n"))
+    values = ranks.by_group(counts, keys, ["score"], {"n": "_n"})
+    values = cut(values.select(*keys, "score", "_n", F.col("_before_n").alias("_up"), (F.col("_all_n") - F.col("_before_n") - F.col("_n")).alias("_down")), "values")
+    line = pool.join(values, [*keys, "score"]).select(*keys, F.col("gene").alias("near"), F.col("score").alias("_s"), F.explode(F.array(F.struct(F.lit(True).alias("up"), (F.col("_up") + F.col("_i")).alias("q")), F.struct(F.lit(False).alias("up"), (F.col("_down") + F.col("_i")).alias("q")))).alias("_at"))
+    places = lambda up, first, last: F.transform(F.sequence(first, last), lambda q: F.struct(F.lit(up).alias("up"), q.alias("q")))
+    end = F.col("_down") + F.col("_n")
+    asks = values.select(*keys, "score", F.explode(F.concat(places(True, F.col("_up") + 1, F.col("_up") + F.col("_n") + k), places(False, end + 1, end + k))).alias("_at"))
+    distance = F.abs(F.col("score") - F.col("_s")).alias("distance")
+    near = asks.join(line, [*keys, "_at"]).groupBy(*keys, "score").agg(F.slice(F.array_sort(F.collect_list(F.struct(distance, "_s", "near"))), 1, k + 1).alias("_near"))
+    own = rows.join(near, [*keys, "score"]).select(*keys, "gene", F.posexplode(F.slice(F.filter("_near", lambda x: x["near"] != F.col("gene")), 1, k)).alias("_at", "_x"))
+    return own.select(*keys, "gene", "_x.near", "_x.distance", (F.col("_at") + 1).alias("place"), F.col("_x._s").alias("near_score"))
 
 
 def smooth(df: DataFrame, keys: list[str], k: int = 5, shrink: float = 0.5) -> DataFrame:
