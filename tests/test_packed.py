@@ -60,3 +60,13 @@ def test_packed_power_iteration_is_that_of_joins(net, kind):
     near(graph.power_iteration(net, kind, 5000, tol=0.05, strategy="packed"), graph.power_iteration(net, kind, 5000, tol=0.05, strategy="arrays"), ("gene",))
     with pytest.raises(RuntimeError):
         graph.power_iteration(net, kind, 1, tol=1e-13, strategy="packed")
+
+
+def test_large_networks_are_peeled_packed(spark, net, monkeypatch):
+    """Core numbers by rounds over blocks are those of peeling; a tail of single neighbours and a clique besides."""
+    more = [(9000 + i, 9001 + i, 1.0) for i in range(9)] + [(9100 + i, 9100 + j, 1.0) for j in range(13) for i in range(j)]
+    every = net.unionByName(spark.createDataFrame(more, net.schema)).localCheckpoint()
+    expected = {r["gene"]: r["core"] for r in graph.core_numbers(every, "arrays").collect()}
+    monkeypatch.setattr(graph, "BROADCAST_EDGES", 10)
+    assert {r["gene"]: r["core"] for r in graph.core_numbers(every).collect()} == expected
+    assert expected[9105] == 12 and expected[9000] == 1
