@@ -70,3 +70,14 @@ def test_large_networks_are_peeled_packed(spark, net, monkeypatch):
     monkeypatch.setattr(graph, "BROADCAST_EDGES", 10)
     assert {r["gene"]: r["core"] for r in graph.core_numbers(every).collect()} == expected
     assert expected[9105] == 12 and expected[9000] == 1
+
+
+def test_packed_betweenness_is_that_of_joins(spark, net, monkeypatch):
+    monkeypatch.setattr(packed, "BLOCK_VALUES", 6500)  # sources go in several lots
+    extra = spark.createDataFrame([(9000 + i, 9001 + i, 1.0) for i in range(6)], "gene_a long, gene_b long, weight double")  # a path out of reach of the rest
+    e = net.unionByName(extra)
+    near(graph.betweenness(e, 40, strategy="joins"), graph.betweenness(e, 40, strategy="packed"), ["gene"], "betweenness")
+    near(graph.betweenness(extra, strategy="arrays"), graph.betweenness(extra, strategy="packed"), ["gene"], "betweenness")
+    monkeypatch.setattr(graph, "BROADCAST_EDGES", 1)
+    monkeypatch.setattr(graph, "_dependencies", None)  # `auto` does without joins
+    near(graph.betweenness(extra), graph.betweenness(extra, strategy="packed"), ["gene"], "betweenness")
