@@ -13,6 +13,7 @@ WORDS, PIECES = 500_000, 750_000
 
 _PLAIN = re.compile(rb"[!-&(-;=-~\xc3\x80-\xbf]+")  # bytes of ASCII without ' and <, and of two-byte letters that begin with \xc3
 _ASCII = re.compile(rb"[!-&(-;=-~]+")
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]  # by the number of ids
 _SPLIT = re.compile(r"[^\W\d_]+|\d|(?:[^\w]|_)+")
 
 
@@ -52,10 +53,16 @@ class Encoder:
     def short(self, text: str) -> bytes:
         """Ids of one piece straight from the model, past the parts of the library that cut texts."""
         ids = [t.id for t in self.model.tokenize(text if text.isascii() else text.translate(self.signs))]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else struct.pack(f"<{len(ids)}I", *ids)
 
     def word(self, word: bytes) -> bytes:
-        """Plain words are cut as the vocabulary's pattern cuts them: runs of letters, single digits, runs of other signs."""
+        """Plain words are cut as the vocabulary's pattern cuts them: runs of letters, single digits, runs of other signs. Letters of ASCII, with one sign behind them or none, are most words and take a short way to the same."""
+        if self.plain:
+            low = word.lower()
+            if low.isalpha():
+                return self.pieces[low.decode()]
+            if low[-1] in b".," and low[:-1].isalpha():
+                return self.pieces[low[:-1].decode()] + self.pieces[low[-1:].decode()]
         if self.plain and (_ASCII if word.isascii() else _PLAIN).fullmatch(word):
             text = word.decode().lower()
             core = text.rstrip(".,")

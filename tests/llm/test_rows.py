@@ -510,3 +510,11 @@ def test_shared_folder_is_no_local_one_on_a_cluster():
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         folder.shared_dir(type("Spark", (), {"conf": Conf(), "sparkContext": Context()})())
     assert re.match(r".+", shared.__doc__)
+
+
+def test_short_way_of_plain_words_gives_the_ids_of_the_library():
+    from ripplerank.llm.tokens import Encoder, default_path
+
+    e = Encoder(default_path())
+    for w in ("the", "The", "THNDHAIN", "ndshin,", "Sterch,", "halyin.", ".", ",", ".,", "a,,", "A.,", "it's.", "É.", "x" * 90 + ".", "7,", "Is###"):
+        assert e.word(w.encode()) == e.whole(w), w
