@@ -81,3 +81,18 @@ def test_packed_betweenness_is_that_of_joins(spark, net, monkeypatch):
     monkeypatch.setattr(graph, "BROADCAST_EDGES", 1)
     monkeypatch.setattr(graph, "_dependencies", None)  # `auto` does without joins
     near(graph.betweenness(extra), graph.betweenness(extra, strategy="packed"), ["gene"], "betweenness")
+
+
+def test_packed_triangles_are_those_of_joins(spark, net, monkeypatch):
+    monkeypatch.setattr(packed, "BLOCK_EDGES", 100)
+    one, other = graph.clustering(net, "joins"), graph.clustering(net, "packed")
+    a, _ = near(one, other, ["gene"], "triangles")
+    assert sum(r["triangles"] for r in a.values()) > 100
+    near(one, other, ["gene"], "clustering")
+    tree = spark.createDataFrame([(0, i, 1.0) for i in range(1, 9)], "gene_a long, gene_b long, weight double")
+    assert {r["triangles"] for r in graph.clustering(tree, "packed").collect()} == {0}
+    monkeypatch.setattr(graph, "BROADCAST_EDGES", 1)
+    calls, real = [], packed.triangles
+    monkeypatch.setattr(packed, "triangles", lambda o: calls.append(1) or real(o))
+    near(one, graph.clustering(net), ["gene"], "triangles")
+    assert calls
