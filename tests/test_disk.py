@@ -7,7 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from ripplerank.operators import graph
+from ripplerank.operators import graph, metrics, ranks
 from ripplerank.sources.shared import Steps, cut, shared_dir
 
 
@@ -55,3 +55,15 @@ def test_propagation_keeps_no_rounds(spark, net):
     assert got.keys() == want.keys() and len(got) == 6
     assert all(abs(got[k] - want[k]) < 1e-12 for k in got)
     assert tables(spark, "series") == before
+
+
+def test_metrics_shuffle_rows_once(spark, monkeypatch):
+    rows = [(g % 3, ("", "0.5")[g % 2], g, float(g * 7 % 11), int(g % 4 == 0)) for g in range(60)] + [(7, "", g, 1.0, 0) for g in range(4)]
+    df = cut(spark.createDataFrame(rows, "fold int, _a string, gene long, score double, y int"))
+    once = metrics.all_metrics(df, ["fold", "_a"], (3, 8))
+    assert once._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    got = {(r["fold"], r["_a"]): r for r in once.collect()}
+    monkeypatch.setattr(ranks, "GROUP_ROWS", 3)
+    want = {(r["fold"], r["_a"]): r for r in metrics.all_metrics(df, ["fold", "_a"], (3, 8)).collect()}
+    assert got == want and len(got) == 7
+    assert got[7, ""]["auroc"] is None and got[7, ""]["p_at_8"] is None
