@@ -67,3 +67,11 @@ def test_metrics_shuffle_rows_once(spark, monkeypatch):
     want = {(r["fold"], r["_a"]): r for r in metrics.all_metrics(df, ["fold", "_a"], (3, 8)).collect()}
     assert got == want and len(got) == 7
     assert got[7, ""]["auroc"] is None and got[7, ""]["p_at_8"] is None
+
+
+@pytest.mark.parametrize("name, run", [("power", lambda e: graph.power_iteration(e, "eigenvector", 4, strategy="packed"))])
+def test_loops_over_blocks_keep_one_round(spark, net, monkeypatch, name, run):
+    monkeypatch.setattr(graph, "BROADCAST_EDGES", 1)
+    before = tables(spark, name)
+    assert run(net).count() == 9
+    assert len(tables(spark, name) - before) == 1
