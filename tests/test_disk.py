@@ -69,7 +69,7 @@ def test_metrics_shuffle_rows_once(spark, monkeypatch):
     assert got[7, ""]["auroc"] is None and got[7, ""]["p_at_8"] is None
 
 
-@pytest.mark.parametrize("name, run", [("power", lambda e: graph.power_iteration(e, "eigenvector", 4, strategy="packed"))])
+@pytest.mark.parametrize("name, run", [("power", lambda e: graph.power_iteration(e, "eigenvector", 4, strategy="packed")), ("cores", lambda e: graph.core_numbers(e)), ("paths", lambda e: graph.betweenness(e, 3, strategy="packed"))])
 def test_loops_over_blocks_keep_one_round(spark, net, monkeypatch, name, run):
     monkeypatch.setattr(graph, "BROADCAST_EDGES", 1)
     before = tables(spark, name)
